@@ -115,7 +115,8 @@ def handle_missing_values(
     for c in num:
         m = medians[c][0]
         if m is not None:
-            exprs[c] = F.coalesce(q(c), F.lit(m).cast(types[c]))
+            # pandas holds an integer column with gaps as float64
+            exprs[c] = F.coalesce(q(c).cast("double"), F.lit(m))
     for c in other:
         v = modes.get(c)
         if v is None:
@@ -204,7 +205,7 @@ def parse_timestamp(c) -> "F.Column":
     """First format of ``DATE_FORMATS`` that parses, else null."""
     c = q(c) if isinstance(c, str) else c
     s = strip_ws(c)
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(fmt)) for fmt in DATE_FORMATS])
+    return F.coalesce(*[F.try_to_timestamp(s, F.lit(fmt)) for fmt in DATE_FORMATS]).cast("timestamp_ntz")
 
 
 def autoparse_dates(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -242,7 +243,7 @@ def auto_clean(df: DataFrame, order_by: list[str] | None = None) -> tuple[DataFr
 def numeric_text(c) -> "F.Column":
     """Text to number after removing thousands separators and outer blanks."""
     c = q(c) if isinstance(c, str) else c
-    return F.try_cast(strip_ws(F.regexp_replace(c.cast("string"), ",", "")), "double")
+    return (strip_ws(F.regexp_replace(c.cast("string"), ",", ""))).try_cast("double")
 
 
 def coerce_numeric_majority(df: DataFrame) -> DataFrame:

@@ -87,8 +87,8 @@ def convert_dtypes(df: DataFrame) -> DataFrame:
     cols = categorical_columns(df)
     if not cols:
         return df
-    num = {c: F.try_cast(strip_ws(q(c)), "double") for c in cols}
-    integral = {c: F.try_cast(strip_ws(q(c)), "bigint") for c in cols}
+    num = {c: (strip_ws(q(c))).try_cast("double") for c in cols}
+    integral = {c: (strip_ws(q(c))).try_cast("bigint") for c in cols}
     row = df.select(
         F.count(F.lit(1)).alias("__n"),
         *[F.count(q(c)).alias("n_" + c) for c in cols],
