@@ -44,5 +44,7 @@ def load_all() -> None:
     """Import every workload module so its ``@register`` calls run."""
     from . import (  # noqa: F401
         w_clean,
+        w_feat,
+        w_xform,
         w_sql,
     )
