@@ -45,6 +45,8 @@ def load_all() -> None:
     from . import (  # noqa: F401
         w_clean,
         w_feat,
+        w_profile,
+        w_quality,
         w_xform,
         w_sql,
     )
