@@ -43,6 +43,7 @@ def views(spark: SparkSession, sf_dir: str, *names: str) -> None:
 def load_all() -> None:
     """Import every workload module so its ``@register`` calls run."""
     from . import (  # noqa: F401
+        w_chart,
         w_clean,
         w_feat,
         w_profile,
