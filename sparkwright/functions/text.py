@@ -43,10 +43,10 @@ def intent(question: str | Column) -> Column:
 def extract_select(text: str | Column) -> Column:
     """First ``select ...`` up to ``;`` or the end, preferring a fenced sql block; else null."""
     t = F.col(text) if isinstance(text, str) else text
-    fenced = F.regexp_extract(t, F.lit(r"(?is)```sql\s*(.*?)```"), 1)
+    fenced = F.regexp_extract(t, r"(?is)```sql\s*(.*?)```", 1)
     has_fence = t.rlike(r"(?is)```sql\s*(.*?)```")
     candidate = F.when(has_fence, F.trim(fenced)).otherwise(F.trim(t))
-    m = F.regexp_extract(candidate, F.lit(r"(?is)(\bselect\b[\s\S]*?(?:;|$))"), 1)
+    m = F.regexp_extract(candidate, r"(?is)(\bselect\b[\s\S]*?(?:;|$))", 1)
     sql = F.trim(m)
     return F.when((sql != "") & F.lower(sql).startswith("select"), sql)
 

@@ -50,4 +50,5 @@ def load_all() -> None:
         w_quality,
         w_xform,
         w_sql,
+        w_text,
     )
