@@ -59,20 +59,36 @@ def _as_double(df: DataFrame, name: str) -> Column:
     return c.cast("double")
 
 
+def _tree(key: Column, bounds: list, lo: int, hi: int) -> Column:
+    """Bucket index of ``key`` among sorted ``bounds[lo:hi]`` by a balanced
+    comparison tree (log2 comparisons per row)."""
+    if lo >= hi:
+        return F.lit(float(lo))
+    mid = (lo + hi) // 2
+    return F.when(key <= F.lit(bounds[mid]), _tree(key, bounds, lo, mid)).otherwise(_tree(key, bounds, mid + 1, hi))
+
+
 def add_buckets(
     df: DataFrame,
     order_by,
     rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
     max_buckets: int = MAX_BUCKETS,
 ) -> DataFrame:
-    """Append ``__bkt``: range bucket of the first order column (one small job)."""
+    """Append ``__bkt``: range bucket of the first order column (small jobs:
+    one count, one bounds query). Numeric / date keys take approximate
+    quantiles as bounds; text keys take the quantiles of a bounded sample."""
     key = _first_name(order_by)
-    kd = _as_double(df, key)
-    stats = df.select(F.count(F.lit(1)).alias("n")).first()
-    n = stats["n"]
+    n = df.select(F.count(F.lit(1)).alias("n")).first()["n"]
     nb = max(1, min(max_buckets, -(-n // max(1, rows_per_bucket))))
     if nb == 1:
         return df.withColumn(BUCKET, F.lit(0.0))
+    if isinstance(df.schema[key].dataType, T.StringType):
+        nb = min(nb, 1024)
+        frac = min(1.0, 32.0 * nb / max(n, 1))
+        sample = sorted(r[0] for r in df.select(key).where(F.col(key).isNotNull()).sample(False, frac, seed=17).collect())
+        bounds = sorted(set(sample[int(len(sample) * i / nb)] for i in range(1, nb) if sample))
+        return df.withColumn(BUCKET, F.coalesce(_tree(F.col(key), bounds, 0, len(bounds)), F.lit(float(len(bounds) + 1))))
+    kd = _as_double(df, key)
     probs = [i / nb for i in range(1, nb)]
     bounds = df.select(F.percentile_approx(kd, probs, max(10000, 4 * nb)).alias("b")).first()["b"]
     splits = sorted(set(float(b) for b in bounds if b is not None))

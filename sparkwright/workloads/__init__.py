@@ -46,9 +46,11 @@ def load_all() -> None:
         w_chart,
         w_clean,
         w_feat,
+        w_pipe,
         w_profile,
         w_quality,
         w_xform,
+        w_sources,
         w_sql,
         w_text,
     )

@@ -28,6 +28,11 @@ def s_hist(src: str, col: str, bins: int = 20) -> str:
 
 
 def s_long(chart: str, sql: str, x: str, ys: list[str], series: str | None = None) -> str:
+    # running sums are exact at 2 decimals for 2-decimal inputs; other values at 4
+    if "cumulative" in chart:
+        return " UNION ALL ".join(
+            f"SELECT '{chart}' AS chart, '{y}' AS series, CAST({x} AS VARCHAR) AS x, round(CAST({y} AS DOUBLE), 2) AS y FROM ({sql}) p" for y in ys
+        )
     if series:
         return f"SELECT '{chart}' AS chart, CAST({series} AS VARCHAR) AS series, CAST({x} AS VARCHAR) AS x, round(CAST({ys[0]} AS DOUBLE), 4) AS y FROM ({sql}) p"
     return " UNION ALL ".join(
@@ -50,7 +55,7 @@ def s_kpi(src: str, metrics: list[str], order: str) -> str:
 
 def s_cumulative(src: str, date: str, m: str) -> str:
     return (
-        f"SELECT {date}, {m}, round(sum({m}) OVER (ORDER BY {date} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) AS {m}_cumulative "
+        f"SELECT {date}, {m}, round(sum({m}) OVER (ORDER BY {date} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS {m}_cumulative "
         f"FROM ({s_sum_by(src, [date], [m], rnd=12)}) t"
     )
 
@@ -60,7 +65,7 @@ def r4(df, cols):
 
 
 def long4(df):
-    return df.withColumn("y", F.round("y", 4))
+    return df.withColumn("y", F.when(F.col("chart").contains("cumulative"), F.round("y", 2)).otherwise(F.round("y", 4)))
 
 
 # ----------------------------------------------------------------- frames
@@ -310,7 +315,8 @@ def chart_rolling_average(spark, sf_dir):
     f"SELECT o_orderdate, round(o_totalprice, 4) AS o_totalprice, o_totalprice_cumulative FROM ({s_cumulative(ORD_SQL, 'o_orderdate', 'o_totalprice')}) c",
 )
 def chart_cumulative(spark, sf_dir):
-    return r4(K.cumulative_line(_ord(spark, sf_dir), "o_orderdate", "o_totalprice"), ["o_totalprice", "o_totalprice_cumulative"])
+    c = K.cumulative_line(_ord(spark, sf_dir), "o_orderdate", "o_totalprice")
+    return r4(c, ["o_totalprice"]).withColumn("o_totalprice_cumulative", F.round("o_totalprice_cumulative", 2))
 
 
 @register("chart_multi_line", s_sum_by(ORD_SQL, ["o_orderdate"], ["o_totalprice", "o_custkey"]))
@@ -401,8 +407,8 @@ def chart_funnel(spark, sf_dir):
 WITH t AS (SELECT date_trunc('day', ts) AS day, sum(CASE WHEN event_type = 'error' THEN -value ELSE value END) AS delta
            FROM events GROUP BY 1)
 SELECT day, round(delta, 4) AS delta,
-       round(sum(delta) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - delta, 4) AS start,
-       round(sum(delta) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) AS "end",
+       round(sum(delta) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - delta, 2) AS start,
+       round(sum(delta) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS "end",
        CASE WHEN delta >= 0 THEN 'increase' ELSE 'decrease' END AS direction
 FROM t
 """,
@@ -413,7 +419,8 @@ def chart_waterfall(spark, sf_dir):
         F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"),
         F.when(F.col("event_type") == "error", -F.col("value")).otherwise(F.col("value")).alias("delta"),
     )
-    return r4(K.waterfall(d, "day", "delta"), ["delta", "start", "end"])
+    w = K.waterfall(d, "day", "delta")
+    return r4(w, ["delta"]).withColumn("start", F.round("start", 2)).withColumn("end", F.round("end", 2))
 
 
 @register(

@@ -32,21 +32,21 @@ def feat_ratio(spark, sf_dir):
 
 @register(
     "feat_running_total",
-    f"SELECT o_orderkey, CASE WHEN price IS NULL THEN NULL ELSE round(sum(price) {_w()}, 4) END AS price_running_total FROM ({NULLS_SQL}) d",
+    f"SELECT o_orderkey, CASE WHEN price IS NULL THEN NULL ELSE round(sum(price) {_w()}, 2) END AS price_running_total FROM ({NULLS_SQL}) d",
 )
 def feat_running_total(spark, sf_dir):
     r = FE.create_running_total(_nulls(spark, sf_dir), "price", ORDER)
-    return r.select("o_orderkey", F.round("price_running_total", 4).alias("price_running_total"))
+    return r.select("o_orderkey", F.round("price_running_total", 2).alias("price_running_total"))
 
 
 @register(
     "feat_running_total_grouped",
     f"""SELECT o_orderkey, o_custkey,
-CASE WHEN price IS NULL THEN NULL ELSE round(sum(price) {_w('o_custkey')}, 4) END AS price_running_total FROM ({NULLS_SQL}) d""",
+CASE WHEN price IS NULL THEN NULL ELSE round(sum(price) {_w('o_custkey')}, 2) END AS price_running_total FROM ({NULLS_SQL}) d""",
 )
 def feat_running_total_grouped(spark, sf_dir):
     r = FE.create_running_total(_nulls(spark, sf_dir), "price", ORDER, group_by="o_custkey")
-    return r.select("o_orderkey", "o_custkey", F.round("price_running_total", 4).alias("price_running_total"))
+    return r.select("o_orderkey", "o_custkey", F.round("price_running_total", 2).alias("price_running_total"))
 
 
 @register(
@@ -101,14 +101,14 @@ def feat_rolling_avg(spark, sf_dir):
 @register(
     "feat_cumulative",
     f"""SELECT o_orderkey,
-CASE WHEN price IS NULL THEN NULL ELSE round(sum(price) {_w()}, 4) END AS price_cumsum,
+CASE WHEN price IS NULL THEN NULL ELSE round(sum(price) {_w()}, 2) END AS price_cumsum,
 CASE WHEN price IS NULL THEN NULL ELSE max(price) {_w()} END AS price_cummax,
 CASE WHEN price IS NULL THEN NULL ELSE min(price) {_w()} END AS price_cummin
 FROM ({NULLS_SQL}) d""",
 )
 def feat_cumulative(spark, sf_dir):
     r = FE.create_cumulative_metrics(_nulls(spark, sf_dir), "price", ORDER)
-    return r.select("o_orderkey", F.round("price_cumsum", 4).alias("price_cumsum"), "price_cummax", "price_cummin")
+    return r.select("o_orderkey", F.round("price_cumsum", 2).alias("price_cumsum"), "price_cummax", "price_cummin")
 
 
 @register(
@@ -124,7 +124,7 @@ def feat_cyclical(spark, sf_dir):
 @register(
     "feat_generate",
     f"""SELECT o_orderkey, price, odate,
-CASE WHEN price IS NULL THEN NULL ELSE round(sum(price) {_w()}, 4) END AS price_cumsum,
+CASE WHEN price IS NULL THEN NULL ELSE round(sum(price) {_w()}, 2) END AS price_cumsum,
 CASE WHEN price IS NULL THEN NULL ELSE max(price) {_w()} END AS price_cummax,
 CASE WHEN price IS NULL THEN NULL ELSE min(price) {_w()} END AS price_cummin,
 CASE WHEN count(price) {_w('', _W3)} = 3 THEN round(avg(price) {_w('', _W3)}, 4) END AS price_rolling_avg_3,
@@ -135,6 +135,6 @@ FROM ({NULLS_SQL}) d""",
 def feat_generate(spark, sf_dir):
     d = orders_nulls(spark, sf_dir).select("o_orderkey", "price", "odate")
     out, _ = FE.generate_features(d, ["price"], ["odate"], order_by=ORDER)
-    return out.withColumn("price_cumsum", F.round("price_cumsum", 4)).withColumn(
+    return out.withColumn("price_cumsum", F.round("price_cumsum", 2)).withColumn(
         "price_rolling_avg_3", F.round("price_rolling_avg_3", 4)
     )
