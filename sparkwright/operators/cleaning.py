@@ -101,15 +101,25 @@ def handle_missing_values(
         return df.na.fill(fill_values) if fill_values else df
     if strategy != "auto":
         raise ValueError(f"unknown strategy {strategy!r}")
-    nulls = null_counts(df)
+    # one pass: null count of every column, and n / min / max of numeric ones
+    types = {f.name: f.dataType for f in df.schema.fields}
+    numeric = [c for c in df.columns if isinstance(types[c], NUMERIC_TYPES)]
+    row = df.select(
+        F.count(F.lit(1)).alias("__rows"),
+        *[F.sum(q(c).isNull().cast("long")).alias(f"z{i}") for i, c in enumerate(df.columns)],
+        *[F.min(q(c).cast("double")).alias(f"lo{i}") for i, c in enumerate(df.columns) if c in numeric],
+        *[F.max(q(c).cast("double")).alias(f"hi{i}") for i, c in enumerate(df.columns) if c in numeric],
+    ).first()
+    idx = {c: i for i, c in enumerate(df.columns)}
+    nulls = {c: int(row[f"z{i}"] or 0) for c, i in idx.items()}
     todo = [c for c, n in nulls.items() if n > 0]
     if not todo:
         return df
-    types = {f.name: f.dataType for f in df.schema.fields}
-    num = [c for c in todo if isinstance(types[c], NUMERIC_TYPES)]
+    num = [c for c in todo if c in numeric]
     dates = [c for c in todo if isinstance(types[c], DATE_TYPES)]
     other = [c for c in todo if c not in num and c not in dates]
-    medians = column_quantiles(df, num, [0.5]) if num else {}
+    stats = {(c,): (row["__rows"] - nulls[c], row[f"lo{idx[c]}"], row[f"hi{idx[c]}"]) for c in num}
+    medians = column_quantiles(df, num, [0.5], stats=stats) if num else {}
     modes = column_modes(df, other)
     exprs = {}
     for c in num:
@@ -128,7 +138,7 @@ def handle_missing_values(
         if not order_by:
             raise ValueError("forward fill of date columns needs order_by")
         specs = {c: ("last", c) for c in dates}
-        out = prefix.running(out, specs, order_by).select(*df.columns)
+        out = prefix.running(out, specs, order_by, n=row["__rows"]).select(*df.columns)
     return out
 
 
@@ -222,8 +232,13 @@ def autoparse_dates(df: DataFrame, columns: list[str] | None = None) -> DataFram
     return df.select(*[(parse_timestamp(c) if c in ok else q(c)).alias(c) for c in df.columns])
 
 
-def auto_clean(df: DataFrame, order_by: list[str] | None = None) -> tuple[DataFrame, list[str]]:
-    """Names, duplicates, empty rows, auto fill, date parsing."""
+def auto_clean(df: DataFrame, order_by: list[str] | None = None, materialize: bool = True) -> tuple[DataFrame, list[str]]:
+    """Names, duplicates, empty rows, auto fill, date parsing.
+
+    The fill and parse steps take several statistics passes over the
+    de-duplicated rows; with ``materialize`` those rows are written once by a
+    reliable ``checkpoint()`` (shared checkpoint folder) instead of repeating
+    the de-duplication shuffle for every pass."""
     steps = []
     df = clean_column_names(df)
     steps.append("Standardized column names")
@@ -231,6 +246,11 @@ def auto_clean(df: DataFrame, order_by: list[str] | None = None) -> tuple[DataFr
     steps.append("Removed duplicates")
     df = remove_empty_rows(df)
     steps.append("Removed empty rows")
+    if materialize:
+        from ..session import ensure_checkpoint_dir
+
+        ensure_checkpoint_dir(df.sparkSession)
+        df = df.checkpoint(eager=True)
     if order_by:
         order_by = [clean_name(c) for c in order_by]
     df = handle_missing_values(df, "auto", order_by=order_by)

@@ -73,12 +73,15 @@ def add_buckets(
     order_by,
     rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
     max_buckets: int = MAX_BUCKETS,
+    n: int | None = None,
 ) -> DataFrame:
     """Append ``__bkt``: range bucket of the first order column (small jobs:
-    one count, one bounds query). Numeric / date keys take approximate
-    quantiles as bounds; text keys take the quantiles of a bounded sample."""
+    one count unless ``n`` is known, one bounds query). Numeric / date keys take
+    approximate quantiles as bounds; text keys take the quantiles of a bounded
+    sample."""
     key = _first_name(order_by)
-    n = df.select(F.count(F.lit(1)).alias("n")).first()["n"]
+    if n is None:
+        n = df.select(F.count(F.lit(1)).alias("n")).first()["n"]
     nb = max(1, min(max_buckets, -(-n // max(1, rows_per_bucket))))
     if nb == 1:
         return df.withColumn(BUCKET, F.lit(0.0))
@@ -98,6 +101,12 @@ def add_buckets(
     return bz.transform(df.withColumn(tmp, kd)).drop(tmp)
 
 
+def _single_bucket(b: DataFrame) -> bool:
+    """True when add_buckets put every row in bucket 0 (a literal column)."""
+    expr = b.select(BUCKET)._jdf.queryExecution().analyzed().toString()
+    return "0.0 AS __bkt" in expr
+
+
 def _spec(group_by: list[str], order_by) -> Window:
     return Window.partitionBy(*group_by, BUCKET).orderBy(*_order_cols(order_by))
 
@@ -118,6 +127,7 @@ def running(
     """
     group_by = list(group_by or [])
     b = add_buckets(df, order_by, **bucket_kw)
+    single = _single_bucket(b)
     w = _spec(group_by, order_by).rowsBetween(Window.unboundedPreceding, 0)
     order_struct = F.struct(*_order_cols(order_by))
 
@@ -142,6 +152,15 @@ def running(
         else:
             raise ValueError(f"unknown running function {fn!r}")
 
+    if single:  # one bucket: the local window is the whole answer
+        final = []
+        for name, (fn, col) in specs.items():
+            v = local[name]
+            if keep_null_rows and fn != "last":
+                v = F.when(F.col(col).isNotNull(), v)
+            final.append(v.alias(name))
+        return b.select(*[F.col(c) for c in df.columns if c not in specs], *final)
+
     per_bucket = b.groupBy(*group_by, BUCKET).agg(*carry_aggs)
     wc = Window.partitionBy(*group_by).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     carry_cols = []
@@ -197,6 +216,9 @@ def sliding(
     group_by = list(group_by or [])
     b = add_buckets(df, order_by, **bucket_kw)
     w = _spec(group_by, order_by)
+    if _single_bucket(b):  # no bucket edges to patch
+        exprs = builder(w)
+        return b.select(*[c for c in df.columns if c not in exprs], *[e.alias(n) for n, e in exprs.items()])
     local = b.withColumn(POS, F.row_number().over(w)).withColumn(
         CNT, F.count(F.lit(1)).over(Window.partitionBy(*group_by, BUCKET))
     )

@@ -12,7 +12,7 @@ from .cleaning import q
 from .quality import missing_by_column
 from .quantiles import column_quantiles
 from .topk import top_k_per_group
-from .transform import rank_average
+from .transform import average_ranks
 
 PROFILE_PERCENTILES = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
 PCT_NAMES = ["p1", "p5", "p25", "p50", "p75", "p95", "p99"]
@@ -101,8 +101,7 @@ def correlation_long(df: DataFrame, method: str = "pearson", columns: list[str]
         return spark.createDataFrame([], schema)
     base = df.select(*[q(c).cast("double").alias(c) for c in cols])
     if method == "spearman":
-        for c in cols:
-            base = rank_average(base, c, name="__r_" + c, ascending=True, **kw)
+        base = average_ranks(base, cols, ascending=True, names={c: "__r_" + c for c in cols}, **kw)
         base = base.select(*[F.col("__r_" + c).alias(c) for c in cols])
     elif method != "pearson":
         raise ValueError("method must be pearson or spearman")

@@ -49,8 +49,10 @@ def exact_quantiles(
     probs: list[float],
     group_by: list[str] | None = None,
     buckets: int = 2048,
-    collect_limit: int = 20000,
+    collect_limit: int = 200000,
+    total_collect_limit: int = 2000000,
     max_targets: int = 200000,
+    stats: dict[tuple, tuple] | None = None,
 ) -> dict[tuple, list[float | None]]:
     """Exact quantiles for each (group..., column).
 
@@ -65,9 +67,15 @@ def exact_quantiles(
     vals = _long_values(df, columns, group_by)
     keys = group_by + [_KEY]
 
-    base = vals.groupBy(*keys).agg(
-        F.count("__x").alias("n"), F.min("__x").alias("mn"), F.max("__x").alias("mx")
-    ).collect()
+    if stats is not None:  # (group..., column) -> (n, min, max) already known
+        base = [dict(zip(keys + ["n", "mn", "mx"], (*k, *v))) for k, v in stats.items() if v[0]]
+    else:
+        base = [
+            r.asDict()
+            for r in vals.groupBy(*keys)
+            .agg(F.count("__x").alias("n"), F.min("__x").alias("mn"), F.max("__x").alias("mx"))
+            .collect()
+        ]
     if len(base) * len(probs) * 2 > max_targets:
         raise ValueError(f"too many quantile targets ({len(base)} series); aggregate first")
 
@@ -102,6 +110,13 @@ def exact_quantiles(
             T.StructField("__iv", T.LongType()),
         ]
     )
+    # series small enough to fetch whole (a constant bound) skip the histogram passes
+    n_of = {tuple(row[k] for k in keys): row["n"] for row in base}
+    direct = _bounded([((skey, r), (skey, state[(skey, r)][0], state[(skey, r)][1]), n_of[skey]) for (skey, r) in state
+                       if n_of[skey] <= collect_limit], total_collect_limit)
+    if direct:
+        _collect_exact(spark, vals, keys, iv_schema, state, direct, found)
+
     passes = 0
     while state:
         passes += 1
@@ -147,28 +162,14 @@ def exact_quantiles(
                         state[(skey, r)] = [lo, hi, cum]
                         counts[(skey, lo, hi)] = c
                         if c <= collect_limit:
-                            to_collect.append((skey, r))
+                            to_collect.append(((skey, r), (skey, lo, hi), c))
                     break
                 cum += c
             else:  # pragma: no cover - rank beyond data means bad counts
                 raise RuntimeError("quantile refinement lost its rank")
+        to_collect = _bounded(to_collect, total_collect_limit)
         if to_collect:
-            civs: dict[tuple, int] = {}
-            for skey, r in to_collect:
-                a, b, _ = state[(skey, r)]
-                civs.setdefault((skey, a, b), len(civs))
-            c_df = spark.createDataFrame([(*k[0], k[1], k[2], i) for k, i in civs.items()], iv_schema)
-            got = (
-                vals.join(F.broadcast(c_df), on=keys)
-                .where((F.col("__x") >= F.col("__a")) & (F.col("__x") <= F.col("__b")))
-                .groupBy("__iv")
-                .agg(F.sort_array(F.collect_list("__x")).alias("xs"))
-                .collect()
-            )
-            xs_by = {g["__iv"]: g["xs"] for g in got}
-            for skey, r in to_collect:
-                a, b, below = state.pop((skey, r))
-                found[(skey, r)] = xs_by[civs[(skey, a, b)]][r - below]
+            _collect_exact(spark, vals, keys, iv_schema, state, to_collect, found)
         if passes > 64:  # pragma: no cover - would need pathological ranges
             raise RuntimeError("quantile refinement did not converge")
 
@@ -184,6 +185,41 @@ def exact_quantiles(
     return result
 
 
+def _bounded(cands: list[tuple], limit: int) -> list[tuple]:
+    """Targets whose distinct intervals fit, smallest first, in ``limit`` rows in total."""
+    size: dict[tuple, int] = {}
+    for _, iv, n in cands:
+        size[iv] = n
+    keep, total = set(), 0
+    for iv, n in sorted(size.items(), key=lambda kv: kv[1]):
+        if total + n > limit:
+            break
+        keep.add(iv)
+        total += n
+    return [t for t, iv, _ in cands if iv in keep]
+
+
+def _collect_exact(spark, vals, keys, iv_schema, state, targets, found) -> None:
+    """Fetch the values inside each target's interval (at most collect_limit
+    rows per interval) and pick the ranks directly."""
+    civs: dict[tuple, int] = {}
+    for skey, r in targets:
+        a, b, _ = state[(skey, r)]
+        civs.setdefault((skey, a, b), len(civs))
+    c_df = spark.createDataFrame([(*k[0], k[1], k[2], i) for k, i in civs.items()], iv_schema)
+    got = (
+        vals.join(F.broadcast(c_df), on=keys)
+        .where((F.col("__x") >= F.col("__a")) & (F.col("__x") <= F.col("__b")))
+        .groupBy("__iv")
+        .agg(F.sort_array(F.collect_list("__x")).alias("xs"))
+        .collect()
+    )
+    xs_by = {g["__iv"]: g["xs"] for g in got}
+    for skey, r in targets:
+        a, b, below = state.pop((skey, r))
+        found[(skey, r)] = xs_by[civs[(skey, a, b)]][r - below]
+
+
 def column_quantiles(df: DataFrame, columns: list[str], probs: list[float], **kw) -> dict[str, list[float | None]]:
     """Ungrouped convenience: ``{column: [q(p)...]}``."""
     res = exact_quantiles(df, columns, probs, **kw)

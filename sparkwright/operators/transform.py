@@ -13,6 +13,7 @@ from ..functions.text import strip_ws
 from . import prefix
 from .cleaning import parse_timestamp, q
 from .quantiles import exact_quantiles
+from ..session import ensure_checkpoint_dir
 
 
 def normalize_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -216,24 +217,37 @@ def sort_values(df: DataFrame, by: list[str], ascending: bool = True) -> DataFra
     return df.orderBy(*[(q(b).asc_nulls_last() if ascending else q(b).desc_nulls_last()) for b in by])
 
 
-def rank_average(df: DataFrame, column: str, name: str | None = None, ascending: bool = False, **kw) -> DataFrame:
-    """Pandas ``rank(ascending=False)`` (average for ties, null stays null).
-
-    Distributed: count per distinct value, running count over values (two-phase
-    prefix), joined back on the value."""
-    name = name or f"{column}_rank"
-    counts = df.where(q(column).isNotNull()).groupBy(q(column).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
-    counts = counts.withColumn("__o", F.col("__v") if ascending else -F.col("__v").cast("double"))
-    cum = prefix.running(counts, {"__cum": ("sum", "__c")}, ["__o"], **kw)
-    ranks = cum.select("__v", (F.col("__cum") - F.col("__c") + (F.col("__c") + 1) / 2.0).alias(name))
-    out = df.join(ranks, q(column) == F.col("__v"), "left").drop("__v")
+def average_ranks(
+    df: DataFrame, columns: list[str], ascending: bool = False, names: dict[str, str] | None = None, **kw
+) -> DataFrame:
+    """Pandas ``rank(ascending=...)`` (ties share their mean rank, null stays
+    null) for several columns in one pass: count per (column, value), a running
+    count per column along the values (two-phase prefix, no single-partition
+    window), then one join back per column. Values are compared as doubles."""
+    names = names or {c: f"{c}_rank" for c in columns}
+    long = df.select(
+        F.explode(F.array(*[F.struct(F.lit(c).alias("c"), q(c).cast("double").alias("v")) for c in columns])).alias("p")
+    ).select(F.col("p.c").alias("__c"), F.col("p.v").alias("__v")).where(F.col("__v").isNotNull())
+    counts = long.groupBy("__c", "__v").agg(F.count(F.lit(1)).alias("__n"))
+    counts = counts.withColumn("__o", F.col("__v") if ascending else -F.col("__v"))
+    # the count table feeds several passes (bounds, windows, carries): write it once
+    ensure_checkpoint_dir(df.sparkSession)
+    counts = counts.checkpoint(eager=True)
+    cum = prefix.running(counts, {"__cum": ("sum", "__n")}, ["__o"], group_by=["__c"], **kw)
+    ranks = cum.select("__c", "__v", (F.col("__cum") - F.col("__n") + (F.col("__n") + 1) / 2.0).alias("__r"))
+    out = df
+    for c in columns:
+        r = ranks.where(F.col("__c") == c).select(F.col("__v").alias("__k"), F.col("__r").alias(names[c]))
+        out = out.join(r, q(c).cast("double") == F.col("__k"), "left").drop("__k")
     return out
 
 
+def rank_average(df: DataFrame, column: str, name: str | None = None, ascending: bool = False, **kw) -> DataFrame:
+    return average_ranks(df, [column], ascending, {column: name or f"{column}_rank"}, **kw)
+
+
 def rank_columns(df: DataFrame, columns: list[str], **kw) -> DataFrame:
-    for c in columns:
-        df = rank_average(df, c, **kw)
-    return df
+    return average_ranks(df, columns, **kw)
 
 
 def equal_width_edges(df: DataFrame, column: str, bins: int) -> tuple[float, float, float]:
