@@ -6,7 +6,8 @@ those classes onto Spark types.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -47,3 +48,19 @@ def is_numeric(df: DataFrame, name: str, include_bool: bool = False) -> bool:
 def dtype_name(df: DataFrame, name: str) -> str:
     """Spark SQL type name of a column (``bigint``, ``double``, ``string`` ...)."""
     return df.schema[name].dataType.simpleString()
+
+
+def is_missing(df: DataFrame, name: str) -> Column:
+    """pandas ``isnull``: null, and NaN in float columns."""
+    c = F.col(f"`{name}`")
+    if isinstance(df.schema[name].dataType, FLOAT_TYPES):
+        return c.isNull() | F.isnan(c)
+    return c.isNull()
+
+
+def value_or_null(df: DataFrame, name: str) -> Column:
+    """The column with NaN read as missing (null)."""
+    c = F.col(f"`{name}`")
+    if isinstance(df.schema[name].dataType, FLOAT_TYPES):
+        return F.when(~F.isnan(c), c)
+    return c

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..columns import DATE_TYPES, NUMERIC_TYPES, categorical_columns, date_columns, numeric_columns
+from ..columns import DATE_TYPES, NUMERIC_TYPES, categorical_columns, date_columns, is_missing, numeric_columns, value_or_null
 from ..functions.text import strip_ws
 from . import prefix
 from .quantiles import column_quantiles
@@ -53,7 +53,7 @@ def null_counts(df: DataFrame, columns: list[str] | None = None) -> dict[str, in
     cols = columns or df.columns
     if not cols:
         return {}
-    row = df.select(*[F.sum(q(c).isNull().cast("long")).alias(c) for c in cols]).first()
+    row = df.select(*[F.sum(is_missing(df, c).cast("long")).alias(c) for c in cols]).first()
     return {c: int(row[c] or 0) for c in cols}
 
 
@@ -106,7 +106,7 @@ def handle_missing_values(
     numeric = [c for c in df.columns if isinstance(types[c], NUMERIC_TYPES)]
     row = df.select(
         F.count(F.lit(1)).alias("__rows"),
-        *[F.sum(q(c).isNull().cast("long")).alias(f"z{i}") for i, c in enumerate(df.columns)],
+        *[F.sum(is_missing(df, c).cast("long")).alias(f"z{i}") for i, c in enumerate(df.columns)],
         *[F.min(q(c).cast("double")).alias(f"lo{i}") for i, c in enumerate(df.columns) if c in numeric],
         *[F.max(q(c).cast("double")).alias(f"hi{i}") for i, c in enumerate(df.columns) if c in numeric],
     ).first()
@@ -126,7 +126,7 @@ def handle_missing_values(
         m = medians[c][0]
         if m is not None:
             # pandas holds an integer column with gaps as float64
-            exprs[c] = F.coalesce(q(c).cast("double"), F.lit(m))
+            exprs[c] = F.coalesce(value_or_null(df, c).cast("double"), F.lit(m))
     for c in other:
         v = modes.get(c)
         if v is None:

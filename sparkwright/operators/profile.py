@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..columns import categorical_columns, numeric_columns
+from ..columns import categorical_columns, numeric_columns, value_or_null
 from ..functions.stats import sample_kurtosis, sample_skewness
 from .cleaning import q
 from .quality import missing_by_column
@@ -33,7 +33,7 @@ def _moments(df: DataFrame, cols: list[str]) -> dict[str, dict]:
         chunk = cols[start : start + AGG_CHUNK]
         exprs = [F.count(F.lit(1)).alias("__n")]
         for i, c in enumerate(chunk):
-            x = q(c).cast("double")
+            x = value_or_null(df, c).cast("double")
             exprs += [
                 F.count(x).alias(f"n{i}"),
                 F.avg(x).alias(f"m{i}"),

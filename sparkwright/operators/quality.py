@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..columns import numeric_columns
+from ..columns import is_missing, numeric_columns
 from ..functions.stats import pct
 from .cleaning import q
 from .quantiles import column_quantiles
@@ -34,7 +34,7 @@ def missing_by_column(df: DataFrame) -> DataFrame:
     if not df.columns:
         return df.sparkSession.createDataFrame([], "column string, missing_count long")
     counts = df.select(
-        *[F.sum(q(c).isNull().cast("long")).alias(f"c{i}") for i, c in enumerate(df.columns)],
+        *[F.sum(is_missing(df, c).cast("long")).alias(f"c{i}") for i, c in enumerate(df.columns)],
     )
     pairs = [F.struct(F.lit(c).alias("column"), F.coalesce(F.col(f"c{i}"), F.lit(0)).alias("missing_count")) for i, c in enumerate(df.columns)]
     return counts.select(F.explode(F.array(*pairs)).alias("p")).select("p.column", "p.missing_count")
