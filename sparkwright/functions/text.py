@@ -58,10 +58,14 @@ def strip_code_blocks(text: str | Column) -> Column:
     return strip_ws(t)
 
 
+# ASCII whitespace (the \s class of Java regex and RE2)
+WHITESPACE = " \t\n\x0b\x0c\r"
+
+
 def strip_ws(c: str | Column) -> Column:
-    """Python ``str.strip()``: all leading / trailing whitespace, not only blanks."""
+    """``str.strip()`` on ASCII whitespace: tabs and newlines too, not only blanks."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.trim(c, F.lit(WHITESPACE))
 
 
 def truncate(c: str | Column, n: int = 200) -> Column:

@@ -25,6 +25,19 @@ FIGURE_PATTERN = (
     r"(crores?|lakhs?|millions?|billions?|mn|bn|cr)?"
 )
 SCANNED_CHARS = 50  # pages with fewer characters count as image-only / need OCR
+# Characters that can occur inside a figure match (the pattern's classes and
+# literals); every other character splits a page into independent segments.
+FIGURE_CHARS = r"A-Za-z0-9\s&/'\-:.,₹$"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin the rows over all cores before CPU-heavy per-row text work
+    when the input has fewer partitions than cores (a few large files). On a
+    cluster reading many files this is a no-op: no shuffle is added."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores * 2)
+    return df
 
 
 def page_text(df: DataFrame, doc: str, page: str, text: str) -> DataFrame:
@@ -60,7 +73,7 @@ def text_with_fallback(spine: DataFrame, embedded: DataFrame, ocr: DataFrame, th
 
 def page_lines(pages: DataFrame) -> DataFrame:
     """Stripped non-blank lines with their position and heading flag."""
-    lines = pages.select("document", "page", F.posexplode(F.split(F.col("text"), "\n")).alias("pos", "raw"))
+    lines = spread(pages).select("document", "page", F.posexplode(F.split(F.col("text"), "\n")).alias("pos", "raw"))
     lines = lines.select("document", "page", "pos", strip_ws(F.col("raw")).alias("line")).where(F.col("line") != "")
     is_head = F.col("line").rlike(HEADING_PATTERN) & (F.length("line") < HEADING_MAX_LEN)
     return lines.withColumn("is_heading", is_head)
@@ -93,14 +106,22 @@ def figures(pages: DataFrame) -> DataFrame:
     """(document, page, label, value, unit) from the figure pattern; values
     without a number, zero values and labels under 3 characters are skipped;
     (label, value) repeats keep the first occurrence per document."""
-    # A usable figure needs a digit, so pages without one are skipped. Whole
-    # matches are found in one pass over the text; the groups are then read
-    # from each (short) match -- the pattern has no anchors or look-around, so
-    # re-matching a match from its start yields the same groups.
-    cand = pages.where(F.col("text").rlike("[0-9]"))
-    m = cand.select("document", "page", F.posexplode(F.regexp_extract_all("text", F.lit(FIGURE_PATTERN), 0)).alias("pos", "mt"))
+    # A usable figure needs a digit, and no match can contain a character
+    # outside FIGURE_CHARS, so each page is cut at those characters into
+    # segments that are matched independently (the same matches as a scan of
+    # the whole page), and only segments with a digit are scanned. Whole
+    # matches are found in one pass; the groups are then read from each short
+    # match -- the pattern has no anchors or look-around, so re-matching a
+    # match from its start yields the same groups.
+    cand = spread(pages.where(F.col("text").rlike("[0-9]")))
+    segs = cand.select(
+        "document", "page", F.posexplode(F.split("text", f"[^{FIGURE_CHARS}]+")).alias("seg", "s")
+    ).where(F.col("s").rlike("[0-9]"))
+    m = segs.select(
+        "document", "page", "seg", F.posexplode(F.regexp_extract_all("s", F.lit(FIGURE_PATTERN), 0)).alias("pos", "mt")
+    )
     x = m.select(
-        "document", "page", "pos",
+        "document", "page", F.struct("seg", "pos").alias("pos"),
         strip_ws(F.regexp_extract("mt", FIGURE_PATTERN, 1)).alias("label"),
         F.regexp_replace(F.regexp_extract("mt", FIGURE_PATTERN, 2), ",", "").try_cast("double").alias("value"),
         F.lower(F.regexp_extract("mt", FIGURE_PATTERN, 3)).alias("unit"),
