@@ -93,18 +93,23 @@ def correlation_long(df: DataFrame, method: str = "pearson", columns: list[str]
     """P02 as long form (col1, col2, corr), full matrix including the diagonal.
 
     Pearson: one aggregate of ``corr`` over all pairs (pairwise complete).
-    Spearman: Pearson over average ranks (distributed ranks, see T10)."""
+    Spearman: Pearson over average ranks (distributed ranks, see T10).
+    Kendall: exact tau-b per pair (see :mod:`kendall`)."""
     cols = columns or numeric_columns(df)
     spark = df.sparkSession
     schema = "col1 string, col2 string, corr double"
     if len(cols) < 2:
         return spark.createDataFrame([], schema)
+    if method == "kendall":
+        from .kendall import kendall_long
+
+        return kendall_long(df, cols, **kw)
     base = df.select(*[q(c).cast("double").alias(c) for c in cols])
     if method == "spearman":
         base = average_ranks(base, cols, ascending=True, names={c: "__r_" + c for c in cols}, **kw)
         base = base.select(*[F.col("__r_" + c).alias(c) for c in cols])
     elif method != "pearson":
-        raise ValueError("method must be pearson or spearman")
+        raise ValueError("method must be pearson, spearman or kendall")
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
     vals = {}
     for start in range(0, len(pairs), AGG_CHUNK):

@@ -63,3 +63,30 @@ def stage_path(spark: SparkSession, name: str) -> str:
     """Folder under the shared checkpoint dir for a materialised stage table."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/stages/{name}"
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``sparkwright`` importable on executors (for the few operators that
+    run Python in tasks): zip the package once and add it with ``addPyFile``,
+    which Spark distributes to every executor."""
+    import os
+    import zipfile
+
+    sc = spark.sparkContext
+    if id(sc) in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    fd, path = tempfile.mkstemp(prefix="sparkwright-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w") as z:
+        for d, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(id(sc))

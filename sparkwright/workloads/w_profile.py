@@ -240,3 +240,40 @@ SELECT "column", "unique", value, count, rank FROM (
 @register("prof_categorical_context", _catctx_sql())
 def prof_categorical_context(spark, sf_dir):
     return P.categorical_context(table(spark, sf_dir, "orders"))
+
+
+_KENDALL_COLS = ["o_totalprice", "o_custkey", "o_orderkey"]
+
+
+def _kendall_sql() -> str:
+    parts = []
+    for a in _KENDALL_COLS:
+        for b in _KENDALL_COLS:
+            if a == b:
+                parts.append(f"SELECT '{a}' AS col1, '{b}' AS col2, 1.0 AS corr")
+                continue
+            parts.append(
+                f"""SELECT '{a}' AS col1, '{b}' AS col2, round((2 * nc - (n * (n - 1) / 2 - n1 - n2 + n3))
+       / sqrt((n * (n - 1) / 2 - n1) * (n * (n - 1) / 2 - n2)), 9) AS corr
+FROM (SELECT sum(w) AS n, sum(w * (w - 1) / 2) AS n3 FROM p_{a}_{b}) t,
+     (SELECT sum(c * (c - 1) / 2) AS n1 FROM (SELECT sum(w) AS c FROM p_{a}_{b} GROUP BY x) u) tx,
+     (SELECT sum(c * (c - 1) / 2) AS n2 FROM (SELECT sum(w) AS c FROM p_{a}_{b} GROUP BY y) v) ty,
+     (SELECT sum(l.w * r.w) AS nc FROM p_{a}_{b} l JOIN p_{a}_{b} r ON l.x < r.x AND l.y < r.y) cc"""
+            )
+    ctes = ", ".join(
+        f"p_{a}_{b} AS (SELECT CAST({a} AS DOUBLE) AS x, CAST({b} AS DOUBLE) AS y, count(*) AS w FROM orders GROUP BY 1, 2)"
+        for a in _KENDALL_COLS
+        for b in _KENDALL_COLS
+        if a != b
+    )
+    return f"WITH {ctes} " + " UNION ALL ".join(parts)
+
+
+@register("prof_corr_kendall", _kendall_sql())
+def prof_corr_kendall(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(*_KENDALL_COLS)
+    return _r9(P.correlation_long(o, "kendall"))
+
+
+def _r9(df):
+    return df.withColumn("corr", F.round("corr", 9))
