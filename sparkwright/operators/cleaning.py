@@ -67,15 +67,9 @@ def column_modes(df: DataFrame, columns: list[str]) -> dict[str, object]:
     long = df.select(
         F.explode(F.array(*[F.struct(F.lit(c).alias("c"), q(c).cast("string").alias("v")) for c in columns])).alias("p")
     ).select("p.c", "p.v").where(F.col("v").isNotNull())
-    counts = long.groupBy("c", "v").count()
-    top = counts.groupBy("c").agg(F.max("count").alias("m"))
-    best = (
-        counts.join(F.broadcast(top), "c")
-        .where(F.col("count") == F.col("m"))
-        .groupBy("c")
-        .agg(F.min("v").alias("v"))
-        .collect()
-    )
+    counts = long.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+    # highest count first, then the smallest value: one aggregate, no join
+    best = counts.groupBy("c").agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("v")).collect()
     found = {r["c"]: r["v"] for r in best}
     out = {}
     for c in columns:

@@ -203,11 +203,14 @@ def infer_schema(df: DataFrame, order_by: list[str] | None = None, samples: int
         *[q(o) for o in (order_by or [])],
         F.explode(F.array(*[F.struct(F.lit(c).alias("column"), q(c).cast("string").alias("value")) for c in cols])).alias("p"),
     ).select(*(order_by or []), "p.column", "p.value").where(F.col("value").isNotNull())
-    uniq = long.groupBy("column").agg(F.countDistinct("value").alias("unique_count"))
-    order = [F.col(o) for o in order_by] if order_by else [F.col("value")]
-    if not order_by:
-        long = long.select("column", "value").distinct()
-    smp = top_k_per_group(long, ["column"], order, samples, rank_col="__r")
+    # one distinct (column, value) table feeds both the unique counts and, without
+    # an order key, the samples (the same exchange is reused in the plan)
+    dv = long.select("column", "value").distinct()
+    uniq = dv.groupBy("column").agg(F.count(F.lit(1)).alias("unique_count"))
+    if order_by:
+        smp = top_k_per_group(long, ["column"], [F.col(o) for o in order_by], samples, rank_col="__r")
+    else:
+        smp = top_k_per_group(dv, ["column"], [F.col("value")], samples, rank_col="__r")
     smp = smp.groupBy("column").agg(F.sort_array(F.collect_list(F.struct("__r", "value"))).alias("__s"))
     smp = smp.select("column", F.transform("__s", lambda s: s["value"]).alias("sample_values"))
     stats = df.select(

@@ -186,10 +186,20 @@ def missing_pattern(df: DataFrame, order_by: list[str], rows: int = 50) -> DataF
 
 
 # ------------------------------------------------------ K07-K09 distributions
-def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
+def value_ranges(df: DataFrame, columns: list[str]) -> dict[str, tuple]:
+    """(min, max) of several columns in one aggregate."""
+    if not columns:
+        return {}
+    r = df.select(
+        *[F.min(q(c)).cast("double").alias(f"a{i}") for i, c in enumerate(columns)],
+        *[F.max(q(c)).cast("double").alias(f"b{i}") for i, c in enumerate(columns)],
+    ).first()
+    return {c: (r[f"a{i}"], r[f"b{i}"]) for i, c in enumerate(columns)}
+
+
+def histogram(df: DataFrame, column: str, bins: int = 20, value_range: tuple | None = None) -> DataFrame:
     """Equal-width bins over [min, max], left-closed, the last closed; (bin, lower, upper, count)."""
-    r = df.select(F.min(q(column)).cast("double").alias("a"), F.max(q(column)).cast("double").alias("b")).first()
-    a, b = r["a"], r["b"]
+    a, b = value_range or value_ranges(df, [column])[column]
     if a is None:
         return df.sparkSession.createDataFrame([], "bin int, lower double, upper double, count long")
     w = (b - a) / bins if b > a else 1.0
@@ -204,7 +214,8 @@ def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
 def multi_histogram(df: DataFrame, columns: list[str] | None = None, bins: int = 20) -> DataFrame:
     """Overlaid histograms of up to 4 numeric columns, long form."""
     cols = (columns or numeric_columns(df))[:4]
-    parts = [histogram(df, c, bins).select(F.lit(c).alias("column"), "*") for c in cols]
+    ranges = value_ranges(df, cols)
+    parts = [histogram(df, c, bins, ranges[c]).select(F.lit(c).alias("column"), "*") for c in cols]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -307,10 +318,10 @@ def cat_heatmap(df: DataFrame, c1: str, c2: str, measure: str | None = None) ->
     return out.na.fill(0).orderBy(c1)
 
 
-def donut(df: DataFrame, column: str, max_values: int = 8) -> DataFrame | None:
+def donut(df: DataFrame, column: str, max_values: int = 8, n_values: int | None = None) -> DataFrame | None:
     """Counts and share of total when the column has at most ``max_values`` values."""
     counts = count_by(df, column)
-    if counts.count() > max_values:
+    if (n_values if n_values is not None else counts.count()) > max_values:
         return None
     total = counts.agg(F.sum("count").alias("__t"))
     return counts.crossJoin(F.broadcast(total)).select(q(column), "count", F.round(F.col("count") / F.col("__t") * 100, 2).alias("share"))

@@ -99,9 +99,12 @@ def auto_dashboard(df: DataFrame, order_by=None, dashboard_type: str = "auto") -
         return hr_dashboard(df, cats[0], nums[0], order_by)
     if dashboard_type == "marketing" and cats and nums:
         return marketing_dashboard(df, cats[0], nums[0], nums[1] if len(nums) > 1 else None, order_by)
+    # one aggregate for every histogram range and every donut's distinct count
+    ranges = K.value_ranges(df, nums[:4])
+    nd = df.select(*[F.countDistinct(F.col(f"`{c}`")).alias(c) for c in cats[:3]]).first() if cats else {}
     parts = [long("gauges", K.quality_gauges(df), "gauge", ["value"])]
     for c in nums[:4]:
-        parts.append(long(f"hist_{c}", K.histogram(df, c), "bin", ["count"]))
+        parts.append(long(f"hist_{c}", K.histogram(df, c, value_range=ranges[c]), "bin", ["count"]))
     if nums[:3]:
         parts.append(long("box", K.box_stats(df, nums[:3]), "column", ["q1", "median", "q3", "whisker_low", "whisker_high", "outliers"]))
     for c in cats[:4]:
@@ -118,7 +121,7 @@ def auto_dashboard(df: DataFrame, order_by=None, dashboard_type: str = "auto") -
         parts.append(long("treemap", K.hierarchy(df, cats[0], cats[1], nums[0]).where("level = 2"), cats[0], ["value"], series=cats[1]))
         parts.append(long("sunburst", K.hierarchy(df, cats[0], cats[1]).where("level = 2"), cats[0], ["value"], series=cats[1]))
     for c in cats[:3]:
-        d = K.donut(df, c)
+        d = K.donut(df, c, n_values=nd[c])
         if d is not None:
             parts.append(long(f"donut_{c}", d, c, ["count"]))
     if dates and nums:
