@@ -85,10 +85,16 @@ def handle_missing_values(
     strategy: str = "auto",
     fill_values: dict | None = None,
     order_by: list[str] | None = None,
+    parse_dates: bool = False,
 ) -> DataFrame:
     """C02-C04. ``auto``: numeric -> median, date -> forward fill along
     ``order_by``, other -> mode (or ``"Unknown"``). ``drop``: rows with any null.
-    ``fill``: constants per column."""
+    ``fill``: constants per column.
+
+    ``parse_dates`` also applies C09 afterwards, deciding it in the same
+    statistics pass: filling only adds copies of existing values (or
+    "Unknown" to an all-null column), so which text columns parse completely
+    does not change."""
     if strategy == "drop":
         return df.na.drop(how="any")
     if strategy == "fill":
@@ -98,17 +104,27 @@ def handle_missing_values(
     # one pass: null count of every column, and n / min / max of numeric ones
     types = {f.name: f.dataType for f in df.schema.fields}
     numeric = [c for c in df.columns if isinstance(types[c], NUMERIC_TYPES)]
+    text = [c for c in df.columns if isinstance(types[c], T.StringType)] if parse_dates else []
     row = df.select(
         F.count(F.lit(1)).alias("__rows"),
         *[F.sum(is_missing(df, c).cast("long")).alias(f"z{i}") for i, c in enumerate(df.columns)],
         *[F.min(q(c).cast("double")).alias(f"lo{i}") for i, c in enumerate(df.columns) if c in numeric],
         *[F.max(q(c).cast("double")).alias(f"hi{i}") for i, c in enumerate(df.columns) if c in numeric],
+        *[F.count(q(c)).alias(f"tn{i}") for i, c in enumerate(df.columns) if c in text],
+        *[F.count(parse_timestamp(c)).alias(f"tp{i}") for i, c in enumerate(df.columns) if c in text],
     ).first()
     idx = {c: i for i, c in enumerate(df.columns)}
+    parse_ok = {c for c in text if row[f"tn{idx[c]}"] > 0 and row[f"tn{idx[c]}"] == row[f"tp{idx[c]}"]}
+
+    def parsed(frame: DataFrame) -> DataFrame:
+        if not parse_ok:
+            return frame
+        return frame.select(*[(parse_timestamp(c) if c in parse_ok else q(c)).alias(c) for c in frame.columns])
+
     nulls = {c: int(row[f"z{i}"] or 0) for c, i in idx.items()}
     todo = [c for c, n in nulls.items() if n > 0]
     if not todo:
-        return df
+        return parsed(df)
     num = [c for c in todo if c in numeric]
     dates = [c for c in todo if isinstance(types[c], DATE_TYPES)]
     other = [c for c in todo if c not in num and c not in dates]
@@ -133,7 +149,7 @@ def handle_missing_values(
             raise ValueError("forward fill of date columns needs order_by")
         specs = {c: ("last", c) for c in dates}
         out = prefix.running(out, specs, order_by, n=row["__rows"]).select(*df.columns)
-    return out
+    return parsed(out)
 
 
 def remove_empty_rows(df: DataFrame, how: str = "all") -> DataFrame:
@@ -247,9 +263,9 @@ def auto_clean(df: DataFrame, order_by: list[str] | None = None, materialize: bo
         df = df.checkpoint(eager=True)
     if order_by:
         order_by = [clean_name(c) for c in order_by]
-    df = handle_missing_values(df, "auto", order_by=order_by)
+    # fills and the date-parse decision share one statistics pass
+    df = handle_missing_values(df, "auto", order_by=order_by, parse_dates=True)
     steps.append("Auto-filled missing values")
-    df = autoparse_dates(df)
     steps.append("Parsed date columns")
     return df, steps
 

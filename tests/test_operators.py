@@ -255,3 +255,17 @@ def test_kendall_long_blocked_matches_small(spark):
     for k, v in small.items():
         assert blocked[k] == pytest.approx(v, rel=1e-12)
     assert small[("a", "c")] == pytest.approx(_tau_b_brute(pdf["a"].to_numpy(), pdf["c"].to_numpy()), rel=1e-12)
+
+
+def test_auto_clean_parses_filled_text_dates(spark):
+    import datetime as dt
+
+    df = spark.createDataFrame(
+        [(1, "2024-01-02", "x"), (2, None, "y"), (3, "2024-01-02", None), (3, "2024-01-02", None), (4, "2024-03-01", "n/a")],
+        ["Key", "When", "Label"],
+    )
+    out, steps = C.auto_clean(df, order_by=["Key"])
+    rows = out.orderBy("key").collect()
+    assert dict(out.dtypes)["when"] == "timestamp_ntz" and dict(out.dtypes)["label"] == "string"
+    assert [r.when for r in rows] == [dt.datetime(2024, 1, 2)] * 3 + [dt.datetime(2024, 3, 1)]
+    assert len(rows) == 4 and "Parsed date columns" in steps
