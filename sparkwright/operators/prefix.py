@@ -68,13 +68,18 @@ def _tree(key: Column, bounds: list, lo: int, hi: int) -> Column:
     return F.when(key <= F.lit(bounds[mid]), _tree(key, bounds, lo, mid)).otherwise(_tree(key, bounds, mid + 1, hi))
 
 
-def add_buckets(
+def add_buckets(df: DataFrame, order_by, **kw) -> DataFrame:
+    """Append ``__bkt``: range bucket of the first order column."""
+    return _bucketize(df, order_by, **kw)[0]
+
+
+def _bucketize(
     df: DataFrame,
     order_by,
     rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
     max_buckets: int = MAX_BUCKETS,
     n: int | None = None,
-) -> DataFrame:
+) -> tuple[DataFrame, int]:
     """Append ``__bkt``: range bucket of the first order column (small jobs:
     one count unless ``n`` is known, one bounds query). Numeric / date keys take
     approximate quantiles as bounds; text keys take the quantiles of a bounded
@@ -84,13 +89,13 @@ def add_buckets(
         n = df.select(F.count(F.lit(1)).alias("n")).first()["n"]
     nb = max(1, min(max_buckets, -(-n // max(1, rows_per_bucket))))
     if nb == 1:
-        return df.withColumn(BUCKET, F.lit(0.0))
+        return df.withColumn(BUCKET, F.lit(0.0)), 1
     if isinstance(df.schema[key].dataType, T.StringType):
         nb = min(nb, 1024)
         frac = min(1.0, 32.0 * nb / max(n, 1))
         sample = sorted(r[0] for r in df.select(key).where(F.col(key).isNotNull()).sample(False, frac, seed=17).collect())
         bounds = sorted(set(sample[int(len(sample) * i / nb)] for i in range(1, nb) if sample))
-        return df.withColumn(BUCKET, F.coalesce(_tree(F.col(key), bounds, 0, len(bounds)), F.lit(float(len(bounds) + 1))))
+        return df.withColumn(BUCKET, F.coalesce(_tree(F.col(key), bounds, 0, len(bounds)), F.lit(float(len(bounds) + 1)))), nb
     kd = _as_double(df, key)
     probs = [i / nb for i in range(1, nb)]
     bounds = df.select(F.percentile_approx(kd, probs, max(10000, 4 * nb)).alias("b")).first()["b"]
@@ -98,13 +103,7 @@ def add_buckets(
     splits = [-float("inf")] + splits + [float("inf")]
     tmp = "__bkey"
     bz = Bucketizer(splits=splits, inputCol=tmp, outputCol=BUCKET, handleInvalid="keep")
-    return bz.transform(df.withColumn(tmp, kd)).drop(tmp)
-
-
-def _single_bucket(b: DataFrame) -> bool:
-    """True when add_buckets put every row in bucket 0 (a literal column)."""
-    expr = b.select(BUCKET)._jdf.queryExecution().analyzed().toString()
-    return "0.0 AS __bkt" in expr
+    return bz.transform(df.withColumn(tmp, kd)).drop(tmp), nb
 
 
 def _spec(group_by: list[str], order_by) -> Window:
@@ -126,8 +125,8 @@ def running(
     running value continues past it; ``last`` is a forward fill.
     """
     group_by = list(group_by or [])
-    b = add_buckets(df, order_by, **bucket_kw)
-    single = _single_bucket(b)
+    b, nb = _bucketize(df, order_by, **bucket_kw)
+    single = nb == 1
     w = _spec(group_by, order_by).rowsBetween(Window.unboundedPreceding, 0)
     order_struct = F.struct(*_order_cols(order_by))
 
@@ -214,9 +213,9 @@ def sliding(
     evaluated once per bucket and once over the heads / tails table.
     """
     group_by = list(group_by or [])
-    b = add_buckets(df, order_by, **bucket_kw)
+    b, nb = _bucketize(df, order_by, **bucket_kw)
     w = _spec(group_by, order_by)
-    if _single_bucket(b):  # no bucket edges to patch
+    if nb == 1:  # no bucket edges to patch
         exprs = builder(w)
         return b.select(*[c for c in df.columns if c not in exprs], *[e.alias(n) for n, e in exprs.items()])
     local = b.withColumn(POS, F.row_number().over(w)).withColumn(

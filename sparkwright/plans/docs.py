@@ -149,3 +149,20 @@ def document_summary(pages: DataFrame, secs: DataFrame | None = None, figs: Data
         F.coalesce("figures_found", F.lit(0)).alias("figures_found"),
         "full_text_chars",
     )
+
+
+def ingest_documents(catalog, pages: DataFrame, name: str) -> DataFrame:
+    """Store ``<name>_text``, ``_sections``, ``_figures``, ``_document`` and
+    ``_metadata`` through the catalog (stage tables in the shared folder) and
+    return (table_name, rows) of what was written. Sections, figures and the
+    summary are computed from the stored page table, not from the source."""
+    text = catalog.store(pages, f"{name}_text")
+    secs = catalog.store(sections(text), f"{name}_sections")
+    figs = catalog.store(figures(text), f"{name}_figures")
+    doc = catalog.store(document_summary(text, secs, figs), f"{name}_document")
+    counts = [(t, d.count()) for t, d in [(f"{name}_text", text), (f"{name}_sections", secs), (f"{name}_figures", figs), (f"{name}_document", doc)]]
+    spark = pages.sparkSession
+    meta = spark.createDataFrame([(name, "documents", *[c for _, c in counts])], "table_name string, source_type string, pages long, sections long, figures long, documents long")
+    meta.write.mode("overwrite").parquet(catalog.path(f"{name}_metadata"))
+    counts.append((f"{name}_metadata", 1))
+    return spark.createDataFrame(counts, "table_name string, rows long").select("table_name", F.col("rows"))

@@ -306,3 +306,27 @@ def chat_last_turns(spark, sf_dir):
 def expr_truncate(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", TX.truncate("text", 200).alias("text"))
+
+
+@register(
+    "doc_ingest",
+    _lines_sql()
+    + f""",
+s AS (SELECT *, sum(CAST(is_heading AS INTEGER)) OVER (PARTITION BY document, page ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section_no FROM h),
+sec AS (SELECT document, page, section_no FROM s GROUP BY ALL HAVING count(*) FILTER (WHERE NOT is_heading) > 0),
+fig AS ({_figures_sql()})
+SELECT 'docs_text' AS table_name, count(*) AS rows FROM p
+UNION ALL SELECT 'docs_sections', count(*) FROM sec
+UNION ALL SELECT 'docs_figures', count(*) FROM fig
+UNION ALL SELECT 'docs_document', count(DISTINCT document) FROM p
+UNION ALL SELECT 'docs_metadata', 1
+""",
+)
+def doc_ingest(spark, sf_dir):
+    import uuid
+
+    from ..session import stage_path
+    from ..sources.catalog import Catalog
+
+    cat = Catalog(spark, root=stage_path(spark, f"docs-{uuid.uuid4().hex[:10]}"))
+    return DOC.ingest_documents(cat, _pages(spark, sf_dir), "docs")
