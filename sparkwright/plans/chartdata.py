@@ -228,12 +228,12 @@ def percentile_bar(df: DataFrame, column: str) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "label string, value double")
 
 
-def box_stats(df: DataFrame, columns: list[str], group_by: str | None = None) -> DataFrame:
+def box_stats(df: DataFrame, columns: list[str], group_by: str | None = None, stats: dict | None = None) -> DataFrame:
     """Box / violin statistics: q1, median, q3, whiskers (extreme values within
     1.5 IQR) and outlier count, per column (and group)."""
     groups = [group_by] if group_by else []
     base = df.where(q(group_by).isNotNull()) if group_by else df
-    qs = exact_quantiles(base, columns, [0.25, 0.5, 0.75], group_by=groups)
+    qs = exact_quantiles(base, columns, [0.25, 0.5, 0.75], group_by=groups, stats=stats)
     spark = df.sparkSession
     gtype = df.schema[group_by].dataType.simpleString() if group_by else "string"
     rows = [(*(k[:-1] if groups else ()), k[-1], *v) for k, v in qs.items() if v[0] is not None]

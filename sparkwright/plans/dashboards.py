@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..columns import categorical_columns, date_columns, numeric_columns
 from ..operators.cleaning import q
+from ..operators import prefix
 from . import chartdata as K
 
 
@@ -27,7 +28,7 @@ def long(chart: str, df: DataFrame, x: str, ys: list[str], series: str | None =
         df.select(F.lit(chart).alias("chart"), F.lit(y).alias("series"), q(x).cast("string").alias("x"), q(y).cast("double").alias("y"))
         for y in ys
     ]
-    return reduce(DataFrame.unionByName, parts)
+    return _union(parts)
 
 
 def _kpi_long(df: DataFrame, metrics: list[str], order_by) -> DataFrame:
@@ -36,7 +37,12 @@ def _kpi_long(df: DataFrame, metrics: list[str], order_by) -> DataFrame:
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, [p for p in parts if p is not None])
+    """Union many same-schema parts as a balanced tree: each step is analysed
+    eagerly, so a left-deep chain of n unions costs O(n^2) analysis."""
+    parts = [p for p in parts if p is not None]
+    while len(parts) > 1:
+        parts = [parts[i].unionByName(parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+    return parts[0]
 
 
 def sales_dashboard(df: DataFrame, date: str, sales: str, category: str | None = None, order_by=None) -> DataFrame:
@@ -99,41 +105,120 @@ def auto_dashboard(df: DataFrame, order_by=None, dashboard_type: str = "auto") -
         return hr_dashboard(df, cats[0], nums[0], order_by)
     if dashboard_type == "marketing" and cats and nums:
         return marketing_dashboard(df, cats[0], nums[0], nums[1] if len(nums) > 1 else None, order_by)
-    # one aggregate for every histogram range and every donut's distinct count
-    ranges = K.value_ranges(df, nums[:4])
-    nd = df.select(*[F.countDistinct(F.col(f"`{c}`")).alias(c) for c in cats[:3]]).first() if cats else {}
+    return comprehensive_dashboard(df, nums, cats, dates, order_by)
+
+
+def comprehensive_dashboard(df: DataFrame, nums, cats, dates, order_by=None, bins: int = 20) -> DataFrame:
+    """K29 comprehensive set. Every group-by chart (value counts, sums and means
+    by category, grouped bars, treemap / sunburst leaves, donuts, date lines,
+    histograms, KPIs) comes from ONE ``GROUPING SETS`` aggregate: one scan and
+    one shuffle of the input instead of one per chart. Its result (a row per
+    group) is small and is checkpointed once; charts are filters of it. Box
+    statistics (quantiles) and the quality gauges (distinct rows) need their
+    own passes."""
+    spark = df.sparkSession
+    # one aggregate: histogram ranges, value counts for the box plots, and
+    # every donut's distinct count
+    first = df.select(
+        F.lit(1).alias("__one"),
+        *[F.min(q(c)).cast("double").alias(f"mn{i}") for i, c in enumerate(nums[:4])],
+        *[F.max(q(c)).cast("double").alias(f"mx{i}") for i, c in enumerate(nums[:4])],
+        *[F.count(F.when(~F.isnan(q(c).cast("double")), 1)).alias(f"n{i}") for i, c in enumerate(nums[:4])],
+        *[F.countDistinct(q(c)).alias(f"d{i}") for i, c in enumerate(cats[:3])],
+    ).first()
+    ranges = {c: (first[f"mn{i}"], first[f"mx{i}"]) for i, c in enumerate(nums[:4])}
+    box_stats_in = {(c,): (first[f"n{i}"], first[f"mn{i}"], first[f"mx{i}"]) for i, c in enumerate(nums[:3])}
+    nd = {c: first[f"d{i}"] for i, c in enumerate(cats[:3])}
+    dcol = dates[0] if dates else None
+
+    bin_cols, bin_exprs = {}, []
+    for i, c in enumerate(nums[:4]):
+        a, b = ranges[c]
+        if a is None:
+            continue
+        w = (b - a) / bins if b > a else 1.0
+        x = q(c).cast("double")
+        bin_cols[c] = f"__bin{i}"
+        bin_exprs.append(F.least(F.lit(bins - 1), F.floor((x - F.lit(a)) / F.lit(w))).cast("int").alias(f"__bin{i}"))
+    keys = list(dict.fromkeys(cats[:4] + ([dcol] if dcol else []))) + list(bin_cols.values())
+    sets: dict[str, list[str]] = {"all": []}
+    for c in cats[:4]:
+        sets[f"c:{c}"] = [c]
+    if len(cats) >= 2:
+        sets["pair"] = [cats[0], cats[1]]
+    if dcol:
+        sets["date"] = [dcol]
+    for c, bcol in bin_cols.items():
+        sets[f"b:{c}"] = [bcol]
+    order_struct = F.struct(*[q(o) for o in order_by]) if order_by else None
+    aggs = [F.count(F.lit(1)).alias("__n")]
+    for i, m in enumerate(nums[:4]):
+        aggs += [F.sum(q(m)).alias(f"s{i}"), F.avg(q(m)).alias(f"a{i}"), F.min(q(m)).alias(f"lo{i}"), F.max(q(m)).alias(f"hi{i}")]
+    base = df.select(*[q(c) for c in df.columns], *bin_exprs)
+    unique_sets = {tuple(v): v for v in sets.values()}
+    grouped = base.groupingSets([list(v) for v in unique_sets.values()], *[q(k) for k in keys]).agg(
+        F.grouping_id().alias("__gid"), *aggs
+    )
+    from ..session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    grouped = grouped.checkpoint(eager=True)  # one row per group: small
+
+    def part(name: str) -> DataFrame:
+        cols = sets[name]
+        gid = sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in cols)
+        g = grouped.where(F.col("__gid") == gid)
+        for c in cols:
+            g = g.where(q(c).isNotNull())
+        return g
+
+    idx = {m: i for i, m in enumerate(nums[:4])}
     parts = [long("gauges", K.quality_gauges(df), "gauge", ["value"])]
-    for c in nums[:4]:
-        parts.append(long(f"hist_{c}", K.histogram(df, c, value_range=ranges[c]), "bin", ["count"]))
+    for c, bcol in bin_cols.items():
+        h = part(f"b:{c}").select(F.col(bcol).alias("bin"), F.col("__n").alias("count"))
+        parts.append(long(f"hist_{c}", h, "bin", ["count"]))
     if nums[:3]:
-        parts.append(long("box", K.box_stats(df, nums[:3]), "column", ["q1", "median", "q3", "whisker_low", "whisker_high", "outliers"]))
+        box = K.box_stats(df, nums[:3], stats=box_stats_in)
+        parts.append(long("box", box, "column", ["q1", "median", "q3", "whisker_low", "whisker_high", "outliers"]))
     for c in cats[:4]:
-        parts.append(long(f"bar_{c}", K.value_count_bar(df, c), c, ["count"]))
+        vc = part(f"c:{c}").select(q(c), F.col("__n").alias("count")).orderBy(F.col("count").desc(), q(c)).limit(12)
+        parts.append(long(f"bar_{c}", vc, c, ["count"]))
     if cats and nums:
         cat = cats[0]
         for m in nums[:2]:
-            parts.append(long(f"sum_{m}_by_{cat}", K.sum_by(df, cat, [m], head=12), cat, [m]))
-            avg = df.where(q(cat).isNotNull()).groupBy(q(cat)).agg(F.avg(q(m)).alias(m)).orderBy(cat).limit(12)
-            parts.append(long(f"avg_{m}_by_{cat}", avg, cat, [m]))
+            i = idx[m]
+            sm = part(f"c:{cat}").select(q(cat), F.coalesce(F.col(f"s{i}"), F.lit(0)).alias(m)).orderBy(cat).limit(12)
+            parts.append(long(f"sum_{m}_by_{cat}", sm, cat, [m]))
+            av = part(f"c:{cat}").select(q(cat), F.col(f"a{i}").alias(m)).orderBy(cat).limit(12)
+            parts.append(long(f"avg_{m}_by_{cat}", av, cat, [m]))
     if len(cats) >= 2 and nums:
-        g = K.grouped_bar(df, cats[0], cats[1], nums[0])
-        parts.append(long("grouped_bar", g, cats[0], [nums[0]], series=cats[1]))
-        parts.append(long("treemap", K.hierarchy(df, cats[0], cats[1], nums[0]).where("level = 2"), cats[0], ["value"], series=cats[1]))
-        parts.append(long("sunburst", K.hierarchy(df, cats[0], cats[1]).where("level = 2"), cats[0], ["value"], series=cats[1]))
+        pair = part("pair")
+        s0 = F.coalesce(F.col("s0"), F.lit(0))
+        gb = pair.select(q(cats[0]), q(cats[1]), s0.alias(nums[0])).orderBy(cats[0], cats[1]).limit(30)
+        parts.append(long("grouped_bar", gb, cats[0], [nums[0]], series=cats[1]))
+        parts.append(long("treemap", pair.select(q(cats[0]), q(cats[1]), s0.cast("double").alias("value")), cats[0], ["value"], series=cats[1]))
+        parts.append(long("sunburst", pair.select(q(cats[0]), q(cats[1]), F.col("__n").cast("double").alias("value")), cats[0], ["value"], series=cats[1]))
     for c in cats[:3]:
-        d = K.donut(df, c, n_values=nd[c])
-        if d is not None:
-            parts.append(long(f"donut_{c}", d, c, ["count"]))
-    if dates and nums:
-        dcol = dates[0]
+        if nd[c] <= 8:
+            parts.append(long(f"donut_{c}", part(f"c:{c}").select(q(c), F.col("__n").alias("count")), c, ["count"]))
+    if dcol and nums:
+        ts = part("date").select(q(dcol), *[F.coalesce(F.col(f"s{idx[m]}"), F.lit(0)).alias(m) for m in nums[:4]])
         for m in nums[:3]:
-            parts.append(long(f"line_{m}", K.time_series(df, dcol, m), dcol, [m]))
+            parts.append(long(f"line_{m}", ts.select(dcol, m), dcol, [m]))
         if len(nums) >= 2:
-            parts.append(long("multi_line", K.time_series(df, dcol, nums[:4]), dcol, nums[:4]))
+            parts.append(long("multi_line", ts, dcol, nums[:4]))
+        n_dates = part("date").count()  # reads the small checkpointed table
         for m in nums[:2]:
-            parts.append(long(f"cumulative_{m}", K.cumulative_line(df, dcol, m), dcol, [f"{m}_cumulative"]))
-    if nums:
-        parts.append(_kpi_long(df, nums[:4], order_by))
+            cum = prefix.running(ts.select(dcol, m), {f"{m}_cumulative": ("sum", m)}, [dcol], keep_null_rows=False, n=n_dates)
+            parts.append(long(f"cumulative_{m}", cum, dcol, [f"{m}_cumulative"]))
+    if nums:  # KPI cards from the grand-total row of the same pass
+        tot = part("all")
+        kpi = [
+            tot.select(F.lit(m).alias("metric"), F.col(f"s{idx[m]}").cast("double").alias("sum"), F.col(f"a{idx[m]}").alias("mean"),
+                       F.col(f"lo{idx[m]}").cast("double").alias("min"), F.col(f"hi{idx[m]}").cast("double").alias("max"))
+            for m in nums[:4]
+        ]
+        parts.append(long("kpi", reduce(DataFrame.unionByName, kpi), "metric", ["sum", "mean", "min", "max"]))
     return _union(parts)
 
 
