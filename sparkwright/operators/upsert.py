@@ -35,7 +35,9 @@ def upsert_by_key(
     j = j.join(new_ids, F.col("c_" + key) == F.col("__nk"), "left")
     is_new = F.col("b_" + key).isNull()
     changed = F.col("c_" + key).isNotNull()
-    ts = F.lit(now).cast(base.schema[updated_col].dataType)
+    ts_type = base.schema[updated_col].dataType
+    # a wall-clock literal for NTZ columns, independent of the session time zone
+    ts = F.lit(now.isoformat(sep=" ")).cast(ts_type) if ts_type.typeName() == "timestamp_ntz" else F.lit(now).cast(ts_type)
     out = []
     for col in base.columns:
         if col == id_col:

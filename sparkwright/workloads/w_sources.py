@@ -46,7 +46,8 @@ def src_json_roundtrip(spark, sf_dir):
 )
 def src_parquet_scan(spark, sf_dir):
     l = R.read_parquet(spark, f"{sf_dir}/lineitem.parquet")
-    return l.where((F.col("l_shipdate") >= F.lit(dt.datetime(1996, 1, 1))) & (F.col("l_discount") > 0.05)).select(
+    since = F.lit("1996-01-01 00:00:00").cast("timestamp_ntz")  # wall-clock literal, independent of the session zone
+    return l.where((F.col("l_shipdate") >= since) & (F.col("l_discount") > 0.05)).select(
         "l_orderkey", "l_extendedprice", "l_discount"
     )
 
@@ -146,7 +147,8 @@ def _store_base(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     return c.select(
         F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("payload"),
-        F.col("c_mktsegment").alias("kind"), F.lit(_T0).alias("created_at"), F.lit(_T0).alias("updated_at"),
+        F.col("c_mktsegment").alias("kind"),
+        F.lit(str(_T0)).cast("timestamp_ntz").alias("created_at"), F.lit(str(_T0)).cast("timestamp_ntz").alias("updated_at"),
     )
 
 
