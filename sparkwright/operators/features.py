@@ -45,6 +45,8 @@ def create_pct_change(df: DataFrame, column: str, periods: int = 1, order_by=Non
     groups = _groups(group_by)
     name = f"{column}_pct_change_{periods}"
     ff = "__ff_" + column
+    if "n" not in kw:  # one row count serves both ordered passes
+        kw = dict(kw, n=df.count())
     filled = prefix.running(df, {ff: ("last", column)}, order_by, groups, **kw)
     shifted = prefix.lag(filled, ff, periods, order_by, groups, name="__prev", **kw)
     pct = (F.try_divide(F.col(ff), F.nullif(F.col("__prev"), F.lit(0.0))) - 1) * 100
@@ -92,6 +94,8 @@ def generate_features(
     if nums:
         if order_by is None:
             raise ValueError("numeric features need order_by")
+        if "n" not in kw:  # one row count serves both ordered passes
+            kw = dict(kw, n=df.count())
         specs = {}
         for c in nums:
             specs[f"{c}_cumsum"] = ("sum", c)

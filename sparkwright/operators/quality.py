@@ -52,23 +52,23 @@ def check_missing_values(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def check_outliers_zscore(df: DataFrame, threshold: float = 3.0, columns: list[str] | None = None) -> DataFrame:
     """Per numeric column, rows with |x - mean| / std > threshold (sample std);
-    only columns with at least one. Moments are one job, counts one more."""
+    only columns with at least one. Lazy: moments (one row) and counts run in
+    the same query when the result is used."""
     cols = columns or numeric_columns(df)
     schema = "column string, count long, percentage double"
     if not cols:
         return df.sparkSession.createDataFrame([], schema)
+    # lazy: the one-row moments are broadcast into the counting pass
     m = df.select(
-        *[F.avg(q(c)).alias("m" + str(i)) for i, c in enumerate(cols)],
-        *[F.stddev_samp(q(c)).alias("s" + str(i)) for i, c in enumerate(cols)],
-    ).first()
+        *[F.avg(q(c)).alias("__m" + str(i)) for i, c in enumerate(cols)],
+        *[F.stddev_samp(q(c)).alias("__s" + str(i)) for i, c in enumerate(cols)],
+    )
     exprs = []
     for i, c in enumerate(cols):
-        mu, sd = m["m" + str(i)], m["s" + str(i)]
-        if sd is None or sd == 0:
-            cond = F.lit(False)
-        else:
-            cond = F.abs((q(c) - F.lit(mu)) / F.lit(sd)) > F.lit(threshold)
+        sd = F.col("__s" + str(i))
+        cond = (sd > 0) & (F.abs((q(c) - F.col("__m" + str(i))) / sd) > F.lit(threshold))
         exprs.append(F.count(F.when(cond, 1)).alias("o" + str(i)))
+    df = df.crossJoin(F.broadcast(m))
     counted = df.select(F.count(F.lit(1)).alias("__n"), *exprs)
     pairs = [
         F.struct(F.lit(c).alias("column"), F.col("o" + str(i)).cast("long").alias("count")) for i, c in enumerate(cols)
