@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..columns import categorical_columns, date_columns, numeric_columns
@@ -45,23 +45,111 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return parts[0]
 
 
+class OnePass:
+    """One ``GROUPING SETS`` aggregate serving many charts: each named set of
+    key columns becomes one grouping; every group carries row count and sum /
+    mean / min / max of every measure. The grouped result (a row per group) is
+    small and is checkpointed once; ``part(name)`` filters one grouping with
+    non-null keys. Histogram bins join as extra key columns."""
+
+    def __init__(self, df: DataFrame, sets: dict[str, list[str]], measures: list[str], bins: dict[str, tuple] | None = None):
+        from ..session import ensure_checkpoint_dir
+
+        self.measures = list(dict.fromkeys(measures))
+        self.idx = {m: i for i, m in enumerate(self.measures)}
+        bin_exprs, self.bin_col = [], {}
+        for i, (c, (a, w, nbins)) in enumerate((bins or {}).items()):
+            self.bin_col[c] = f"__bin{i}"
+            x = q(c).cast("double")
+            bin_exprs.append(F.least(F.lit(nbins - 1), F.floor((x - F.lit(a)) / F.lit(w))).cast("int").alias(f"__bin{i}"))
+            sets = dict(sets, **{f"b:{c}": [f"__bin{i}"]})
+        self.sets = sets
+        self.keys = list(dict.fromkeys(k for v in sets.values() for k in v))
+        aggs = [F.count(F.lit(1)).alias("__n")]
+        for m, i in self.idx.items():
+            aggs += [F.sum(q(m)).alias(f"s{i}"), F.avg(q(m)).alias(f"a{i}"), F.min(q(m)).alias(f"lo{i}"), F.max(q(m)).alias(f"hi{i}")]
+        base = df.select(*[q(c) for c in df.columns], *bin_exprs)
+        unique = {tuple(v): list(v) for v in sets.values()}
+        grouped = base.groupingSets(list(unique.values()), *[q(k) for k in self.keys]).agg(F.grouping_id().alias("__gid"), *aggs)
+        ensure_checkpoint_dir(df.sparkSession)
+        self.grouped = grouped.checkpoint(eager=True)
+
+    def part(self, name: str) -> DataFrame:
+        cols = self.sets[name]
+        gid = sum(1 << (len(self.keys) - 1 - i) for i, k in enumerate(self.keys) if k not in cols)
+        g = self.grouped.where(F.col("__gid") == gid)
+        for c in cols:
+            g = g.where(q(c).isNotNull())
+        return g
+
+    def sum(self, m: str) -> Column:
+        return F.coalesce(F.col(f"s{self.idx[m]}"), F.lit(0))
+
+    def mean(self, m: str) -> Column:
+        return F.col(f"a{self.idx[m]}")
+
+    def kpi(self, metrics: list[str]) -> DataFrame:
+        """KPI cards (sum, mean, min, max) from the grand-total grouping."""
+        tot = self.part("all")
+        rows = [
+            tot.select(F.lit(m).alias("metric"), F.col(f"s{self.idx[m]}").cast("double").alias("sum"), self.mean(m).alias("mean"),
+                       F.col(f"lo{self.idx[m]}").cast("double").alias("min"), F.col(f"hi{self.idx[m]}").cast("double").alias("max"))
+            for m in metrics
+        ]
+        return long("kpi", _union(rows), "metric", ["sum", "mean", "min", "max"])
+
+    def histogram(self, c: str) -> DataFrame:
+        return self.part(f"b:{c}").select(F.col(self.bin_col[c]).alias("bin"), F.col("__n").alias("count"))
+
+
+def _bin_specs(df: DataFrame, columns: list[str], bins: int = 20, ranges: dict | None = None) -> dict[str, tuple]:
+    ranges = ranges if ranges is not None else K.value_ranges(df, columns)
+    out = {}
+    for c in columns:
+        a, b = ranges[c]
+        if a is not None:
+            out[c] = (a, (b - a) / bins if b > a else 1.0, bins)
+    return out
+
+
+def _rolling_and_cumulative(ts: DataFrame, date: str, m: str, n: int):
+    """K15 / K16 on a per-date series of ``n`` points (small, from one pass)."""
+    roll = None
+    if n >= 10:
+        w = min(7, n // 3) or 3
+        roll = prefix.rolling_mean(ts.select(date, m), m, w, [date], name=f"{m}_rolling", min_periods=1, n=n)
+    cum = prefix.running(ts.select(date, m), {f"{m}_cumulative": ("sum", m)}, [date], keep_null_rows=False, n=n)
+    return roll, cum
+
+
 def sales_dashboard(df: DataFrame, date: str, sales: str, category: str | None = None, order_by=None) -> DataFrame:
     """Revenue trend, rolling and cumulative lines, sales by category,
-    category over time, KPI."""
-    parts = [long("revenue_trend", K.time_series(df, date, sales), date, [sales])]
-    roll = K.rolling_average_line(df, date, sales)
-    parts.append(long("revenue_rolling", roll, date, [f"{sales}_rolling"]))
-    parts.append(long("revenue_cumulative", K.cumulative_line(df, date, sales), date, [f"{sales}_cumulative"]))
+    category over time, KPI -- all from one grouping-sets pass."""
+    sets = {"all": [], "date": [date]}
+    if category:
+        sets.update({"cat": [category], "date_cat": [date, category]})
+    one = OnePass(df, sets, [sales])
+    ts = one.part("date").select(q(date), one.sum(sales).alias(sales))
+    n_dates = one.part("date").count()
+    roll, cum = _rolling_and_cumulative(ts, date, sales, n_dates)
+    parts = [long("revenue_trend", ts, date, [sales])]
+    if roll is not None:
+        parts.append(long("revenue_rolling", roll, date, [f"{sales}_rolling"]))
+    parts.append(long("revenue_cumulative", cum, date, [f"{sales}_cumulative"]))
     if category:
-        parts.append(long("sales_by_category", K.sum_by(df, category, [sales]), category, [sales]))
-        parts.append(long("stacked_trend", K.sum_by(df, [date, category], [sales]), date, [sales], series=category))
-    parts.append(_kpi_long(df, [sales], order_by))
+        parts.append(long("sales_by_category", one.part("cat").select(q(category), one.sum(sales).alias(sales)), category, [sales]))
+        dc = one.part("date_cat").select(q(date), q(category), one.sum(sales).alias(sales))
+        parts.append(long("stacked_trend", dc, date, [sales], series=category))
+    parts.append(one.kpi([sales]))
     return _union(parts)
 
 
 def finance_dashboard(df: DataFrame, date: str, metrics: list[str], order_by=None) -> DataFrame:
-    """All metrics per date, per-metric trends, correlation, distributions, KPI."""
-    ts = K.time_series(df, date, metrics)
+    """All metrics per date, per-metric trends, correlation, distributions,
+    KPI. Trends, histograms and KPIs share one grouping-sets pass; the
+    correlation matrix is one more aggregate."""
+    one = OnePass(df, {"all": [], "date": [date]}, metrics, bins=_bin_specs(df, metrics[:2]))
+    ts = one.part("date").select(q(date), *[one.sum(m).alias(m) for m in metrics])
     parts = []
     if len(metrics) >= 2:
         parts.append(long("multi_trend", ts, date, metrics))
@@ -72,8 +160,9 @@ def finance_dashboard(df: DataFrame, date: str, metrics: list[str], order_by=Non
 
         parts.append(long("correlation", correlation_long(df), "col2", ["corr"], series="col1").select("chart", "series", "x", "y"))
     for m in metrics[:2]:
-        parts.append(long(f"dist_{m}", K.histogram(df, m), "bin", ["count"]))
-    parts.append(_kpi_long(df, metrics, order_by))
+        if m in one.bin_col:
+            parts.append(long(f"dist_{m}", one.histogram(m), "bin", ["count"]))
+    parts.append(one.kpi(metrics))
     return _union(parts)
 
 
@@ -116,7 +205,6 @@ def comprehensive_dashboard(df: DataFrame, nums, cats, dates, order_by=None, bin
     group) is small and is checkpointed once; charts are filters of it. Box
     statistics (quantiles) and the quality gauges (distinct rows) need their
     own passes."""
-    spark = df.sparkSession
     # one aggregate: histogram ranges, value counts for the box plots, and
     # every donut's distinct count
     first = df.select(
@@ -131,16 +219,6 @@ def comprehensive_dashboard(df: DataFrame, nums, cats, dates, order_by=None, bin
     nd = {c: first[f"d{i}"] for i, c in enumerate(cats[:3])}
     dcol = dates[0] if dates else None
 
-    bin_cols, bin_exprs = {}, []
-    for i, c in enumerate(nums[:4]):
-        a, b = ranges[c]
-        if a is None:
-            continue
-        w = (b - a) / bins if b > a else 1.0
-        x = q(c).cast("double")
-        bin_cols[c] = f"__bin{i}"
-        bin_exprs.append(F.least(F.lit(bins - 1), F.floor((x - F.lit(a)) / F.lit(w))).cast("int").alias(f"__bin{i}"))
-    keys = list(dict.fromkeys(cats[:4] + ([dcol] if dcol else []))) + list(bin_cols.values())
     sets: dict[str, list[str]] = {"all": []}
     for c in cats[:4]:
         sets[f"c:{c}"] = [c]
@@ -148,77 +226,46 @@ def comprehensive_dashboard(df: DataFrame, nums, cats, dates, order_by=None, bin
         sets["pair"] = [cats[0], cats[1]]
     if dcol:
         sets["date"] = [dcol]
-    for c, bcol in bin_cols.items():
-        sets[f"b:{c}"] = [bcol]
-    order_struct = F.struct(*[q(o) for o in order_by]) if order_by else None
-    aggs = [F.count(F.lit(1)).alias("__n")]
-    for i, m in enumerate(nums[:4]):
-        aggs += [F.sum(q(m)).alias(f"s{i}"), F.avg(q(m)).alias(f"a{i}"), F.min(q(m)).alias(f"lo{i}"), F.max(q(m)).alias(f"hi{i}")]
-    base = df.select(*[q(c) for c in df.columns], *bin_exprs)
-    unique_sets = {tuple(v): v for v in sets.values()}
-    grouped = base.groupingSets([list(v) for v in unique_sets.values()], *[q(k) for k in keys]).agg(
-        F.grouping_id().alias("__gid"), *aggs
-    )
-    from ..session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(spark)
-    grouped = grouped.checkpoint(eager=True)  # one row per group: small
+    one = OnePass(df, sets, nums[:4], bins=_bin_specs(df, nums[:4], bins, ranges))
 
-    def part(name: str) -> DataFrame:
-        cols = sets[name]
-        gid = sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in cols)
-        g = grouped.where(F.col("__gid") == gid)
-        for c in cols:
-            g = g.where(q(c).isNotNull())
-        return g
-
-    idx = {m: i for i, m in enumerate(nums[:4])}
     parts = [long("gauges", K.quality_gauges(df), "gauge", ["value"])]
-    for c, bcol in bin_cols.items():
-        h = part(f"b:{c}").select(F.col(bcol).alias("bin"), F.col("__n").alias("count"))
-        parts.append(long(f"hist_{c}", h, "bin", ["count"]))
+    for c in one.bin_col:
+        parts.append(long(f"hist_{c}", one.histogram(c), "bin", ["count"]))
     if nums[:3]:
         box = K.box_stats(df, nums[:3], stats=box_stats_in)
         parts.append(long("box", box, "column", ["q1", "median", "q3", "whisker_low", "whisker_high", "outliers"]))
     for c in cats[:4]:
-        vc = part(f"c:{c}").select(q(c), F.col("__n").alias("count")).orderBy(F.col("count").desc(), q(c)).limit(12)
+        vc = one.part(f"c:{c}").select(q(c), F.col("__n").alias("count")).orderBy(F.col("count").desc(), q(c)).limit(12)
         parts.append(long(f"bar_{c}", vc, c, ["count"]))
     if cats and nums:
         cat = cats[0]
         for m in nums[:2]:
-            i = idx[m]
-            sm = part(f"c:{cat}").select(q(cat), F.coalesce(F.col(f"s{i}"), F.lit(0)).alias(m)).orderBy(cat).limit(12)
+            sm = one.part(f"c:{cat}").select(q(cat), one.sum(m).alias(m)).orderBy(cat).limit(12)
             parts.append(long(f"sum_{m}_by_{cat}", sm, cat, [m]))
-            av = part(f"c:{cat}").select(q(cat), F.col(f"a{i}").alias(m)).orderBy(cat).limit(12)
+            av = one.part(f"c:{cat}").select(q(cat), one.mean(m).alias(m)).orderBy(cat).limit(12)
             parts.append(long(f"avg_{m}_by_{cat}", av, cat, [m]))
     if len(cats) >= 2 and nums:
-        pair = part("pair")
-        s0 = F.coalesce(F.col("s0"), F.lit(0))
+        pair = one.part("pair")
+        s0 = one.sum(nums[0])
         gb = pair.select(q(cats[0]), q(cats[1]), s0.alias(nums[0])).orderBy(cats[0], cats[1]).limit(30)
         parts.append(long("grouped_bar", gb, cats[0], [nums[0]], series=cats[1]))
         parts.append(long("treemap", pair.select(q(cats[0]), q(cats[1]), s0.cast("double").alias("value")), cats[0], ["value"], series=cats[1]))
         parts.append(long("sunburst", pair.select(q(cats[0]), q(cats[1]), F.col("__n").cast("double").alias("value")), cats[0], ["value"], series=cats[1]))
     for c in cats[:3]:
         if nd[c] <= 8:
-            parts.append(long(f"donut_{c}", part(f"c:{c}").select(q(c), F.col("__n").alias("count")), c, ["count"]))
+            parts.append(long(f"donut_{c}", one.part(f"c:{c}").select(q(c), F.col("__n").alias("count")), c, ["count"]))
     if dcol and nums:
-        ts = part("date").select(q(dcol), *[F.coalesce(F.col(f"s{idx[m]}"), F.lit(0)).alias(m) for m in nums[:4]])
+        ts = one.part("date").select(q(dcol), *[one.sum(m).alias(m) for m in nums[:4]])
         for m in nums[:3]:
             parts.append(long(f"line_{m}", ts.select(dcol, m), dcol, [m]))
         if len(nums) >= 2:
             parts.append(long("multi_line", ts, dcol, nums[:4]))
-        n_dates = part("date").count()  # reads the small checkpointed table
+        n_dates = one.part("date").count()  # reads the small checkpointed table
         for m in nums[:2]:
-            cum = prefix.running(ts.select(dcol, m), {f"{m}_cumulative": ("sum", m)}, [dcol], keep_null_rows=False, n=n_dates)
+            _, cum = _rolling_and_cumulative(ts, dcol, m, n_dates)
             parts.append(long(f"cumulative_{m}", cum, dcol, [f"{m}_cumulative"]))
     if nums:  # KPI cards from the grand-total row of the same pass
-        tot = part("all")
-        kpi = [
-            tot.select(F.lit(m).alias("metric"), F.col(f"s{idx[m]}").cast("double").alias("sum"), F.col(f"a{idx[m]}").alias("mean"),
-                       F.col(f"lo{idx[m]}").cast("double").alias("min"), F.col(f"hi{idx[m]}").cast("double").alias("max"))
-            for m in nums[:4]
-        ]
-        parts.append(long("kpi", reduce(DataFrame.unionByName, kpi), "metric", ["sum", "mean", "min", "max"]))
+        parts.append(one.kpi(nums[:4]))
     return _union(parts)
 
 
