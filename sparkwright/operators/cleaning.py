@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..columns import DATE_TYPES, NUMERIC_TYPES, categorical_columns, date_columns, is_missing, numeric_columns, value_or_null
+from ..columns import DATE_TYPES, NUMERIC_TYPES, categorical_columns, is_missing, numeric_columns, value_or_null
 from ..functions.text import strip_ws
 from . import prefix
 from .quantiles import column_quantiles

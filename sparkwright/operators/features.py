@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..columns import DATE_TYPES, FLOAT_TYPES, INTEGRAL_TYPES, NUMERIC_TYPES
+from ..columns import DATE_TYPES, FLOAT_TYPES, NUMERIC_TYPES
 from ..functions.numeric import safe_ratio
 from . import prefix
 from .cleaning import parse_timestamp, q

@@ -15,7 +15,6 @@ from ..operators import prefix
 from ..operators.cleaning import q
 from ..operators.quality import missing_by_column
 from ..operators.quantiles import column_quantiles, exact_quantiles
-from ..operators.topk import top_k_per_group
 
 # Fixed values from the reference: intent word -> chart type, checked in this order.
 INTENT_CHART = [

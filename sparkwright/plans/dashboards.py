@@ -6,8 +6,6 @@ caller can afford the memory (``df.persist()``), otherwise Spark re-reads the
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
