@@ -25,6 +25,11 @@ DESC_SCHEMA = T.StructType(
 )
 
 
+def _quantile_stats(mom: dict[str, dict], cols: list[str]) -> dict[tuple, tuple]:
+    """(n, min, max) per column from the moments pass, for exact_quantiles."""
+    return {(c,): (mom[c]["count"], mom[c]["min"], mom[c]["max"]) for c in cols}
+
+
 def _moments(df: DataFrame, cols: list[str]) -> dict[str, dict]:
     """count / mean / std / min / max / skew / kurtosis / nulls of every column,
     chunked into aggregates of at most AGG_CHUNK columns."""
@@ -65,7 +70,7 @@ def descriptive_stats(df: DataFrame, columns: list[str] | None = None) -> DataFr
     if not cols:
         return spark.createDataFrame([], DESC_SCHEMA)
     mom = _moments(df, cols)
-    qs = column_quantiles(df, cols, PROFILE_PERCENTILES)
+    qs = column_quantiles(df, cols, PROFILE_PERCENTILES, stats=_quantile_stats(mom, cols))
     rows = []
     for c in cols:
         m = mom[c]
@@ -263,7 +268,7 @@ def summarize_all(df: DataFrame) -> DataFrame:
     rows = []
     if nums:
         mom = _moments(df, nums)
-        qs = column_quantiles(df, nums, [0.25, 0.5, 0.75])
+        qs = column_quantiles(df, nums, [0.25, 0.5, 0.75], stats=_quantile_stats(mom, nums))
         for c in nums:
             m = mom[c]
             rows.append((c, int(m["count"]), None, None, None, m["mean"], m["std"], m["min"], *qs[c], m["max"]))
@@ -328,7 +333,7 @@ def numeric_context(df: DataFrame) -> DataFrame:
     if not cols:
         return spark.createDataFrame([], schema)
     mom = _moments(df, cols)
-    med = column_quantiles(df, cols, [0.5])
+    med = column_quantiles(df, cols, [0.5], stats=_quantile_stats(mom, cols))
     uniq = df.select(*[F.countDistinct(q(c)).alias(c) for c in cols]).first()
     rows = [
         (c, mom[c]["mean"], med[c][0], mom[c]["min"], mom[c]["max"], mom[c]["std"],
