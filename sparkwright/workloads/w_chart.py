@@ -565,7 +565,30 @@ def dash_auto(spark, sf_dir):
     return long4(D.auto_dashboard(o, order_by=["o_orderdate", "o_totalprice", "o_custkey"]))
 
 
-@register("report_charts_index")
+def _report_index_sql() -> str:
+    src = _AUTO_SRC
+    nums, cats, dcol = ["o_totalprice", "o_custkey"], ["o_orderstatus", "o_orderpriority"], "o_orderdate"
+    miss = " OR ".join(f"{c} IS NULL" for c in _AUTO_COLS)
+    parts = [
+        "SELECT 'quality_completeness' AS chart, 'quality' AS section, CAST(1 AS BIGINT) AS rows",
+        "SELECT 'quality_duplicates', 'quality', CAST(1 AS BIGINT)",
+        f"SELECT 'missing_values_bar', 'quality', (SELECT count(*) FROM ({src}) s WHERE {miss}) WHERE (SELECT count(*) FROM ({src}) s WHERE {miss}) > 0",
+    ]
+    for c in nums:
+        parts.append(f"SELECT 'hist_{c}', 'distribution', (SELECT count(*) FROM ({s_hist(src, c)}) h)")
+    for c in nums:
+        parts.append(f"SELECT 'percentile_{c}', 'distribution', CAST(7 AS BIGINT)")
+    for c in nums:
+        parts.append(f"SELECT 'box_{c}', 'distribution', CAST(1 AS BIGINT)")
+    for c in cats:
+        n = f"(SELECT least(12, count(DISTINCT {c})) FROM ({src}) s)"
+        parts += [f"SELECT 'bar_{c}', 'bars', {n}", f"SELECT 'hbar_{c}', 'bars', {n}"]
+    for m in nums:
+        parts.append(f"SELECT 'line_{dcol}_{m}', 'lines', (SELECT count(DISTINCT {dcol}) FROM ({src}) s)")
+    return " UNION ALL ".join(parts)
+
+
+@register("report_charts_index", _report_index_sql())
 def report_charts_index(spark, sf_dir):
-    """Row-only: chart list of the report for orders with its data-row counts."""
+    """Chart list of the report for orders with each chart dataset's row count."""
     return D.report_chart_index(table(spark, sf_dir, "orders").select(*_AUTO_COLS))

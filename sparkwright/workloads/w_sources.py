@@ -89,9 +89,15 @@ def cat_list_datasets(spark, sf_dir):
     return spark.createDataFrame([(n,) for n in cat.list()], "name string")
 
 
-@register("cat_describe")
+@register(
+    "cat_describe",
+    """SELECT column_name, CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double'
+       WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(column_type) END AS column_type,
+       "null" = 'YES' AS nullable
+FROM (DESCRIBE lineitem)""",
+)
 def cat_describe(spark, sf_dir):
-    """Row-only: (column_name, column_type, nullable) of a stored table."""
+    """(column_name, column_type, nullable) of a stored table, Spark type names."""
     return _catalog_with(spark, sf_dir, ["lineitem"]).describe("lineitem")
 
 
