@@ -62,12 +62,24 @@ def val_outliers_zscore(spark, sf_dir):
     return V.check_outliers_zscore(orders_skewed(spark, sf_dir))
 
 
-@register("val_schema_compliance")
+_EXPECTED = {"o_orderkey": "bigint", "o_totalprice": "decimal(12,2)", "o_comment": "string", "o_orderdate": "timestamp_ntz"}
+
+
+def _schema_sql() -> str:
+    vals = ", ".join(f"('{c}', '{t}')" for c, t in _EXPECTED.items())
+    return f"""
+WITH e(col, want) AS (VALUES {vals}),
+d AS (SELECT column_name, CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double'
+             WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(column_type) END AS t FROM (DESCRIBE orders))
+SELECT e.col AS "column", CASE WHEN d.t IS NULL THEN 'missing' ELSE 'expected ' || e.want || ', got ' || d.t END AS issue
+FROM e LEFT JOIN d ON d.column_name = e.col WHERE d.t IS NULL OR d.t <> e.want
+"""
+
+
+@register("val_schema_compliance", _schema_sql())
 def val_schema_compliance(spark, sf_dir):
-    """Row-only: issues against an expected schema with one missing and one mistyped column."""
-    o = table(spark, sf_dir, "orders")
-    expected = {"o_orderkey": "bigint", "o_totalprice": "decimal(12,2)", "o_comment": "string", "o_orderdate": "timestamp_ntz"}
-    return V.check_schema_compliance(o, expected)
+    """Issues against an expected schema with one missing and one mistyped column."""
+    return V.check_schema_compliance(table(spark, sf_dir, "orders"), _EXPECTED)
 
 
 _TYPES = {"o_orderkey": "bigint", "o_custkey": "bigint", "price": "double", "status": "string", "odate": "timestamp_ntz", "o_orderpriority": "string"}
