@@ -29,11 +29,6 @@ def long(chart: str, df: DataFrame, x: str, ys: list[str], series: str | None =
     return _union(parts)
 
 
-def _kpi_long(df: DataFrame, metrics: list[str], order_by) -> DataFrame:
-    k = K.kpi_cards(df, metrics, order_by)
-    return long("kpi", k, "metric", ["sum", "mean", "min", "max"])
-
-
 def _union(parts: list[DataFrame]) -> DataFrame:
     """Union many same-schema parts as a balanced tree: each step is analysed
     eagerly, so a left-deep chain of n unions costs O(n^2) analysis."""
@@ -65,7 +60,10 @@ class OnePass:
         self.keys = list(dict.fromkeys(k for v in sets.values() for k in v))
         aggs = [F.count(F.lit(1)).alias("__n")]
         for m, i in self.idx.items():
-            aggs += [F.sum(q(m)).alias(f"s{i}"), F.avg(q(m)).alias(f"a{i}"), F.min(q(m)).alias(f"lo{i}"), F.max(q(m)).alias(f"hi{i}")]
+            aggs += [
+                F.sum(q(m)).alias(f"s{i}"), F.avg(q(m)).alias(f"a{i}"), F.min(q(m)).alias(f"lo{i}"), F.max(q(m)).alias(f"hi{i}"),
+                F.count(q(m)).alias(f"c{i}"),
+            ]
         base = df.select(*[q(c) for c in df.columns], *bin_exprs)
         unique = {tuple(v): list(v) for v in sets.values()}
         grouped = base.groupingSets(list(unique.values()), *[q(k) for k in self.keys]).agg(F.grouping_id().alias("__gid"), *aggs)
@@ -86,6 +84,9 @@ class OnePass:
     def mean(self, m: str) -> Column:
         return F.col(f"a{self.idx[m]}")
 
+    def count(self, m: str) -> Column:
+        return F.col(f"c{self.idx[m]}")
+
     def kpi(self, metrics: list[str]) -> DataFrame:
         """KPI cards (sum, mean, min, max) from the grand-total grouping."""
         tot = self.part("all")
@@ -165,19 +166,21 @@ def finance_dashboard(df: DataFrame, date: str, metrics: list[str], order_by=Non
 
 
 def hr_dashboard(df: DataFrame, dept: str, salary: str, order_by=None) -> DataFrame:
-    """Mean / sum / count of salary by department (headcount = count), KPI."""
-    stats = df.where(q(dept).isNotNull()).groupBy(q(dept)).agg(
-        F.avg(q(salary)).alias("mean"), F.coalesce(F.sum(q(salary)), F.lit(0)).alias("sum"), F.count(q(salary)).alias("count")
-    )
-    return _union([long("salary_by_dept", stats, dept, ["mean", "sum", "count"]), _kpi_long(df, [salary], order_by)])
+    """Mean / sum / count of salary by department (headcount = count), KPI;
+    one grouping-sets pass."""
+    one = OnePass(df, {"all": [], "dept": [dept]}, [salary])
+    stats = one.part("dept").select(q(dept), one.mean(salary).alias("mean"), one.sum(salary).alias("sum"), one.count(salary).alias("count"))
+    return _union([long("salary_by_dept", stats, dept, ["mean", "sum", "count"]), one.kpi([salary])])
 
 
 def marketing_dashboard(df: DataFrame, channel: str, spend: str, conversion: str | None = None, order_by=None) -> DataFrame:
-    """Spend by channel, conversion histogram, KPI."""
-    parts = [long("spend_by_channel", K.sum_by(df, channel, [spend]), channel, [spend])]
-    if conversion:
-        parts.append(long("conversion_hist", K.histogram(df, conversion), "bin", ["count"]))
-    parts.append(_kpi_long(df, [spend] + ([conversion] if conversion else []), order_by))
+    """Spend by channel, conversion histogram, KPI; one grouping-sets pass."""
+    measures = [spend] + ([conversion] if conversion else [])
+    one = OnePass(df, {"all": [], "channel": [channel]}, measures, bins=_bin_specs(df, [conversion]) if conversion else None)
+    parts = [long("spend_by_channel", one.part("channel").select(q(channel), one.sum(spend).alias(spend)), channel, [spend])]
+    if conversion and conversion in one.bin_col:
+        parts.append(long("conversion_hist", one.histogram(conversion), "bin", ["count"]))
+    parts.append(one.kpi(measures))
     return _union(parts)
 
 
