@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..columns import categorical_columns, date_columns, numeric_columns
+from ..columns import categorical_columns, date_columns, is_missing, numeric_columns
 from ..operators.cleaning import q
 from ..operators import prefix
 from . import chartdata as K
@@ -70,13 +70,17 @@ class OnePass:
         ensure_checkpoint_dir(df.sparkSession)
         self.grouped = grouped.checkpoint(eager=True)
 
-    def part(self, name: str) -> DataFrame:
+    def membership(self, name: str) -> Column:
+        """Rows of the grouped table that belong to grouping ``name`` (keys non-null)."""
         cols = self.sets[name]
         gid = sum(1 << (len(self.keys) - 1 - i) for i, k in enumerate(self.keys) if k not in cols)
-        g = self.grouped.where(F.col("__gid") == gid)
+        cond = F.col("__gid") == gid
         for c in cols:
-            g = g.where(q(c).isNotNull())
-        return g
+            cond = cond & q(c).isNotNull()
+        return cond
+
+    def part(self, name: str) -> DataFrame:
+        return self.grouped.where(self.membership(name))
 
     def sum(self, m: str) -> Column:
         return F.coalesce(F.col(f"s{self.idx[m]}"), F.lit(0))
@@ -272,29 +276,41 @@ def comprehensive_dashboard(df: DataFrame, nums, cats, dates, order_by=None, bin
 
 def report_chart_index(df: DataFrame) -> DataFrame:
     """Which charts the report would contain, with section and the number
-    of data rows each chart dataset has (one count job per chart)."""
+    of data rows of each chart dataset. Three passes in total: ranges and null
+    counts, one grouping-sets aggregate for every value-count / histogram /
+    line dataset, and one count over its (small) grouped result."""
     nums, cats, dates = numeric_columns(df), categorical_columns(df), date_columns(df)
-    plan: list[tuple[str, str, DataFrame]] = [("quality_completeness", "quality", K.quality_gauges(df).where("gauge = 'completeness'"))]
-    plan.append(("quality_duplicates", "quality", K.quality_gauges(df).where("gauge = 'uniqueness'")))
-    mb = K.missing_bar(df)
-    plan += [("missing_values_bar", "quality", mb), ("missing_values_hbar", "quality", mb)]
+    first = df.select(
+        F.lit(1).alias("__one"),
+        *[F.min(q(c)).cast("double").alias(f"mn{i}") for i, c in enumerate(nums[:6])],
+        *[F.max(q(c)).cast("double").alias(f"mx{i}") for i, c in enumerate(nums[:6])],
+        *[F.sum(is_missing(df, c).cast("long")).alias(f"z{i}") for i, c in enumerate(df.columns)],
+    ).first()
+    ranges = {c: (first[f"mn{i}"], first[f"mx{i}"]) for i, c in enumerate(nums[:6])}
+    missing_cols = sum(1 for i in range(len(df.columns)) if (first[f"z{i}"] or 0) > 0)
+    sets: dict[str, list[str]] = {"all": []}
+    for c in cats[:5]:
+        sets[f"c:{c}"] = [c]
+    for d in dates[:2]:
+        sets[f"d:{d}"] = [d]
+    one = OnePass(df, sets, [], bins=_bin_specs(df, nums[:6], 20, ranges))
+    names = [n for n in one.sets if n != "all"]
+    counts = one.grouped.select(
+        *[F.count(F.when(one.membership(n), 1)).alias(f"k{i}") for i, n in enumerate(names)]
+    ).first()
+    size = {n: counts[f"k{i}"] for i, n in enumerate(names)}
+    rows = [("quality_completeness", "quality", 1), ("quality_duplicates", "quality", 1)]
+    if missing_cols:
+        rows += [("missing_values_bar", "quality", min(15, missing_cols)), ("missing_values_hbar", "quality", min(15, missing_cols))]
     for c in nums[:6]:
-        plan.append((f"hist_{c}", "distribution", K.histogram(df, c)))
-    for c in nums[:3]:
-        plan.append((f"percentile_{c}", "distribution", None))
-    for c in nums[:4]:
-        plan.append((f"box_{c}", "distribution", None))
+        if f"b:{c}" in size:
+            rows.append((f"hist_{c}", "distribution", size[f"b:{c}"]))
+    rows += [(f"percentile_{c}", "distribution", 7) for c in nums[:3]]
+    rows += [(f"box_{c}", "distribution", 1) for c in nums[:4]]
     for c in cats[:5]:
-        v = K.value_count_bar(df, c)
-        plan += [(f"bar_{c}", "bars", v), (f"hbar_{c}", "bars", v)]
-    for dcol in dates[:2]:
+        n = min(12, size[f"c:{c}"])
+        rows += [(f"bar_{c}", "bars", n), (f"hbar_{c}", "bars", n)]
+    for d in dates[:2]:
         for m in nums[:3]:
-            plan.append((f"line_{dcol}_{m}", "lines", K.time_series(df, dcol, m)))
-    spark = df.sparkSession
-    rows = []
-    for name, section, part in plan:
-        n = 7 if name.startswith("percentile_") else (1 if name.startswith("box_") else part.count())
-        if name.startswith("missing_values") and n == 0:
-            continue
-        rows.append((name, section, int(n)))
-    return spark.createDataFrame(rows, "chart string, section string, rows long")
+            rows.append((f"line_{d}_{m}", "lines", size[f"d:{d}"]))
+    return df.sparkSession.createDataFrame(rows, "chart string, section string, rows long")

@@ -568,11 +568,13 @@ def dash_auto(spark, sf_dir):
 def _report_index_sql() -> str:
     src = _AUTO_SRC
     nums, cats, dcol = ["o_totalprice", "o_custkey"], ["o_orderstatus", "o_orderpriority"], "o_orderdate"
-    miss = " OR ".join(f"{c} IS NULL" for c in _AUTO_COLS)
+    ncols = " + ".join(f"(CASE WHEN count(*) > count({c}) THEN 1 ELSE 0 END)" for c in _AUTO_COLS)
+    miss = f"(SELECT {ncols} AS k FROM ({src}) s)"
     parts = [
         "SELECT 'quality_completeness' AS chart, 'quality' AS section, CAST(1 AS BIGINT) AS rows",
         "SELECT 'quality_duplicates', 'quality', CAST(1 AS BIGINT)",
-        f"SELECT 'missing_values_bar', 'quality', (SELECT count(*) FROM ({src}) s WHERE {miss}) WHERE (SELECT count(*) FROM ({src}) s WHERE {miss}) > 0",
+        f"SELECT 'missing_values_bar', 'quality', CAST(least(15, k) AS BIGINT) FROM {miss} m WHERE k > 0",
+        f"SELECT 'missing_values_hbar', 'quality', CAST(least(15, k) AS BIGINT) FROM {miss} m WHERE k > 0",
     ]
     for c in nums:
         parts.append(f"SELECT 'hist_{c}', 'distribution', (SELECT count(*) FROM ({s_hist(src, c)}) h)")
