@@ -65,7 +65,7 @@ def column_modes(df: DataFrame, columns: list[str]) -> dict[str, object]:
     if not columns:
         return {}
     long = df.select(
-        F.explode(F.array(*[F.struct(F.lit(c).alias("c"), q(c).cast("string").alias("v")) for c in columns])).alias("p")
+        F.explode(F.array(*[F.struct(F.lit(c).alias("c"), value_or_null(df, c).cast("string").alias("v")) for c in columns])).alias("p")
     ).select("p.c", "p.v").where(F.col("v").isNotNull())
     counts = long.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
     # highest count first, then the smallest value: one aggregate, no join

@@ -140,7 +140,7 @@ def value_counts(df: DataFrame, top_n: int = 10, columns: list[str] | None = Non
     parallel. Ties: count desc, value asc."""
     cols = columns or df.columns
     long = df.select(
-        F.explode(F.array(*[F.struct(F.lit(c).alias("column"), q(c).cast("string").alias("value")) for c in cols])).alias("p")
+        F.explode(F.array(*[F.struct(F.lit(c).alias("column"), value_or_null(df, c).cast("string").alias("value")) for c in cols])).alias("p")
     ).select("p.column", "p.value").where(F.col("value").isNotNull())
     counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
     top = top_k_per_group(counts, ["column"], [F.col("count").desc(), F.col("value").asc()], top_n)
@@ -206,7 +206,7 @@ def infer_schema(df: DataFrame, order_by: list[str] | None = None, samples: int
     nums = set(numeric_columns(df, include_bool=False))
     long = df.select(
         *[q(o) for o in (order_by or [])],
-        F.explode(F.array(*[F.struct(F.lit(c).alias("column"), q(c).cast("string").alias("value")) for c in cols])).alias("p"),
+        F.explode(F.array(*[F.struct(F.lit(c).alias("column"), value_or_null(df, c).cast("string").alias("value")) for c in cols])).alias("p"),
     ).select(*(order_by or []), "p.column", "p.value").where(F.col("value").isNotNull())
     # one distinct (column, value) table feeds both the unique counts and, without
     # an order key, the samples (the same exchange is reused in the plan)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..columns import categorical_columns, numeric_columns
+from ..columns import categorical_columns, numeric_columns, value_or_null
 from ..functions.text import strip_ws
 from . import prefix
 from .cleaning import parse_timestamp, q
@@ -40,7 +40,7 @@ def distinct_values_bounded(df: DataFrame, columns: list[str], limit: int) -> di
     if not columns:
         return {}
     long = df.select(
-        F.explode(F.array(*[F.struct(F.lit(c).alias("c"), q(c).cast("string").alias("v")) for c in columns])).alias("p")
+        F.explode(F.array(*[F.struct(F.lit(c).alias("c"), value_or_null(df, c).cast("string").alias("v")) for c in columns])).alias("p")
     ).select("p.c", "p.v").where(F.col("v").isNotNull()).distinct()
     n = {r["c"]: r["count"] for r in long.groupBy("c").count().collect()}
     small = [c for c in columns if n.get(c, 0) <= limit]
@@ -226,7 +226,7 @@ def average_ranks(
     window), then one join back per column. Values are compared as doubles."""
     names = names or {c: f"{c}_rank" for c in columns}
     long = df.select(
-        F.explode(F.array(*[F.struct(F.lit(c).alias("c"), q(c).cast("double").alias("v")) for c in columns])).alias("p")
+        F.explode(F.array(*[F.struct(F.lit(c).alias("c"), value_or_null(df, c).cast("double").alias("v")) for c in columns])).alias("p")
     ).select(F.col("p.c").alias("__c"), F.col("p.v").alias("__v")).where(F.col("__v").isNotNull())
     counts = long.groupBy("__c", "__v").agg(F.count(F.lit(1)).alias("__n"))
     counts = counts.withColumn("__o", F.col("__v") if ascending else -F.col("__v"))

@@ -269,3 +269,14 @@ def test_auto_clean_parses_filled_text_dates(spark):
     assert dict(out.dtypes)["when"] == "timestamp_ntz" and dict(out.dtypes)["label"] == "string"
     assert [r.when for r in rows] == [dt.datetime(2024, 1, 2)] * 3 + [dt.datetime(2024, 3, 1)]
     assert len(rows) == 4 and "Parsed date columns" in steps
+
+
+def test_nan_is_missing_for_ranks_counts_modes(spark):
+    pdf = pd.DataFrame({"x": [1.0, np.nan, 1.0, 3.0, np.nan, 2.0]})
+    df = spark.createDataFrame(pdf)
+    got = [r.x_rank for r in X.rank_columns(df.withColumn("i", F.monotonically_increasing_id()), ["x"]).orderBy("i").collect()]
+    want = pdf["x"].rank(ascending=False).tolist()
+    assert [g if g is not None else float("nan") for g in got] == pytest.approx(want, nan_ok=True)
+    info, top = P.value_counts(df, columns=["x"])
+    assert info.first().unique == pdf["x"].nunique() and top.count() == 3
+    assert C.column_modes(df, ["x"])["x"] == 1.0

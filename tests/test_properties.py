@@ -54,3 +54,14 @@ def test_top_k_hot_group(spark, lineitem):
     top = got.where(F.col("g") == "hot").orderBy("rank").select("l_extendedprice").collect()
     want = hot.where(F.col("g") == "hot").orderBy(F.col("l_extendedprice").desc()).limit(4).select("l_extendedprice").collect()
     assert top == want
+
+
+def test_report_index_with_missing_columns(spark):
+    from sparkwright.plans.dashboards import report_chart_index
+
+    df = spark.createDataFrame(
+        [("a", 1.0, None), ("b", None, 3), ("a", 2.0, 4), (None, 5.0, 5)], "cat string, x double, y int"
+    )
+    rows = {r.chart: r.rows for r in report_chart_index(df).collect()}
+    assert rows["missing_values_bar"] == 3 and rows["missing_values_hbar"] == 3
+    assert rows["bar_cat"] == 2 and rows["hist_x"] == 3 and rows["hist_y"] == 3
