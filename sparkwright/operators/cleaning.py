@@ -221,11 +221,35 @@ def clean_column_names(df: DataFrame) -> DataFrame:
     return df.toDF(*dedupe_names([clean_name(c) for c in df.columns]))
 
 
+# Shape of the text each format can parse (a format never parses text of
+# another shape). Parsing tries only the formats of the matching shape, in
+# DATE_FORMATS order, so the first success is the same as trying them all,
+# without the costly failing attempts.
+_D = r"[+-]?[0-9]+"
+DATE_SHAPES = {
+    "yyyy-MM-dd HH:mm:ss.SSSSSS": rf"^{_D}-[0-9]+-[0-9]+ [0-9]+:[0-9]+:[0-9]+\.[0-9]+$",
+    "yyyy-MM-dd HH:mm:ss": rf"^{_D}-[0-9]+-[0-9]+ [0-9]+:[0-9]+:[0-9]+$",
+    "yyyy-MM-dd'T'HH:mm:ss": rf"^{_D}-[0-9]+-[0-9]+T[0-9]+:[0-9]+:[0-9]+$",
+    "yyyy-MM-dd HH:mm": rf"^{_D}-[0-9]+-[0-9]+ [0-9]+:[0-9]+$",
+    "yyyy-MM-dd": rf"^{_D}-[0-9]+-[0-9]+$",
+    "yyyy/MM/dd": rf"^{_D}/[0-9]+/[0-9]+$",
+    "MM/dd/yyyy": rf"^{_D}/[0-9]+/[0-9]+$",
+    "dd.MM.yyyy": rf"^{_D}\.[0-9]+\.[0-9]+$",
+}
+
+
 def parse_timestamp(c) -> "F.Column":
     """First format of ``DATE_FORMATS`` that parses, else null."""
     c = q(c) if isinstance(c, str) else c
     s = strip_ws(c)
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(fmt)) for fmt in DATE_FORMATS]).cast("timestamp_ntz")
+    by_shape: dict[str, list[str]] = {}
+    for fmt in DATE_FORMATS:
+        by_shape.setdefault(DATE_SHAPES[fmt], []).append(fmt)
+    out = None
+    for shape, fmts in by_shape.items():
+        parsed = F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in fmts]) if len(fmts) > 1 else F.try_to_timestamp(s, F.lit(fmts[0]))
+        out = F.when(s.rlike(shape), parsed) if out is None else out.when(s.rlike(shape), parsed)
+    return out.cast("timestamp_ntz")
 
 
 def autoparse_dates(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -280,3 +280,17 @@ def test_nan_is_missing_for_ranks_counts_modes(spark):
     info, top = P.value_counts(df, columns=["x"])
     assert info.first().unique == pdf["x"].nunique() and top.count() == 3
     assert C.column_modes(df, ["x"])["x"] == 1.0
+
+
+def test_parse_timestamp_shape_dispatch_equals_trying_all_formats(spark):
+    vals = [
+        "2024-01-02", "2024-01-02 03:04", "2024-01-02 03:04:05", "2024-01-02T03:04:05", "2024-01-02 03:04:05.123456",
+        "2024/01/02", "01/02/2024", "02.01.2024", " 2024-01-02\t", "x", "2024-13-45", "1/2/2024", "+2024-01-02",
+        "2024-1-2", "", None, "12/31/1999", "31.12.1999",
+    ]
+    df = spark.createDataFrame([(v,) for v in vals], "s string")
+    s = F.trim(F.col("s"), F.lit(" \t\n\x0b\x0c\r"))
+    every = F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in C.DATE_FORMATS]).cast("timestamp_ntz")
+    rows = df.select(C.parse_timestamp("s").alias("a"), every.alias("b")).collect()
+    assert all(r.a == r.b for r in rows)
+    assert sum(r.a is not None for r in rows) == 12
