@@ -40,3 +40,10 @@ def safe_ratio(num: str | Column, den: str | Column) -> Column:
     num = F.col(num) if isinstance(num, str) else num
     den = F.col(den) if isinstance(den, str) else den
     return F.coalesce(F.try_divide(num.cast("double"), F.nullif(den.cast("double"), F.lit(0.0))), F.lit(0.0))
+
+
+def number_like(s: Column) -> Column:
+    """Cheap necessary condition for a (stripped) text to cast to a number: it
+    has a digit or is a nan / inf / infinity literal. Skipping the cast for the
+    rest avoids costly failing parses and changes no result."""
+    return s.rlike("[0-9]") | s.rlike("(?i)^[+-]?(nan|inf|infinity)$")

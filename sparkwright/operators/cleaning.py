@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..columns import DATE_TYPES, NUMERIC_TYPES, categorical_columns, is_missing, numeric_columns, value_or_null
+from ..functions.numeric import number_like
 from ..functions.text import strip_ws
 from . import prefix
 from .quantiles import column_quantiles
@@ -297,7 +298,8 @@ def auto_clean(df: DataFrame, order_by: list[str] | None = None, materialize: bo
 def numeric_text(c) -> "F.Column":
     """Text to number after removing thousands separators and outer blanks."""
     c = q(c) if isinstance(c, str) else c
-    return (strip_ws(F.regexp_replace(c.cast("string"), ",", ""))).try_cast("double")
+    t = strip_ws(F.regexp_replace(c.cast("string"), ",", ""))
+    return F.when(number_like(t), t.try_cast("double"))
 
 
 def coerce_numeric_majority(df: DataFrame) -> DataFrame:

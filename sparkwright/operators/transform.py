@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..columns import categorical_columns, numeric_columns, value_or_null
+from ..functions.numeric import number_like
 from ..functions.text import strip_ws
 from . import prefix
 from .cleaning import parse_timestamp, q
@@ -88,8 +89,8 @@ def convert_dtypes(df: DataFrame) -> DataFrame:
     cols = categorical_columns(df)
     if not cols:
         return df
-    num = {c: (strip_ws(q(c))).try_cast("double") for c in cols}
-    integral = {c: (strip_ws(q(c))).try_cast("bigint") for c in cols}
+    num = {c: F.when(number_like(strip_ws(q(c))), strip_ws(q(c)).try_cast("double")) for c in cols}
+    integral = {c: F.when(strip_ws(q(c)).rlike("[0-9]"), strip_ws(q(c)).try_cast("bigint")) for c in cols}
     row = df.select(
         F.count(F.lit(1)).alias("__n"),
         *[F.count(q(c)).alias("n_" + c) for c in cols],

@@ -294,3 +294,13 @@ def test_parse_timestamp_shape_dispatch_equals_trying_all_formats(spark):
     rows = df.select(C.parse_timestamp("s").alias("a"), every.alias("b")).collect()
     assert all(r.a == r.b for r in rows)
     assert sum(r.a is not None for r in rows) == 11
+
+
+def test_number_like_never_drops_castable_text(spark):
+    from sparkwright.functions.numeric import number_like
+
+    vals = ["NaN", "-Infinity", "+inf", "INF", " nan ", "1e3", ".5", "-7", "1,0", "x", "", "e", "1-URGENT", "0x1p3", "3d"]
+    df = spark.createDataFrame([(v,) for v in vals], "v string")
+    s = F.trim(F.col("v"), F.lit(" \t\n\x0b\x0c\r"))
+    rows = df.select(s.try_cast("double").alias("d"), number_like(s).alias("ok")).collect()
+    assert all(r.ok for r in rows if r.d is not None)
