@@ -9,6 +9,7 @@ from ..columns import is_missing, numeric_columns
 from ..functions.stats import pct
 from .cleaning import q
 from .quantiles import column_quantiles
+from .topk import top_k_per_group
 
 
 def check_duplicates(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
@@ -160,11 +161,9 @@ def detect_anomalies(df: DataFrame, columns: list[str] | None = None, order_by:
     summary = counted.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").where(F.col("anomaly_count") > 0)
     rows = None
     if order_by:
-        parts = []
-        for c, cond in conds.items():
-            top = df.where(cond).select(*[q(o) for o in order_by]).orderBy(*order_by).limit(limit)
-            parts.append(top.select(F.lit(c).alias("column"), *order_by))
-        rows = parts[0]
-        for p in parts[1:]:
-            rows = rows.unionByName(p)
+        # one scan: each row emits the columns it is anomalous in, then the
+        # first ``limit`` order keys per column (salted top-k, bounded)
+        flags = F.filter(F.array(*[F.when(cond, F.lit(c)) for c, cond in conds.items()]), lambda x: x.isNotNull())
+        hits = df.select(*[q(o) for o in order_by], F.explode(flags).alias("column"))
+        rows = top_k_per_group(hits, ["column"], [F.col(o) for o in order_by], limit, rank_col="__r").select("column", *order_by)
     return summary, rows
