@@ -251,16 +251,20 @@ def rank_columns(df: DataFrame, columns: list[str], **kw) -> DataFrame:
     return average_ranks(df, columns, **kw)
 
 
-def equal_width_edges(df: DataFrame, column: str, bins: int) -> tuple[float, float, float]:
-    """(min, max, width) of pandas ``cut`` equal-width bins (constant columns widened)."""
+def equal_width_edges(df: DataFrame, column: str, bins: int) -> tuple[float, float, float, float]:
+    """(min, max, width, lowest edge) of pandas ``cut`` equal-width bins: a
+    constant column is widened by 0.1 % of its value at both ends; otherwise
+    the lowest edge is lowered by 0.1 % of the range."""
     row = df.select(F.min(q(column)).cast("double").alias("a"), F.max(q(column)).cast("double").alias("b")).first()
     a, b = row["a"], row["b"]
     if a is None:
-        return None, None, None
+        return None, None, None, None
     if a == b:
-        d = 0.001 * abs(a) if a != 0 else 0.001
-        a, b = a - d, b + d
-    return a, b, (b - a) / bins
+        da = 0.001 * abs(a) if a != 0 else 0.001
+        db = 0.001 * abs(b) if b != 0 else 0.001
+        a, b = a - da, b + db
+        return a, b, (b - a) / bins, a
+    return a, b, (b - a) / bins, a - (b - a) * 0.001
 
 
 def create_bins(
@@ -271,12 +275,12 @@ def create_bins(
     Adds ``<col>_binned`` (label, or ``(lower, upper]`` text) and
     ``<col>_bin`` = struct(bin_index, lower, upper)."""
     name = name or f"{column}_binned"
-    a, b, w = equal_width_edges(df, column, bins)
+    a, b, w, low = equal_width_edges(df, column, bins)
     if a is None:
         return df.withColumn(name, F.lit(None).cast("string"))
     x = q(column).cast("double")
     idx = F.least(F.lit(bins), F.greatest(F.lit(1), F.ceil((x - F.lit(a)) / F.lit(w)))).cast("int")
-    lower = F.when(idx == 1, F.lit(a - (b - a) * 0.001)).otherwise(F.lit(a) + (idx - 1) * F.lit(w))
+    lower = F.when(idx == 1, F.lit(low)).otherwise(F.lit(a) + (idx - 1) * F.lit(w))
     upper = F.lit(a) + idx * F.lit(w)
     if labels:
         if len(labels) != bins:

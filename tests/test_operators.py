@@ -304,3 +304,15 @@ def test_number_like_never_drops_castable_text(spark):
     s = F.trim(F.col("v"), F.lit(" \t\n\x0b\x0c\r"))
     rows = df.select(s.try_cast("double").alias("d"), number_like(s).alias("ok")).collect()
     assert all(r.ok for r in rows if r.d is not None)
+
+
+def test_bins_edges_match_pandas_including_constant(spark):
+    for vals in ([1.0, 2.0, 2.5, 4.0, 7.0, 10.0], [5.0, 5.0, 5.0], [0.0, 0.0]):
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, x double")
+        rows = X.create_bins(df, "x", 3).orderBy("i").collect()
+        _, edges = pd.cut(pd.Series(vals), bins=3, retbins=True)
+        codes = pd.cut(pd.Series(vals), bins=3, labels=False).tolist()
+        for r, code in zip(rows, codes):
+            assert r["x_bin"]["bin_index"] == code + 1
+            assert r["x_bin"]["lower"] == pytest.approx(edges[code], rel=1e-12, abs=1e-12)
+            assert r["x_bin"]["upper"] == pytest.approx(edges[code + 1], rel=1e-12, abs=1e-12)
