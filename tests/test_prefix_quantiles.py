@@ -107,3 +107,26 @@ def test_top_k_per_group_matches_row_number(orders):
     w = W.partitionBy("o_orderstatus").orderBy(F.col("o_custkey").desc(), F.col("o_orderkey"))
     ref = orders.withColumn("rank", F.row_number().over(w)).where("rank <= 5")
     assert sorted(got.select("o_orderkey", "rank").collect()) == sorted(ref.select("o_orderkey", "rank").collect())
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_asof_join_matches_pandas_merge_asof(spark, strict):
+    import pandas as pd
+
+    from sparkwright.operators.asof import asof_join
+
+    rng = np.random.default_rng(4)
+    left = pd.DataFrame({"k": rng.integers(0, 5, 400), "t": rng.integers(0, 1000, 400), "lid": np.arange(400)})
+    right = pd.DataFrame({"k": rng.integers(0, 5, 120), "t": rng.integers(0, 1000, 120)})
+    right = right.drop_duplicates(["k", "t"]).reset_index(drop=True)
+    right["rid"] = np.arange(len(right))
+    want = pd.merge_asof(
+        left.sort_values("t"), right.rename(columns={"t": "rt"}).sort_values("rt"), left_on="t", right_on="rt",
+        by="k", direction="backward", allow_exact_matches=not strict,
+    )
+    l = spark.createDataFrame(left)
+    r = spark.createDataFrame(right.rename(columns={"t": "rt"}))
+    got = asof_join(l, r, ["k"], "t", "rt", ["rid", "rt"], strict=strict, rows_per_bucket=50).toPandas()
+    m = got.set_index("lid")["rid"]
+    w = want.set_index("lid")["rid"]
+    assert all((pd.isna(m[i]) and pd.isna(w[i])) or m[i] == w[i] for i in left["lid"])
