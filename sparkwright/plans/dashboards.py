@@ -61,8 +61,8 @@ class OnePass:
         aggs = [F.count(F.lit(1)).alias("__n")]
         for m, i in self.idx.items():
             aggs += [
-                F.sum(q(m)).alias(f"s{i}"), F.avg(q(m)).alias(f"a{i}"), F.min(q(m)).alias(f"lo{i}"), F.max(q(m)).alias(f"hi{i}"),
-                F.count(q(m)).alias(f"c{i}"),
+                F.sum(q(m)).alias(f"__s{i}"), F.avg(q(m)).alias(f"__a{i}"), F.min(q(m)).alias(f"__lo{i}"), F.max(q(m)).alias(f"__hi{i}"),
+                F.count(q(m)).alias(f"__c{i}"),
             ]
         base = df.select(*[q(c) for c in df.columns], *bin_exprs)
         unique = {tuple(v): list(v) for v in sets.values()}
@@ -83,20 +83,20 @@ class OnePass:
         return self.grouped.where(self.membership(name))
 
     def sum(self, m: str) -> Column:
-        return F.coalesce(F.col(f"s{self.idx[m]}"), F.lit(0))
+        return F.coalesce(F.col(f"__s{self.idx[m]}"), F.lit(0))
 
     def mean(self, m: str) -> Column:
-        return F.col(f"a{self.idx[m]}")
+        return F.col(f"__a{self.idx[m]}")
 
     def count(self, m: str) -> Column:
-        return F.col(f"c{self.idx[m]}")
+        return F.col(f"__c{self.idx[m]}")
 
     def kpi(self, metrics: list[str]) -> DataFrame:
         """KPI cards (sum, mean, min, max) from the grand-total grouping."""
         tot = self.part("all")
         rows = [
-            tot.select(F.lit(m).alias("metric"), F.col(f"s{self.idx[m]}").cast("double").alias("sum"), self.mean(m).alias("mean"),
-                       F.col(f"lo{self.idx[m]}").cast("double").alias("min"), F.col(f"hi{self.idx[m]}").cast("double").alias("max"))
+            tot.select(F.lit(m).alias("metric"), F.col(f"__s{self.idx[m]}").cast("double").alias("sum"), self.mean(m).alias("mean"),
+                       F.col(f"__lo{self.idx[m]}").cast("double").alias("min"), F.col(f"__hi{self.idx[m]}").cast("double").alias("max"))
             for m in metrics
         ]
         return long("kpi", _union(rows), "metric", ["sum", "mean", "min", "max"])

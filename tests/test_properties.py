@@ -65,3 +65,24 @@ def test_report_index_with_missing_columns(spark):
     rows = {r.chart: r.rows for r in report_chart_index(df).collect()}
     assert rows["missing_values_bar"] == 3 and rows["missing_values_hbar"] == 3
     assert rows["bar_cat"] == 2 and rows["hist_x"] == 3 and rows["hist_y"] == 3
+
+
+def test_one_pass_dashboard_handles_null_keys(spark):
+    import datetime as dt
+
+    from sparkwright.plans.dashboards import comprehensive_dashboard
+
+    d1, d2 = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2)
+    rows = [("a", "x", 1.0, d1), ("a", None, 2.0, d1), (None, "x", 4.0, d2), ("b", "y", 8.0, None), (None, None, 16.0, d2)]
+    df = spark.createDataFrame(rows, "c0 string, c1 string, v double, d timestamp_ntz")
+    out = comprehensive_dashboard(df, ["v"], ["c0", "c1"], ["d"])
+    got = {(r.chart, r.series, r.x): r.y for r in out.collect()}
+    # value counts and sums drop null keys; pairs need both keys
+    assert got[("bar_c0", "count", "a")] == 2 and ("bar_c0", "count", None) not in got
+    assert got[("sum_v_by_c0", "v", "a")] == 3.0 and got[("sum_v_by_c0", "v", "b")] == 8.0
+    assert got[("grouped_bar", "x", "a")] == 1.0 and len([k for k in got if k[0] == "grouped_bar"]) == 2
+    # date line drops the null date; KPI uses every row
+    assert got[("line_v", "v", "2024-01-01 00:00:00")] == 3.0 and got[("line_v", "v", "2024-01-02 00:00:00")] == 20.0
+    assert len([k for k in got if k[0] == "line_v"]) == 2
+    assert got[("kpi", "sum", "v")] == 31.0 and got[("kpi", "max", "v")] == 16.0
+    assert sum(v for k, v in got.items() if k[0] == "hist_v") == 5
