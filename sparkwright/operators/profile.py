@@ -204,20 +204,22 @@ def infer_schema(df: DataFrame, order_by: list[str] | None = None, samples: int
     min / max for numeric columns."""
     cols = df.columns
     nums = set(numeric_columns(df, include_bool=False))
+    # internal names are reserved so an order column may be called anything
+    order = [f"__o{i}" for i in range(len(order_by or []))]
     long = df.select(
-        *[q(o) for o in (order_by or [])],
-        F.explode(F.array(*[F.struct(F.lit(c).alias("column"), value_or_null(df, c).cast("string").alias("value")) for c in cols])).alias("p"),
-    ).select(*(order_by or []), "p.column", "p.value").where(F.col("value").isNotNull())
+        *[q(o).alias(a) for o, a in zip(order_by or [], order)],
+        F.explode(F.array(*[F.struct(F.lit(c).alias("k"), value_or_null(df, c).cast("string").alias("v")) for c in cols])).alias("__p"),
+    ).select(*order, F.col("__p.k").alias("__column"), F.col("__p.v").alias("__value")).where(F.col("__value").isNotNull())
     # one distinct (column, value) table feeds both the unique counts and, without
     # an order key, the samples (the same exchange is reused in the plan)
-    dv = long.select("column", "value").distinct()
-    uniq = dv.groupBy("column").agg(F.count(F.lit(1)).alias("unique_count"))
+    dv = long.select("__column", "__value").distinct()
+    uniq = dv.groupBy("__column").agg(F.count(F.lit(1)).alias("unique_count")).withColumnRenamed("__column", "column")
     if order_by:
-        smp = top_k_per_group(long, ["column"], [F.col(o) for o in order_by], samples, rank_col="__r")
+        smp = top_k_per_group(long, ["__column"], [F.col(o) for o in order], samples, rank_col="__r")
     else:
-        smp = top_k_per_group(dv, ["column"], [F.col("value")], samples, rank_col="__r")
-    smp = smp.groupBy("column").agg(F.sort_array(F.collect_list(F.struct("__r", "value"))).alias("__s"))
-    smp = smp.select("column", F.transform("__s", lambda s: s["value"]).alias("sample_values"))
+        smp = top_k_per_group(dv, ["__column"], [F.col("__value")], samples, rank_col="__r")
+    smp = smp.groupBy("__column").agg(F.sort_array(F.collect_list(F.struct("__r", "__value"))).alias("__s"))
+    smp = smp.select(F.col("__column").alias("column"), F.transform("__s", lambda s: s["__value"]).alias("sample_values"))
     stats = df.select(
         F.count(F.lit(1)).alias("__n"),
         *[F.count(q(c)).alias(f"n{i}") for i, c in enumerate(cols)],

@@ -316,3 +316,10 @@ def test_bins_edges_match_pandas_including_constant(spark):
             assert r["x_bin"]["bin_index"] == code + 1
             assert r["x_bin"]["lower"] == pytest.approx(edges[code], rel=1e-12, abs=1e-12)
             assert r["x_bin"]["upper"] == pytest.approx(edges[code + 1], rel=1e-12, abs=1e-12)
+
+
+def test_infer_schema_order_column_named_like_internals(spark):
+    df = spark.createDataFrame([(2, "b", 1.0), (1, "a", None), (3, "c", 3.0)], "column int, value string, x double")
+    rows = {r.column: r for r in P.infer_schema(df, order_by=["column"]).collect()}
+    assert rows["value"].sample_values == ["a", "b", "c"] and rows["x"].null_count == 1
+    assert rows["column"].unique_count == 3 and rows["x"].sample_values == ["1.0", "3.0"]
