@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from .common import connected_components, cut, group_bounds, key_groups, python_tasks, shared_keys, tiles, unite
 
@@ -138,8 +139,8 @@ def near_duplicates(
             )
             yield pa.RecordBatch.from_arrays([*b.columns, codes], names=[*b.schema.names, "codes"])
 
-    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema)
-    nodes = cut(python_tasks(nodes, code, f"{kind}, codes array<int>"))
+    kind = StructType([*nodes.schema.fields, StructField("codes", ArrayType(IntegerType()))])
+    nodes = cut(python_tasks(nodes, code, kind))
 
     keyed = nodes.select(
         "node", "label", F.size("vector").alias("dim"), F.posexplode("codes").alias("band", "code")

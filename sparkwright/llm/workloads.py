@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, simhash
+from . import embeddings, simhash, substring
 from .common import table
 
 QUERIES = {}
@@ -59,3 +59,9 @@ FROM comp c
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
     return found.withColumnRenamed("component", "component_id")
+
+
+@query("op8_substring_dedup")
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc.doc_id", "n_words", "n_removed", "kept_sha256")
