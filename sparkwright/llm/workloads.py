@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, simhash, substring
+from . import embeddings, lines, rules, simhash, substring
 from .common import table
 
 QUERIES = {}
@@ -65,3 +65,38 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc.doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+RULES_COLUMNS = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept".split()
+
+
+@query("op7_quality_rules")
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(table(spark, sf_dir, "documents")).select(*RULES_COLUMNS)
+
+
+# 10: lines.MIN_SITES, stated apart from the code it checks.
+LINES_SQL = r"""
+WITH line AS (
+  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
+         generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM documents
+), worded AS (
+  SELECT doc_id, source, pos, line, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM line
+), boiler AS (
+  SELECT body, min({'d': doc_id, 'p': pos}) AS first FROM worded WHERE body <> ''
+  GROUP BY body HAVING count(DISTINCT source) >= 10
+), judged AS (
+  SELECT w.doc_id, w.pos, w.line, b.body IS NOT NULL AND {'d': w.doc_id, 'p': w.pos} <> b.first AS gone
+  FROM worded w LEFT JOIN boiler b ON w.body = b.body
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS text_sha256
+FROM judged GROUP BY doc_id
+"""
+
+
+@query("op9_line_dedup", LINES_SQL)
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.remove_boilerplate(table(spark, sf_dir, "documents"))
+    return found.select("doc.doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
