@@ -33,7 +33,7 @@ from .common import key_groups, python_tasks, utf8
 WINDOW = 35
 K = 8
 #: Bytes of text handled at once (a longer text is handled alone).
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -155,7 +155,7 @@ def _settle(b: pa.RecordBatch, h: np.ndarray, c: np.ndarray, doc: np.ndarray, pl
 
 
 def _meet(rows: DataFrame, name: str) -> DataFrame:
-    """Runs (a, b) per document of the values found at two coordinates."""
+    """Runs (a << 32 | b) per document of the values found at two coordinates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in key_groups(batches, ["h", "c"]):
@@ -165,10 +165,12 @@ def _meet(rows: DataFrame, name: str) -> DataFrame:
             at = np.flatnonzero(new)
             total = np.repeat(np.add.reduceat(w, at), np.diff(np.append(at, len(h))))
             found = (w == 0) | ((w == 1) & (total > 1))
-            yield from t.select(["i", "x", "a", "b"]).filter(pa.array(found)).combine_chunks().to_batches()
+            a, b = (t.column(k).to_numpy()[found].astype(np.int64) for k in ("a", "b"))
+            t = t.select(["i", "x"]).filter(pa.array(found)).append_column("run", pa.array(a << 32 | b))
+            yield from t.combine_chunks().to_batches()
 
-    met = python_tasks(rows.repartition("h", "c").sortWithinPartitions("h", "c"), run, "i long, x int, a int, b int")
-    return met.groupBy("i", "x").agg(F.collect_list(F.struct("a", "b")).alias(name))
+    met = python_tasks(rows.repartition("h", "c").sortWithinPartitions("h", "c"), run, "i long, x int, run long")
+    return met.groupBy("i", "x").agg(F.collect_list("run").alias(name))
 
 
 def _mask(words: Words, b: pa.RecordBatch, name: str, reach: int = 1) -> np.ndarray:
@@ -176,11 +178,11 @@ def _mask(words: Words, b: pa.RecordBatch, name: str, reach: int = 1) -> np.ndar
     by ``reach`` - 1 words."""
     runs = b.column(name)
     count = pc.fill_null(pc.list_value_length(runs), 0).to_numpy(zero_copy_only=False)
-    flat = runs.flatten()
+    flat = runs.flatten().to_numpy()
     base = np.repeat(words.first[:-1], count)
     change = np.zeros(len(words.hash) + 1, np.int64)
-    np.add.at(change, base + flat.field(0).to_numpy(), 1)
-    np.add.at(change, base + flat.field(1).to_numpy() + reach, -1)
+    np.add.at(change, base + (flat >> 32), 1)
+    np.add.at(change, base + (flat & 0xFFFFFFFF) + reach, -1)
     return np.cumsum(change)[:-1] > 0
 
 

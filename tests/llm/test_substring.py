@@ -34,7 +34,7 @@ def test_query_equals_brute_force(spark):
     assert got == brute(list(documents().items()))
 
 
-@pytest.mark.parametrize("seed,batch", [(1, 4 << 20), (2, 900)])
+@pytest.mark.parametrize("seed,batch", [(1, 1 << 20), (2, 900)])
 def test_planted_passages(spark, monkeypatch, seed, batch):
     monkeypatch.setattr(substring, "BATCH_BYTES", batch)
     rng = random.Random(seed)
