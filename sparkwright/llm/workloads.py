@@ -3,10 +3,11 @@ with their DuckDB SQL where SQL can express them."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, lines, rules, simhash, substring
+from . import bpe, embeddings, lines, rules, simhash, substring
 from .common import table
 
 QUERIES = {}
@@ -100,3 +101,8 @@ FROM judged GROUP BY doc_id
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.remove_boilerplate(table(spark, sf_dir, "documents"))
     return found.select("doc.doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("op1_bpe")
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
