@@ -8,7 +8,7 @@ smallest hash, so two equal windows keep the same edge and about one edge in
 1. edges seen at least twice in the corpus are joined back to their documents;
 2. consecutive repeated edges of a document compact into paths: the windows
    that keep a repeated edge. Only these windows can repeat;
-3. the windows of the paths meet by a 128-bit hash of all their words with
+3. the windows of the paths meet by a 96-bit hash of all their words with
    their source coordinates (document, word number); those found at a second
    coordinate are verified, and their words are removed.
 
@@ -33,7 +33,7 @@ from .common import key_groups, python_tasks, utf8
 WINDOW = 35
 K = 8
 #: Bytes of text handled at once (a longer text is handled alone).
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 2 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -116,13 +116,16 @@ def _slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordB
             at = end
 
 
-_MOVED = "h long, c long, w int, i long, x int, a int, b int"
+#: run: a << 32 | b for the places a..b of one value, its complement if they
+#: are settled, _SEEN for a value that its batch has seen twice.
+_MOVED = "h long, c int, i long, x int, run long"
+_SEEN = -(1 << 63)
 
 
 def _settle(b: pa.RecordBatch, h: np.ndarray, c: np.ndarray, doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
     """Rows to move for the values (h, c) at (doc, place) of one batch, places
-    ascending: a value seen twice here has weight 2 and its places are settled
-    (weight 0, as runs a..b); one seen once has weight 1 and wants an answer."""
+    ascending: a value seen twice here moves as one row without a place and
+    its places are settled, as runs; one seen once wants an answer."""
     order = np.lexsort((c, h))
     new = np.ones(len(h), bool)
     new[1:] = (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1])
@@ -135,22 +138,19 @@ def _settle(b: pa.RecordBatch, h: np.ndarray, c: np.ndarray, doc: np.ndarray, pl
     breaks[1:] = (d[1:] != d[:-1]) | (p[1:] != p[:-1] + 1)
     start = np.flatnonzero(breaks)
     end = np.append(start[1:], len(d))[: len(start)] - 1
-    of = np.concatenate([doc[first], d[start]])
-    low = np.concatenate([place[first], p[start]])
-    high = np.concatenate([place[first], p[end]])
-    runs = len(start)
-    spread = _mix((of.astype(np.uint64) << np.uint64(32)) + low.astype(np.uint64))[len(first) :]
+    runs, many = len(start), count > 1
+    of = np.concatenate([np.where(many, 0, doc[first]), d[start]])
+    spread = _mix((d[start].astype(np.uint64) << np.uint64(32)) + p[start].astype(np.uint64))
+    single = np.where(many, _SEEN, place[first] << 32 | place[first])
     return pa.RecordBatch.from_arrays(
         [
             pa.array(np.concatenate([h[first], spread]).view(np.int64)),
-            pa.array(np.concatenate([c[first], np.zeros(runs, np.uint64)]).view(np.int64)),
-            pa.array(np.concatenate([np.minimum(count, 2), np.zeros(runs, np.int64)]).astype(np.int32)),
+            pa.array(np.concatenate([c[first], np.zeros(runs, np.uint64)]).astype(np.uint32).view(np.int32)),
             b.column("i").take(pa.array(of)),
             b.column("x").take(pa.array(of)),
-            pa.array(low.astype(np.int32)),
-            pa.array(high.astype(np.int32)),
+            pa.array(np.concatenate([single, ~(p[start] << 32 | p[end])])),
         ],
-        names=["h", "c", "w", "i", "x", "a", "b"],
+        names=["h", "c", "i", "x", "run"],
     )
 
 
@@ -159,14 +159,15 @@ def _meet(rows: DataFrame, name: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in key_groups(batches, ["h", "c"]):
-            h, c, w = (t.column(k).to_numpy() for k in ("h", "c", "w"))
+            h, c, run_ = (t.column(k).to_numpy() for k in ("h", "c", "run"))
+            w = np.where(run_ >= 0, 1, np.where(run_ == _SEEN, 2, 0))
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
             at = np.flatnonzero(new)
             total = np.repeat(np.add.reduceat(w, at), np.diff(np.append(at, len(h))))
             found = (w == 0) | ((w == 1) & (total > 1))
-            a, b = (t.column(k).to_numpy()[found].astype(np.int64) for k in ("a", "b"))
-            t = t.select(["i", "x"]).filter(pa.array(found)).append_column("run", pa.array(a << 32 | b))
+            places = np.where(w == 0, ~run_, run_)[found]
+            t = t.select(["i", "x"]).filter(pa.array(found)).append_column("run", pa.array(places))
             yield from t.combine_chunks().to_batches()
 
     met = python_tasks(rows.repartition("h", "c").sortWithinPartitions("h", "c"), run, "i long, x int, run long")
