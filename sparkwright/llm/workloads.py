@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, lines, packing, rules, simhash, substring
+from . import bpe, embeddings, lines, packing, quality, rules, simhash, substring, toxicity
 from .common import table
 
 QUERIES = {}
@@ -111,3 +111,15 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_best_fit_packing")
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rated = toxicity.rate(docs, table(spark, sf_dir, "labels"))
+    return rated.select("doc.doc_id", "severity", "grade", "rejected")
+
+
+@query("op4_quality_classifier")
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
