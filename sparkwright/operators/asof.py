@@ -23,8 +23,15 @@ def asof_join(
     **kw,
 ) -> DataFrame:
     """Left rows with ``right_cols`` of the matched right row (null when none).
-    ``strict`` requires ``right.ts < left.ts``."""
+    ``strict`` requires ``right.ts < left.ts``. A null key or time matches
+    nothing, as in SQL: such left rows go around the fill, such right rows go."""
     lcols = left.columns
+    known = F.lit(True)
+    for k in on:
+        known = known & F.col(k).isNotNull()
+    outside = left.where(~(known & F.col(left_ts).isNotNull()))
+    left = left.where(known & F.col(left_ts).isNotNull())
+    right = right.where(known & F.col(right_ts).isNotNull())
     side_l = 0 if strict else 1  # at equal time right rows sort first unless strict
     l = left.select(
         *[F.col(k).alias("__k_" + k) for k in on],
@@ -43,4 +50,6 @@ def asof_join(
     both = l.unionByName(r)
     filled = prefix.running(both, {"__m": ("last", "__r")}, ["__t", "__side"], ["__k_" + k for k in on], **kw)
     out = filled.where(F.col("__l").isNotNull())
-    return out.select(*[F.col("__l").getField(c).alias(c) for c in lcols], *[F.col("__m").getField(c).alias(c) for c in right_cols])
+    matched = out.select(*[F.col("__l").getField(c).alias(c) for c in lcols], *[F.col("__m").getField(c).alias(c) for c in right_cols])
+    nothing = [F.lit(None).cast(right.schema[c].dataType).alias(c) for c in right_cols]
+    return matched.union(outside.select(*lcols, *nothing))

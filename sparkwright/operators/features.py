@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..columns import DATE_TYPES, FLOAT_TYPES, NUMERIC_TYPES
+from ..columns import DATE_TYPES, FLOAT_TYPES, NUMERIC_TYPES, value_or_null
 from ..functions.numeric import safe_ratio
 from . import prefix
 from .cleaning import parse_timestamp, q
@@ -105,7 +105,8 @@ def generate_features(
 
         def build(w):
             fr = w.rowsBetween(-2, 0)
-            return {f"{c}_rolling_avg_3": F.when(F.count(q(c)).over(fr) >= 3, F.avg(q(c)).over(fr)) for c in nums}
+            x = {c: value_or_null(df, c) for c in nums}
+            return {f"{c}_rolling_avg_3": F.when(F.count(x[c]).over(fr) >= 3, F.avg(x[c]).over(fr)) for c in nums}
 
         df = prefix.sliding(df, build, order_by, back=2, **kw)
         for c in nums:

@@ -2,13 +2,17 @@
 without pulling a whole table -- or a whole hot group -- into one task.
 
 ``Window.orderBy(k)`` without a partition key sends every row to one task.
-Instead rows are cut into *range buckets* on the first order column (bounds
-from one ``percentile_approx`` job, so a bucket id is a deterministic function
-of the row and recomputation after an executor loss gives the same answer):
-
-* windows run partitioned by ``(group..., bucket)``; every such partition holds
-  at most about ``rows_per_bucket`` rows, even when one group holds a third of
-  the table;
+Instead rows are cut into *range buckets* along the whole order tuple:
+
+* an over-full bucket is split at quantiles of its next order part; a value
+  that is a bound gets a bucket of its own, and if that one is still over-full
+  (a hot date, say) it is split on the next order column. Nulls sort first and
+  form the first bucket. Text is split by its bytes, six at a time;
+* the bounds are fetched once and are literals from then on, so a bucket is a
+  deterministic function of the row and a recomputed task gives the same
+  answer. They are bounded by the number of buckets, ``rows / rows_per_bucket``;
+* windows run partitioned by ``(group..., bucket)``; only rows that agree in
+  all their order columns can keep a bucket over-full;
 * running aggregates add a *carry*: the aggregate of all earlier buckets of the
   same group, computed from a per-bucket ``groupBy`` and a tiny window over
   bucket rows;
@@ -16,100 +20,152 @@ of the row and recomputation after an executor loss gives the same answer):
   except for its first / last ``k`` rows; those heads and tails (at most
   ``2k`` per bucket) are re-evaluated in one small window ordered by
   ``(bucket, position)`` and patched back with a join.
+
+A null group is a group like others, and NaN is missing, at every size.
 """
 
 from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..columns import value_or_null
+
 BUCKET = "__bkt"
 POS = "__pos"
 CNT = "__cnt"
 
 DEFAULT_ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 200_000
+#: Parts that an over-full bucket is cut into at once.
+FAN = 64
+#: Groups of six bytes by which text is split.
+TEXT_PARTS = 10
+
+
+def _names(order_by) -> list:
+    return list(order_by) if isinstance(order_by, (list, tuple)) else [order_by]
 
 
 def _order_cols(order_by) -> list[Column]:
-    out = []
-    for o in order_by if isinstance(order_by, (list, tuple)) else [order_by]:
-        out.append(F.col(o) if isinstance(o, str) else o)
-    return out
+    return [F.col(o) if isinstance(o, str) else o for o in _names(order_by)]
 
 
-def _first_name(order_by) -> str:
-    first = order_by[0] if isinstance(order_by, (list, tuple)) else order_by
+def _parts(df: DataFrame, order_by) -> tuple[list[Column], list[int], list[Column]]:
+    """Numeric parts of the order tuple, most significant first: each is exact
+    or the last of its column. Also the column number of each part, and a hash
+    of each column that tells whether a bucket is constant in it."""
+    first = _names(order_by)[0]
     if not isinstance(first, str):
         raise TypeError("the first order_by entry must be a column name (ascending)")
-    return first
-
-
-def _as_double(df: DataFrame, name: str) -> Column:
-    dt = df.schema[name].dataType
-    c = F.col(name)
-    if isinstance(dt, T.DateType):
-        return F.unix_date(c).cast("double")
-    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
-    return c.cast("double")
-
-
-def _tree(key: Column, bounds: list, lo: int, hi: int) -> Column:
-    """Bucket index of ``key`` among sorted ``bounds[lo:hi]`` by a balanced
-    comparison tree (log2 comparisons per row)."""
-    if lo >= hi:
-        return F.lit(float(lo))
-    mid = (lo + hi) // 2
-    return F.when(key <= F.lit(bounds[mid]), _tree(key, bounds, lo, mid)).otherwise(_tree(key, bounds, mid + 1, hi))
+    parts, of, hashes = [], [], []
+    low, high = F.lit(-float("inf")), F.lit(float("inf"))
+    for k, name in enumerate(_names(order_by)):
+        if not isinstance(name, str):
+            break
+        dt, c = df.schema[name].dataType, F.col(name)
+        if isinstance(dt, T.StringType):
+            raw = c.cast("binary")
+            own = [
+                F.conv(F.rpad(F.hex(F.substring(raw, 6 * i + 1, 6)), 12, "0"), 16, 10).cast("double") for i in range(TEXT_PARTS)
+            ]
+        elif isinstance(dt, (T.TimestampType, T.LongType)):
+            whole = F.unix_micros(c) if isinstance(dt, T.TimestampType) else c
+            own = [F.shiftright(whole, 32).cast("double"), whole.bitwiseAND(F.lit(0xFFFFFFFF)).cast("double")]
+        elif isinstance(dt, T.TimestampNTZType):  # no zone: by day, then by time of day
+            seconds = F.hour(c) * 3600 + F.minute(c) * 60 + F.extract(F.lit("SECOND"), c).cast("double")
+            own = [F.unix_date(c.cast("date")).cast("double"), seconds]
+        elif isinstance(dt, T.DateType):
+            own = [F.unix_date(c).cast("double")]
+        elif isinstance(dt, (T.NumericType, T.BooleanType)):
+            own = [c.cast("double")]
+        else:
+            break  # no numeric form: rows beyond this column share a bucket
+        parts += [F.when(c.isNull(), low).when(F.isnan(p), high).otherwise(p) for p in own]
+        of += [k] * len(own)
+        hashes.append(F.xxhash64(c))
+    if not parts:
+        raise TypeError(f"cannot order by {first} of type {df.schema[first].dataType.simpleString()}")
+    return parts, of, hashes
 
 
 def add_buckets(df: DataFrame, order_by, **kw) -> DataFrame:
-    """Append ``__bkt``: range bucket of the first order column."""
+    """Append ``__bkt``: the range bucket of the order tuple (an array that
+    sorts as the rows do)."""
     return _bucketize(df, order_by, **kw)[0]
 
 
-def _bucketize(
-    df: DataFrame,
-    order_by,
-    rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
-    max_buckets: int = MAX_BUCKETS,
-    n: int | None = None,
-) -> tuple[DataFrame, int]:
-    """Append ``__bkt``: range bucket of the first order column (small jobs:
-    one count unless ``n`` is known, one bounds query). Numeric / date keys take
-    approximate quantiles as bounds; text keys take the quantiles of a bounded
-    sample."""
-    key = _first_name(order_by)
+def _bucketize(df: DataFrame, order_by, rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET, n: int | None = None) -> tuple[DataFrame, int]:
+    """Append ``__bkt``; also whether there is more than one bucket (as their
+    number, 1 or 2). One count unless ``n`` is known; then per level of over-full
+    buckets one job for the bounds and one for the counts."""
     if n is None:
         n = df.select(F.count(F.lit(1)).alias("n")).first()["n"]
-    nb = max(1, min(max_buckets, -(-n // max(1, rows_per_bucket))))
-    if nb == 1:
-        return df.withColumn(BUCKET, F.lit(0.0)), 1
-    if isinstance(df.schema[key].dataType, T.StringType):
-        nb = min(nb, 1024)
-        frac = min(1.0, 32.0 * nb / max(n, 1))
-        sample = sorted(r[0] for r in df.select(key).where(F.col(key).isNotNull()).sample(False, frac, seed=17).collect())
-        bounds = sorted(set(sample[int(len(sample) * i / nb)] for i in range(1, nb) if sample))
-        return df.withColumn(BUCKET, F.coalesce(_tree(F.col(key), bounds, 0, len(bounds)), F.lit(float(len(bounds) + 1)))), nb
-    kd = _as_double(df, key)
-    probs = [i / nb for i in range(1, nb)]
-    bounds = df.select(F.percentile_approx(kd, probs, max(10000, 4 * nb)).alias("b")).first()["b"]
-    splits = sorted(set(float(b) for b in bounds if b is not None))
-    splits = [-float("inf")] + splits + [float("inf")]
-    tmp = "__bkey"
-    bz = Bucketizer(splits=splits, inputCol=tmp, outputCol=BUCKET, handleInvalid="keep")
-    return bz.transform(df.withColumn(tmp, kd)).drop(tmp), nb
+    out = df.withColumn(BUCKET, F.array().cast("array<int>"))
+    if n <= max(1, rows_per_bucket):
+        return out, 1
+    spark = df.sparkSession
+    parts, of, hashes = _parts(df, order_by)
+    probs = [i / FAN for i in range(1, FAN)]
+    opened = {(): (0, n)}  # over-full bucket -> (part, rows)
+    while opened:
+        todo = spark.createDataFrame([(list(p), k) for p, (k, _) in opened.items()], f"{BUCKET} array<int>, __part int")
+        here = out.join(F.broadcast(todo), BUCKET)  # at most one row per bucket
+        value = F.element_at(F.array(*parts), F.col("__part") + 1)
+        same = F.element_at(F.array(*hashes), F.element_at(F.array(*[F.lit(k) for k in of]), F.col("__part") + 1) + 1)
+        found = (
+            here.groupBy(BUCKET)
+            .agg(
+                F.percentile_approx(value, probs, 10_000).alias("q"), F.min(value).alias("mn"), F.max(value).alias("mx"),
+                F.min(same).alias("h1"), F.max(same).alias("h2"),
+            )
+            .collect()
+        )
+        bounds, later = [], {}
+        for r in found:
+            path = tuple(r[BUCKET])
+            part, rows = opened[path]
+            if r["mn"] == r["mx"]:  # constant here: on to the next part
+                crossing = part + 1 < len(of) and of[part + 1] != of[part]
+                if part + 1 < len(of) and (not crossing or r["h1"] == r["h2"]):
+                    later[path] = (part + 1, rows)
+                continue
+            k = min(FAN, -(-rows // rows_per_bucket) + 1)
+            cuts = sorted({r["q"][len(r["q"]) * i // k] for i in range(1, k)})
+            bounds.append((list(path), part, cuts))
+        if bounds:
+            table = spark.createDataFrame(bounds, f"{BUCKET} array<int>, __part int, __cuts array<double>")
+            joined = out.join(F.broadcast(table), BUCKET, "left")
+            v = F.element_at(F.array(*parts), F.col("__part") + 1)
+            below = F.size(F.filter("__cuts", lambda x: x < v))
+            step = 2 * below + F.array_contains("__cuts", v).cast("int")
+            out = joined.withColumn(
+                BUCKET, F.when(F.col("__cuts").isNotNull(), F.concat(F.col(BUCKET), F.array(step))).otherwise(F.col(BUCKET))
+            ).drop("__part", "__cuts")
+            depth = {tuple(p): part for p, part, _ in bounds}
+            full = out.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1.5 * rows_per_bucket).collect()
+            for r in full:
+                path = tuple(r[BUCKET])
+                if path[:-1] in depth:
+                    later[path] = (depth[path[:-1]], r["n"])
+        opened = later
+    return out, 2
 
 
 def _spec(group_by: list[str], order_by) -> Window:
     return Window.partitionBy(*group_by, BUCKET).orderBy(*_order_cols(order_by))
 
 
+def _same_group(group_by: list[str]) -> Column:
+    """Equality of the group columns with their ``__g_`` twins, null with null."""
+    same = F.lit(True)
+    for g in group_by:
+        same = same & F.col(g).eqNullSafe(F.col("__g_" + g))
+    return same
+
+
 def running(
     df: DataFrame,
     specs: dict[str, tuple[str, str]],
@@ -132,7 +188,7 @@ def running(
 
     carry_aggs, local = [], {}
     for name, (fn, col) in specs.items():
-        c = F.col(col)
+        c = value_or_null(df, col)
         if fn == "sum":
             local[name] = F.sum(c).over(w)
             carry_aggs.append(F.sum(c).alias(name))
@@ -156,7 +212,7 @@ def running(
         for name, (fn, col) in specs.items():
             v = local[name]
             if keep_null_rows and fn != "last":
-                v = F.when(F.col(col).isNotNull(), v)
+                v = F.when(value_or_null(df, col).isNotNull(), v)
             final.append(v.alias(name))
         return b.select(*[F.col(c) for c in df.columns if c not in specs], *final)
 
@@ -174,10 +230,10 @@ def running(
         else:
             e = F.last(src, ignorenulls=True).over(wc)
         carry_cols.append(e.alias("__c_" + name))
-    carry = per_bucket.select(*group_by, BUCKET, *carry_cols)
+    carry = per_bucket.select(*[F.col(g).alias("__g_" + g) for g in group_by], F.col(BUCKET).alias("__cb"), *carry_cols)
 
     out = b.select("*", *[v.alias("__l_" + k) for k, v in local.items()])
-    out = out.join(carry, on=group_by + [BUCKET], how="left")
+    out = out.join(carry, _same_group(group_by) & (F.col(BUCKET) == F.col("__cb")), "left")
     final = []
     for name, (fn, col) in specs.items():
         l, c = F.col("__l_" + name), F.col("__c_" + name)
@@ -192,7 +248,7 @@ def running(
         else:
             v = F.coalesce(l, c)
         if keep_null_rows and fn != "last":
-            v = F.when(F.col(col).isNotNull(), v)
+            v = F.when(value_or_null(df, col).isNotNull(), v)
         final.append(v.alias(name))
     return out.select(*[F.col(c) for c in df.columns if c not in specs], *final)
 
@@ -231,9 +287,11 @@ def sliding(
     small = local.where(edge).drop(*names)
     ws = Window.partitionBy(*group_by).orderBy(BUCKET, POS)
     fix = small.select(
-        *group_by, BUCKET, POS, *[e.alias("__f_" + n) for n, e in builder(ws).items()]
+        *[F.col(g).alias("__g_" + g) for g in group_by], F.col(BUCKET).alias("__cb"), F.col(POS).alias("__cp"),
+        *[e.alias("__f_" + n) for n, e in builder(ws).items()],
     )
-    out = local.join(fix, on=group_by + [BUCKET, POS], how="left")
+    here = (F.col(BUCKET) == F.col("__cb")) & (F.col(POS) == F.col("__cp"))
+    out = local.join(fix, _same_group(group_by) & here, "left")
     patched = [
         F.when(F.col(POS) <= F.lit(back), F.col("__f_" + n))
         .when(F.col(CNT) - F.col(POS) < F.lit(ahead), F.col("__f_" + n))
@@ -250,7 +308,7 @@ def lag(df: DataFrame, column: str, periods: int, order_by, group_by=None, name=
     name = name or f"{column}_lag_{periods}"
 
     def build(w):
-        return {name: F.lag(F.col(column), periods).over(w)}
+        return {name: F.lag(value_or_null(df, column), periods).over(w)}
 
     return sliding(df, build, order_by, group_by, back=max(periods, 0), ahead=max(-periods, 0), **kw)
 
@@ -263,7 +321,7 @@ def rolling_mean(
     need = window if min_periods is None else min_periods
 
     def build(w):
-        fr = w.rowsBetween(-(window - 1), 0)
-        return {name: F.when(F.count(F.col(column)).over(fr) >= F.lit(need), F.avg(F.col(column)).over(fr))}
+        fr, x = w.rowsBetween(-(window - 1), 0), value_or_null(df, column)
+        return {name: F.when(F.count(x).over(fr) >= F.lit(need), F.avg(x).over(fr))}
 
     return sliding(df, build, order_by, group_by, back=window - 1, **kw)

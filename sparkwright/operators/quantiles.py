@@ -1,20 +1,18 @@
 """Exact quantiles (linear interpolation, as pandas / DuckDB quantile_cont) at scale.
 
 Spark's ``percentile`` aggregate keeps a value->count map of the whole group
-in one task; on a 100 TB column that is unbounded. Here the order statistics
-are found by histogram refinement instead:
-
-1. one aggregate gives n, min and max for every (group, column) series;
-2. each pass buckets the values still inside each target's interval into
-   ``buckets`` equal-width bins and counts them (partial aggregation, output at
-   most targets x buckets rows); the bin holding the wanted rank becomes the
-   next interval, shrunk to the bin's real min / max;
-3. once an interval holds at most ``collect_limit`` rows they are fetched and
-   the rank is picked directly.
-
-Every pass is a filter + grouped count, so work stays distributed and what
-reaches the driver is bounded by targets x buckets. Typical data needs two
-passes.
+in one task; on a 100 TB column that is unbounded. Here
+
+* a series of at most ``collect_limit`` values is solved on the executors in
+  one aggregate (a sorted list of bounded length), and stays a DataFrame;
+* a larger one -- there are at most ``rows / collect_limit`` of them -- is
+  refined: each pass counts the values inside a target's interval in
+  ``buckets`` bins (partial aggregation, at most targets x buckets rows), the
+  bin of the wanted rank becomes the next interval, until it holds
+  ``collect_limit`` values at most. -Infinity and Infinity are counted apart.
+
+The answer is the same whichever way a series goes. Interpolating between
+infinities of different sign gives null.
 """
 
 from __future__ import annotations
@@ -22,7 +20,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,10 +35,51 @@ def _long_values(df: DataFrame, columns: list[str], group_by: list[str]) -> Data
     return out.where(F.col("__x").isNotNull() & ~F.isnan("__x"))
 
 
-def _interp(lo: float, hi: float, frac: float) -> float:
+def _interp(lo: float, hi: float, frac: float) -> float | None:
     if frac == 0 or lo == hi:
         return lo
-    return lo + (hi - lo) * frac
+    x = lo + (hi - lo) * frac
+    return None if math.isnan(x) else x
+
+
+def _picked(xs: Column, p: float) -> Column:
+    """Quantile ``p`` of a sorted, non-empty list."""
+    pos = F.lit(p) * (F.size(xs) - 1)
+    lo, hi = F.element_at(xs, (F.floor(pos) + 1).cast("int")), F.element_at(xs, (F.ceil(pos) + 1).cast("int"))
+    frac = pos - F.floor(pos)
+    x = F.when((frac == 0) | (lo == hi), lo).otherwise(lo + (hi - lo) * frac)
+    return F.when(~F.isnan(x), x)
+
+
+def grouped_quantiles(
+    df: DataFrame,
+    columns: list[str],
+    probs: list[float],
+    group_by: list[str],
+    buckets: int = 2048,
+    collect_limit: int = 200000,
+) -> DataFrame:
+    """(group..., ``__series`` = column name, ``q`` = array of quantiles), one row
+    per group and column with a value. Nothing about a small group leaves the
+    executors; a null group is a group."""
+    vals = _long_values(df, columns, group_by)
+    keys = [*group_by, _KEY]
+    counts = vals.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    large = [tuple(r[k] for k in keys) for r in counts.where(F.col("n") > collect_limit).collect()]
+    schema = T.StructType([f for f in vals.schema.fields if f.name in keys])
+    schema = T.StructType([schema[k] for k in keys])
+    rest, refined = vals, None
+    if large:
+        table = df.sparkSession.createDataFrame(large, schema)
+        same = [vals[k].eqNullSafe(table[k]) for k in keys]
+        rest = vals.join(F.broadcast(table), same, "left_anti")  # at most rows / collect_limit series
+        only = vals.join(F.broadcast(table), same, "left_semi")
+        found = _refine(only, keys, probs, buckets, collect_limit, None)
+        rows = [(*k, v) for k, v in found.items()]
+        refined = df.sparkSession.createDataFrame(rows, T.StructType([*schema.fields, T.StructField("q", T.ArrayType(T.DoubleType()))]))
+    xs = rest.groupBy(*keys).agg(F.sort_array(F.collect_list("__x")).alias("xs"))
+    out = xs.select(*keys, F.array(*[_picked(F.col("xs"), p) for p in probs]).alias("q"))
+    return out if refined is None else out.unionByName(refined)
 
 
 def exact_quantiles(
@@ -50,96 +89,84 @@ def exact_quantiles(
     group_by: list[str] | None = None,
     buckets: int = 2048,
     collect_limit: int = 200000,
-    total_collect_limit: int = 2000000,
-    max_targets: int = 200000,
     stats: dict[tuple, tuple] | None = None,
 ) -> dict[tuple, list[float | None]]:
-    """Exact quantiles for each (group..., column).
-
-    Returns ``{(group values..., column): [q(p) for p in probs]}``; a series
-    with no non-null value maps to Nones. ``max_targets`` guards the number of
-    (series, rank) targets tracked on the driver.
-    """
+    """``{(group values..., column): [q(p) for p in probs]}`` on the driver, for
+    a number of series that is known to be small (the columns of a table, the
+    groups of a chart); :func:`grouped_quantiles` for any number. A column
+    without a value maps to Nones."""
     group_by = list(group_by or [])
     if not columns:
         return {}
-    spark = df.sparkSession
-    vals = _long_values(df, columns, group_by)
     keys = group_by + [_KEY]
+    result = _refine(_long_values(df, columns, group_by), keys, probs, buckets, collect_limit, stats)
+    if not group_by:
+        for c in columns:
+            result.setdefault((c,), [None] * len(probs))
+    return result
+
+
+_INF = float("inf")
 
-    if stats is not None:  # (group..., column) -> (n, min, max) already known
-        base = [dict(zip(keys + ["n", "mn", "mx"], (*k, *v))) for k, v in stats.items() if v[0]]
+
+def _refine(vals, keys, probs, buckets, collect_limit, stats) -> dict[tuple, list[float | None]]:
+    spark = vals.sparkSession
+    finite = F.abs("__x") < _INF
+    if stats is not None and all(abs(v[i]) < _INF for v in stats.values() if v[0] for i in (1, 2)):
+        base = [dict(zip(keys + ["n", "mn", "mx"], (*k, *v)), low=0, high=0) for k, v in stats.items() if v[0]]
     else:
         base = [
             r.asDict()
             for r in vals.groupBy(*keys)
-            .agg(F.count("__x").alias("n"), F.min("__x").alias("mn"), F.max("__x").alias("mx"))
+            .agg(
+                F.count("__x").alias("n"), F.min(F.when(finite, F.col("__x"))).alias("mn"), F.max(F.when(finite, F.col("__x"))).alias("mx"),
+                F.count_if(F.col("__x") == -_INF).alias("low"), F.count_if(F.col("__x") == _INF).alias("high"),
+            )
             .collect()
         ]
-    if len(base) * len(probs) * 2 > max_targets:
-        raise ValueError(f"too many quantile targets ({len(base)} series); aggregate first")
-
     result: dict[tuple, list[float | None]] = {}
-    # target state: series key -> list of (rank) ; intervals tracked per (series, rank)
-    state = {}  # (skey, rank) -> [a, b, below]
-    wanted = {}  # skey -> list of (p_index, r_floor, r_ceil, frac)
+    state: dict[tuple, list] = {}  # (series, rank) -> [a, b, rows below a]
+    found: dict[tuple, float] = {}
+    wanted, inside = {}, {}
     for row in base:
-        skey = tuple(row[k] for k in keys)
-        n = row["n"]
+        skey, n = tuple(row[k] for k in keys), row["n"]
+        inside[skey] = n - row["low"] - row["high"]
         plan = []
-        for i, p in enumerate(probs):
+        for p in probs:
             pos = p * (n - 1)
-            rf = int(math.floor(pos))
-            rc = min(int(math.ceil(pos)), n - 1)
-            plan.append((i, rf, rc, pos - rf))
+            rf, rc = int(math.floor(pos)), min(int(math.ceil(pos)), n - 1)
+            plan.append((rf, rc, pos - rf))
             for r in (rf, rc):
-                state[(skey, r)] = [row["mn"], row["mx"], 0]
+                if r < row["low"]:
+                    found[(skey, r)] = -_INF
+                elif r >= n - row["high"]:
+                    found[(skey, r)] = _INF
+                elif row["mn"] == row["mx"]:
+                    found[(skey, r)] = row["mn"]
+                else:
+                    state[(skey, r)] = [row["mn"], row["mx"], row["low"]]
         wanted[skey] = plan
-    found: dict[tuple, float] = {}
-    for (skey, r), (a, b, _) in list(state.items()):
-        if a == b:
-            found[(skey, r)] = a
-            del state[(skey, r)]
+    vals = vals.where(finite)
 
-    key_schema = [f for f in vals.schema.fields if f.name in keys]
     iv_schema = T.StructType(
-        key_schema
-        + [
-            T.StructField("__a", T.DoubleType()),
-            T.StructField("__b", T.DoubleType()),
-            T.StructField("__iv", T.LongType()),
-        ]
+        [vals.schema[k] for k in keys]
+        + [T.StructField("__a", T.DoubleType()), T.StructField("__b", T.DoubleType()), T.StructField("__iv", T.LongType())]
     )
-    # series small enough to fetch whole (a constant bound) skip the histogram passes
-    n_of = {tuple(row[k] for k in keys): row["n"] for row in base}
-    direct = _bounded([((skey, r), (skey, state[(skey, r)][0], state[(skey, r)][1]), n_of[skey]) for (skey, r) in state
-                       if n_of[skey] <= collect_limit], total_collect_limit)
-    if direct:
-        _collect_exact(spark, vals, keys, iv_schema, state, direct, found)
-
-    passes = 0
+    small = [(t, (t[0], *state[t][:2])) for t in state if inside[t[0]] <= collect_limit]
+    if small:  # few enough values to skip the histogram passes
+        _pick_ranks(spark, vals, keys, iv_schema, state, small, found)
     while state:
-        passes += 1
-        # distinct intervals (targets sharing one interval share the pass)
         ivs: dict[tuple, int] = {}
-        for (skey, r), (a, b, below) in state.items():
+        for (skey, _), (a, b, _) in state.items():
             ivs.setdefault((skey, a, b), len(ivs))
-        small_rows, hist_rows = [], []
-        counts = {}
-        # interval row counts are known from the previous pass except on pass 1
-        for (skey, a, b), iid in ivs.items():
-            hist_rows.append((*skey, a, b, iid))
-        iv_df = spark.createDataFrame(hist_rows, iv_schema)
-        joined = vals.join(F.broadcast(iv_df), on=keys).where(
-            (F.col("__x") >= F.col("__a")) & (F.col("__x") <= F.col("__b"))
-        )
-        width = (F.col("__b") - F.col("__a")) / F.lit(float(buckets))
-        bucket = F.least(
-            F.lit(buckets - 1).cast("long"),
-            F.floor((F.col("__x") - F.col("__a")) / width).cast("long"),
-        )
+        joined = _inside(spark, vals, keys, iv_schema, ivs)
+        # halves, so that the span of the largest doubles does not overflow
+        x, a, b = F.col("__x") / 2, F.col("__a") / 2, F.col("__b") / 2
+        width = b / float(buckets) - a / float(buckets)
+        near = F.when(F.col("__x") == F.col("__a"), F.lit(0)).when(F.col("__x") == F.col("__b"), F.lit(buckets - 1)).otherwise(F.lit(1))
+        even = F.least(F.lit(buckets - 1).cast("long"), F.floor((x - a) / width).cast("long"))
         hist = (
-            joined.groupBy("__iv", bucket.alias("__k"))
+            joined.groupBy("__iv", F.when(width > 0, even).otherwise(near).alias("__k"))
             .agg(F.count("*").alias("c"), F.min("__x").alias("lo"), F.max("__x").alias("hi"))
             .collect()
         )
@@ -148,76 +175,56 @@ def exact_quantiles(
             by_iv[h["__iv"]].append((h["__k"], h["c"], h["lo"], h["hi"]))
         for v in by_iv.values():
             v.sort()
-        to_collect = []
-        for (skey, r), st in list(state.items()):
-            a, b, below = st
-            iid = ivs[(skey, a, b)]
+        picked = []
+        for (skey, r), (a_, b_, below) in list(state.items()):
             cum = below
-            for _, c, lo, hi in by_iv[iid]:
+            for _, c, lo, hi in by_iv[ivs[(skey, a_, b_)]]:
                 if r < cum + c:
                     if lo == hi:
                         found[(skey, r)] = lo
                         del state[(skey, r)]
                     else:
                         state[(skey, r)] = [lo, hi, cum]
-                        counts[(skey, lo, hi)] = c
                         if c <= collect_limit:
-                            to_collect.append(((skey, r), (skey, lo, hi), c))
+                            picked.append(((skey, r), (skey, lo, hi)))
                     break
                 cum += c
             else:  # pragma: no cover - rank beyond data means bad counts
                 raise RuntimeError("quantile refinement lost its rank")
-        to_collect = _bounded(to_collect, total_collect_limit)
-        if to_collect:
-            _collect_exact(spark, vals, keys, iv_schema, state, to_collect, found)
-        if passes > 64:  # pragma: no cover - would need pathological ranges
-            raise RuntimeError("quantile refinement did not converge")
+        if picked:
+            _pick_ranks(spark, vals, keys, iv_schema, state, picked, found)
 
     for skey, plan in wanted.items():
-        out = [None] * len(probs)
-        for i, rf, rc, frac in plan:
-            out[i] = _interp(found[(skey, rf)], found[(skey, rc)], frac)
-        result[skey] = out
-    # series with no values at all
-    if not group_by:
-        for c in columns:
-            result.setdefault((c,), [None] * len(probs))
+        result[skey] = [_interp(found[(skey, rf)], found[(skey, rc)], frac) for rf, rc, frac in plan]
     return result
 
 
-def _bounded(cands: list[tuple], limit: int) -> list[tuple]:
-    """Targets whose distinct intervals fit, smallest first, in ``limit`` rows in total."""
-    size: dict[tuple, int] = {}
-    for _, iv, n in cands:
-        size[iv] = n
-    keep, total = set(), 0
-    for iv, n in sorted(size.items(), key=lambda kv: kv[1]):
-        if total + n > limit:
-            break
-        keep.add(iv)
-        total += n
-    return [t for t, iv, _ in cands if iv in keep]
-
-
-def _collect_exact(spark, vals, keys, iv_schema, state, targets, found) -> None:
-    """Fetch the values inside each target's interval (at most collect_limit
-    rows per interval) and pick the ranks directly."""
-    civs: dict[tuple, int] = {}
-    for skey, r in targets:
-        a, b, _ = state[(skey, r)]
-        civs.setdefault((skey, a, b), len(civs))
-    c_df = spark.createDataFrame([(*k[0], k[1], k[2], i) for k, i in civs.items()], iv_schema)
-    got = (
-        vals.join(F.broadcast(c_df), on=keys)
-        .where((F.col("__x") >= F.col("__a")) & (F.col("__x") <= F.col("__b")))
-        .groupBy("__iv")
-        .agg(F.sort_array(F.collect_list("__x")).alias("xs"))
-        .collect()
+def _inside(spark, vals, keys, iv_schema, ivs) -> DataFrame:
+    """Values within the intervals ``ivs`` ((series, a, b) -> number) of their
+    series; a null group is a group. The table has a row per open interval."""
+    table = spark.createDataFrame([(*k[0], k[1], k[2], i) for k, i in ivs.items()], iv_schema)
+    table = table.select(*[F.col(k).alias("__i_" + k) for k in keys], "__a", "__b", "__iv")
+    same = [vals[k].eqNullSafe(table["__i_" + k]) for k in keys]
+    return vals.join(F.broadcast(table), same).where(F.col("__x").between(F.col("__a"), F.col("__b")))
+
+
+def _pick_ranks(spark, vals, keys, iv_schema, state, targets, found) -> None:
+    """Ranks of the targets whose interval holds few enough values: sorted in
+    one bounded list per interval on the executors, which sends the ranks only."""
+    ivs: dict[tuple, int] = {}
+    ranks = defaultdict(list)
+    for (skey, r), iv in targets:
+        i = ivs.setdefault(iv, len(ivs))
+        ranks[i].append(r - state[(skey, r)][2])
+    asked = spark.createDataFrame([(i, rs) for i, rs in ranks.items()], "__iv long, rs array<long>")
+    lists = _inside(spark, vals, keys, iv_schema, ivs).groupBy("__iv").agg(F.sort_array(F.collect_list("__x")).alias("xs"))
+    got = lists.join(F.broadcast(asked), "__iv").select(
+        "__iv", F.arrays_zip("rs", F.transform("rs", lambda r: F.element_at("xs", (r + 1).cast("int"))).alias("v")).alias("z")
     )
-    xs_by = {g["__iv"]: g["xs"] for g in got}
-    for skey, r in targets:
-        a, b, below = state.pop((skey, r))
-        found[(skey, r)] = xs_by[civs[(skey, a, b)]][r - below]
+    values = {(g["__iv"], z["rs"]): z["v"] for g in got.collect() for z in g["z"]}
+    for (skey, r), iv in targets:
+        below = state.pop((skey, r))[2]
+        found[(skey, r)] = values[(ivs[iv], r - below)]
 
 
 def column_quantiles(df: DataFrame, columns: list[str], probs: list[float], **kw) -> dict[str, list[float | None]]:

@@ -78,7 +78,7 @@ def test_hot_group_is_split(spark, orders):
     """A group holding every row still spreads over many window partitions."""
     hot = orders.withColumn("g", F.lit("all"))
     b = prefix.add_buckets(hot, ["o_orderkey"], rows_per_bucket=1000)
-    sizes = [r[1] for r in b.groupBy("g", prefix.BUCKET).count().collect()]
+    sizes = [r["count"] for r in b.groupBy("g", prefix.BUCKET).count().collect()]
     assert len(sizes) >= 10 and max(sizes) < 2000
 
 
@@ -100,6 +100,8 @@ def test_exact_quantiles_grouped_and_constant(spark):
     assert got[("a", "x")] == [1.0, 1.0]
     assert got[("b", "x")] == [3.5, 2.75]
     assert ("c", "x") not in got
+    many = quantiles.grouped_quantiles(df, ["x"], [0.5, 0.25], ["g"], buckets=4, collect_limit=1)
+    assert {r["g"]: r["q"] for r in many.collect()} == {"a": [1.0, 1.0], "b": [3.5, 2.75]}
 
 
 def test_top_k_per_group_matches_row_number(orders):
@@ -130,3 +132,48 @@ def test_asof_join_matches_pandas_merge_asof(spark, strict):
     m = got.set_index("lid")["rid"]
     w = want.set_index("lid")["rid"]
     assert all((pd.isna(m[i]) and pd.isna(w[i])) or m[i] == w[i] for i in left["lid"])
+
+
+def _ties(spark):
+    """90 % of the rows on one date, null and NaN values, null groups and keys."""
+    rows = []
+    for i in range(900):
+        day = 5 if i % 10 else i % 7
+        name = None if i % 97 == 0 else f"name-with-a-long-common-start-{i:05d}"
+        v = None if i % 11 == 0 else float("nan") if i % 13 == 0 else float(i % 17)
+        rows.append((i, day, name, [None, "a", "b"][i % 3], v))
+    return spark.createDataFrame(rows, "id long, day int, name string, g string, v double")
+
+
+@pytest.mark.parametrize("order", [["day", "id"], ["name", "id"], ["id"]])
+def test_small_buckets_give_the_same_answer(spark, order):
+    d = _ties(spark)
+    for kw in ({"group_by": ["g"]}, {}):
+        specs = {"s": ("sum", "v"), "m": ("max", "v"), "f": ("last", "v"), "c": ("count", "v")}
+        one = prefix.running(d, specs, order, **kw).select("id", *specs)
+        many = prefix.running(d, specs, order, rows_per_bucket=40, **kw).select("id", *specs)
+        assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
+        one = prefix.lag(d, "v", 2, order, name="l", **kw).select("id", "l")
+        many = prefix.lag(d, "v", 2, order, name="l", rows_per_bucket=40, **kw).select("id", "l")
+        assert sorted(map(str, one.collect())) == sorted(map(str, many.collect()))
+
+
+@pytest.mark.parametrize("order", [["day", "id"], ["name"]])
+def test_hot_order_value_and_common_text_start_are_split(spark, order):
+    b = prefix.add_buckets(_ties(spark), order, rows_per_bucket=50)
+    sizes = [r["count"] for r in b.groupBy(prefix.BUCKET).count().collect()]
+    assert max(sizes) <= 100 and sum(sizes) == 900
+    bad = b.select("*", F.lag(prefix.BUCKET).over(W.orderBy(*order)).alias("before")).where(F.col("before") > F.col(prefix.BUCKET))
+    assert bad.count() == 0
+
+
+def test_quantiles_with_infinities_do_not_depend_on_limits(spark):
+    inf = float("inf")
+    rows = [(i % 3, float(i % 50)) for i in range(600)] + [(0, inf)] * 40 + [(1, -inf)] * 7 + [(None, 1.5), (None, -1e308), (None, 1e308), (2, 5e-324)]
+    d = spark.createDataFrame(rows, "g int, x double")
+    probs = [0.0, 0.01, 0.3, 0.5, 0.9, 1.0]
+    whole = {r["g"]: r["q"] for r in quantiles.grouped_quantiles(d, ["x"], probs, ["g"]).collect()}
+    for limit in (1, 3, 300):
+        got = quantiles.grouped_quantiles(d, ["x"], probs, ["g"], buckets=4, collect_limit=limit)
+        assert {r["g"]: r["q"] for r in got.collect()} == whole
+    assert whole[0][-1] == inf and whole[1][0] == -inf and set(whole) == {None, 0, 1, 2}
