@@ -40,6 +40,8 @@ def intent(question: str | Column) -> Column:
     return out.otherwise(F.lit(DEFAULT_INTENT))
 
 
+# The next three functions must find what the reference's patterns
+# find (fenced blocks, the first select, think blocks), so the patterns are the same.
 def extract_select(text: str | Column) -> Column:
     """First ``select ...`` up to ``;`` or the end, preferring a fenced sql block; else null."""
     t = F.col(text) if isinstance(text, str) else text
@@ -68,6 +70,12 @@ def strip_ws(c: str | Column) -> Column:
     return F.trim(c, F.lit(WHITESPACE))
 
 
+def strip_unicode(c: str | Column) -> Column:
+    """``str.strip()``: white space of any script, and the ASCII separators."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def truncate(c: str | Column, n: int = 200) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("..."))).otherwise(c)

@@ -69,8 +69,12 @@ def column_modes(df: DataFrame, columns: list[str]) -> dict[str, object]:
         F.explode(F.array(*[F.struct(F.lit(c).alias("c"), value_or_null(df, c).cast("string").alias("v")) for c in columns])).alias("p")
     ).select("p.c", "p.v").where(F.col("v").isNotNull())
     counts = long.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
-    # highest count first, then the smallest value: one aggregate, no join
-    best = counts.groupBy("c").agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("v")).collect()
+    # highest count first, then the smallest value by its own type (numbers as
+    # numbers, not as text): one aggregate, no join
+    texts = [c for c in columns if isinstance(df.schema[c].dataType, T.StringType)]
+    number = F.when(~F.col("c").isin(texts) if texts else F.lit(True), F.col("v").try_cast("double"))
+    whole = F.when(~F.col("c").isin(texts) if texts else F.lit(True), F.col("v").try_cast("decimal(38,0)"))
+    best = counts.groupBy("c").agg(F.min_by("v", F.struct(-F.col("n"), number, whole, F.col("v"))).alias("v")).collect()
     found = {r["c"]: r["v"] for r in best}
     out = {}
     for c in columns:

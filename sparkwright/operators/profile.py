@@ -94,6 +94,13 @@ def descriptive_stats(df: DataFrame, columns: list[str] | None = None) -> DataFr
     return spark.createDataFrame(rows, DESC_SCHEMA)
 
 
+def _corr(a: str, b: str):
+    """Pearson correlation of the rows that have both values; null where one of
+    them does not vary (``corr`` itself raises there under ANSI)."""
+    x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def correlation_long(df: DataFrame, method: str = "pearson", columns: list[str] | None = None, **kw) -> DataFrame:
     """P02 as long form (col1, col2, corr), full matrix including the diagonal.
 
@@ -109,8 +116,9 @@ def correlation_long(df: DataFrame, method: str = "pearson", columns: list[str]
         from .kendall import kendall_long
 
         return kendall_long(df, cols, **kw)
-    base = df.select(*[q(c).cast("double").alias(c) for c in cols])
+    base = df.select(*[value_or_null(df, c).cast("double").alias(c) for c in cols])
     if method == "spearman":
+        base = df.select(*[value_or_null(df, c).alias(c) for c in cols])
         base = average_ranks(base, cols, ascending=True, names={c: "__r_" + c for c in cols}, **kw)
         base = base.select(*[F.col("__r_" + c).alias(c) for c in cols])
     elif method != "pearson":
@@ -119,7 +127,7 @@ def correlation_long(df: DataFrame, method: str = "pearson", columns: list[str]
     vals = {}
     for start in range(0, len(pairs), AGG_CHUNK):
         chunk = pairs[start : start + AGG_CHUNK]
-        row = base.select(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(chunk)]).first()
+        row = base.select(*[_corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(chunk)]).first()
         for i, p in enumerate(chunk):
             vals[p] = row[f"c{i}"]
     rows = []

@@ -60,13 +60,13 @@ def check_outliers_zscore(df: DataFrame, threshold: float = 3.0, columns: list[s
         return df.sparkSession.createDataFrame([], schema)
     # lazy: the one-row moments are broadcast into the counting pass
     m = df.select(
-        *[F.avg(q(c)).alias("__m" + str(i)) for i, c in enumerate(cols)],
-        *[F.stddev_samp(q(c)).alias("__s" + str(i)) for i, c in enumerate(cols)],
+        *[F.avg(value_or_null(df, c)).alias("__m" + str(i)) for i, c in enumerate(cols)],
+        *[F.stddev_samp(value_or_null(df, c)).alias("__s" + str(i)) for i, c in enumerate(cols)],
     )
     exprs = []
     for i, c in enumerate(cols):
         sd = F.col("__s" + str(i))
-        cond = (sd > 0) & (F.abs((q(c) - F.col("__m" + str(i))) / sd) > F.lit(threshold))
+        cond = (sd > 0) & (F.abs((value_or_null(df, c) - F.col("__m" + str(i))) / sd) > F.lit(threshold))
         exprs.append(F.count(F.when(cond, 1)).alias("o" + str(i)))
     df = df.crossJoin(F.broadcast(m))
     counted = df.select(F.count(F.lit(1)).alias("__n"), *exprs)
@@ -147,7 +147,7 @@ def detect_anomalies(df: DataFrame, columns: list[str] | None = None, order_by:
     if not bounds:
         empty = spark.createDataFrame([], "column string, anomaly_count long, lower_bound double, upper_bound double")
         return empty, spark.createDataFrame([], "column string, rank int")
-    conds = {c: (q(c) < F.lit(lo)) | (q(c) > F.lit(hi)) for c, (lo, hi) in bounds.items()}
+    conds = {c: (value_or_null(df, c) < F.lit(lo)) | (value_or_null(df, c) > F.lit(hi)) for c, (lo, hi) in bounds.items()}
     counted = df.select(*[F.count(F.when(cond, 1)).alias(f"a{i}") for i, cond in enumerate(conds.values())])
     pairs = [
         F.struct(

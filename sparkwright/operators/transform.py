@@ -13,7 +13,7 @@ from ..functions.numeric import number_like
 from ..functions.text import strip_ws
 from . import prefix
 from .cleaning import parse_timestamp, q
-from .quantiles import exact_quantiles
+from .quantiles import grouped_quantiles
 from ..session import ensure_checkpoint_dir
 
 
@@ -23,13 +23,14 @@ def normalize_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFr
     if not cols:
         return df
     row = df.select(
-        *[F.avg(q(c)).alias("m_" + c) for c in cols], *[F.stddev_samp(q(c)).alias("s_" + c) for c in cols]
+        *[F.avg(value_or_null(df, c)).alias("m_" + c) for c in cols],
+        *[F.stddev_samp(value_or_null(df, c)).alias("s_" + c) for c in cols],
     ).first()
     out = []
     for c in df.columns:
         s = row["s_" + c] if c in cols else None
         if s is not None and s > 0:
-            out.append(((q(c) - F.lit(row["m_" + c])) / F.lit(s)).alias(c))
+            out.append(((value_or_null(df, c) - F.lit(row["m_" + c])) / F.lit(s)).alias(c))
         else:
             out.append(q(c))
     return df.select(*out)
@@ -152,11 +153,11 @@ def aggregate(
     exprs, medians = [], []
     for c, fn in aggregations.items():
         if fn in _AGG:
-            exprs.append(_AGG[fn](q(c)).alias(c))
+            exprs.append(_AGG[fn](value_or_null(df, c)).alias(c))
         elif fn in ("first", "last"):
             if not order_by:
                 raise ValueError(f"{fn} needs order_by")
-            key = F.when(q(c).isNotNull(), F.struct(*[q(o) for o in order_by]))
+            key = F.when(value_or_null(df, c).isNotNull(), F.struct(*[q(o) for o in order_by]))
             exprs.append((F.min_by if fn == "first" else F.max_by)(q(c), key).alias(c))
         elif fn == "median":
             medians.append(c)
@@ -164,42 +165,50 @@ def aggregate(
             raise ValueError(f"unknown aggregation {fn!r}")
     out = base.groupBy(*[q(g) for g in group_by]).agg(*exprs) if exprs else base.select(*group_by).distinct()
     if medians:
-        res = exact_quantiles(base, medians, [0.5], group_by=group_by)
-        rows = {}
-        for key, vals in res.items():
-            rows.setdefault(key[:-1], {})[key[-1]] = vals[0]
-        schema = T.StructType(
-            [df.schema[g] for g in group_by] + [T.StructField(m, T.DoubleType()) for m in medians]
-        )
-        med = df.sparkSession.createDataFrame(
-            [(*k, *[v.get(m) for m in medians]) for k, v in rows.items()], schema
+        per = grouped_quantiles(base, medians, [0.5], list(group_by))
+        med = per.groupBy(*[q(g) for g in group_by]).agg(
+            *[F.max(F.when(F.col("__series") == m, F.col("q")[0])).alias(m) for m in medians]
         )
         out = out.join(med, on=group_by, how="left")
     cols = list(group_by) + [c for c in aggregations]
     return out.select(*cols).orderBy(*group_by)
 
 
-_PIVOT_AGG = {"mean": "avg", "sum": "sum", "min": "min", "max": "max", "count": "count"}
+#: Columns a wide result may have; beyond it the long form is the answer.
+MAX_WIDE = 2000
+
+
+def pivot_long(df: DataFrame, index: str, columns: str, values: str, aggfunc: str = "mean") -> DataFrame:
+    """The cells of the pivot table, one row each: (index, ``column`` as text,
+    ``value``), for any number of columns. Null keys are dropped; a cell whose
+    values are all missing is none for mean / min / max, and 0 for sum / count."""
+    x = value_or_null(df, values)
+    base = df.where(q(index).isNotNull() & q(columns).isNotNull())
+    if aggfunc not in ("sum", "count"):
+        base = base.where(x.isNotNull())
+    cell = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "count": F.count}[aggfunc](x)
+    if aggfunc == "sum":
+        cell = F.coalesce(cell, F.lit(0))
+    return base.groupBy(q(index), q(columns).cast("string").alias("column")).agg(cell.alias("value"))
+
 
+def widen(cells: DataFrame, index: str, fill=None, max_columns: int = MAX_WIDE) -> DataFrame:
+    """Cells (index, column, value) as a wide table sorted by ``index``. The
+    columns are counted first; more than ``max_columns`` raise."""
+    n = cells.agg(F.countDistinct("column")).first()[0]
+    if n > max_columns:
+        raise ValueError(f"{n} columns exceed max_columns={max_columns}; use the long form")
+    names = [r[0] for r in cells.select("column").distinct().orderBy("column").collect()]
+    wide = cells.groupBy(q(index)).pivot("column", names).agg(F.first("value"))
+    if fill is not None:
+        wide = wide.select(q(index), *[F.coalesce(q(c), F.lit(fill)).alias(c) for c in names])
+    return wide.orderBy(q(index))
 
-def pivot(df: DataFrame, index: str, columns: str, values: str, aggfunc: str = "mean") -> DataFrame:
-    """Pivot table; cells without rows are null, all-null columns dropped."""
-    vals = (
-        df.where(q(columns).isNotNull() & q(values).isNotNull())
-        .select(q(columns).cast("string").alias("v"))
-        .distinct()
-        .orderBy("v")
-        .collect()
-    )
-    names = [r["v"] for r in vals]
-    fn = _PIVOT_AGG[aggfunc]
-    return (
-        df.where(q(index).isNotNull())
-        .groupBy(q(index))
-        .pivot(columns, names)
-        .agg(F.expr(f"{fn}(`{values}`)"))
-        .orderBy(index)
-    )
+
+def pivot(df: DataFrame, index: str, columns: str, values: str, aggfunc: str = "mean", max_columns: int = MAX_WIDE) -> DataFrame:
+    """Pivot table; cells without rows are null, rows and columns without a
+    cell are dropped. :func:`pivot_long` has no limit of columns."""
+    return widen(pivot_long(df, index, columns, values, aggfunc), index, max_columns=max_columns)
 
 
 def melt(df: DataFrame, id_vars: list[str], value_vars: list[str] | None = None) -> DataFrame:
@@ -218,29 +227,50 @@ def sort_values(df: DataFrame, by: list[str], ascending: bool = True) -> DataFra
     return df.orderBy(*[(q(b).asc_nulls_last() if ascending else q(b).desc_nulls_last()) for b in by])
 
 
+def _rank_type(dt: T.DataType) -> str:
+    """Type that values are compared in: wide enough to keep each apart."""
+    if isinstance(dt, T.DecimalType):
+        return dt.simpleString()
+    return "bigint" if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) else "double"
+
+
+#: Distinct values of one column up to which its rank table is broadcast.
+RANK_BROADCAST_ROWS = 100_000
+
+
 def average_ranks(
     df: DataFrame, columns: list[str], ascending: bool = False, names: dict[str, str] | None = None, **kw
 ) -> DataFrame:
     """Pandas ``rank(ascending=...)`` (ties share their mean rank, null stays
-    null) for several columns in one pass: count per (column, value), a running
-    count per column along the values (two-phase prefix, no single-partition
-    window), then one join back per column. Values are compared as doubles."""
+    null) for several columns in one pass per type class: count per (column,
+    value), a running count per column along the values (two-phase prefix, no
+    single-partition window), then one join back per column; a rank table of
+    few values, by its count, is broadcast. Values keep their own type."""
     names = names or {c: f"{c}_rank" for c in columns}
-    long = df.select(
-        F.explode(F.array(*[F.struct(F.lit(c).alias("c"), value_or_null(df, c).cast("double").alias("v")) for c in columns])).alias("p")
-    ).select(F.col("p.c").alias("__c"), F.col("p.v").alias("__v")).where(F.col("__v").isNotNull())
-    counts = long.groupBy("__c", "__v").agg(F.count(F.lit(1)).alias("__n"))
-    counts = counts.withColumn("__o", F.col("__v") if ascending else -F.col("__v"))
-    # the count table feeds several passes (bounds, windows, carries): write it once
-    ensure_checkpoint_dir(df.sparkSession)
-    counts = counts.checkpoint(eager=True)
-    cum = prefix.running(counts, {"__cum": ("sum", "__n")}, ["__o"], group_by=["__c"], **kw)
-    ranks = cum.select("__c", "__v", (F.col("__cum") - F.col("__n") + (F.col("__n") + 1) / 2.0).alias("__r"))
-    out = df
+    classes: dict[str, list[str]] = {}
     for c in columns:
-        r = ranks.where(F.col("__c") == c).select(F.col("__v").alias("__k"), F.col("__r").alias(names[c]))
-        out = out.join(r, q(c).cast("double") == F.col("__k"), "left").drop("__k")
-    return out
+        classes.setdefault(_rank_type(df.schema[c].dataType), []).append(c)
+    out = df
+    ensure_checkpoint_dir(df.sparkSession)
+    for kind, own in classes.items():
+        long = df.select(
+            F.explode(F.array(*[F.struct(F.lit(c).alias("c"), value_or_null(df, c).cast(kind).alias("v")) for c in own])).alias("p")
+        ).select(F.col("p.c").alias("__c"), F.col("p.v").alias("__v")).where(F.col("__v").isNotNull())
+        counts = long.groupBy("__c", "__v").agg(F.count(F.lit(1)).alias("__n"))
+        falling = F.bitwise_not("__v") if kind == "bigint" else -F.col("__v")  # -v - 1: no overflow
+        counts = counts.withColumn("__o", F.col("__v") if ascending else falling)
+        # the count table feeds several passes (bounds, windows, carries): write it once
+        counts = counts.checkpoint(eager=True)
+        values = {r["__c"]: r["count"] for r in counts.groupBy("__c").count().collect()}
+        cum = prefix.running(counts, {"__cum": ("sum", "__n")}, ["__o"], group_by=["__c"], n=sum(values.values()), **kw)
+        ranks = cum.select("__c", "__v", (F.col("__cum") - F.col("__n") + (F.col("__n") + 1) / 2.0).alias("__r"))
+        for c in own:
+            r = ranks.where(F.col("__c") == c).select(F.col("__v").alias("__k"), F.col("__r").alias(names[c]))
+            if values.get(c, 0) <= RANK_BROADCAST_ROWS:
+                r = F.broadcast(r)
+            out = out.join(r, value_or_null(df, c).cast(kind) == F.col("__k"), "left").drop("__k")
+    order = [c for c in columns]
+    return out.select(*[q(c) for c in df.columns if c not in names.values()], *[q(names[c]) for c in order])
 
 
 def rank_average(df: DataFrame, column: str, name: str | None = None, ascending: bool = False, **kw) -> DataFrame:
@@ -251,43 +281,48 @@ def rank_columns(df: DataFrame, columns: list[str], **kw) -> DataFrame:
     return average_ranks(df, columns, **kw)
 
 
-def equal_width_edges(df: DataFrame, column: str, bins: int) -> tuple[float, float, float, float]:
-    """(min, max, width, lowest edge) of pandas ``cut`` equal-width bins: a
-    constant column is widened by 0.1 % of its value at both ends; otherwise
-    the lowest edge is lowered by 0.1 % of the range."""
-    row = df.select(F.min(q(column)).cast("double").alias("a"), F.max(q(column)).cast("double").alias("b")).first()
+def bin_edges(df: DataFrame, column: str, bins: int) -> list[float] | None:
+    """``bins + 1`` edges of pandas ``cut`` over the finite values: equal steps
+    from min to max, the lowest lowered by 0.1 % of the range; a constant column
+    is widened by 0.1 % of its value at both ends."""
+    x = value_or_null(df, column).cast("double")
+    x = F.when(F.abs(x) < float("inf"), x)
+    row = df.select(F.min(x).alias("a"), F.max(x).alias("b")).first()
     a, b = row["a"], row["b"]
     if a is None:
-        return None, None, None, None
-    if a == b:
-        da = 0.001 * abs(a) if a != 0 else 0.001
-        db = 0.001 * abs(b) if b != 0 else 0.001
-        a, b = a - da, b + db
-        return a, b, (b - a) / bins, a
-    return a, b, (b - a) / bins, a - (b - a) * 0.001
+        return None
+    flat = a == b
+    if flat:
+        a, b = a - (0.001 * abs(a) or 0.001), b + (0.001 * abs(b) or 0.001)
+    step = (b - a) / bins
+    edges = [a + i * step for i in range(bins)] + [b]
+    if not flat:
+        edges[0] = a - (b - a) * 0.001
+    return edges
 
 
 def create_bins(
     df: DataFrame, column: str, bins: int, labels: list[str] | None = None, name: str | None = None
 ) -> DataFrame:
-    """Right-closed equal-width bins; lowest edge lowered by 0.1 % of the range.
+    """Right-closed equal-width bins: a value belongs to the bin whose edges
+    hold it (compared with the edges themselves). Missing and infinite values
+    have no bin.
 
     Adds ``<col>_binned`` (label, or ``(lower, upper]`` text) and
     ``<col>_bin`` = struct(bin_index, lower, upper)."""
     name = name or f"{column}_binned"
-    a, b, w, low = equal_width_edges(df, column, bins)
-    if a is None:
-        return df.withColumn(name, F.lit(None).cast("string"))
-    x = q(column).cast("double")
-    idx = F.least(F.lit(bins), F.greatest(F.lit(1), F.ceil((x - F.lit(a)) / F.lit(w)))).cast("int")
-    lower = F.when(idx == 1, F.lit(low)).otherwise(F.lit(a) + (idx - 1) * F.lit(w))
-    upper = F.lit(a) + idx * F.lit(w)
-    if labels:
-        if len(labels) != bins:
-            raise ValueError("labels must have one entry per bin")
-        label = F.element_at(F.array(*[F.lit(l) for l in labels]), idx)
-    else:
-        label = F.format_string("(%.3f, %.3f]", lower, upper)
+    if labels and len(labels) != bins:
+        raise ValueError("labels must have one entry per bin")
+    edges = bin_edges(df, column, bins)
+    if edges is None:
+        nothing = F.lit(None).cast("struct<bin_index:int,lower:double,upper:double>")
+        return df.select("*", F.lit(None).cast("string").alias(name), nothing.alias(f"{column}_bin"))
+    x = value_or_null(df, column).cast("double")
+    x = F.when(F.abs(x) < float("inf"), x)
+    table = F.array(*[F.lit(e) for e in edges])
+    idx = F.size(F.filter(table, lambda e: e < x))
+    lower, upper = F.element_at(table, idx), F.element_at(table, idx + 1)
+    label = F.element_at(F.array(*[F.lit(l) for l in labels]), idx) if labels else F.format_string("(%.3f, %.3f]", lower, upper)
     info = F.struct(idx.alias("bin_index"), lower.alias("lower"), upper.alias("upper"))
     return df.select("*", F.when(x.isNotNull(), label).alias(name), F.when(x.isNotNull(), info).alias(f"{column}_bin"))
 

@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..columns import categorical_columns, date_columns, numeric_columns
+from ..columns import categorical_columns, date_columns, numeric_columns, value_or_null
 from ..operators import prefix
 from ..operators.cleaning import q
 from ..operators.quality import missing_by_column
-from ..operators.quantiles import column_quantiles, exact_quantiles
+from ..operators.quantiles import column_quantiles, exact_quantiles, grouped_quantiles
+from ..operators.transform import widen
 
 # Fixed values from the reference: intent word -> chart type, checked in this order.
 INTENT_CHART = [
@@ -38,13 +39,14 @@ def kpi_cards(df: DataFrame, metrics: list[str] | None = None, order_by: list[st
     plus the reference's text forms (``%,.2f``; integers ``%,d``). One aggregate."""
     cols = metrics or numeric_columns(df)[:4]
     key = F.struct(*[q(o) for o in order_by]) if order_by else None
+    x = lambda c: value_or_null(df, c)  # noqa: E731 - NaN is missing
     exprs = [F.count(F.lit(1)).alias("__n")]
     for i, c in enumerate(cols):
         exprs += [
-            F.sum(q(c)).alias(f"s{i}"), F.avg(q(c)).alias(f"m{i}"), F.min(q(c)).alias(f"lo{i}"), F.max(q(c)).alias(f"hi{i}"),
+            F.sum(x(c)).alias(f"s{i}"), F.avg(x(c)).alias(f"m{i}"), F.min(x(c)).alias(f"lo{i}"), F.max(x(c)).alias(f"hi{i}"),
         ]
         if key is not None:
-            exprs += [F.min_by(q(c), key).alias(f"f{i}"), F.max_by(q(c), key).alias(f"l{i}")]
+            exprs += [F.min_by(x(c), key).alias(f"f{i}"), F.max_by(x(c), key).alias(f"l{i}")]
     agg = df.select(*exprs)
     integral = {f.name for f in df.schema.fields if f.dataType.typeName() in ("integer", "long", "short", "byte")}
     cards = []
@@ -112,7 +114,7 @@ def sum_by(df: DataFrame, key: str | list[str], measures: list[str], head: int |
     base = df
     for k in keys:
         base = base.where(q(k).isNotNull())
-    out = base.groupBy(*[q(k) for k in keys]).agg(*[F.coalesce(F.sum(q(m)), F.lit(0)).alias(m) for m in measures])
+    out = base.groupBy(*[q(k) for k in keys]).agg(*[F.coalesce(F.sum(value_or_null(df, m)), F.lit(0)).alias(m) for m in measures])
     out = out.orderBy(*keys)
     return out.limit(head) if head else out
 
@@ -185,13 +187,19 @@ def missing_pattern(df: DataFrame, order_by: list[str], rows: int = 50) -> DataF
 
 
 # ------------------------------------------------------ K07-K09 distributions
+def _finite(df: DataFrame, column: str) -> Column:
+    """The column as double; NaN and infinities are missing."""
+    x = value_or_null(df, column).cast("double")
+    return F.when(F.abs(x) < float("inf"), x)
+
+
 def value_ranges(df: DataFrame, columns: list[str]) -> dict[str, tuple]:
     """(min, max) of several columns in one aggregate."""
     if not columns:
         return {}
     r = df.select(
-        *[F.min(q(c)).cast("double").alias(f"a{i}") for i, c in enumerate(columns)],
-        *[F.max(q(c)).cast("double").alias(f"b{i}") for i, c in enumerate(columns)],
+        *[F.min(_finite(df, c)).alias(f"a{i}") for i, c in enumerate(columns)],
+        *[F.max(_finite(df, c)).alias(f"b{i}") for i, c in enumerate(columns)],
     ).first()
     return {c: (r[f"a{i}"], r[f"b{i}"]) for i, c in enumerate(columns)}
 
@@ -202,7 +210,7 @@ def histogram(df: DataFrame, column: str, bins: int = 20, value_range: tuple | N
     if a is None:
         return df.sparkSession.createDataFrame([], "bin int, lower double, upper double, count long")
     w = (b - a) / bins if b > a else 1.0
-    x = q(column).cast("double")
+    x = _finite(df, column)
     idx = F.least(F.lit(bins - 1), F.floor((x - F.lit(a)) / F.lit(w))).cast("int")
     counts = df.where(x.isNotNull()).groupBy(idx.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     return counts.select(
@@ -232,17 +240,20 @@ def box_stats(df: DataFrame, columns: list[str], group_by: str | None = None, st
     1.5 IQR) and outlier count, per column (and group)."""
     groups = [group_by] if group_by else []
     base = df.where(q(group_by).isNotNull()) if group_by else df
-    qs = exact_quantiles(base, columns, [0.25, 0.5, 0.75], group_by=groups, stats=stats)
-    spark = df.sparkSession
-    gtype = df.schema[group_by].dataType.simpleString() if group_by else "string"
-    rows = [(*(k[:-1] if groups else ()), k[-1], *v) for k, v in qs.items() if v[0] is not None]
-    schema = (f"{group_by} {gtype}, " if group_by else "") + "column string, q1 double, median double, q3 double"
-    qdf = spark.createDataFrame(rows, schema)
+    if groups:
+        qdf = grouped_quantiles(base, columns, [0.25, 0.5, 0.75], groups).select(
+            *[q(g) for g in groups], F.col("__series").alias("column"),
+            F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"),
+        )
+    else:  # one row per column
+        qs = exact_quantiles(base, columns, [0.25, 0.5, 0.75], stats=stats)
+        rows = [(k[-1], *v) for k, v in qs.items() if v[0] is not None]
+        qdf = F.broadcast(df.sparkSession.createDataFrame(rows, "column string, q1 double, median double, q3 double"))
     long = base.select(
         *[q(g) for g in groups],
-        F.explode(F.array(*[F.struct(F.lit(c).alias("column"), q(c).cast("double").alias("x")) for c in columns])).alias("p"),
+        F.explode(F.array(*[F.struct(F.lit(c).alias("column"), value_or_null(df, c).cast("double").alias("x")) for c in columns])).alias("p"),
     ).select(*groups, "p.column", "p.x").where(F.col("x").isNotNull())
-    j = long.join(F.broadcast(qdf), groups + ["column"])
+    j = long.join(qdf, groups + ["column"])  # AQE broadcasts or splits by its size
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     agg = j.groupBy(*groups, "column", "q1", "median", "q3").agg(
@@ -311,10 +322,14 @@ def category_line(df: DataFrame, category: str, measure: str) -> DataFrame:
 # ------------------------------------------------------ K20-K24 composites
 def cat_heatmap(df: DataFrame, c1: str, c2: str, measure: str | None = None) -> DataFrame:
     """Pivot of sum(measure) (or row count) by c1 x c2, missing cells 0."""
-    vals = [r[0] for r in df.where(q(c2).isNotNull()).select(q(c2).cast("string")).distinct().orderBy(1).collect()]
-    base = df.where(q(c1).isNotNull() & q(c2).isNotNull()).groupBy(q(c1)).pivot(c2, vals)
-    out = base.agg(F.sum(q(measure))) if measure else base.agg(F.count(F.lit(1)))
-    return out.na.fill(0).orderBy(c1)
+    return widen(cat_cells(df, c1, c2, measure), c1, fill=0)
+
+
+def cat_cells(df: DataFrame, c1: str, c2: str, measure: str | None = None) -> DataFrame:
+    """The cells of K20 in long form (c1, column, value), whatever their number."""
+    base = df.where(q(c1).isNotNull() & q(c2).isNotNull())
+    cell = F.coalesce(F.sum(value_or_null(df, measure)), F.lit(0)) if measure else F.count(F.lit(1))
+    return base.groupBy(q(c1), q(c2).cast("string").alias("column")).agg(cell.alias("value"))
 
 
 def donut(df: DataFrame, column: str, max_values: int = 8, n_values: int | None = None) -> DataFrame | None:

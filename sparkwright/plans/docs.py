@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import strip_ws
+from ..functions.text import strip_unicode as strip_ws
 
 # Fixed values from the reference: the heading rule (matched at the start of a
 # stripped line shorter than 120 characters) and the financial-figure pattern
@@ -27,7 +27,9 @@ FIGURE_PATTERN = (
 SCANNED_CHARS = 50  # pages with fewer characters count as image-only / need OCR
 # Characters that can occur inside a figure match (the pattern's classes and
 # literals); every other character splits a page into independent segments.
-FIGURE_CHARS = r"A-Za-z0-9\s&/'\-:.,₹$"
+FIGURE_CHARS = r"A-Za-zſK\d\s&/'\-:.,₹$"
+# The rules are Unicode-aware: white space and digits of any script count.
+UNICODE = "(?U)"
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -75,7 +77,7 @@ def page_lines(pages: DataFrame) -> DataFrame:
     """Stripped non-blank lines with their position and heading flag."""
     lines = spread(pages).select("document", "page", F.posexplode(F.split(F.col("text"), "\n")).alias("pos", "raw"))
     lines = lines.select("document", "page", "pos", strip_ws(F.col("raw")).alias("line")).where(F.col("line") != "")
-    is_head = F.col("line").rlike(HEADING_PATTERN) & (F.length("line") < HEADING_MAX_LEN)
+    is_head = F.col("line").rlike(UNICODE + HEADING_PATTERN) & (F.length("line") < HEADING_MAX_LEN)
     return lines.withColumn("is_heading", is_head)
 
 
@@ -113,18 +115,18 @@ def figures(pages: DataFrame) -> DataFrame:
     # matches are found in one pass; the groups are then read from each short
     # match -- the pattern has no anchors or look-around, so re-matching a
     # match from its start yields the same groups.
-    cand = spread(pages.where(F.col("text").rlike("[0-9]")))
+    cand = spread(pages.where(F.col("text").rlike(UNICODE + r"\d")))
     segs = cand.select(
-        "document", "page", F.posexplode(F.split("text", f"[^{FIGURE_CHARS}]+")).alias("seg", "s")
-    ).where(F.col("s").rlike("[0-9]"))
+        "document", "page", F.posexplode(F.split("text", f"{UNICODE}[^{FIGURE_CHARS}]+")).alias("seg", "s")
+    ).where(F.col("s").rlike(UNICODE + r"\d"))
     m = segs.select(
-        "document", "page", "seg", F.posexplode(F.regexp_extract_all("s", F.lit(FIGURE_PATTERN), 0)).alias("pos", "mt")
+        "document", "page", "seg", F.posexplode(F.regexp_extract_all("s", F.lit(UNICODE + FIGURE_PATTERN), 0)).alias("pos", "mt")
     )
     x = m.select(
         "document", "page", F.struct("seg", "pos").alias("pos"),
-        strip_ws(F.regexp_extract("mt", FIGURE_PATTERN, 1)).alias("label"),
-        F.regexp_replace(F.regexp_extract("mt", FIGURE_PATTERN, 2), ",", "").try_cast("double").alias("value"),
-        F.lower(F.regexp_extract("mt", FIGURE_PATTERN, 3)).alias("unit"),
+        strip_ws(F.regexp_extract("mt", UNICODE + FIGURE_PATTERN, 1)).alias("label"),
+        F.regexp_replace(F.regexp_extract("mt", UNICODE + FIGURE_PATTERN, 2), ",", "").try_cast("double").alias("value"),
+        F.lower(F.regexp_extract("mt", UNICODE + FIGURE_PATTERN, 3)).alias("unit"),
     )
     x = x.where(F.col("value").isNotNull() & (F.col("value") != 0) & (F.length("label") >= 3))
     first = x.groupBy("document", "label", "value").agg(F.min_by(F.struct("page", "unit"), F.struct("page", "pos")).alias("k"))
@@ -163,6 +165,6 @@ def ingest_documents(catalog, pages: DataFrame, name: str) -> DataFrame:
     counts = [(t, d.count()) for t, d in [(f"{name}_text", text), (f"{name}_sections", secs), (f"{name}_figures", figs), (f"{name}_document", doc)]]
     spark = pages.sparkSession
     meta = spark.createDataFrame([(name, "documents", *[c for _, c in counts])], "table_name string, source_type string, pages long, sections long, figures long, documents long")
-    meta.write.mode("overwrite").parquet(catalog.path(f"{name}_metadata"))
+    catalog.store(meta, f"{name}_metadata")
     counts.append((f"{name}_metadata", 1))
     return spark.createDataFrame(counts, "table_name string, rows long").select("table_name", F.col("rows"))

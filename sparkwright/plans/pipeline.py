@@ -1,15 +1,19 @@
-"""The ETL pipeline. Each stage reads the previous stage's stored
-table, runs lazily, and is written to the shared dataset folder before the
-next starts -- so lineage is cut at every stage and a lost executor only
-recomputes from the last written stage."""
+"""The ETL pipeline as a list of stages run by one loop. A stage is a
+name, a function from the previous table to the next, and the suffix of the
+table it writes; each table is written to the shared dataset folder before the
+next stage starts, so lineage is cut there and a lost executor recomputes from
+the last written table only. The history is a table under the catalog's root."""
 
 from __future__ import annotations
 
 import datetime as dt
 import json
 import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.cleaning import auto_clean, clean_name
@@ -17,70 +21,91 @@ from ..operators.features import generate_features
 from ..operators.profile import full_profile
 from ..operators.quality import validate_dataset
 from ..operators.transform import apply_transformations
-from ..sources.catalog import Catalog, ingest_metadata, sanitize_table_name
+from ..sources.catalog import METADATA_SUFFIX, Catalog, ingest_metadata, sanitize_table_name
 from ..sources.readers import read_any
 
-HISTORY_SCHEMA = T.StructType(
-    [
-        T.StructField("id", T.StringType()),
-        T.StructField("step", T.StringType()),
-        T.StructField("status", T.StringType()),
-        T.StructField("timestamp", T.StringType()),
-        T.StructField("table_name", T.StringType()),
-        T.StructField("details", T.StringType()),
-    ]
-)
+HISTORY_SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in ("id", "step", "status", "timestamp", "table_name", "details")])
+HISTORY_FOLDER = "_pipeline/history"
+
+
+@dataclass
+class Stage:
+    """One step: ``work(table) -> (result, facts)``; facts go into the history."""
+
+    name: str
+    suffix: str
+    work: Callable[[DataFrame], tuple[DataFrame, dict]]
+
+
+def cleaning_stage(order_by=None) -> Stage:
+    def work(df: DataFrame):
+        cleaned, steps = auto_clean(df, order_by=order_by)
+        return cleaned, {"cleaning_steps": steps}
+
+    return Stage("cleaning", "_cleaned", work)
+
+
+def transformation_stage(transformations: list[dict] | None = None) -> Stage:
+    facts = {"transformations": transformations or ["auto_dtype_conversion"]}
+    return Stage("transformation", "_transformed", lambda df: (apply_transformations(df, transformations), facts))
+
+
+def feature_stage(numeric_columns=None, date_columns=None, order_by=None) -> Stage:
+    def work(df: DataFrame):
+        out, new = generate_features(df, numeric_columns, date_columns, order_by=order_by)
+        return out, {"new_features": new}
+
+    return Stage("feature_engineering", "_features", work)
 
 
 class Pipeline:
     def __init__(self, spark: SparkSession, catalog: Catalog | None = None):
         self.spark = spark
         self.catalog = catalog or Catalog(spark)
-        self.history: list[tuple] = []
 
-    def _log(self, step: str, table: str, status: str = "completed", **details) -> None:
-        self.history.append(
-            (uuid.uuid4().hex[:12], step, status, dt.datetime.now().isoformat(), table, json.dumps(details, default=str))
-        )
+    # -- history
+    def _record(self, step: str, table: str, status: str = "completed", **details) -> None:
+        row = (uuid.uuid4().hex[:12], step, status, dt.datetime.now().isoformat(), table, json.dumps(details, default=str))
+        one = self.spark.createDataFrame([row], HISTORY_SCHEMA).coalesce(1)
+        one.write.mode("append").parquet(f"{self.catalog.root}/{HISTORY_FOLDER}")
+
+    def history_frame(self, last: int = 50) -> DataFrame:
+        """The last ``last`` steps, oldest first; they outlive the driver."""
+        log = self.spark.read.schema(HISTORY_SCHEMA).parquet(f"{self.catalog.root}/{HISTORY_FOLDER}")
+        return log.orderBy(F.desc("timestamp"), "id").limit(last).orderBy("timestamp", "id")
+
+    # -- one stage
+    def _run(self, stage: Stage, table: str) -> dict:
+        result, facts = stage.work(self.catalog.get(table))
+        target = f"{table}{stage.suffix}"
+        stored = self.catalog.store(result, target)
+        self._record(stage.name, target, **facts)
+        return {"status": "success", "table_name": target, "table": stored, **facts}
 
-    # E01
     def run_ingestion(self, path: str | None = None, df: DataFrame | None = None, name: str | None = None, order_by=None) -> dict:
-        if path:
-            df = read_any(self.spark, path)
-            name = sanitize_table_name(name or path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0])
-            source = path
-        elif df is not None:
-            name = sanitize_table_name(name or "dataset")
-            source = "dataframe"
-        else:
-            raise ValueError("Either file_path or df must be provided")
-        stored = self.catalog.store(df, name)
-        meta = ingest_metadata(stored, name, source=source, order_by=order_by)
-        meta.write.mode("overwrite").parquet(self.catalog.path(name + "_metadata"))
-        self._log("ingestion", name, source=source)
-        return {"status": "success", "table_name": name}
-
-    # E02
+        """A file by its type, or a frame, becomes a dataset with metadata."""
+        if path is None and df is None:
+            raise ValueError("give a path or a frame to ingest")
+        default = path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0] if path else "dataset"
+        table, source = sanitize_table_name(name or default), path or "dataframe"
+        stored = self.catalog.store(read_any(self.spark, path) if path else df, table)
+        self.catalog.store(ingest_metadata(stored, table, source=source, order_by=order_by), table + METADATA_SUFFIX)
+        self._record("ingestion", table, source=source)
+        return {"status": "success", "table_name": table, "table": stored}
+
     def run_cleaning(self, table: str, order_by=None) -> dict:
-        cleaned, steps = auto_clean(self.catalog.get(table), order_by=order_by)
-        out = self.catalog.store(cleaned, f"{table}_cleaned")
-        self._log("cleaning", f"{table}_cleaned", cleaning_steps=steps)
-        return {"status": "success", "cleaning_steps": steps, "table": out, "validation": validate_dataset(out)}
+        """E02, with the validation of what it wrote."""
+        out = self._run(cleaning_stage(order_by), table)
+        return {**out, "validation": validate_dataset(out["table"])}
 
-    # E03
     def run_transformation(self, table: str, transformations: list[dict] | None = None) -> dict:
-        out = self.catalog.store(apply_transformations(self.catalog.get(table), transformations), f"{table}_transformed")
-        self._log("transformation", f"{table}_transformed", transformations=transformations or ["auto_dtype_conversion"])
-        return {"status": "success", "table": out}
+        """E03."""
+        return self._run(transformation_stage(transformations), table)
 
-    # E04
     def run_feature_engineering(self, table: str, numeric_columns=None, date_columns=None, order_by=None) -> dict:
-        df, new = generate_features(self.catalog.get(table), numeric_columns, date_columns, order_by=order_by)
-        out = self.catalog.store(df, f"{table}_features")
-        self._log("feature_engineering", f"{table}_features", new_features=new)
-        return {"status": "success", "new_features": new, "table": out}
+        """E04."""
+        return self._run(feature_stage(numeric_columns, date_columns, order_by), table)
 
-    # E05
     def run_full_etl(
         self,
         path: str | None = None,
@@ -90,36 +115,26 @@ class Pipeline:
         numeric_columns=None,
         date_columns=None,
         order_by=None,
-        profile: bool = False,
+        profile: bool = True,
     ) -> dict:
-        steps = []
+        """Ingestion, then the stages one after the other; the final table
+        and its profile. A failure is recorded and reported, not raised."""
+        done: list[str] = []
         try:
-            ing = self.run_ingestion(path, df, name)
-            steps.append("ingestion")
-            t = ing["table_name"]
-            self.run_cleaning(t, order_by=order_by)
-            steps.append("cleaning")
-            self.run_transformation(f"{t}_cleaned")
-            steps.append("transformation")
-            target = f"{t}_cleaned_transformed"
-            if run_features:
-                # the cleaning stage renamed the columns
-                cleaned_order = [clean_name(c) for c in order_by] if order_by else None
-                self.run_feature_engineering(target, numeric_columns, date_columns, order_by=cleaned_order)
-                steps.append("feature_engineering")
-                target = f"{target}_features"
-            final = self.catalog.get(target)
-            out = {"status": "success", "final_table": target, "final": final, "steps": steps}
-            if profile:
-                out["profile"] = full_profile(final)
-            return out
-        except Exception as e:  # noqa: BLE001 - the pipeline reports, like the reference
-            self._log("full_etl", name or "", status="failed", error=str(e))
-            return {"status": "failed", "error": str(e), "steps": steps}
-
-    # E06
-    def history_frame(self, last: int = 50) -> DataFrame:
-        return self.spark.createDataFrame(self.history[-last:], HISTORY_SCHEMA)
+            table = self.run_ingestion(path, df, name)["table_name"]
+            done.append("ingestion")
+            stages = [cleaning_stage(order_by), transformation_stage()]
+            if run_features:  # the cleaning stage renames the columns
+                stages.append(feature_stage(numeric_columns, date_columns, [clean_name(c) for c in order_by] if order_by else None))
+            for stage in stages:
+                table = self._run(stage, table)["table_name"]
+                done.append(stage.name)
+        except Exception as e:  # noqa: BLE001
+            self._record("full_etl", name or "", status="failed", error=str(e))
+            return {"status": "failed", "error": str(e), "steps": done}
+        final = self.catalog.get(table)
+        out = {"status": "success", "final_table": table, "final": final, "steps": done}
+        return {**out, "profile": full_profile(final)} if profile else out
 
     # E07
     def profile_dataset(self, table: str) -> dict:

@@ -2,32 +2,38 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 
-_LEAD = re.compile(r"^\s*(?:--[^\n]*\n\s*)*", re.S)
+#: Base classes of every plan that changes or defines something.
+_WRITING = (
+    "org.apache.spark.sql.catalyst.plans.logical.Command",
+    "org.apache.spark.sql.catalyst.plans.logical.ParsedStatement",
+)
 
 
 def run_select(spark: SparkSession, sql: str, **args) -> DataFrame:
-    """Run a single ``SELECT`` (or ``WITH ... SELECT``); anything else raises
-    ``ValueError``. Spark's parser rejects several statements in one string."""
-    text = _LEAD.sub("", sql).strip().rstrip(";").strip()
-    head = text[:6].lower()
-    if head != "select" and not text.lower().startswith("with"):
-        raise ValueError("Only SELECT queries are allowed")
-    if ";" in _strip_literals(text):
-        raise ValueError("Only one statement is allowed")
-    df = spark.sql(text, args or None)
-    if text.lower().startswith("with") and not _is_query_plan(df):
+    """Run a single query (``SELECT``, ``WITH ... SELECT``); anything else raises
+    ``ValueError``. The text is parsed first and its plan inspected, so a
+    command, insert, merge or the like -- also behind ``WITH`` -- never runs.
+    Spark's parser takes one statement only."""
+    text = sql.strip().rstrip(";").strip()
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    except Exception as e:  # a Py4J or a converted parse error: not a query
+        raise ValueError(f"Only SELECT queries are allowed: {str(e).splitlines()[0]}") from e
+    if _writes(spark, plan):
         raise ValueError("Only SELECT queries are allowed")
-    return df
-
-
-def _strip_literals(text: str) -> str:
-    return re.sub(r"'(?:[^']|'')*'", "''", text)
-
-
-def _is_query_plan(df: DataFrame) -> bool:
-    plan = df._jdf.queryExecution().logical().getClass().getSimpleName()
-    return not plan.endswith("Command") and "Insert" not in plan
+    return spark.sql(text, args or None)
+
+
+def _writes(spark: SparkSession, plan) -> bool:
+    """True if the parsed plan, or any plan below it, is a command."""
+    kinds = [spark._jvm.java.lang.Class.forName(k) for k in _WRITING]
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        if any(k.isInstance(node) for k in kinds):
+            return True
+        for below in (node.children(), node.innerChildren()):
+            todo += [x for x in (below.apply(i) for i in range(below.size())) if hasattr(x, "children")]
+    return False

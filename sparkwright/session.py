@@ -14,6 +14,7 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -46,10 +47,16 @@ def get_spark(master: str | None = None, app_name: str = "sparkwright", conf: di
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the deployment sets it to shared storage and it is only read.
-    When it is unset (local runs, tests) a private scratch folder is created.
+    On a cluster the deployment sets it to shared storage and it is only read;
+    without it operators refuse to run there. Only a ``local[..]`` session (tests)
+    gets a private scratch folder when it is unset. Checkpoints are removed with
+    their DataFrame where ``spark.cleaner.referenceTracking.cleanCheckpoints``
+    is on (the default of :func:`get_spark`); stage tables stay for their readers
+    until :func:`drop_stages`.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not path:
         path = tempfile.mkdtemp(prefix="sparkwright-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
@@ -65,7 +72,16 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{base}/stages/{name}"
 
 
-_SHIPPED: set[int] = set()
+def drop_stages(spark: SparkSession, path: str) -> None:
+    """Remove a stage folder once nothing reads it any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stages/"
+    if not path.startswith(base):
+        raise ValueError(f"{path} is no stage folder")
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+_SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -76,7 +92,7 @@ def ship_package(spark: SparkSession) -> None:
     import zipfile
 
     sc = spark.sparkContext
-    if id(sc) in _SHIPPED:
+    if sc.applicationId in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg)
@@ -89,4 +105,4 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(d, f)
                     z.write(full, os.path.relpath(full, root))
     sc.addPyFile(path)
-    _SHIPPED.add(id(sc))
+    _SHIPPED.add(sc.applicationId)

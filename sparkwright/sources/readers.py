@@ -26,11 +26,17 @@ def detect_file_type(path: str) -> str:
     return EXTENSIONS[ext]
 
 
-def read_csv(spark: SparkSession, path: str, schema=None, **options) -> DataFrame:
+#: Standard quoting: a quote inside a quoted field is doubled.
+CSV_QUOTING = {"quote": '"', "escape": '"'}
+
+
+def read_csv(spark: SparkSession, path: str, schema=None, multi_line: bool = False, **options) -> DataFrame:
     """Header row; types inferred over the data unless ``schema`` is given
-    (give one at scale: inference is an extra pass); empty field = null."""
+    (give one at scale: inference is an extra pass); empty field = null. Quotes
+    are doubled inside quotes; ``multi_line`` for fields with line breaks (such a
+    file is not split between tasks). A row that does not parse raises."""
     options.pop("sheet_name", None)
-    r = spark.read.option("header", True)
+    r = spark.read.option("header", True).option("mode", "FAILFAST").option("multiLine", multi_line).options(**CSV_QUOTING)
     r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
     return r.options(**options).csv(path)
 
@@ -39,9 +45,16 @@ def read_csv(spark: SparkSession, path: str, schema=None, **options) -> DataFram
 JSON_TS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
-def read_json(spark: SparkSession, path: str, schema=None, multi_line: bool = False, **options) -> DataFrame:
-    """JSON lines by default; ``multi_line=True`` for one array of records."""
-    r = spark.read.option("multiLine", multi_line).options(**JSON_TS)
+def read_json(spark: SparkSession, path: str, schema=None, multi_line: bool | None = None, **options) -> DataFrame:
+    """JSON records, one per line, or an array of records (on any number of
+    lines). Which one is told by the first line that is not blank, unless
+    ``multi_line`` says so; an array file is read by one task. A record that does
+    not parse raises."""
+    if multi_line is None:
+        first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
+        head = first[0][0].strip() if first else ""
+        multi_line = head.startswith("[") or head == "{"
+    r = spark.read.option("multiLine", multi_line).option("mode", "FAILFAST").options(**JSON_TS)
     if schema is not None:
         r = r.schema(schema)
     return r.options(**options).json(path)
@@ -107,8 +120,8 @@ def write_jdbc(df: DataFrame, url: str, table: str, if_exists: str = "replace",
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV with a header row (one file per partition)."""
-    df.write.mode(mode).option("header", True).csv(path)
+    """CSV with a header row (one file per partition), standard quoting."""
+    df.write.mode(mode).option("header", True).options(**CSV_QUOTING).csv(path)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -116,10 +129,36 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).options(**JSON_TS).json(path)
 
 
-def file_hashes(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """SHA-256 of every file under ``path`` (path, length, sha256). Files are
-    read in parallel, one row per file."""
+#: Files up to this size are hashed as one value, larger ones in chunks.
+WHOLE_FILE_BYTES = 64 << 20
+
+
+def file_hashes(spark: SparkSession, path: str, glob: str | None = None, whole_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
+    """SHA-256 of every file under ``path`` (path, length, sha256), one row
+    per file, in parallel. Larger files are read through the file system in
+    chunks, so no cell ever holds more than ``whole_bytes``."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         r = r.option("pathGlobFilter", glob)
-    return r.load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    files = r.load(path)
+    small = files.where(F.col("length") <= whole_bytes).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    large = files.where(F.col("length") > whole_bytes).select("path", "length")  # the content is not read
+
+    def run(batches):
+        import hashlib
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for b in batches:
+            out = []
+            for uri in b.column(0).to_pylist():
+                store, at = fs.FileSystem.from_uri(uri)
+                h = hashlib.sha256()
+                with store.open_input_stream(at) as stream:
+                    while chunk := stream.read(4 << 20):
+                        h.update(chunk)
+                out.append(h.hexdigest())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=["path", "length", "sha256"])
+
+    return small.unionByName(large.repartition("path").mapInArrow(run, "path string, length long, sha256 string"))

@@ -67,7 +67,8 @@ def pipe_full_etl(spark, sf_dir):
     to the shared folder before the next reads it."""
     p = _pipeline(spark)
     res = p.run_full_etl(
-        df=_dirty(spark, sf_dir), name="orders_raw", numeric_columns=["total_price"], date_columns=["order_date"], order_by=["Order Key"]
+        df=_dirty(spark, sf_dir), name="orders_raw", numeric_columns=["total_price"], date_columns=["order_date"], order_by=["Order Key"],
+        profile=False,  # pipe_full_etl_profile checks it
     )
     if res["status"] != "success":
         raise RuntimeError(res["error"])
@@ -119,9 +120,40 @@ def pipe_features(spark, sf_dir):
     )
 
 
-@register("pipe_history")
+@register(
+    "pipe_history",
+    """SELECT * FROM (VALUES ('ingestion', 'completed', 'orders_raw'), ('cleaning', 'completed', 'orders_raw_cleaned'),
+('transformation', 'completed', 'orders_raw_cleaned_transformed'),
+('feature_engineering', 'completed', 'orders_raw_cleaned_transformed_features')) t(step, status, table_name)
+WHERE (SELECT count(*) FROM orders) > 0""",
+)
 def pipe_history(spark, sf_dir):
-    """Row-only: the history log of a full run (one row per completed step)."""
+    """The history table of a full run over orders, as a second session would read it."""
     p = _pipeline(spark)
-    p.run_full_etl(df=table(spark, sf_dir, "region"), name="region_raw")
-    return p.history_frame().select("step", "status", "table_name")
+    p.run_full_etl(df=_dirty(spark, sf_dir), name="orders_raw", numeric_columns=["total_price"], order_by=["Order Key"], profile=False)
+    return Pipeline(spark, Catalog(spark, root=p.catalog.root)).history_frame().select("step", "status", "table_name")
+
+
+@register(
+    "pipe_full_etl_profile",
+    f"""
+WITH f AS ({_FULL_SQL})
+SELECT (SELECT count(*) FROM f) AS rows, CAST(14 AS BIGINT) AS columns, (SELECT count(*) FROM (SELECT DISTINCT * FROM f)) AS distinct_rows,
+       (SELECT round(avg(total_price), 4) FROM f) AS mean_price, (SELECT round(quantile_cont(total_price, 0.5), 4) FROM f) AS median_price,
+       (SELECT count(*) - count(order_date) FROM f) AS missing_dates, (SELECT round(corr(total_price, cust_ref), 6) FROM f) AS corr_price_cust""",
+)
+def pipe_full_etl_profile(spark, sf_dir):
+    """The profile that belongs to the result of every full run."""
+    p = _pipeline(spark)
+    res = p.run_full_etl(
+        df=_dirty(spark, sf_dir), name="orders_raw", numeric_columns=["total_price"], date_columns=["order_date"], order_by=["Order Key"]
+    )
+    if res["status"] != "success":
+        raise RuntimeError(res["error"])
+    prof = res["profile"]
+    price = F.col("column") == "total_price"
+    over = prof["overview"].select("rows", "columns", (F.col("rows") - F.col("duplicate_rows")).alias("distinct_rows"))
+    stats = prof["numeric_stats"].where(price).select(F.round("mean", 4).alias("mean_price"), F.round("p50", 4).alias("median_price"))
+    miss = prof["missing"].where(F.col("column") == "order_date").select(F.col("missing_count").alias("missing_dates"))
+    corr = prof["correlation"].where("col1 = 'total_price' AND col2 = 'cust_ref'").select(F.round("corr", 6).alias("corr_price_cust"))
+    return over.crossJoin(stats).crossJoin(miss).crossJoin(corr)  # one row each

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.numeric import nonfinite_to_null
-from ..operators.upsert import delete_by_key, upsert_by_key
+from ..operators.upsert import delete_by_key, get_by_key, list_recent, upsert_by_key
 from ..session import stage_path
 from ..sources import readers as R
 from ..sources.catalog import Catalog, ingest_metadata
@@ -32,6 +32,29 @@ def src_csv_roundtrip(spark, sf_dir):
     return _conform(R.read_csv(spark, path), o)
 
 
+@register("src_csv_quoting", "SELECT doc_id, text, lang FROM documents")
+def src_csv_quoting(spark, sf_dir):
+    """Whole texts with quotes, separators and line breaks, to CSV and back."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    path = _scratch(spark, "quoting") + "/documents.csv"
+    R.write_csv(d, path)
+    return R.read_csv(spark, path, schema=d.schema, multi_line=True)
+
+
+@register("src_json_array", "SELECT doc_id, text, lang FROM documents")
+def src_json_array(spark, sf_dir):
+    """A file that holds one array of records, as other tools export it."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    record = F.to_json(F.struct(*d.columns))
+    low = d.agg(F.min("doc_id").alias("low"))
+    rows = d.crossJoin(F.broadcast(low)).select((F.col("doc_id") == F.col("low")).alias("first"), record.alias("value"))
+    line = lambda text: spark.range(1).select(F.lit(text).alias("value"))
+    parts = [line("["), rows.where("first").select("value"), rows.where("not first").select(F.concat(F.lit(","), "value").alias("value")), line("]")]
+    path = _scratch(spark, "array") + "/documents.json"
+    parts[0].union(parts[1]).union(parts[2]).union(parts[3]).coalesce(1).write.text(path)
+    return R.read_any(spark, path).select(*d.columns)
+
+
 @register("src_json_roundtrip", "SELECT * FROM events")
 def src_json_roundtrip(spark, sf_dir):
     e = table(spark, sf_dir, "events")
@@ -75,18 +98,28 @@ def cat_store_and_get(spark, sf_dir):
 
 
 def _catalog_with(spark, sf_dir, names):
+    """A catalog whose datasets are the given tables themselves (no copies)."""
     cat = Catalog(spark, root=_scratch(spark, "catalog"))
     for n in names:
-        cat.store(table(spark, sf_dir, n), n)
+        cat.register(n, f"{sf_dir.rstrip('/')}/{n}.parquet")
     return cat
 
 
-@register("cat_list_datasets")
+@register(
+    "cat_list_datasets",
+    """SELECT 'nation' AS name, (SELECT count(*) FROM nation) AS row_count
+UNION ALL SELECT 'orders', (SELECT count(*) FROM orders) UNION ALL SELECT 'supplier', (SELECT count(*) FROM supplier)""",
+)
 def cat_list_datasets(spark, sf_dir):
-    """Row-only: dataset names of a catalog holding three tables and one metadata table."""
-    cat = _catalog_with(spark, sf_dir, ["region", "nation", "supplier"])
-    ingest_metadata(cat.get("nation"), "nation").write.parquet(cat.path("nation_metadata"))
-    return spark.createDataFrame([(n,) for n in cat.list()], "name string")
+    """Names and rows of a catalog of three tables; metadata, internal and
+    deleted datasets are not listed."""
+    cat = _catalog_with(spark, sf_dir, ["orders", "nation", "supplier", "region"])
+    cat.store(ingest_metadata(cat.get("nation"), "nation"), "nation_metadata")
+    cat.store(cat.get("nation"), "_internal")
+    cat.delete("region")
+    if cat.exists("region") or not cat.exists("orders"):
+        raise RuntimeError("delete removes the dataset it names and no other")
+    return cat.table_stats().select(F.col("table_name").alias("name"), "row_count")
 
 
 @register(
@@ -118,12 +151,16 @@ def cat_preview(spark, sf_dir):
 
 @register(
     "cat_ingest_metadata",
-    "SELECT 'dataframe' AS source, 'orders' AS table_name, count(*) AS rows, CAST(6 AS BIGINT) AS columns, CAST(NULL AS VARCHAR) AS file_hash, "
-    "CAST(6 AS BIGINT) AS schema_entries FROM orders",
+    """SELECT 'dataframe' AS source, 'orders' AS table_name, (SELECT count(*) FROM orders) AS rows, CAST(6 AS BIGINT) AS columns,
+       CAST(NULL AS VARCHAR) AS file_hash, column_name AS "column",
+       CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double'
+            WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' END AS dtype
+FROM (DESCRIBE orders)""",
 )
 def cat_ingest_metadata(spark, sf_dir):
     m = ingest_metadata(table(spark, sf_dir, "orders"), "orders", order_by=["o_orderkey"])
-    return m.select("source", "table_name", "rows", "columns", "file_hash", F.size("schema").cast("long").alias("schema_entries"))
+    each = m.select("source", "table_name", "rows", "columns", "file_hash", F.explode("schema").alias("s"))
+    return each.select("source", "table_name", "rows", "columns", "file_hash", "s.column", "s.dtype")
 
 
 @register(
@@ -190,6 +227,26 @@ def table_upsert(spark, sf_dir):
     return upsert_by_key(base, _changes(spark, sf_dir), key="name", now=_NOW)
 
 
+@register(
+    "table_get_by_key",
+    "SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey = 7 UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_name = 'Customer#000000009'",
+)
+def table_get_by_key(spark, sf_dir):
+    """A saved row by its id and by its name."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return get_by_key(c, 7).unionByName(get_by_key(c, "Customer#000000009", "name"))
+
+
+@register(
+    "table_list_recent",
+    "SELECT o_orderkey AS id, o_orderdate AS updated_at FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20",
+)
+def table_list_recent(spark, sf_dir):
+    """The most recently updated saved rows."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("updated_at"))
+    return list_recent(o).limit(20)
+
+
 @register(
     "table_delete_by_key",
     "SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",

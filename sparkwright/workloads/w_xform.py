@@ -165,19 +165,17 @@ def xform_rank_average(spark, sf_dir):
 
 
 def _bins_sql(col: str, n: int, labels: list[str] | None) -> str:
-    idx = f"CAST(least({n}, greatest(1, ceil(({col} - a) / w))) AS INTEGER)"
-    label = (
-        "[" + ", ".join(f"'{l}'" for l in labels) + f"][{idx}]"
-        if labels
-        else f"printf('(%.3f, %.3f]', CASE WHEN {idx} = 1 THEN a - (b - a) * 0.001 ELSE a + ({idx} - 1) * w END, a + {idx} * w)"
-    )
+    """Bins by comparing each value with the edges, as a join over them."""
+    if labels:
+        label = "[" + ", ".join(f"'{l}'" for l in labels) + "][k + 1]"
+    else:
+        label = "printf('(%.3f, %.3f]', lo, hi)"
     return f"""
 WITH s AS (SELECT CAST(min({col}) AS DOUBLE) AS a, CAST(max({col}) AS DOUBLE) AS b FROM part),
-e AS (SELECT a, b, (b - a) / {n} AS w FROM s)
-SELECT p_partkey, {col}, {label} AS {col}_binned, {idx} AS bin_index,
-       round(CASE WHEN {idx} = 1 THEN a - (b - a) * 0.001 ELSE a + ({idx} - 1) * w END, 6) AS lower,
-       round(a + {idx} * w, 6) AS upper
-FROM part, e
+e AS (SELECT k, CASE WHEN k = 0 THEN a - (b - a) * 0.001 ELSE a + k * ((b - a) / {n}) END AS lo,
+             CASE WHEN k = {n - 1} THEN b ELSE a + (k + 1) * ((b - a) / {n}) END AS hi FROM s, range({n}) t(k))
+SELECT p_partkey, {col}, {label} AS {col}_binned, CAST(k + 1 AS INTEGER) AS bin_index, round(lo, 6) AS lower, round(hi, 6) AS upper
+FROM part JOIN e ON {col} > lo AND {col} <= hi
 """
 
 
