@@ -37,7 +37,7 @@ LONG_WORD = 256
 #: Characters normalised at once inside a long word.
 SLICE = 4096
 #: Words whose ids a task remembers before it starts afresh.
-MEMORY = 150_000
+MEMORY = 250_000
 #: Ids handed on at once.
 BLOCK = 1 << 15
 
@@ -156,11 +156,19 @@ class Bpe:
         first, the leftmost of equal ones."""
         ranks = self.ranks
         if len(parts) <= 48:
-            while len(parts) > 1:
-                rank, at = min((ranks.get(p, 1 << 60), i) for i, p in enumerate(zip(parts, parts[1:])))
-                if rank == 1 << 60:
+            none, get = len(ranks), ranks.get
+            held = [get(p, none) for p in zip(parts, parts[1:])]
+            while held:
+                best = min(held)
+                if best == none:
                     break
-                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+                i = held.index(best)
+                parts[i] += parts.pop(i + 1)
+                del held[i]
+                if i:
+                    held[i - 1] = get((parts[i - 1], parts[i]), none)
+                if i < len(held):
+                    held[i] = get((parts[i], parts[i + 1]), none)
             return parts
         after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
         heap = [(ranks[p], i, p) for i, p in enumerate(zip(parts, parts[1:])) if p in ranks]
@@ -185,6 +193,8 @@ class Bpe:
         return [t for t in alive if t is not None]
 
     def symbols(self, text: str) -> str:
+        if text.isascii() and text.isprintable() and " " not in text:
+            return text  # these bytes stand for themselves
         return text.encode().decode("latin-1").translate(_LATIN)
 
     def piece(self, text: str) -> tuple[int, ...]:
@@ -201,20 +211,28 @@ class Bpe:
     # ---- texts
 
     def normal(self, text: str) -> str:
-        if not text.isascii() and self.unknown.search(text):
+        plain = text.isascii()
+        if not plain and self._unknown(text):
             return self.normalizer.normalize_str(text)
-        if self.nfc and not text.isascii():
+        if self.nfc and not plain:
             text = unicodedata.normalize("NFC", text)
         if self.lower:  # letter by letter: no form of its own at a word's end
-            text = text.replace("Σ", "σ").lower()
+            text = text.lower() if plain else text.replace("Σ", "σ").lower()
         return text
 
+    def _unknown(self, text: str) -> bool:
+        """True if the text has characters younger than ``unicodedata``; all up
+        to the first gap in the code table are known."""
+        return max(text) >= "\u0378" and self.unknown.search(text) is not None
+
     def _pattern(self, text: str) -> regex.Pattern:
-        return self.exact if not text.isascii() and self.unknown.search(text) else self.pattern
+        return self.exact if not text.isascii() and self._unknown(text) else self.pattern
 
     def _word(self, word: str) -> tuple[int, ...]:
-        out: list[int] = []
         text = self.normal(word)
+        if text.isalpha() and max(text) < "\u0378":  # all letters: one piece
+            return self.piece(text)
+        out: list[int] = []
         for p in self._pattern(text).findall(text):
             out.extend(self.piece(p))
         return tuple(out)
