@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..columns import is_missing, numeric_columns
+from ..columns import is_missing, numeric_columns, value_or_null
 from ..functions.stats import pct
 from .cleaning import q
 from .quantiles import column_quantiles

@@ -31,12 +31,12 @@ def s_long(chart: str, sql: str, x: str, ys: list[str], series: str | None = Non
     # running sums are exact at 2 decimals for 2-decimal inputs; other values at 4
     if "cumulative" in chart:
         return " UNION ALL ".join(
-            f"SELECT '{chart}' AS chart, '{y}' AS series, CAST({x} AS VARCHAR) AS x, round(CAST({y} AS DOUBLE), 2) AS y FROM ({sql}) p" for y in ys
+            f"SELECT '{chart}' AS chart, '{y}' AS series, CAST({x} AS VARCHAR) AS x, round(CAST({y} AS DOUBLE), 2) AS y, CAST(NULL AS VARCHAR) AS text FROM ({sql}) p" for y in ys
         )
     if series:
-        return f"SELECT '{chart}' AS chart, CAST({series} AS VARCHAR) AS series, CAST({x} AS VARCHAR) AS x, round(CAST({ys[0]} AS DOUBLE), 4) AS y FROM ({sql}) p"
+        return f"SELECT '{chart}' AS chart, CAST({series} AS VARCHAR) AS series, CAST({x} AS VARCHAR) AS x, round(CAST({ys[0]} AS DOUBLE), 4) AS y, CAST(NULL AS VARCHAR) AS text FROM ({sql}) p"
     return " UNION ALL ".join(
-        f"SELECT '{chart}' AS chart, '{y}' AS series, CAST({x} AS VARCHAR) AS x, round(CAST({y} AS DOUBLE), 4) AS y FROM ({sql}) p" for y in ys
+        f"SELECT '{chart}' AS chart, '{y}' AS series, CAST({x} AS VARCHAR) AS x, round(CAST({y} AS DOUBLE), 4) AS y, CAST(NULL AS VARCHAR) AS text FROM ({sql}) p" for y in ys
     )
 
 
@@ -47,7 +47,9 @@ def s_kpi(src: str, metrics: list[str], order: str) -> str:
         parts.append(
             f"SELECT '{m}' AS metric, '{m.replace('_', ' ').title()}' AS title, CAST(sum({m}) AS DOUBLE) AS sum, avg({m}) AS mean, "
             f"CAST(min({m}) AS DOUBLE) AS min, CAST(max({m}) AS DOUBLE) AS max, "
-            f"CASE WHEN arg_max({m}, {order}) > arg_min({m}, {order}) THEN 'up' WHEN count(*) > 1 THEN 'down' ELSE 'neutral' END AS trend "
+            f"CASE WHEN arg_max_null({m}, {order}) > arg_min_null({m}, {order}) THEN 'up' WHEN count(*) > 1 THEN 'down' ELSE 'neutral' END AS trend, "
+            f"CASE WHEN typeof(any_value({m})) IN ('DOUBLE', 'FLOAT') THEN format('{{:,.2f}}', CAST(sum({m}) AS DOUBLE)) ELSE format('{{:,}}', CAST(sum({m}) AS BIGINT)) END AS value_text, "
+            f"format('{{:,.2f}}', avg({m})) AS mean_text, format('{{:,.2f}}', CAST(min({m}) AS DOUBLE)) AS min_text, format('{{:,.2f}}', CAST(max({m}) AS DOUBLE)) AS max_text "
             f"FROM ({src}) s"
         )
     return " UNION ALL ".join(parts)
@@ -87,13 +89,13 @@ def _li(spark, sf_dir):
 
 @register(
     "kpi_cards",
-    "SELECT metric, title, round(sum, 4) AS sum, round(mean, 6) AS mean, min, max, trend FROM ("
+    "SELECT metric, title, round(sum, 4) AS sum, round(mean, 6) AS mean, min, max, trend, value_text, mean_text, min_text, max_text FROM ("
     + s_kpi(ORD_SQL, ["o_totalprice", "o_custkey"], "o_orderkey")
     + ") k",
 )
 def kpi_cards(spark, sf_dir):
     k = K.kpi_cards(_ord(spark, sf_dir), ["o_totalprice", "o_custkey"], order_by=["o_orderkey"])
-    return k.select("metric", "title", F.round("sum", 4).alias("sum"), F.round("mean", 6).alias("mean"), "min", "max", "trend")
+    return k.select("metric", "title", F.round("sum", 4).alias("sum"), F.round("mean", 6).alias("mean"), "min", "max", "trend", "value_text", "mean_text", "min_text", "max_text")
 
 
 _TEMPLATES = [
@@ -435,7 +437,11 @@ def chart_radar(spark, sf_dir):
 
 
 def _kpi_long_sql(src: str, metrics: list[str], order: str) -> str:
-    return s_long("kpi", s_kpi(src, metrics, order), "metric", ["sum", "mean", "min", "max"])
+    k = s_kpi(src, metrics, order)
+    texts = {"sum": "value_text", "mean": "mean_text", "min": "min_text", "max": "max_text"}
+    parts = [f"SELECT 'kpi' AS chart, '{n}' AS series, metric AS x, round({n}, 4) AS y, {t} AS text FROM ({k}) p" for n, t in texts.items()]
+    parts += [f"SELECT 'kpi', '{n}', metric, CAST(NULL AS DOUBLE), {n} FROM ({k}) p" for n in ("title", "trend")]
+    return " UNION ALL ".join(parts)
 
 
 def _sales_sql() -> str:
@@ -524,73 +530,171 @@ _AUTO_SRC = "SELECT o_totalprice, o_custkey, o_orderstatus, o_orderpriority, o_o
 _AUTO_COLS = ["o_totalprice", "o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate"]
 
 
-def _auto_sql() -> str:
-    src = _AUTO_SRC
-    nums, cats, dcol = ["o_totalprice", "o_custkey"], ["o_orderstatus", "o_orderpriority"], "o_orderdate"
-    miss = " + ".join(f"(count(*) - count({c}))" for c in _AUTO_COLS)
+_WIDE_SRC = f"SELECT price, o_custkey, o_orderkey % 50 AS qty, status, o_orderpriority, odate, o_orderkey FROM ({NULLS_SQL}) n"
+_WIDE_COLS = ["price", "o_custkey", "qty", "status", "o_orderpriority", "odate", "o_orderkey"]
+
+
+def _wide(spark, sf_dir):
+    n = orders_nulls(spark, sf_dir)
+    return n.select("price", "o_custkey", (F.col("o_orderkey") % 50).alias("qty"), "status", "o_orderpriority", "odate", "o_orderkey")
+
+
+def _auto_sql(src: str, cols: list[str], nums: list[str], cats: list[str], dcol: str, order: str) -> str:
+    """The charts of an automatic dashboard, listed one by one."""
+    miss = " + ".join(f"(count(*) - count({c}))" for c in cols)
     gauges = f"""
 WITH s AS (SELECT count(*) AS n, {miss} AS m FROM ({src}) d), u AS (SELECT count(*) AS d FROM (SELECT DISTINCT * FROM ({src}) x) y)
-SELECT 'completeness' AS gauge, round((n * 5 - m) / (n * 5) * 100, 1) AS value FROM s
+SELECT 'completeness' AS gauge, round((n * {len(cols)} - m) / (n * {len(cols)}) * 100, 1) AS value FROM s
 UNION ALL SELECT 'uniqueness', 100.0 - round((n - d) / n * 100, 1) FROM s, u"""
     parts = [s_long("gauges", gauges, "gauge", ["value"])]
-    parts += [s_long(f"hist_{c}", s_hist(src, c), "bin", ["count"]) for c in nums]
-    parts.append(s_long("box", _box_sql(src, nums, None), '"column"', _BOX_OUT + ["outliers"]))
+    corr = " UNION ALL ".join(
+        f"SELECT '{a}' AS col1, '{b}' AS col2, {'max(1.0)' if a == b else f'corr({a}, {b})'} AS corr FROM ({src}) d" for a in nums for b in nums
+    )
+    parts.append(s_long("correlation_heatmap", corr, "col2", ["corr"], series="col1"))
+    for c in nums[:4]:
+        parts.append(s_long(f"hist_{c}", s_hist(src, c), "bin", ["count"]))
+        parts.append(s_long("overlaid_histograms", f"SELECT '{c}' AS col, * FROM ({s_hist(src, c)}) z", "bin", ["count"], series="col"))
+    parts.append(s_long("box", _box_sql(src, nums[:3], None), '"column"', _BOX_OUT + ["outliers"]))
     for c in cats:
         vc = f"SELECT {c}, count(*) AS count FROM ({src}) s WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count DESC, {c} LIMIT 12"
         parts.append(s_long(f"bar_{c}", vc, c, ["count"]))
-    cat = cats[0]
-    for m in nums:
+    cat, m0 = cats[0], nums[0]
+    for m in nums[:2]:
         parts.append(s_long(f"sum_{m}_by_{cat}", s_sum_by(src, [cat], [m], head=12, rnd=12), cat, [m]))
         avg = f"SELECT {cat}, avg({m}) AS {m} FROM ({src}) s WHERE {cat} IS NOT NULL GROUP BY {cat} ORDER BY {cat} LIMIT 12"
         parts.append(s_long(f"avg_{m}_by_{cat}", avg, cat, [m]))
-    parts.append(s_long("grouped_bar", s_sum_by(src, cats, [nums[0]], head=30, rnd=12), cats[0], [nums[0]], series=cats[1]))
-    leaf = f"SELECT {cats[0]}, {cats[1]}, coalesce(sum({nums[0]}), 0) AS value FROM ({src}) s WHERE {cats[0]} IS NOT NULL AND {cats[1]} IS NOT NULL GROUP BY {cats[0]}, {cats[1]}"
-    parts.append(s_long("treemap", leaf, cats[0], ["value"], series=cats[1]))
-    leafc = f"SELECT {cats[0]}, {cats[1]}, count(*) AS value FROM ({src}) s WHERE {cats[0]} IS NOT NULL AND {cats[1]} IS NOT NULL GROUP BY {cats[0]}, {cats[1]}"
-    parts.append(s_long("sunburst", leafc, cats[0], ["value"], series=cats[1]))
-    for c in cats:
+        parts.append(s_long(f"violin_{m}", _box_sql(src, [m], cat), cat, _BOX_OUT + ["outliers"]))
+    pairs = f"FROM ({src}) s WHERE {cats[0]} IS NOT NULL AND {cats[1]} IS NOT NULL GROUP BY {cats[0]}, {cats[1]}"
+    for chart in ("grouped_bar", "stacked_bar"):
+        parts.append(s_long(chart, s_sum_by(src, cats[:2], [m0], head=30, rnd=12), cats[0], [m0], series=cats[1]))
+    for chart in ("cat_heatmap", "treemap"):
+        parts.append(s_long(chart, f"SELECT {cats[0]}, {cats[1]}, coalesce(sum({m0}), 0) AS value {pairs}", cats[0], ["value"], series=cats[1]))
+    parts.append(s_long("sunburst", f"SELECT {cats[0]}, {cats[1]}, count(*) AS value {pairs}", cats[0], ["value"], series=cats[1]))
+    for c in cats[:3]:
         parts.append(s_long(f"donut_{c}", f"SELECT {c}, count(*) AS count FROM ({src}) s WHERE {c} IS NOT NULL GROUP BY {c}", c, ["count"]))
-    for m in nums:
+    for m in nums[:3]:
         parts.append(s_long(f"line_{m}", s_sum_by(src, [dcol], [m], rnd=12), dcol, [m]))
-    parts.append(s_long("multi_line", s_sum_by(src, [dcol], nums, rnd=12), dcol, nums))
-    for m in nums:
+        parts.append(s_long(f"rolling_{m}", _rolling_sql(src, dcol, m), dcol, [f"{m}_rolling"]))
+    parts.append(s_long("multi_line", s_sum_by(src, [dcol], nums[:4], rnd=12), dcol, nums[:4]))
+    for m in nums[:2]:
         parts.append(s_long(f"cumulative_{m}", s_cumulative(src, dcol, m), dcol, [f"{m}_cumulative"]))
-    parts.append(_kpi_long_sql(src, nums, "o_orderdate, o_totalprice, o_custkey"))
+    parts.append(s_long("scatter_xy", f"SELECT * FROM ({src}) s", nums[0], [nums[1]], series=cat))
+    if len(nums) >= 3:
+        parts.append(s_long("bubble_xy", f"SELECT * FROM ({src}) s ORDER BY {order} LIMIT 200", nums[0], nums[1:3]))
+    lost = " UNION ALL ".join(f"SELECT '{c}' AS col, count(*) - count({c}) AS missing_count FROM ({src}) s" for c in cols)
+    parts.append(s_long("missing_values", f"SELECT * FROM ({lost}) m WHERE missing_count > 0 ORDER BY missing_count DESC, col LIMIT 10", "col", ["missing_count"]))
+    parts.append(_kpi_long_sql(src, nums[:4], order))
     return " UNION ALL ".join(f"({p})" for p in parts)
 
 
-@register("dash_auto", _auto_sql())
+_CATS = ["o_orderstatus", "o_orderpriority"]
+
+
+@register("dash_auto", _auto_sql(_AUTO_SRC, _AUTO_COLS, ["o_totalprice", "o_custkey"], _CATS, "o_orderdate", "o_orderdate, o_totalprice, o_custkey"))
 def dash_auto(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(*_AUTO_COLS)
     return long4(D.auto_dashboard(o, order_by=["o_orderdate", "o_totalprice", "o_custkey"]))
 
 
-def _report_index_sql() -> str:
-    src = _AUTO_SRC
-    nums, cats, dcol = ["o_totalprice", "o_custkey"], ["o_orderstatus", "o_orderpriority"], "o_orderdate"
-    ncols = " + ".join(f"(CASE WHEN count(*) > count({c}) THEN 1 ELSE 0 END)" for c in _AUTO_COLS)
-    miss = f"(SELECT {ncols} AS k FROM ({src}) s)"
-    parts = [
-        "SELECT 'quality_completeness' AS chart, 'quality' AS section, CAST(1 AS BIGINT) AS rows",
-        "SELECT 'quality_duplicates', 'quality', CAST(1 AS BIGINT)",
-        f"SELECT 'missing_values_bar', 'quality', CAST(least(15, k) AS BIGINT) FROM {miss} m WHERE k > 0",
-        f"SELECT 'missing_values_hbar', 'quality', CAST(least(15, k) AS BIGINT) FROM {miss} m WHERE k > 0",
-    ]
-    for c in nums:
-        parts.append(f"SELECT 'hist_{c}', 'distribution', (SELECT count(*) FROM ({s_hist(src, c)}) h)")
-    for c in nums:
-        parts.append(f"SELECT 'percentile_{c}', 'distribution', CAST(7 AS BIGINT)")
-    for c in nums:
-        parts.append(f"SELECT 'box_{c}', 'distribution', CAST(1 AS BIGINT)")
-    for c in cats:
-        n = f"(SELECT least(12, count(DISTINCT {c})) FROM ({src}) s)"
-        parts += [f"SELECT 'bar_{c}', 'bars', {n}", f"SELECT 'hbar_{c}', 'bars', {n}"]
-    for m in nums:
-        parts.append(f"SELECT 'line_{dcol}_{m}', 'lines', (SELECT count(DISTINCT {dcol}) FROM ({src}) s)")
+_WIDE_NUMS = ["price", "o_custkey", "qty", "o_orderkey"]
+
+
+@register("dash_auto_wide", _auto_sql(_WIDE_SRC, _WIDE_COLS, _WIDE_NUMS, ["status", "o_orderpriority"], "odate", "o_orderkey"))
+def dash_auto_wide(spark, sf_dir):
+    """Four numbers, missing values in numbers, categories and dates."""
+    return long4(D.auto_dashboard(_wide(spark, sf_dir), order_by=["o_orderkey"]))
+
+
+def _report_index_sql(src: str, cols: list[str], nums: list[str], cats: list[str], dcol: str) -> str:
+    """The charts of a report with their rows, listed one by one."""
+    ncols = " + ".join(f"(CASE WHEN count(*) > count({c}) THEN 1 ELSE 0 END)" for c in cols)
+    miss = f"(SELECT {ncols} AS k, count(*) AS n FROM ({src}) s)"
+    distinct = lambda c: f"(SELECT count(DISTINCT {c}) FROM ({src}) s)"
+    total = f"(SELECT count(*) FROM ({src}) s)"
+    pairs = f"(SELECT count(*) FROM (SELECT DISTINCT {cats[0]}, {cats[1]} FROM ({src}) s WHERE {cats[0]} IS NOT NULL AND {cats[1]} IS NOT NULL) p)"
+    hist = {c: f"(SELECT count(*) FROM ({s_hist(src, c)}) h)" for c in nums[:6]}
+    out = [("quality_completeness", "quality", "1"), ("quality_duplicates", "quality", "1")]
+    out += [(f"hist_{c}", "distribution", h) for c, h in hist.items()]
+    out += [(f"percentile_{c}", "distribution", "7") for c in nums[:3]]
+    out.append(("overlaid_histograms", "distribution", " + ".join(hist[c] for c in nums[:4])))
+    out += [(f"box_{c}", "distribution", "1") for c in nums[:4]]
+    cat = cats[0]
+    for m in nums[:3]:
+        out.append((f"violin_{m}", "distribution", f"(SELECT count(DISTINCT {cat}) FROM ({src}) s WHERE {m} IS NOT NULL)"))
+        out += [(f"bar_{k}_{m}_by_{cat}", "bars", f"least(15, {distinct(cat)})") for k in ("sum", "mean")]
+        out += [(f"line_{dcol}_{m}", "lines", distinct(dcol)), (f"rolling_{dcol}_{m}", "lines", distinct(dcol)), (f"cumulative_{dcol}_{m}", "lines", distinct(dcol))]
+    for c in cats[:5]:
+        out += [(f"{k}_{c}", "bars", f"least(12, {distinct(c)})") for k in ("bar", "hbar")]
+    out += [(k, "bars", f"least(30, {pairs})") for k in ("grouped_bar", "stacked_bar")]
+    out.append(("paired_bar_sum_mean", "bars", f"least(12, {distinct(cat)})"))
+    out.append((f"multiline_{dcol}", "lines", distinct(dcol)))
+    out += [(f"line_by_{cat}_{m}", "lines", distinct(cat)) for m in nums[:2]]
+    out.append(("correlation_heatmap", "heatmaps", str(len(nums) ** 2)))
+    out += [(f"heatmap_{cats[0]}_{cats[1]}_{m}", "heatmaps", pairs) for m in nums[:2]]
+    out.append((f"heatmap_counts_{cats[0]}_{cats[1]}", "heatmaps", pairs))
+    out += [(f"donut_{c}", "composition", distinct(c)) for c in cats[:3]]
+    out.append(("scatter_xy", "scatter", total))
+    if len(nums) >= 3:
+        out += [("scatter_xz", "scatter", total), ("bubble_xy", "scatter", f"least(200, {total})")]
+    out += [("treemap", "hierarchy", pairs), ("sunburst", "hierarchy", pairs)]
+    parts = [f"SELECT '{c}' AS chart, '{s}' AS section, CAST({r} AS BIGINT) AS rows" for c, s, r in out]
+    parts += [f"SELECT 'missing_values_{k}', 'quality', CAST(least(15, k) AS BIGINT) FROM {miss} m WHERE k > 0" for k in ("bar", "hbar")]
+    parts.append(f"SELECT 'missing_pattern_heatmap', 'quality', CAST(least(50, n) * {len(cols)} AS BIGINT) FROM {miss} m WHERE k > 0")
     return " UNION ALL ".join(parts)
 
 
-@register("report_charts_index", _report_index_sql())
+@register("report_charts_index", _report_index_sql(_AUTO_SRC, _AUTO_COLS, ["o_totalprice", "o_custkey"], _CATS, "o_orderdate"))
 def report_charts_index(spark, sf_dir):
     """Chart list of the report for orders with each chart dataset's row count."""
     return D.report_chart_index(table(spark, sf_dir, "orders").select(*_AUTO_COLS))
+
+
+@register("report_charts_wide", _report_index_sql(_WIDE_SRC, _WIDE_COLS, _WIDE_NUMS, ["status", "o_orderpriority"], "odate"))
+def report_charts_wide(spark, sf_dir):
+    return D.report_chart_index(_wide(spark, sf_dir))
+
+
+# ------------------------------------------- K03: each chart type, and named columns
+
+
+@register("chart_by_type_line", "SELECT o_orderdate, o_totalprice FROM orders")
+def chart_by_type_line(spark, sf_dir):
+    kind, data = K.auto_chart(table(spark, sf_dir, "orders").select("o_totalprice", "o_orderdate", "o_orderstatus"), "show the growth")
+    return data if kind == "line" else None
+
+
+@register("chart_by_type_pie", s_sum_by("SELECT * FROM orders", ["o_orderstatus"], ["o_totalprice"], head=10))
+def chart_by_type_pie(spark, sf_dir):
+    kind, data = K.auto_chart(table(spark, sf_dir, "orders").select("o_orderstatus", "o_totalprice"))
+    return r4(data, ["o_totalprice"]) if kind == "pie" else None
+
+
+@register("chart_by_type_scatter", "SELECT l_quantity, l_extendedprice FROM lineitem")
+def chart_by_type_scatter(spark, sf_dir):
+    kind, data = K.auto_chart(table(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice"))
+    return data if kind == "scatter" else None
+
+
+@register("chart_by_type_histogram", s_hist("SELECT * FROM lineitem", "l_extendedprice"))
+def chart_by_type_histogram(spark, sf_dir):
+    kind, data = K.auto_chart(table(spark, sf_dir, "lineitem").select("l_extendedprice", "l_returnflag"), "its distribution")
+    return _r6(data, ["lower", "upper"]) if kind == "histogram" else None
+
+
+@register(
+    "chart_by_type_heatmap",
+    " UNION ALL ".join(
+        f"SELECT '{a}' AS col1, '{b}' AS col2, {'1.0' if a == b else f'round(corr({a}, {b}), 6)'} AS corr FROM lineitem"
+        + (" LIMIT 1" if a == b else "")
+        for a, b in [("l_quantity", "l_extendedprice"), ("l_extendedprice", "l_quantity")]
+    )
+    + " UNION ALL SELECT * FROM (VALUES ('l_quantity', 'l_quantity', 1.0), ('l_extendedprice', 'l_extendedprice', 1.0)) v",
+)
+def chart_by_type_heatmap(spark, sf_dir):
+    kind, data = K.auto_chart(table(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice"), "a heatmap")
+    return _r6(data, ["corr"]) if kind == "heatmap" else None
+
+
+@register("chart_named_columns", s_sum_by(LI_SQL, ["l_linestatus"], ["l_discount"], head=20))
+def chart_named_columns(spark, sf_dir):
+    return r4(K.chart_data(_li(spark, sf_dir), "bar", "l_linestatus", "l_discount"), ["l_discount"])
