@@ -14,9 +14,9 @@
 
    Each dominance count runs in one task per group (``applyInPandas``) with a
    vectorised merge count in numpy, O(m log^2 m) for m points, never pairs.
-   Block counts are chosen so a group holds about ``points_per_task`` points;
-   a group that still exceeds ``max_points_per_task`` raises instead of
-   running out of memory.
+   Points that agree in both coordinates of a case are one weighted point, and
+   a quantile bound is a block of its own, so a frequent value does not fill a
+   group; a group of more than ``points_per_task`` points is blocked again.
 """
 
 from __future__ import annotations
@@ -27,9 +27,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.ml.feature import Bucketizer
 
-from ..session import ship_package
+from ..session import ensure_checkpoint_dir, ship_package
 
 MAX_BLOCKS = 512
 
@@ -83,34 +82,57 @@ def _pair_points(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def _bucket(df: DataFrame, col: str, out: str, nb: int) -> DataFrame:
-    if nb <= 1:
-        return df.withColumn(out, F.lit(0.0))
+    """Block number of ``col``: between approximate quantiles, each bound being
+    a block of its own, so that a frequent value stands alone."""
     bounds = df.select(F.percentile_approx(col, [i / nb for i in range(1, nb)], 10000).alias("b")).first()["b"]
-    splits = [-float("inf")] + sorted(set(float(v) for v in bounds)) + [float("inf")]
-    return Bucketizer(splits=splits, inputCol=col, outputCol=out).transform(df)
+    table = F.array(*[F.lit(float(v)) for v in sorted(set(bounds))])
+    below = F.size(F.filter(table, lambda v: v < F.col(col)))
+    return df.withColumn(out, (2 * below + F.array_contains(table, F.col(col)).cast("int")).cast("double"))
 
 
 def _grouped_dominance(points: DataFrame, keys: list[str], a: str, b: str, limit: int) -> int:
-    """Sum of dominance counts of (a, b) inside each group of ``keys``."""
+    """Sum of dominance counts of (a, b) inside each group of ``keys``.
+
+    Points that agree in (a, b) become one with their weight first, so a block
+    that holds a frequent value shrinks to its distinct points. A group that is
+    still over ``limit`` is a problem of the same kind and is blocked itself;
+    there are at most points / limit of those."""
+    keys = keys or ["__one"]
+    if keys == ["__one"]:
+        points = points.withColumn("__one", F.lit(0))
+    points = points.groupBy(*keys, F.col(a).alias("pa"), F.col(b).alias("pb")).agg(F.sum("w").alias("w"))
+    sizes = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("m"))
+    large = [r.asDict() for r in sizes.where(F.col("m") > limit).collect()]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > limit:
-            raise ValueError(f"kendall: {len(pdf)} points in one group exceed {limit}; raise max_points_per_task")
-        c = dominance_count(pdf[a].to_numpy(), pdf[b].to_numpy(), pdf["w"].to_numpy())
+        c = dominance_count(pdf["pa"].to_numpy(), pdf["pb"].to_numpy(), pdf["w"].to_numpy())
         return pd.DataFrame({"c": [str(c)]})
 
     ship_package(points.sparkSession)
-    g = points.groupBy(*keys) if keys else points.withColumn("__one", F.lit(0)).groupBy("__one")
-    res = g.applyInPandas(run, "c string").collect()
-    return sum(int(r.c) for r in res)
-
-
-def _blocked_concordant(pts: DataFrame, m: int, points_per_task: int, max_points_per_task: int) -> int:
-    """Concordant count of one pair through the four block cases."""
-    nb = min(MAX_BLOCKS, math.ceil(m / points_per_task) * 2)
-    blk = _bucket(_bucket(pts, "x", "bx", nb), "y", "by", nb)
-    cells = blk.groupBy("bx", "by").agg(F.sum("w").alias("w")).collect()  # <= nb * nb rows
-    grid = np.zeros((nb + 1, nb + 1), dtype=object)
+    fits = points
+    if large:
+        table = points.sparkSession.createDataFrame([tuple(r[k] for k in keys) for r in large], points.select(*keys).schema)
+        fits = points.join(F.broadcast(table), keys, "left_anti")
+    total = sum(int(r.c) for r in fits.groupBy(*keys).applyInPandas(run, "c string").collect())
+    for r in large:
+        one = F.lit(True)
+        for k in keys:
+            one = one & (F.col(k) == F.lit(r[k]))
+        inner = points.where(one).select(F.col("pa").cast("double").alias("x"), F.col("pb").cast("double").alias("y"), "w")
+        total += _blocked_concordant(inner, r["m"], limit)
+    return total
+
+
+def _blocked_concordant(pts: DataFrame, m: int, points_per_task: int) -> int:
+    """Concordant count of one set of weighted points through the four block
+    cases. The grid has at most MAX_BLOCKS ** 2 cells, whatever m is; blocks
+    that stay large are blocked again."""
+    nb = max(2, min(MAX_BLOCKS, math.ceil(m / points_per_task) * 2))
+    ensure_checkpoint_dir(pts.sparkSession)
+    blk = _bucket(_bucket(pts, "x", "bx", nb), "y", "by", nb).checkpoint(eager=True)
+    cells = blk.groupBy("bx", "by").agg(F.sum("w").alias("w")).collect()
+    width = 2 * nb + 1  # a bound that is frequent is a block of its own
+    grid = np.zeros((width + 1, width + 1), dtype=object)
     for r in cells:
         grid[int(r.bx), int(r.by)] += int(r.w)
     pre = grid.cumsum(axis=0).cumsum(axis=1)  # inclusive 2D prefix
@@ -119,13 +141,13 @@ def _blocked_concordant(pts: DataFrame, m: int, points_per_task: int, max_points
         i, j = int(r.bx), int(r.by)
         if i and j:
             case_a += int(r.w) * int(pre[i - 1, j - 1])
-    case_b = _grouped_dominance(blk, ["by"], "bx", "y", max_points_per_task)
-    case_c = _grouped_dominance(blk, ["bx"], "x", "by", max_points_per_task)
-    case_d = _grouped_dominance(blk, ["bx", "by"], "x", "y", max_points_per_task)
+    case_b = _grouped_dominance(blk, ["by"], "bx", "y", points_per_task)
+    case_c = _grouped_dominance(blk, ["bx"], "x", "by", points_per_task)
+    case_d = _grouped_dominance(blk, ["bx", "by"], "x", "y", points_per_task)
     return case_a + case_b + case_c + case_d
 
 
-def kendall_tau(df: DataFrame, x: str, y: str, points_per_task: int = 500_000, max_points_per_task: int = 5_000_000) -> float | None:
+def kendall_tau(df: DataFrame, x: str, y: str, points_per_task: int = 500_000) -> float | None:
     """Exact tau-b of two numeric columns (pairwise complete), as pandas / scipy."""
     pts = _pair_points(df, x, y)
     ties = pts.agg(F.sum("w").alias("n"), F.count(F.lit(1)).alias("m"), F.sum(F.col("w") * (F.col("w") - 1) / 2).alias("n3")).first()
@@ -137,16 +159,16 @@ def kendall_tau(df: DataFrame, x: str, y: str, points_per_task: int = 500_000, m
     n0 = n * (n - 1) // 2
     n1, n2, n3 = int(n1), int(n2), int(ties["n3"])
     if m <= points_per_task:
-        nc = _grouped_dominance(pts, [], "x", "y", max_points_per_task)
+        nc = _grouped_dominance(pts, [], "x", "y", points_per_task)
     else:
-        nc = _blocked_concordant(pts, m, points_per_task, max_points_per_task)
+        nc = _blocked_concordant(pts, m, points_per_task)
     untied = n0 - n1 - n2 + n3
     s = 2 * nc - untied
     denom = math.sqrt((n0 - n1) * (n0 - n2))
     return s / denom if denom else None
 
 
-def kendall_long(df: DataFrame, columns: list[str], points_per_task: int = 500_000, max_points_per_task: int = 5_000_000) -> DataFrame:
+def kendall_long(df: DataFrame, columns: list[str], points_per_task: int = 500_000) -> DataFrame:
     """Long form (col1, col2, corr) of Kendall tau-b for all column pairs.
 
     All pairs share the jobs: one long table of weighted points keyed by pair,
@@ -174,11 +196,8 @@ def kendall_long(df: DataFrame, columns: list[str], points_per_task: int = 500_0
         nc: dict[int, int] = {}
         if small:
             ship_package(spark)
-            limit = max_points_per_task
 
             def run(pdf: pd.DataFrame) -> pd.DataFrame:
-                if len(pdf) > limit:
-                    raise ValueError(f"kendall: {len(pdf)} points in one group exceed {limit}")
                 c = dominance_count(pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["w"].to_numpy())
                 return pd.DataFrame({"k": [int(pdf["k"].iloc[0])], "c": [str(c)]})
 
@@ -190,7 +209,7 @@ def kendall_long(df: DataFrame, columns: list[str], points_per_task: int = 500_0
                 vals[(a, b)] = None
                 continue
             if k not in nc:
-                nc[k] = _blocked_concordant(pts.where(F.col("k") == k).drop("k"), r.m, points_per_task, max_points_per_task)
+                nc[k] = _blocked_concordant(pts.where(F.col("k") == k).drop("k"), r.m, points_per_task)
             n0 = r.n * (r.n - 1) // 2
             n1, n2, n3 = int(r.n1), int(r.n2), int(r.n3)
             s_ = 2 * nc[k] - (n0 - n1 - n2 + n3)

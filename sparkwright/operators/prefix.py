@@ -127,10 +127,14 @@ def _bucketize(df: DataFrame, order_by, rows_per_bucket: int = DEFAULT_ROWS_PER_
         for r in found:
             path = tuple(r[BUCKET])
             part, rows = opened[path]
-            if r["mn"] == r["mx"]:  # constant here: on to the next part
-                crossing = part + 1 < len(of) and of[part + 1] != of[part]
-                if part + 1 < len(of) and (not crossing or r["h1"] == r["h2"]):
-                    later[path] = (part + 1, rows)
+            if r["mn"] == r["mx"]:  # constant here: on to the next part, or column
+                after = part + 1
+                if r["h1"] == r["h2"]:
+                    after = next((i for i in range(part, len(of)) if of[i] > of[part]), len(of))
+                elif after < len(of) and of[after] != of[part]:
+                    continue  # the column differs beyond its parts
+                if after < len(of):
+                    later[path] = (after, rows)
                 continue
             k = min(FAN, -(-rows // rows_per_bucket) + 1)
             cuts = sorted({r["q"][len(r["q"]) * i // k] for i in range(1, k)})

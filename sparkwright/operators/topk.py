@@ -18,10 +18,12 @@ def top_k_per_group(
     order_by: list[Column],
     k: int,
     rank_col: str = "rank",
-    salts: int = 64,
+    salts: int | None = None,
 ) -> DataFrame:
     """Rows with ``row_number() <= k`` per group under ``order_by`` (which must
     be a total order for a deterministic answer), plus ``rank_col``."""
+    if salts is None:  # a hot group spreads over as many tasks as a shuffle has
+        salts = max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # any deterministic function of the row spreads a hot group: hash all columns
     salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(salts))
     salted = df.withColumn("__salt", salt)

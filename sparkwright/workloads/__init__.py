@@ -45,6 +45,7 @@ def load_all() -> None:
     from . import (  # noqa: F401
         w_chart,
         w_clean,
+        w_edge,
         w_feat,
         w_pipe,
         w_profile,

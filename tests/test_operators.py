@@ -244,6 +244,17 @@ def test_kendall_exact_vs_brute_force(spark):
     assert kendall_tau(df, "x", "y", points_per_task=7) == pytest.approx(want, rel=1e-12)
 
 
+def test_kendall_with_a_two_valued_column_and_tiny_tasks(spark):
+    from sparkwright.operators.kendall import kendall_tau
+
+    rng = np.random.default_rng(8)
+    x, y = rng.integers(0, 2, 300), rng.permutation(300)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
+    dx, dy = np.sign(x[:, None] - x), np.sign(y[:, None] - y)
+    want = (dx * dy).sum() / np.sqrt((dx != 0).sum() * (dy != 0).sum())
+    assert kendall_tau(df, "x", "y", points_per_task=60) == pytest.approx(want, rel=1e-12)
+
+
 def test_kendall_long_blocked_matches_small(spark):
     from sparkwright.operators.kendall import kendall_long
 
