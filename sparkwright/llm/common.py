@@ -109,6 +109,17 @@ def tiles(rows: DataFrame, tile: Column, partners: Column) -> DataFrame:
     )
 
 
+def bounded_sample(rows: DataFrame, keys: list[str], bound: int) -> DataFrame:
+    """At most ``bound`` rows, the first by a hash of ``keys``. Where there are
+    more, a filter on the hash leaves a tenth more than wanted first, so no task
+    passes on more than its share, however many tasks there are."""
+    n = rows.count()
+    if n > bound:
+        wanted = int((1 << 24) * 1.1 * bound / n) + 1
+        rows = rows.where(F.pmod(F.xxhash64(*keys, F.lit("sample")), F.lit(1 << 24)) < wanted)
+    return rows.orderBy(F.xxhash64(*keys), *keys).limit(bound)
+
+
 def unite(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Merge the classes of the index pairs (a, b) in ``labels``: every entry
     ends as the smallest index of its class."""

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from .common import cut, python_tasks, utf8
+from .common import bounded_sample, cut, python_tasks, utf8
 
 #: Trusted positives, and unlabelled rows, that the model is fitted on.
 SAMPLE = 20_000
@@ -183,13 +183,12 @@ def classify(
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     fold = F.crc32(F.col("id").cast("string")) % FOLDS
     rows = cut(python_tasks(rows, measure, kind).withColumn("held_out", F.coalesce(fold == 0, F.lit(False))))
-    order = [F.xxhash64("id"), "id"]
     trusted = (
         labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("id")).where(F.col("id").isNotNull() & (fold != 0)).distinct()
     )
     teach = rows.where("id is not null and not held_out")
-    positive = teach.join(trusted, "id", "left_semi").orderBy(*order).limit(sample).select("x").toPandas()["x"]
-    unlabelled = teach.orderBy(*order).limit(sample).select("x").toPandas()["x"]
+    positive = bounded_sample(teach.join(trusted, "id", "left_semi"), ["id", "x"], sample).select("x").toPandas()["x"]
+    unlabelled = bounded_sample(teach, ["id", "x"], sample).select("x").toPandas()["x"]
     model = fit(np.stack(positive), np.stack(unlabelled)) if len(positive) and len(unlabelled) else None
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
-from .common import cut, python_tasks
+from .common import bounded_sample, cut, python_tasks
 
 #: Labelled rows of each side (toxic or not) that are learned from.
 SAMPLE = 10_000
@@ -127,8 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(
         F.max(F.col(label_col).cast("int")).alias("grade")
     )
-    order = [F.xxhash64("id"), "id"]
-    sides = [marks.where(c).orderBy(*order).limit(sample) for c in ("grade > 0", "grade <= 0")]
+    sides = [bounded_sample(marks.where(c), ["id"], sample) for c in ("grade > 0", "grade <= 0")]
     picked = F.broadcast(cut(sides[0].unionByName(sides[1])))  # at most 2 * sample ids
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     chosen = texts.join(picked, "id").select("grade", "text")
