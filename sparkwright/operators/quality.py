@@ -92,42 +92,38 @@ def check_schema_compliance(df: DataFrame, expected: dict[str, str]) -> DataFram
 
 
 def validate_dataset(df: DataFrame) -> DataFrame:
-    """V05 as a long metric table ``(check, column, metric, value, text)``."""
-    spark = df.sparkSession
-    schema = "check string, column string, metric string, value double, text string"
-    rows = [("shape", None, "row_count", None, None), ("shape", None, "column_count", float(len(df.columns)), None)]
+    """V05 as a long metric table ``(check, column, metric, value, text)``. Three
+    passes: rows, missing values and moments; outliers; duplicates."""
+    spark, nums = df.sparkSession, numeric_columns(df)
+    first = df.select(
+        F.count(F.lit(1)).alias("n"),
+        *[F.sum(is_missing(df, c).cast("long")).alias(f"z{i}") for i, c in enumerate(df.columns)],
+        *[F.avg(value_or_null(df, c)).cast("double").alias(f"m{i}") for i, c in enumerate(nums)],
+        *[F.stddev_samp(value_or_null(df, c)).alias(f"s{i}") for i, c in enumerate(nums)],
+    ).first()
+    n = first["n"]
+    missing = {c: first[f"z{i}"] or 0 for i, c in enumerate(df.columns)}
+    far = {}
+    for i, c in enumerate(nums):
+        m, s = first[f"m{i}"], first[f"s{i}"]
+        if s:
+            far[c] = F.abs((value_or_null(df, c) - F.lit(m)) / F.lit(s)) > 3.0
+    counted = df.select(*[F.count(F.when(cond, 1)).alias(f"o{i}") for i, cond in enumerate(far.values())]).first() if far else ()
+    outliers = {c: k for c, k in zip(far, counted) if k}
+
+    rows = [("shape", None, "row_count", float(n), None), ("shape", None, "column_count", float(len(df.columns)), None)]
     rows += [("dtype", f.name, "dtype", None, f.dataType.simpleString()) for f in df.schema.fields]
-    head = spark.createDataFrame(rows, schema)
-    n = df.select(F.count(F.lit(1)).cast("double").alias("value"))
-    head = head.join(n.select(F.lit("row_count").alias("metric"), F.col("value").alias("__n")), "metric", "left")
-    head = head.select("check", "column", "metric", F.coalesce("value", "__n").alias("value"), "text")
-    dup = check_duplicates(df)
-    dups = dup.select(
-        F.explode(
-            F.array(
-                F.struct(F.lit("duplicate_count").alias("metric"), F.col("duplicate_count").cast("double").alias("value")),
-                F.struct(F.lit("duplicate_percentage").alias("metric"), F.col("duplicate_percentage").alias("value")),
-            )
-        ).alias("p")
-    ).select(F.lit("duplicates").alias("check"), F.lit(None).cast("string").alias("column"), "p.metric", "p.value", F.lit(None).cast("string").alias("text"))
-    summary, per = check_missing_values(df)
-    miss = per.select(
-        F.lit("missing").alias("check"), "column", F.lit("missing_count").alias("metric"),
-        F.col("missing_count").cast("double").alias("value"), F.lit(None).cast("string").alias("text"),
-    )
-    tot = summary.select(
-        F.lit("missing").alias("check"), F.lit(None).cast("string").alias("column"), F.lit("total_missing").alias("metric"),
-        F.col("total_missing").cast("double").alias("value"), F.lit(None).cast("string").alias("text"),
+    rows.append(("missing", None, "total_missing", float(sum(missing.values())), None))
+    rows += [("missing", c, "missing_count", float(k), None) for c, k in missing.items() if k]
+    for c, k in outliers.items():
+        rows += [("outliers", c, "count", float(k), None), ("outliers", c, "percentage", round(k / n * 100, 2), None)]
+    known = spark.createDataFrame(rows, "check string, column string, metric string, value double, text string")
+    both = [F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in ("duplicate_count", "duplicate_percentage")]
+    none = F.lit(None).cast("string")
+    dups = check_duplicates(df).select(F.explode(F.array(*both)).alias("p")).select(
+        F.lit("duplicates").alias("check"), none.alias("column"), "p.metric", "p.value", none.alias("text")
     )
-    out = check_outliers_zscore(df)
-    outl = out.select(
-        F.lit("outliers").alias("check"), "column",
-        F.explode(F.array(
-            F.struct(F.lit("count").alias("metric"), F.col("count").cast("double").alias("value")),
-            F.struct(F.lit("percentage").alias("metric"), F.col("percentage").alias("value")),
-        )).alias("p"),
-    ).select("check", "column", "p.metric", "p.value", F.lit(None).cast("string").alias("text"))
-    return head.unionByName(dups).unionByName(tot).unionByName(miss).unionByName(outl)
+    return known.unionByName(dups)
 
 
 def detect_anomalies(df: DataFrame, columns: list[str] | None = None, order_by: list[str] | None = None, limit: int = 10):
