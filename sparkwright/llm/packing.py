@@ -71,11 +71,14 @@ def _load(text: str) -> Ids:
 
 
 def pieces(
-    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = False
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = False,
+    id_type: str = "<u4",
 ) -> DataFrame:
     """(id, piece, start, length, crc[, ids]) of every row: its ids and then
     ``end_id``, cut into pieces of ``capacity`` from the end, so that only the
-    first may be shorter. Null texts are empty."""
+    first may be shorter. Null texts are empty. ``ids`` is binary, of ``id_type``;
+    the crc is that of the ids as little-endian unsigned 32-bit integers."""
+    top = np.iinfo(np.dtype(id_type)).max
     shared = _file(docs, path)
     fields = [
         StructField("id", docs.schema[id_col].dataType), StructField("piece", IntegerType()), StructField("start", LongType()),
@@ -90,12 +93,14 @@ def pieces(
                 row, out = [], []
                 for r, text in enumerate(b.column(1).to_pylist()):
                     ids = np.append(ids_of(text or ""), np.uint32(end_id)).astype("<u4")
+                    if with_ids and ids.max() > top:
+                        raise ValueError(f"id {ids.max()} does not fit {id_type}")
                     lead = len(ids) % capacity or capacity
                     at = [0, *range(lead, len(ids) + 1, capacity)]
                     for k, (s, e) in enumerate(zip(at, at[1:])):
-                        body = ids[s:e].tobytes()
+                        part = ids[s:e]
                         row.append(r)
-                        out.append((k, s, e - s, zlib.crc32(body), body if with_ids else None))
+                        out.append((k, s, e - s, zlib.crc32(part.tobytes()), part.astype(id_type).tobytes() if with_ids else None))
                 columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), *columns], names=[f.name for f in fields])
 
@@ -139,7 +144,7 @@ def pack(made: DataFrame, capacity: int = CAPACITY, packer_pieces: int = PACKER_
     if packers == 1:
         dealt = made.repartition(1)
     else:
-        dealt = made.repartition(packers, F.xxhash64("id", "piece"))
+        dealt = made.repartition(packers, F.xxhash64("id", "piece", "crc"))
     ordered = dealt.sortWithinPartitions(F.desc("length"), "id", "piece", "crc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, lines, packing, quality, rules, simhash, substring, toxicity
+from . import bpe, embeddings, lines, packing, quality, rules, simhash, substring, token_output, toxicity
 from .common import table
 
 QUERIES = {}
@@ -123,3 +123,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_quality_classifier")
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op2_token_output")
+def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.packed_rows(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
