@@ -18,6 +18,17 @@ LG_K = 9
 NEAR = 0.4
 
 
+#: Lines up to which a table of them is broadcast (a few MB); beyond, all lines
+#: are shuffled to it instead.
+BROADCAST_LINES = 50_000
+
+
+def if_small(found: DataFrame, rows: int = BROADCAST_LINES) -> DataFrame:
+    """``found`` with a broadcast hint where it has few enough rows: then no
+    line moves, however many documents share it."""
+    return F.broadcast(found) if found.count() <= rows else found
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``docs`` as (i, x, site-independent row): i and x name a row; rows that
     share both have the same id and text, and so the same answer."""
@@ -59,7 +70,7 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K,
     spread = cut(spread)
     sure = spread.where(F.col("sites") > min_sites * (1 + near)).select("h", "g", "first")
     close = spread.where(F.col("sites") <= min_sites * (1 + near)).select("h", "g", "first")
-    pairs = lines.join(close.select("h", "g"), ["h", "g"], "left_semi").select("h", "g", "site").distinct()
+    pairs = lines.join(if_small(close.select("h", "g")), ["h", "g"], "left_semi").select("h", "g", "site").distinct()
     exact = pairs.groupBy("h", "g").agg(F.count("site").alias("sites")).where(F.col("sites") >= min_sites)
     return cut(sure.unionByName(close.join(exact.select("h", "g"), ["h", "g"])))
 
@@ -85,7 +96,7 @@ def remove_boilerplate(
     lines = _lines(keyed, site_col)
     found = boilerplate(lines, min_sites)
     here = F.struct("i", "x", "pos")
-    hits = lines.select("i", "x", "pos", "h", "g").join(found, ["h", "g"])
+    hits = lines.select("i", "x", "pos", "h", "g").join(if_small(found), ["h", "g"])
     if keep_first:
         hits = hits.where(here != F.col("first"))
     gone = hits.groupBy("i", "x").agg(F.collect_set("pos").alias("gone"))

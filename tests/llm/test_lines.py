@@ -52,6 +52,13 @@ def test_spread_near_and_far_from_the_threshold(spark):
         assert collected(lines.remove_boilerplate(df, keep_first=keep_first)) == brute(rows, 10, keep_first)
 
 
+def test_many_boilerplate_lines_are_joined_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(lines.if_small, "__defaults__", (3,))
+    rows = [(k, "\n".join(f"shared {n}" for n in range(20)) + f"\nown {k}", f"s{k}") for k in range(14)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert collected(lines.remove_boilerplate(df)) == brute(rows)
+
+
 def test_null_and_repeated_ids(spark):
     rows = [(None, "shared\na", f"s{k}") for k in range(10)] + [(7, "shared\nb", "s1"), (7, "shared\nc", "s2")] + [(8, "shared\nd", "s1")] * 2
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
