@@ -34,12 +34,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 EMBEDDINGS_SQL = """
 WITH RECURSIVE v AS (
-  SELECT vec_id, label, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS e FROM embeddings
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
 ), ok AS (
   SELECT vec_id, label, e FROM v
   WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0
-    AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(e, x -> x <> 0)) > 0
+    AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0
 ), link AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id
   WHERE len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98
@@ -62,7 +62,29 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("component", "component_id")
 
 
-@query("op8_substring_dedup")
+SUBSTRING_SQL = r"""
+WITH doc AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), place AS (
+  SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM doc
+), win AS (
+  SELECT doc_id, i, md5(array_to_string(w[i : i + 34], ' ')) AS g FROM place WHERE i + 34 <= len(w)
+), twice AS (
+  SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY g) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM twice
+), kept AS (
+  SELECT p.doc_id, string_agg(p.w[p.i], ' ' ORDER BY p.i) AS t FROM place p
+  WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = p.doc_id AND g.i = p.i) GROUP BY p.doc_id
+), lost AS (
+  SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(l.n, 0) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM doc d LEFT JOIN kept k ON d.doc_id = k.doc_id LEFT JOIN lost l ON d.doc_id = l.doc_id
+"""
+
+
+@query("op8_substring_dedup", SUBSTRING_SQL)
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc.doc_id", "n_words", "n_removed", "kept_sha256")
@@ -71,7 +93,82 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 RULES_COLUMNS = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept".split()
 
 
-@query("op7_quality_rules")
+def _rules_sql() -> str:
+    """The counts, then the determinant estimate step by step: medians and least
+    deviations first, five times the closest 75 % of each (lang, source)."""
+    names, floors = ["len", "sym", "dup", "rep", "size"], [0.15, 0.35, 1.0, 1.0, 1.5]
+    factor = 1.4120710601890483  # share over chi-square mass: 0.75 / F7(F5^-1(0.75))
+    p = range(5)
+    group = "lang IS NOT DISTINCT FROM e_lang AND source IS NOT DISTINCT FROM e_source"
+    y = [" + ".join(f"w_{i}{j} * (x_{names[j]} - m_{j})" for j in range(i + 1)) for i in p]
+    far = " + ".join(f"({t}) * ({t})" for t in y)
+    steps = []
+    for k in range(5):
+        sums = ", ".join([f"sum(x_{names[i]}) AS s_{i}" for i in p] + [f"sum(x_{names[i]} * x_{names[j]}) AS q_{i}{j}" for i in p for j in range(i + 1)])
+        steps.append(f"""near{k} AS (
+  SELECT f.*, floor(16 * log2(1 + {far})) AS bin FROM fit f JOIN e{k} ON {group}
+), sub{k} AS (
+  SELECT * FROM near{k} QUALIFY count(*) OVER (PARTITION BY lang, source ORDER BY bin RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+    - count(*) OVER (PARTITION BY lang, source, bin) < ceil(0.75 * count(*) OVER (PARTITION BY lang, source))
+), sum{k} AS (
+  SELECT lang AS e_lang, source AS e_source, count(*) AS n, {sums} FROM sub{k} GROUP BY lang, source
+)""")
+        cov = ", ".join(
+            f"{factor} * (q_{i}{j} / n - (s_{i} / n) * (s_{j} / n))" + (f" + pow({floors[i]} * 1024, 2)" if i == j else "") + f" AS c_{i}{j}"
+            for i in p for j in range(i + 1)
+        )
+        means = ", ".join(f"s_{i} / n AS m_{i}" for i in p)
+        steps.append(f"c{k} AS (SELECT e_lang, e_source, {means}, {cov} FROM sum{k})")
+        last = f"c{k}"
+        for i in p:  # Cholesky factor, one entry after the other
+            for j in range(i + 1):
+                rest = f"c_{i}{j}" + "".join(f" - l_{i}{t} * l_{j}{t}" for t in range(j))
+                steps.append(f"l{k}_{i}{j} AS (SELECT *, {f'sqrt({rest})' if i == j else f'({rest}) / l_{j}{j}'} AS l_{i}{j} FROM {last})")
+                last = f"l{k}_{i}{j}"
+        for j in p:  # and its inverse
+            for i in range(j, 5):
+                total = " ".join(f"- l_{i}{t} * w_{t}{j}" for t in range(j, i))
+                steps.append(f"w{k}_{i}{j} AS (SELECT *, {f'1 / l_{i}{i}' if i == j else f'(0.0 {total}) / l_{i}{i}'} AS w_{i}{j} FROM {last})")
+                last = f"w{k}_{i}{j}"
+        steps.append(f"e{k + 1} AS (SELECT * FROM {last})")
+    start = ", ".join(f"median(x_{n}) AS m_{i}" for i, n in enumerate(names))
+    start += ", " + ", ".join(f"{1 / (floors[i] * 1024) if i == j else 0.0!r} AS w_{i}{j}" for i in p for j in range(i + 1))
+    return rf"""
+WITH doc AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents
+), place AS (
+  SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM doc
+), gram AS (
+  SELECT doc_id, i FROM place WHERE i + 4 <= len(w) QUALIFY count(*) OVER (PARTITION BY doc_id, array_to_string(w[i : i + 4], ' ')) > 1
+), rep AS (
+  SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS k FROM gram) g GROUP BY doc_id
+), counted AS (
+  SELECT d.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, length(regexp_replace(text, '[ 	-]', '', 'g')) AS word_chars,
+    length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')))
+      - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')))) AS n_dup_lines,
+    coalesce(r.n, 0) AS n_repeat_words
+  FROM doc d LEFT JOIN rep r ON d.doc_id = r.doc_id
+), stat AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+    CAST(round(ln(greatest(word_chars, 1) / greatest(n_words, 1)) * 1024) AS BIGINT) AS x_len,
+    CAST(round(ln(1 + 100 * n_symbols / greatest(word_chars, 1)) * 1024) AS BIGINT) AS x_sym,
+    CAST(round(ln(1 + n_dup_lines) * 1024) AS BIGINT) AS x_dup,
+    CAST(round(ln(1 + 100 * n_repeat_words / greatest(n_words, 1)) * 1024) AS BIGINT) AS x_rep,
+    CAST(round(ln(greatest(n_words, 1)) * 1024) AS BIGINT) AS x_size
+  FROM counted
+), fit AS (
+  SELECT * FROM stat WHERE NOT base_failed
+), e0 AS (
+  SELECT lang AS e_lang, source AS e_source, {start} FROM fit GROUP BY lang, source
+), {", ".join(steps)}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND coalesce({far} <= 31.0, false) AS kept
+FROM stat LEFT JOIN e5 ON {group}
+"""
+
+
+@query("op7_quality_rules", _rules_sql())
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents")).select(*RULES_COLUMNS)
 
