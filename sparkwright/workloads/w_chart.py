@@ -116,8 +116,9 @@ def _question_col():
 
 @register(
     "chart_type_from_question",
-    "SELECT conv_id, turn, CASE "
-    + " ".join(f"WHEN contains(lower(q), '{w}') THEN '{c}'" for w, c in K.INTENT_CHART)
+    "SELECT conv_id, turn, CASE WHEN q ILIKE '%trend%' THEN 'line' WHEN q ILIKE '%compare%' THEN 'bar' WHEN q ILIKE '%distribution%' THEN 'histogram' "
+    "WHEN q ILIKE '%composition%' THEN 'pie' WHEN q ILIKE '%correlation%' OR q ILIKE '%relationship%' THEN 'scatter' WHEN q ILIKE '%heatmap%' THEN 'heatmap' "
+    "WHEN q ILIKE '%growth%' THEN 'line' WHEN q ILIKE '%ranking%' THEN 'bar' WHEN q ILIKE '%partofwhole%' THEN 'pie'"
     + f" END AS chart_type FROM (SELECT conv_id, turn, {_question_sql()} AS q FROM conversations) t",
 )
 def chart_type_from_question(spark, sf_dir):
@@ -207,7 +208,7 @@ def chart_multi_histogram(spark, sf_dir):
 @register(
     "chart_percentiles",
     " UNION ALL ".join(
-        f"SELECT 'P{int(round(p * 100))}' AS label, round(quantile_cont(o_totalprice, {p}), 6) AS value FROM orders" for p in K.PERCENTILE_BAR
+        f"SELECT 'P{int(round(p * 100))}' AS label, round(quantile_cont(o_totalprice, {p}), 6) AS value FROM orders" for p in (0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
     ),
 )
 def chart_percentiles(spark, sf_dir):

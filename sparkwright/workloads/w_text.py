@@ -76,7 +76,8 @@ WITH p AS ({PAGES_SQL}),
 l0 AS (SELECT document, page, unnest(generate_series(0, len(parts) - 1)) AS pos, unnest(parts) AS raw
        FROM (SELECT document, page, string_split(text, chr(10)) AS parts FROM p) x),
 l AS (SELECT document, page, pos, {_strip('raw')} AS line FROM l0 WHERE {_strip('raw')} <> ''),
-h AS (SELECT *, regexp_matches(line, '{DOC.HEADING_PATTERN}') AND length(line) < {DOC.HEADING_MAX_LEN} AS is_heading FROM l)"""
+h AS (SELECT *, length(line) < 120 AND (regexp_matches(line, '^[0-9]+[.]?\\s+') OR regexp_matches(line, '^[A-Z][A-Z\\s][A-Z\\s][A-Z\\s]')
+        OR regexp_matches(line, '^Chapter\\s+[0-9]') OR regexp_matches(line, '^Section\\s+[0-9]')) AS is_heading FROM l)"""
 
 
 @register(
@@ -101,7 +102,12 @@ def doc_headings(spark, sf_dir):
 
 
 def _figures_sql() -> str:
-    pat = DOC.FIGURE_PATTERN.replace("'", "''")
+    # label, optional separator and currency, number, optional unit; stated here
+    # apart from the code it checks
+    pat = (
+        r"(?i)([A-Za-z][A-Za-z\s&/''-]{2,60}?)\s*[:\-]?\s*(?:Rs\.?|₹|\$|EUR|GBP)?\s*"
+        r"([\d,]+(?:\.\d+)?)\s*(crores?|lakhs?|millions?|billions?|mn|bn|cr)?"
+    )
     return f"""
 WITH p AS ({PAGES_SQL}),
 m AS (SELECT document, page, regexp_extract_all(text, '{pat}', 1) AS l, regexp_extract_all(text, '{pat}', 2) AS v,
@@ -168,14 +174,19 @@ def _q_col():
 
 
 def _intent_sql(qexpr: str) -> str:
-    words = f"regexp_extract_all(lower({qexpr}), '\\b([a-z_]+)\\b', 1)"
-    arms = []
-    for label, phrases, toks in TX.INTENT_RULES:
-        conds = [f"contains(lower({qexpr}), '{p}')" for p in phrases]
-        if toks:
-            conds.append(f"list_has_any({words}, [" + ", ".join(f"'{t}'" for t in toks) + "])")
-        arms.append(f"WHEN {' OR '.join(conds)} THEN '{label}'")
-    return "CASE " + " ".join(arms) + f" ELSE '{TX.DEFAULT_INTENT}' END"
+    """The first rule that holds; has: text within, word: a whole word."""
+    has = lambda *parts: [f"contains(lower({qexpr}), '{x}')" for x in parts]
+    word = lambda *parts: [f"regexp_matches(lower({qexpr}), '\\b({'|'.join(parts)})\\b')"]
+    rules = [
+        ("insights", has("summarize", "summarise", "conclusion", "key takeaway", "takeaways")),
+        ("ingestion", has("read file", "open file") + word("upload", "import", "load", "ingest")),
+        ("etl", has("remove duplicate", "fix data") + word("clean", "etl", "transform")),
+        ("visualization", has("show me") + word("chart", "plot", "graph", "visualize", "dashboard")),
+        ("insights", has("why did", "what caused") + word("insight", "trend", "pattern", "analyze", "analyse")),
+        ("report", word("report", "summary", "executive")),
+        ("sql", has("group by") + word("sql", "query", "select", "count", "sum", "average")),
+    ]
+    return "CASE " + " ".join(f"WHEN {' OR '.join(c)} THEN '{label}'" for label, c in rules) + " ELSE 'analytics' END"
 
 
 @register("chat_intent", f"SELECT conv_id, turn, {_intent_sql('q')} AS intent FROM (SELECT conv_id, turn, {_q_sql()} AS q FROM conversations) t")
