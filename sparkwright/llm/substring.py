@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import key_groups, python_tasks, utf8
+from .common import python_tasks, utf8
 
 WINDOW = 35
 K = 8
@@ -158,17 +158,32 @@ def _meet(rows: DataFrame, name: str) -> DataFrame:
     """Runs (a << 32 | b) per document of the values found at two coordinates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in key_groups(batches, ["h", "c"]):
-            h, c, run_ = (t.column(k).to_numpy() for k in ("h", "c", "run"))
-            w = np.where(run_ >= 0, 1, np.where(run_ == _SEEN, 2, 0))
+        # of the value that a batch ends with, only its weight and the one row
+        # that still waits for a second are kept, however often it occurs
+        last, weight, waiting = None, 0, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            h, c, places = (b.column(k).to_numpy() for k in ("h", "c", "run"))
+            w = np.where(places >= 0, 1, np.where(places == _SEEN, 2, 0))
+            goes_on = (h[0], c[0]) == last
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
-            at = np.flatnonzero(new)
-            total = np.repeat(np.add.reduceat(w, at), np.diff(np.append(at, len(h))))
-            found = (w == 0) | ((w == 1) & (total > 1))
-            places = np.where(w == 0, ~run_, run_)[found]
-            t = t.select(["i", "x"]).filter(pa.array(found)).append_column("run", pa.array(places))
-            yield from t.combine_chunks().to_batches()
+            start = np.flatnonzero(new)
+            total = np.add.reduceat(w, start)
+            if goes_on:
+                total[0] += weight
+                if waiting is not None and total[0] > 1:
+                    yield waiting
+            if not goes_on or total[0] > 1 or len(start) > 1:
+                waiting = None
+            found = (w == 0) | ((w == 1) & (np.repeat(total, np.diff(np.append(start, len(h)))) > 1))
+            rows_ = pa.table({"i": b.column("i"), "x": b.column("x"), "run": pa.array(np.where(w == 0, ~places, places))})
+            yield from rows_.filter(pa.array(found)).combine_chunks().to_batches()
+            last, weight = (h[-1], c[-1]), min(int(total[-1]), 2)
+            own = start[-1] + np.flatnonzero(w[start[-1] :] == 1)
+            if weight == 1 and len(own):
+                waiting = rows_.slice(int(own[0]), 1).combine_chunks().to_batches()[0]
 
     met = python_tasks(rows.repartition("h", "c").sortWithinPartitions("h", "c"), run, "i long, x int, run long")
     return met.groupBy("i", "x").agg(F.collect_list("run").alias(name))

@@ -60,6 +60,27 @@ def test_text_keeps_its_other_words_and_spaces(spark):
     assert got == {1: "one  two\nthree\tfour", 2: "", 3: " untouched  text "}
 
 
+def test_values_meet_across_small_batches(spark):
+    """One row per Arrow batch: a value's rows come one by one."""
+    rng = random.Random(9)
+    moved, want = [], {}
+    for h in range(40):
+        kinds = [rng.choice(["one", "one", "seen", "settled"]) for _ in range(rng.choice([1, 1, 2, 3, 5]))]
+        for n, kind in enumerate(kinds):
+            place = rng.randrange(1000)
+            run = {"one": place << 32 | place, "seen": substring._SEEN, "settled": ~(place << 32 | place + 3)}[kind]
+            moved.append((h, h % 3, h * 100 + n, 1, run))
+            weight = sum({"one": 1, "seen": 2, "settled": 0}[k] for k in kinds)
+            if kind == "settled" or (kind == "one" and weight > 1):
+                want[h * 100 + n] = [place << 32 | place + (3 if kind == "settled" else 0)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        got = substring._meet(spark.createDataFrame(moved, substring._MOVED), "runs").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r["i"]: r["runs"] for r in got} == want
+
+
 def test_empty_table(spark):
     assert substring.dedup(docs_frame(spark, [])).collect() == []
 
