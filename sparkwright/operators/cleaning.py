@@ -278,13 +278,7 @@ def auto_clean(df: DataFrame, order_by: list[str] | None = None, materialize: bo
     de-duplicated rows; with ``materialize`` those rows are written once by a
     reliable ``checkpoint()`` (shared checkpoint folder) instead of repeating
     the de-duplication shuffle for every pass."""
-    steps = []
-    df = clean_column_names(df)
-    steps.append("Standardized column names")
-    df = remove_duplicates(df)
-    steps.append("Removed duplicates")
-    df = remove_empty_rows(df)
-    steps.append("Removed empty rows")
+    df = remove_empty_rows(remove_duplicates(clean_column_names(df)))
     if materialize:
         from ..session import ensure_checkpoint_dir
 
@@ -294,9 +288,33 @@ def auto_clean(df: DataFrame, order_by: list[str] | None = None, materialize: bo
         order_by = [clean_name(c) for c in order_by]
     # fills and the date-parse decision share one statistics pass
     df = handle_missing_values(df, "auto", order_by=order_by, parse_dates=True)
-    steps.append("Auto-filled missing values")
-    steps.append("Parsed date columns")
-    return df, steps
+    return df, list(CLEAN_STEPS)
+
+
+# The step names must equal the reference's.
+CLEAN_STEPS = [
+    "Standardized column names", "Removed duplicates", "Removed empty rows", "Auto-filled missing values", "Parsed date columns",
+]
+
+
+def auto_clean_steps(df: DataFrame) -> DataFrame:
+    """C10 report: (step_no, step, rows_before, rows_after). Only removing
+    duplicates and empty rows changes the number of rows; all three counts come
+    from one grouping of the input (an empty row is one group)."""
+    named = clean_column_names(df)
+    filled = F.greatest(F.lit(0), *[q(c).isNotNull().cast("int") for c in named.columns])
+    groups = named.groupBy(*[q(c) for c in named.columns]).agg(F.count(F.lit(1)).alias("__n")).withColumn("__filled", filled)
+    counts = groups.agg(
+        F.coalesce(F.sum("__n"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("distinct_rows"),
+        F.coalesce(F.sum("__filled"), F.lit(0)).cast("long").alias("kept"),
+    )
+    before = ["rows", "rows", "distinct_rows", "kept", "kept"]
+    after = ["rows", "distinct_rows", "kept", "kept", "kept"]
+    steps = [
+        F.struct(F.lit(i + 1).alias("step_no"), F.lit(s).alias("step"), F.col(b).alias("rows_before"), F.col(a).alias("rows_after"))
+        for i, (s, b, a) in enumerate(zip(CLEAN_STEPS, before, after))
+    ]
+    return counts.select(F.explode(F.array(*steps)).alias("s")).select("s.*")
 
 
 def numeric_text(c) -> "F.Column":

@@ -207,6 +207,12 @@ FROM d
 """,
 )
 def clean_auto(spark, sf_dir):
+    cleaned, _ = C.auto_clean(_messy(spark, sf_dir), order_by=["Order Key"])
+    return cleaned
+
+
+def _messy(spark, sf_dir):
+    """Orders with nulls, messy names and repeated rows."""
     n = orders_nulls(spark, sf_dir)
     d = n.select(
         F.col("o_orderkey").alias("Order Key"),
@@ -214,9 +220,24 @@ def clean_auto(spark, sf_dir):
         F.col("status").alias("Order-Status"),
         F.col("odate").alias("order date"),
     )
-    d = d.unionByName(d.where(F.col("`Order-Status`") == "F"))
-    cleaned, _ = C.auto_clean(d, order_by=["Order Key"])
-    return cleaned
+    return d.unionByName(d.where(F.col("`Order-Status`") == "F"))
+
+
+@register(
+    "clean_auto_steps",
+    f"""
+WITH d0 AS (SELECT CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey END AS k, price, status, odate FROM ({NULLS_SQL}) n),
+d1 AS (SELECT * FROM d0 UNION ALL SELECT * FROM d0 WHERE status = 'F'),
+c AS (SELECT (SELECT count(*) FROM d1) AS r, (SELECT count(*) FROM (SELECT DISTINCT * FROM d1) x) AS u,
+             (SELECT count(*) FROM (SELECT DISTINCT * FROM d1) y WHERE NOT (k IS NULL AND price IS NULL AND status IS NULL AND odate IS NULL)) AS f)
+SELECT CAST(1 AS INTEGER) AS step_no, 'Standardized column names' AS step, r AS rows_before, r AS rows_after FROM c
+UNION ALL SELECT 2, 'Removed duplicates', r, u FROM c UNION ALL SELECT 3, 'Removed empty rows', u, f FROM c
+UNION ALL SELECT 4, 'Auto-filled missing values', f, f FROM c UNION ALL SELECT 5, 'Parsed date columns', f, f FROM c""",
+)
+def clean_auto_steps(spark, sf_dir):
+    d = _messy(spark, sf_dir)
+    key = F.when(F.col("Order Key") % 3 > 0, F.col("Order Key"))
+    return C.auto_clean_steps(d.withColumn("Order Key", key))
 
 
 @register(

@@ -404,3 +404,40 @@ def sql_fn_json(spark, sf_dir):
     return ev.groupBy("event_type").agg(
         F.sum(k).cast("long").alias("k_sum"), F.max(k).alias("k_max"), F.count(F.lit(1)).alias("n")
     )
+
+
+@register(
+    "sql_fn_struct_map",
+    """
+SELECT o_orderstatus, CAST(max(o_totalprice) AS DOUBLE) AS top_price, arg_max(o_orderkey, (o_totalprice, o_orderkey)) AS top_key,
+       CAST(count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS BIGINT) AS urgent, CAST(count(DISTINCT o_orderpriority) AS BIGINT) AS n_priorities
+FROM orders GROUP BY o_orderstatus
+""",
+)
+def sql_fn_struct_map(spark, sf_dir):
+    """A struct as the value of an aggregate, a map built from groups and read by key."""
+    o = table(spark, sf_dir, "orders")
+    counts = o.groupBy("o_orderstatus", "o_orderpriority").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.struct("o_totalprice", "o_orderkey")).alias("top")
+    )
+    each = counts.groupBy("o_orderstatus").agg(
+        F.max("top").alias("top"), F.map_from_entries(F.collect_list(F.struct("o_orderpriority", "n"))).alias("by_priority")
+    )
+    return each.select(
+        "o_orderstatus", F.col("top.o_totalprice").alias("top_price"), F.col("top.o_orderkey").alias("top_key"),
+        F.coalesce(F.try_element_at("by_priority", F.lit("1-URGENT")), F.lit(0)).alias("urgent"),
+        F.size(F.map_keys("by_priority")).cast("long").alias("n_priorities"),
+    )
+
+
+@register(
+    "sql_approx_count_distinct",
+    """
+SELECT l_returnflag, true AS within_bound FROM lineitem GROUP BY l_returnflag
+""",
+)
+def sql_approx_count_distinct(spark, sf_dir):
+    """The approximate distinct count stays within four of its standard errors."""
+    l = table(spark, sf_dir, "lineitem")
+    r = l.groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("a"), F.countDistinct("l_partkey").alias("d"))
+    return r.select("l_returnflag", (F.abs(F.col("a") - F.col("d")) <= 0.08 * F.col("d")).alias("within_bound"))
