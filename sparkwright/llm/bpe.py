@@ -306,7 +306,9 @@ class Bpe:
             yield out
             held = held[at:]
             m = self._pattern(held).search(held)
-            if m and m.end() - m.start() > SLICE:
+            # (a run of white space is held whole: its last character may
+            # belong to the next piece)
+            if m and m.end() - m.start() > SLICE and not m.group().isspace():
                 run = _Run(self, m.group())
                 if m.end() < len(held):
                     yield run.push(self.symbols(m.group()))

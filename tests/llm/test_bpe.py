@@ -39,6 +39,7 @@ TEXTS = [
     "éẹ́ ́x a̸ 각 한국어", "x\x1cy\x1f z\x85w v u　t​s﻿r", "²³ ١٢٣ 1234.5", "\U0001f600\U0001f468‍\U0001f469 ©®",
     "#" * 3000 + "'s" + "!" * 5000, "ab" * 6000 + "1" * 5000 + "é" * 4100, "the" * 9000 + " the", "a" * 4096 + "́" * 50 + "b" * 5000,
     " " * 5000 + "x" + "\n" * 4500, "'" * 4094 + "re" + "'" * 4095 + "ll", "漢字" * 3000,
+    " " * 9000 + "x", "\n" * 13_000 + "y z", "\t " * 5000 + "'s", " " + "q" * 9000 + " " * 8200, "7" * 9000 + " " + "8" * 8192 + "x",
 ]
 
 
