@@ -36,7 +36,7 @@ BEGINNINGS = (4, 5, 6)
 #: Least number of sampled texts a feature stands in.
 LEAST_TEXTS = 5
 #: Expected severity from which a text is rejected.
-REJECT = 0.35
+REJECT = 0.3
 _WORD = re.compile(r"[^\W\d_]+")
 #: Words whose buckets a task remembers before it starts afresh.
 _MEMORY = 200_000
