@@ -198,6 +198,7 @@ def standardize_text_columns(df: DataFrame, columns: list[str] | None = None) ->
     return df.select(*[(F.lower(strip_ws(q(c))) if c in cols else q(c)).alias(c) for c in df.columns])
 
 
+# Fixed value: cleaned names must equal the reference's, so the pattern is the same.
 def clean_name(name: str) -> str:
     return re.sub(r"[^a-zA-Z0-9_]", "_", str(name)).strip("_").lower()
 
