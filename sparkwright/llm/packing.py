@@ -43,9 +43,7 @@ class Ids:
     a special token's string, go through the library."""
 
     def __init__(self, text: str):
-        self.slow = Tokenizer.from_str(text)
-        self.slow.no_truncation()
-        self.slow.no_padding()
+        self.text, self._library = text, None
         spec = json.loads(text)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
@@ -62,7 +60,15 @@ class Ids:
         same = text.isascii() or max(text) < "\u0530" or not self.unknown.search(text)  # one Unicode version for both
         if self.fast is not None and same and not any(s in text for s in self.special):
             return np.array(self.fast.encode_ordinary(text), np.uint32)
-        return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(self.library().encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def library(self) -> Tokenizer:
+        """The tokenizers instance, made when a text first needs it."""
+        if self._library is None:
+            self._library = Tokenizer.from_str(self.text)
+            self._library.no_truncation()
+            self._library.no_padding()
+        return self._library
 
 
 @lru_cache(maxsize=2)

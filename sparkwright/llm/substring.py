@@ -45,8 +45,7 @@ def _powers(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** n modulo 2 ** 64, kept for the next batch."""
     have = _POWERS.get(base)
     if have is None or len(have) <= n:
-        size = 1 << max(10, int(n + 1).bit_length())
-        step = np.full(size, base, np.uint64)
+        step = np.full(n + n // 8 + 1024, base, np.uint64)
         step[0] = 1
         have = _POWERS[base] = np.multiply.accumulate(step)
     return have[: n + 1]

@@ -39,7 +39,7 @@ LEAST_TEXTS = 5
 REJECT = 0.3
 _WORD = re.compile(r"[^\W\d_]+")
 #: Words whose buckets a task remembers before it starts afresh.
-_MEMORY = 200_000
+_MEMORY = 100_000
 
 
 def buckets(word: str) -> list[int]:
