@@ -2,6 +2,7 @@
 
 P(grade >= k) = sigmoid(w . x - theta_k): one weight per word, shared by all
 ordered thresholds; the expected severity is the sum over k of P(grade >= k).
+It is that of the corpus: a sampled row weighs as many labels as it stands for.
 
 The features are hashed words and word beginnings (so that other forms of a
 word count too). The model is learned from a bounded sample of labelled rows:
@@ -81,14 +82,16 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.cuts - score, -500, 500)))
 
 
-def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades: np.ndarray, width: int, l2: float = 0.5, steps: int = 400):
+def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades: np.ndarray, width: int, l2: float = 0.5, steps: int = 400, standing: np.ndarray | None = None):
     """Weights and ordered cuts of the penalised likelihood, by Adam. The cuts
-    are a first one plus positive distances, so they stay in order."""
+    are a first one plus positive distances, so they stay in order. A row counts
+    ``standing`` times (once, if not given)."""
     top = int(grades.max()) if len(grades) else 0
     if top < 1:
         return np.zeros(width), np.full(max(top, 1), 50.0)
     weights, raw = np.zeros(width), np.zeros(top)
-    share = np.array([(grades >= k).mean() for k in range(1, top + 1)])
+    standing = np.ones(len(grades)) if standing is None else standing
+    share = np.array([np.average(grades >= k, weights=standing) for k in range(1, top + 1)])
     start = np.log((1 - share + 1e-6) / (share + 1e-6))
     raw[0] = start[0]
     raw[1:] = np.log(np.expm1(np.maximum(np.diff(start), 1e-2)))
@@ -104,7 +107,7 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades:
         above = np.column_stack([np.ones(n), 1 / (1 + np.exp(np.clip(cuts[None, :] - score[:, None], -500, 500))), np.zeros(n)])
         mass = np.maximum(above[:, :-1] - above[:, 1:], 1e-12)
         slope = above * (1 - above)  # d above / d score, also -d / d cut
-        g = 1 / (onehot * mass).sum(axis=1)
+        g = standing / (onehot * mass).sum(axis=1)
         d_score = -g * ((slope[:, :-1] - slope[:, 1:]) * onehot).sum(axis=1)
         d_cut = np.array([(g * slope[:, k] * (onehot[:, k].astype(float) - onehot[:, k - 1])).sum() for k in range(1, top + 1)])
         grad_w = np.bincount(cols, d_score[rows] * values, minlength=width) + l2 * weights
@@ -121,14 +124,20 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", features: int = FEATURES, sample: int = SAMPLE) -> OrdinalModel:
     """The model of the labelled rows of ``docs``. What reaches the driver is
-    bounded by ``features`` buckets and 4 * ``sample`` rows of their counts.
+    bounded by ``features`` buckets and 4 * ``sample`` rows of their counts. The
+    sides are sampled apart, so each sampled row is weighted by labels / sampled
+    labels of its side: the ratio of the sides is that of all labels.
     Labels that are null, and of ids that are null or absent, teach nothing; of
     several labels of one id the highest counts."""
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(
         F.max(F.col(label_col).cast("int")).alias("grade")
     )
     sides = [bounded_sample(marks.where(c), ["id"], sample) for c in ("grade > 0", "grade <= 0")]
-    picked = F.broadcast(cut(sides[0].unionByName(sides[1])))  # at most 2 * sample ids
+    sampled = cut(sides[0].unionByName(sides[1]))  # at most 2 * sample ids
+    picked = F.broadcast(sampled)
+    side = (F.col("grade") > 0).alias("toxic")
+    there, taken = ({r["toxic"]: r["count"] for r in t.groupBy(side).count().collect()} for t in (marks, sampled))
+    stands = np.array([there[k] / taken[k] if taken.get(k) else 1.0 for k in (False, True)])
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     chosen = texts.join(picked, "id").select("grade", "text")
 
@@ -156,9 +165,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return OrdinalModel([], np.zeros(0), np.full(1, 50.0))
     yes, no = F.col("bad") + 0.5, F.col("good") + 0.5
     odds = F.log(yes / (whole["bad"] + 1 - yes)) - F.log(no / (whole["good"] + 1 - no))
+    spread = F.sqrt(1 / (float(stands[1]) * yes) + 1 / (float(stands[0]) * no))
     best = (
         told.where((F.col("bucket") < BUCKETS) & (F.col("good") + F.col("bad") >= LEAST_TEXTS))
-        .withColumn("z", odds / F.sqrt(1 / yes + 1 / no))
+        .withColumn("z", odds / spread)
         .orderBy(F.abs("z").desc(), "bucket")
         .limit(features)
         .collect()
@@ -179,11 +189,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = np.repeat(np.arange(len(got)), [len(r["cols"]) for r in got])
     cols = np.array([c for r in got for c in r["cols"]], np.int64)
     values = np.log1p(np.array([c for r in got for c in r["counts"]], float))
+    standing = stands[(grades > 0).astype(int)]
     if grades.max(initial=0) <= 1:
         dose = np.bincount(rows, values * toxic_side[cols], minlength=len(got))
         positive = grades > 0
         grades = grades + (positive & (dose > np.median(dose[positive])))
-    return OrdinalModel(index, *fit_ordinal(rows, cols, values, grades, len(index)))
+    return OrdinalModel(index, *fit_ordinal(rows, cols, values, grades, len(index), standing=standing))
 
 
 def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", reject: float = REJECT) -> DataFrame:

@@ -71,3 +71,25 @@ def test_edge_rows(spark, marks):
     got = toxicity.rate(docs, labels).collect()
     assert sorted((r["doc"]["doc_id"] or 0, r["doc"]["text"] or "") for r in got) == sorted((i or 0, t or "") for i, t in EDGES)
     assert toxicity.rate(docs.limit(0), labels).collect() == []
+
+
+def test_small_sample_rejects_like_all_labels(spark):
+    """A word in 20 % of toxic and 10 % of clean texts, ten clean to one toxic:
+    no reason to reject, whatever the sample."""
+    rows, marks = [], []
+    for i in range(4400):
+        toxic = i % 11 == 0
+        worded = (i // 11) % (5 if toxic else 10) == 0
+        rows.append((i, f"plain text {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" + " harsh" * worded))
+        marks.append((i, int(toxic)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    clean = labels.where("toxic = 0")
+    shares, severities = [], []
+    for sample in (10_000, 300):
+        model = toxicity.train(docs, labels, sample=sample)
+        got = toxicity.score(docs, model).select("doc.doc_id", "severity", "rejected").join(clean, "doc_id")
+        share, severity = got.agg(F.avg(F.col("rejected").cast("int")), F.avg("severity")).first()
+        shares.append(share)
+        severities.append(severity)
+    assert abs(shares[1] - shares[0]) < 0.02
+    assert abs(severities[1] - severities[0]) < 0.05
