@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
+    SPACES,
     connected_components,
     cut,
     group_bounds,
@@ -142,6 +143,14 @@ def links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tile_row
     return python_tasks(ordered, run, "a long, b long")
 
 
+def _placed(fps: DataFrame, radius: int, blocks: int, tile_rows: int) -> DataFrame:
+    """(fp, low, root) of every distinct ``fp``: its smallest id and the
+    fingerprint that names its component."""
+    nodes = fps.groupBy("fp").agg(F.min("id").alias("low"))
+    roots = connected_components(links(nodes, radius, blocks, tile_rows), "a", "b")
+    return nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -160,11 +169,7 @@ def near_duplicates(
     linked like any other. Repeated rows and ids: each row gets its component.
     Other columns of ``docs`` are ignored, whatever their names. Empty: empty."""
     fps = cut(fingerprints(docs, id_col, text_col, shingle))
-    nodes = fps.groupBy("fp").agg(F.min("id").alias("low"))
-    roots = connected_components(links(nodes, radius, blocks, tile_rows), "a", "b")
-    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
-        "fp", "low", F.coalesce("root", "fp").alias("root")
-    )
+    placed = _placed(fps, radius, blocks, tile_rows)
     lowest = placed.groupBy("root").agg(F.min("low").alias("component"))
     component = placed.join(lowest, "root").select("fp", "component")
     return fps.join(component, "fp").select(F.col("id").alias(id_col), "fp", "component")
@@ -178,3 +183,28 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     leads = found.where(F.col(id_col) == F.col("component")).select(F.col(id_col).alias("__lead")).distinct()
     joined = docs.join(leads, F.col(id_col) == F.col("__lead"), "left")
     return joined.where(F.col(id_col).isNull() | F.col("__lead").isNotNull()).drop("__lead")
+
+
+def keep_one_row(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = SHINGLE_WORDS,
+    radius: int = RADIUS,
+    blocks: int = BLOCKS,
+    tile_rows: int = TILE_ROWS,
+) -> DataFrame:
+    """One row of ``docs`` per component: the one with its smallest id (null ids
+    last), of several the first by a row key. The key is written once before it
+    is used, so retries agree on it. Repeated rows and ids and null ids are
+    documents like others, only rows that have a null id and no word all stay:
+    nothing names them and no text stands twice. Empty: empty."""
+    doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = cut(docs.select(F.monotonically_increasing_id().alias("key"), doc.alias("doc")))
+    own, text = F.col("doc").getField(id_col), F.col("doc").getField(text_col).cast("string")
+    rank = F.struct(own.isNull().alias("absent"), own.alias("id"), "key")
+    fps = cut(fingerprints(keyed.select(rank.alias("rank"), text.alias("text")), "rank", "text", shingle))
+    leads = _placed(fps, radius, blocks, tile_rows).groupBy("root").agg(F.min("low").alias("lead"))
+    leads = leads.select(F.col("lead.key").alias("key"), F.lit(True).alias("leads"))
+    bare = own.isNull() & (F.coalesce(F.length(F.btrim(text, F.lit(SPACES))), F.lit(0)) == 0)
+    return keyed.join(leads, "key", "left").where(F.col("leads") | bare).select("doc.*")

@@ -65,3 +65,15 @@ def test_columns_of_other_names_and_nulls_pass_through(spark, tmp_path):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "run"]
     ids = [r["doc_id"] for r in docs.collect()]
     assert {1, 2, 4} <= set(ids) and None in ids
+
+
+def test_copies_stand_once_after_both_dedup_stages(spark, tmp_path):
+    """Repeated rows and null-id copies of texts longer than a window."""
+    named, unnamed, alone = (" ".join(f"{w}{i}" for i in range(60)) for w in ("first", "second", "third"))
+    rows = [(1, named), (1, named), (2, named), (None, named), (None, unnamed), (None, unnamed), (None, unnamed), (3, alone)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("simhash_near_dedup", "substring_dedup"):
+        stages[name](spark, docs, SMALL).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    assert sorted(map(tuple, docs.collect()), key=repr) == sorted([(1, named), (None, unnamed), (3, alone)], key=repr)

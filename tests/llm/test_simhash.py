@@ -72,3 +72,13 @@ def test_links_of_any_tiling_equal_brute_force(spark, blocks, tile_rows):
     edges = [tuple(r) for r in simhash.links(nodes, 3, blocks, tile_rows).collect()]
     near = [(a, b) for i, a in enumerate(fps) for b in fps[:i] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 3]
     assert components(fps, edges) == components(fps, near)
+
+
+def test_keep_one_row_leaves_one_row_of_each_group(spark):
+    docs = docs_frame(spark, EDGES).withColumns({c: F.lit(1) for c in ("fp", "id", "n", "key", "doc", "leads")})
+    kept = simhash.keep_one_row(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted([1, 4, 6, 7, 9, 10, None], key=repr)
+    copies = docs_frame(spark, [(None, "a b c")] * 40 + [(None, ""), (None, None), (3, " ")]).repartition(5)
+    assert sorted(map(tuple, simhash.keep_one_row(copies).collect()), key=repr) == sorted([(None, "a b c"), (None, ""), (None, None), (3, " ")], key=repr)
+    assert simhash.keep_one_row(docs_frame(spark, [])).collect() == []
