@@ -8,7 +8,11 @@ later rank than the one before, so L is the longest such chain in symbols (a
 dynamic program over the merges, from the last to the first). Tokens that end
 L symbols before the end of what was read are stable and are emitted at once;
 the rest starts anew at a token border, which BPE allows (Berglund and van der
-Merwe, 2023). Memory is bounded by the window, whatever the text's length.
+Merwe, 2023). There memory is bounded by the window, whatever the text's length.
+
+With a vocabulary of words (``by_words``) the text is split at once instead, and
+words of up to ``LONG_WORD`` characters go by plain merging and are remembered;
+only longer ones are streamed. Memory then follows the longest text.
 
 The decoder is a state machine from ids to bytes to text: it keeps the bytes
 of an unfinished character and emits text as soon as characters are whole."""
