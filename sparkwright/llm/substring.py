@@ -1,13 +1,14 @@
-"""Substring dedup on a sparse De Bruijn graph of the corpus.
+"""Substring dedup by minimizer k-mers, a filter in place of the compaction of a
+De Bruijn graph: no degree of a node is computed, no edge joined to the next.
 
-Token k-mers are the edges of the graph (from their first to their last k-1
-words). Every window of ``WINDOW`` words keeps its minimizer, the k-mer of the
+Token k-mers are the edges (from their first to their last k-1 words). Every
+window of ``WINDOW`` words keeps its minimizer, the k-mer of the
 smallest hash, so two equal windows keep the same edge and about one edge in
 14 words has to move. Three Spark joins follow:
 
 1. edges seen at least twice in the corpus are joined back to their documents;
-2. consecutive repeated edges of a document compact into paths: the windows
-   that keep a repeated edge. Only these windows can repeat;
+2. the windows that keep a repeated edge, here called paths, are picked. Only
+   these windows can repeat;
 3. the windows of the paths meet by a 96-bit hash of all their words with
    their source coordinates (document, word number); those found at a second
    coordinate are verified, and their words are removed.
