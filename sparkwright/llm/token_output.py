@@ -7,7 +7,7 @@ the open rows per gap, and the search walks to the first gap that is large
 enough. Rows come out as padded id vectors with cumulative segment lengths and
 the columns where positions restart; :func:`matrices` stacks them to blocks.
 
-On Spark: one pass makes the pieces; they are dealt by hash to packers of about
+On Spark: one pass makes the pieces; they are dealt by a row key to packers of about
 ``PACKER_PIECES`` pieces, and a packer holds its own pieces only (a few tens of
 MB), so rows are complete without a second shuffle of ids. The number of
 packers follows the bytes of the texts. More packers cost at most their last
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from .common import python_tasks
+from .common import cut, python_tasks
 from .packing import CAPACITY, pieces
 
 #: Pieces per packer, at three bytes a token: what one task holds.
@@ -107,7 +107,8 @@ def packed_rows(
     size = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.col(text_col).cast("string"))).alias("b")).first()
     packers = max(1, -(-(size["n"] + (size["b"] or 0) // (3 * capacity)) // packer_pieces))
     made = pieces(docs, path, id_col, text_col, capacity, end_id, with_ids=True, id_type=id_type)
-    dealt = made.repartition(packers, F.xxhash64("id", "piece", "crc"))
+    made = cut(made.withColumn("key", F.monotonically_increasing_id()))  # equal rows are dealt apart, retries agree
+    dealt = made.repartition(packers, "key").drop("key")
     width = np.dtype(id_type).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -100,3 +100,14 @@ def test_gap_tree_finds_the_first_gap():
 def test_position_ids_restart():
     assert token_output.position_ids([0, 2, 5], 8).tolist() == [0, 1, 0, 1, 2, 0, 1, 2]
     assert token_output.position_ids([0, 3], 3).tolist() == [0, 1, 2]
+
+
+def test_equal_rows_spread_over_the_packers(spark):
+    docs = [(None, "the same words")] * 2000
+    rows = token_output.packed_rows(docs_frame(spark, docs), PATH, capacity=64, packer_pieces=100).collect()
+    check(rows, docs, 64)
+    held = {}
+    for r in rows:
+        packer = r["sequence_id"] >> 40
+        held[packer] = held.get(packer, 0) + len(r["pieces"])
+    assert max(held.values()) <= 200
