@@ -7,7 +7,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, lines, packing, quality, rules, simhash, substring, token_output, toxicity
+from . import (
+    bpe, embeddings, fingerprints, lines, packing, quality, rules, simhash, substring, token_output, toxicity, vector_codes,
+)
 from .common import table
 
 QUERIES = {}
@@ -135,7 +137,8 @@ def _rules_sql() -> str:
     start += ", " + ", ".join(f"{1 / (floors[i] * 1024) if i == j else 0.0!r} AS w_{i}{j}" for i in p for j in range(i + 1))
     return rf"""
 WITH doc AS (
-  SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents
+  SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM documents
 ), place AS (
   SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM doc
 ), gram AS (
@@ -143,10 +146,13 @@ WITH doc AS (
 ), rep AS (
   SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS k FROM gram) g GROUP BY doc_id
 ), counted AS (
-  SELECT d.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, length(regexp_replace(text, '[ 	-]', '', 'g')) AS word_chars,
+  SELECT d.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, length(regexp_replace(text, '[ 	-
+]', '', 'g')) AS word_chars,
     length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
-    len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')))
-      - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')))) AS n_dup_lines,
+    len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')))
+      - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')))) AS n_dup_lines,
     coalesce(r.n, 0) AS n_repeat_words
   FROM doc d LEFT JOIN rep r ON d.doc_id = r.doc_id
 ), stat AS (
@@ -225,3 +231,51 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_token_output")
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.packed_rows(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def _vector_codes_sql() -> str:
+    """Four rounds of assigning and moving, then the last assignment; a cell is
+    one component of one part, entries and parts in long form."""
+    nearest = """near{k} AS (
+  SELECT rid, part, arg_min(entry, d * 256 + entry) AS entry, min(d) AS d FROM (
+    SELECT c.rid, c.part, b.entry, sum((c.x - b.x) * (c.x - b.x)) AS d
+    FROM cell c JOIN book{k} b ON c.part = b.part AND c.pos = b.pos GROUP BY c.rid, c.part, b.entry
+  ) far GROUP BY rid, part
+)"""
+    moved = """mean{k} AS (
+  SELECT n.part, n.entry, c.pos, CAST(floor(sum(c.x)::DOUBLE / count(*)) AS BIGINT) AS x
+  FROM near{k} n JOIN cell c ON c.rid = n.rid AND c.part = n.part GROUP BY n.part, n.entry, c.pos
+), book{next} AS (
+  SELECT b.part, b.entry, b.pos, coalesce(m.x, b.x) AS x
+  FROM book{k} b LEFT JOIN mean{k} m ON b.part = m.part AND b.entry = m.entry AND b.pos = m.pos
+)"""
+    steps = [", ".join(t.format(k=k, next=k + 1) for t in (nearest, moved)) for k in range(4)] + [nearest.format(k=4)]
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, embedding, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS rid FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), long AS (
+  SELECT rid, len(embedding) // 4 AS width, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS spot FROM kept
+), cell AS MATERIALIZED (
+  SELECT rid, spot // width AS part, spot % width AS pos, CAST(floor(v::DOUBLE * 1024) AS BIGINT) AS x FROM long
+), book0 AS (
+  SELECT part, rid AS entry, pos, x FROM cell WHERE rid < 256
+), {", ".join(steps)}, row_error AS (
+  SELECT rid, string_agg(lpad(lower(to_hex(entry)), 2, '0'), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error
+  FROM near4 GROUP BY rid
+), digest AS (
+  SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM book4
+)
+SELECT k.vec_id, e.code, e.error, CAST(sum(e.error) OVER (PARTITION BY k.label) AS BIGINT) AS label_error, codebooks_sha256
+FROM kept k JOIN row_error e ON k.rid = e.rid, digest
+"""
+
+
+@query("op13_vector_codes", _vector_codes_sql())
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_report(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_fingerprints")
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_report(table(spark, sf_dir, "documents"))
