@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    bpe, embeddings, fingerprints, lines, packing, quality, rules, simhash, substring, token_output, toxicity, vector_codes,
+    bpe, collocations, embeddings, fingerprints, lines, packing, quality, rules, simhash, substring, token_output,
+    toxicity, vector_codes,
 )
 from .common import table
 
@@ -279,3 +280,43 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_fingerprints")
 def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_report(table(spark, sf_dir, "documents"))
+
+
+COLLOCATIONS_SQL = r"""
+WITH piece AS (
+  SELECT row_number() OVER () AS p, coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS t
+  FROM documents
+), worded AS (
+  SELECT lang, regexp_extract_all(t, '[^\x20\x09]+') AS w FROM piece
+), place AS (
+  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM worded
+), gram AS (
+  SELECT lang, w[i : i + k] AS g FROM place, range(4) AS size(k) WHERE i + k <= len(w)
+), f AS MATERIALIZED (
+  SELECT lang, g, count(*) AS a FROM gram GROUP BY lang, g HAVING count(*) >= 30
+), total AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM worded GROUP BY lang
+), part AS (
+  SELECT f.lang, f.g[s + 1 : s + m] AS g, max(f.a) AS longer
+  FROM f, range(2, 4) AS length(m), range(3) AS start(s) WHERE m < len(f.g) AND s + m <= len(f.g) GROUP BY f.lang, f.g[s + 1 : s + m]
+), kept AS (
+  SELECT f.lang, f.g, f.a FROM f LEFT JOIN part ON f.lang = part.lang AND f.g = part.g
+  WHERE len(f.g) > 1 AND (part.longer IS NULL OR 100 * part.longer < 80 * f.a)
+), rated AS (
+  SELECT k.lang, k.g, k.a, c.k, x.a AS l, y.a AS r, CAST(2000000::HUGEINT * k.a // (x.a + y.a) AS BIGINT) AS score
+  FROM kept k JOIN range(1, 4) AS c(k) ON c.k < len(k.g)
+  JOIN f x ON x.lang = k.lang AND x.g = k.g[1 : c.k] JOIN f y ON y.lang = k.lang AND y.g = k.g[c.k + 1 : len(k.g)]
+), best AS (
+  SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score FROM rated
+  QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1
+)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best b JOIN total t ON b.lang = t.lang
+QUALIFY row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
+
+@query("op11_collocations", COLLOCATIONS_SQL)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
