@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 
 from ..columns import categorical_columns, numeric_columns, value_or_null
 from ..functions.stats import sample_kurtosis, sample_skewness
+from ..session import ensure_checkpoint_dir
+from . import prefix
 from .cleaning import q
 from .quality import missing_by_column
 from .quantiles import column_quantiles
@@ -105,7 +107,10 @@ def correlation_long(df: DataFrame, method: str = "pearson", columns: list[str]
     """P02 as long form (col1, col2, corr), full matrix including the diagonal.
 
     Pearson: one aggregate of ``corr`` over all pairs (pairwise complete).
-    Spearman: Pearson over average ranks (distributed ranks, see T10).
+    Spearman: Pearson over average ranks among the rows that have both values.
+    Where the rows of a pair are all rows of either column, the ranks of the
+    columns serve (distributed ranks, see T10); the other pairs are ranked anew,
+    all at once (:func:`_pairwise_spearman`).
     Kendall: exact tau-b per pair (see :mod:`kendall`)."""
     cols = columns or numeric_columns(df)
     spark = df.sparkSession
@@ -117,14 +122,19 @@ def correlation_long(df: DataFrame, method: str = "pearson", columns: list[str]
 
         return kendall_long(df, cols, **kw)
     base = df.select(*[value_or_null(df, c).cast("double").alias(c) for c in cols])
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
+    vals = {}
     if method == "spearman":
         base = df.select(*[value_or_null(df, c).alias(c) for c in cols])
-        base = average_ranks(base, cols, ascending=True, names={c: "__r_" + c for c in cols}, **kw)
-        base = base.select(*[F.col("__r_" + c).alias(c) for c in cols])
+        apart = _pairs_with_own_ranks(base, cols, pairs)
+        vals = _pairwise_spearman(base, apart, **kw) if apart else {}
+        pairs = [p for p in pairs if p not in vals]
+        ranked = [c for c in cols if any(c in p for p in pairs)]
+        if ranked:
+            base = average_ranks(base.select(*map(q, ranked)), ranked, ascending=True, names={c: "__r_" + c for c in ranked}, **kw)
+            base = base.select(*[F.col(f"`__r_{c}`").alias(c) for c in ranked])
     elif method != "pearson":
         raise ValueError("method must be pearson, spearman or kendall")
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
-    vals = {}
     for start in range(0, len(pairs), AGG_CHUNK):
         chunk = pairs[start : start + AGG_CHUNK]
         row = base.select(*[_corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(chunk)]).first()
@@ -140,6 +150,72 @@ def correlation_long(df: DataFrame, method: str = "pearson", columns: list[str]
     return spark.createDataFrame(rows, schema)
 
 
+def _pairs_with_own_ranks(df: DataFrame, cols: list[str], pairs: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Pairs for which one column has values on rows that lack the other."""
+    counts = {}
+    wanted = [(c, c) for c in cols] + pairs
+    for start in range(0, len(wanted), AGG_CHUNK):
+        chunk = wanted[start : start + AGG_CHUNK]
+        row = df.select(*[F.count_if(q(a).isNotNull() & q(b).isNotNull()).alias(f"n{i}") for i, (a, b) in enumerate(chunk)]).first()
+        counts.update(zip(chunk, row))
+    return [(a, b) for a, b in pairs if not counts[a, b] == counts[a, a] == counts[b, b]]
+
+
+def _order_value(df: DataFrame, column: str) -> list:
+    """A number as (high, low, real), which order as the values do and keep any
+    two apart: integers are high, decimals cut by digits, others real."""
+    kind, c, zero = df.schema[column].dataType, q(column), F.lit(0).cast("long")
+    if isinstance(kind, T.DecimalType):  # its 38 digits, cut as 18, 18 and 2
+        digits = F.lpad(F.translate(F.abs(c).cast("string"), ".", ""), 38, "0")
+        sign = F.signum(c).cast("int")
+        return [
+            F.substring(digits, 1, 18).cast("long") * sign, F.substring(digits, 19, 18).cast("long") * sign,
+            F.substring(digits, 37, 2).cast("double") * sign,
+        ]
+    if isinstance(kind, T.IntegralType):
+        return [c.cast("long"), zero, F.lit(0.0)]
+    return [zero, zero, c.cast("double")]
+
+
+def _pairwise_spearman(df: DataFrame, pairs: list[tuple[str, str]], **kw) -> dict[tuple[str, str], float | None]:
+    """Spearman correlation of each pair over the rows that have both values.
+
+    Long form, whatever the number of pairs: rows become (pair, value, value),
+    equal ones counted before anything moves; the values of a side are counted
+    and a running count along them (keyed by pair and side, in range buckets)
+    gives their average ranks; ranks go back to the counted value pairs by
+    shuffle joins, and one aggregate of centred ranks ends it."""
+    ensure_checkpoint_dir(df.sparkSession)
+    names = ["h", "l", "x"]
+    points = []
+    for i, (a, b) in enumerate(pairs):
+        sides = [_order_value(df, c) for c in (a, b)]
+        value = F.struct(
+            F.lit(i).alias("pair"), *[v.alias(n + s) for s, own in zip("ab", sides) for n, v in zip(names, own)]
+        )
+        points.append(F.when(q(a).isNotNull() & q(b).isNotNull(), value))
+    keys = ["pair"] + [n + s for s in "ab" for n in names]
+    long = df.select(F.explode(F.array(*points)).alias("p")).where(F.col("p").isNotNull()).select("p.*")
+    counted = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
+    both = [F.struct(F.lit(s).alias("side"), *[F.col(n + s).alias(n) for n in names]) for s in "ab"]
+    sides = counted.select("pair", "n", F.explode(F.array(*both)).alias("v")).select("pair", "n", "v.*")
+    own = sides.groupBy("pair", "side", *names).agg(F.sum("n").alias("n")).checkpoint(eager=True)
+    ranks = prefix.running(own, {"upto": ("sum", "n")}, names, group_by=["pair", "side"], **kw)
+    ranks = ranks.withColumn("rank", F.col("upto") - (F.col("n") - 1) / 2.0)
+    joined = counted
+    for s in "ab":
+        mine = ranks.where(F.col("side") == s).select("pair", *[F.col(n).alias(n + s) for n in names], F.col("rank").alias("r" + s))
+        joined = joined.join(mine, ["pair", *[n + s for n in names]])
+    total = counted.groupBy("pair").agg(F.sum("n").alias("total"))  # one row a pair
+    mid = (F.col("total") + 1) / 2.0
+    x, y, n = F.col("ra") - mid, F.col("rb") - mid, F.col("n")
+    sums = joined.join(F.broadcast(total), "pair").groupBy("pair").agg(
+        F.sum(n * x * y).alias("xy"), F.sum(n * x * x).alias("xx"), F.sum(n * y * y).alias("yy")
+    )
+    found = sums.select("pair", F.try_divide("xy", F.sqrt("xx") * F.sqrt("yy")).alias("corr")).collect()
+    return {p: None for p in pairs} | {pairs[r["pair"]]: r["corr"] for r in found}
+
+
 def value_counts(df: DataFrame, top_n: int = 10, columns: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(per column: dtype, unique; top values per column with rank).
 

@@ -68,19 +68,42 @@ def prof_corr_pearson(spark, sf_dir):
     return _r6(P.correlation_long(_li(spark, sf_dir), columns=LI_COLS), ["corr"])
 
 
-def _rank_src() -> str:
-    ranks = ", ".join(
-        f"CASE WHEN {c} IS NULL THEN NULL ELSE rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 END AS {c}"
-        for c in LI_COLS
-    )
-    return f"SELECT {ranks} FROM ({LI_SQL}) r"
+def _pair_ranks_sql(columns: dict[str, str], source: str) -> str:
+    """Each pair of columns over the rows that have both, ranked there."""
+    rank = "rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0"
+    names = list(columns)
+    parts = [f"SELECT '{c}' AS col1, '{c}' AS col2, 1.0::DOUBLE AS corr" for c in names]
+    for i, a in enumerate(names):
+        for b in names[i + 1 :]:
+            for x, y in ((a, b), (b, a)):
+                parts.append(
+                    f"SELECT '{x}', '{y}', round(corr(ra, rb), 6) FROM (SELECT {rank.format('a')} AS ra, {rank.format('b')} AS rb "
+                    f"FROM (SELECT {columns[a]} AS a, {columns[b]} AS b FROM ({source}) s) v WHERE a IS NOT NULL AND b IS NOT NULL) r"
+                )
+    return " UNION ALL ".join(parts)
 
 
-@register("prof_corr_spearman", _corr_sql(_rank_src(), LI_COLS))
+@register("prof_corr_spearman", _pair_ranks_sql({c: c for c in LI_COLS}, LI_SQL))
 def prof_corr_spearman(spark, sf_dir):
     return _r6(P.correlation_long(_li(spark, sf_dir), method="spearman", columns=LI_COLS), ["corr"])
 
 
+NULLABLE_COLS = ["quantity", "price", "discount", "line", "key"]
+NULLABLE = {
+    "quantity": "CASE WHEN l_linenumber <> 2 THEN l_quantity END",
+    "price": "CASE WHEN l_quantity > 10 THEN l_extendedprice END",
+    "discount": "CASE WHEN l_returnflag <> 'R' THEN l_discount END",
+    "line": "l_linenumber",
+    "key": "CASE WHEN l_linestatus = 'O' OR l_tax > 0.02 THEN l_orderkey END",
+}
+
+
+@register("prof_corr_spearman_nulls", _pair_ranks_sql(NULLABLE, "SELECT * FROM lineitem"))
+def prof_corr_spearman_nulls(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").selectExpr(*[f"{e} AS {n}" for n, e in NULLABLE.items()])
+    return _r6(P.correlation_long(rows, method="spearman", columns=NULLABLE_COLS), ["corr"])
+
+
 VC_COLS = ["o_orderstatus", "o_orderpriority", "o_custkey"]
 _VC_TYPES = {"o_orderstatus": "string", "o_orderpriority": "string", "o_custkey": "bigint"}
 
