@@ -90,15 +90,13 @@ def restore(spread: np.ndarray, width: int) -> np.ndarray:
 
 def _bits(x: np.ndarray, width: int) -> np.ndarray:
     """(rows, width) bits of each value, highest first."""
-    shifts = np.arange(width - 1, -1, -1, dtype=_U)
-    return (x[:, None] >> shifts & _U(1)).astype(np.uint8)
+    return np.unpackbits(x.astype(">u8").view(np.uint8).reshape(len(x), 8), axis=1)[:, 64 - width :]
 
 
 def _values(bits: np.ndarray) -> np.ndarray:
-    x = np.zeros(len(bits), _U)
-    for column in bits.T:
-        x = x << _U(1) | column
-    return x
+    full = np.zeros((len(bits), 64), np.uint8)
+    full[:, 64 - bits.shape[1] :] = bits
+    return np.packbits(full, axis=1).view(">u8").ravel().astype(_U)
 
 
 def pack_filter(spread: np.ndarray, counts: np.ndarray, width: int, segment_bits: int, slot_bits: int) -> bytes:
@@ -141,13 +139,19 @@ def unpack_filter(blob: bytes, segment: int, width: int, segment_bits: int, slot
 
 
 def _sorted(spread: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows in order, equal ones added up."""
-    by = np.lexsort(spread.T[::-1])
+    """Rows in order, equal ones added up. The first word, spread as it is, all
+    but decides the order; the others are looked at where it does not."""
+    by = np.argsort(spread[:, 0], kind="stable")
     spread, counts = spread[by], counts[by]
-    new = np.ones(len(by), bool)
-    new[1:] = (spread[1:] != spread[:-1]).any(1)
-    starts = np.flatnonzero(new)
-    return spread[starts], np.add.reduceat(counts, starts)
+    tied = spread[1:, 0] == spread[:-1, 0]
+    if tied.any():
+        if (spread[1:][tied, 1:] != spread[:-1][tied, 1:]).any():
+            by = np.lexsort(spread.T[::-1])
+            spread, counts = spread[by], counts[by]
+        new = np.append(True, (spread[1:] != spread[:-1]).any(1))
+        starts = np.flatnonzero(new)
+        spread, counts = spread[starts], np.add.reduceat(counts, starts)
+    return spread, counts
 
 
 def gram_hash(grams: np.ndarray, language: int) -> np.ndarray:
@@ -272,22 +276,43 @@ def _language_rows(batches: Iterator[pa.RecordBatch], shards: _Shards):
     yield from shards.flush()
 
 
-def count_grams(codes: np.ndarray, order: int, n_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct runs of ``order`` codes without a -1 and how often they occur."""
+def count_grams(codes: np.ndarray, order: int, n_words: int, may=None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct runs of ``order`` codes without a -1 and how often they occur.
+    ``may(starts, order)`` tells which shorter runs, by where they start, can be
+    part of one (None: all)."""
+    starts = np.arange(len(codes) - order + 1)
+    if not len(starts):
+        return np.empty((0, order), np.int64), np.empty(0, np.int64)
     gaps = np.concatenate([[0], np.cumsum(codes < 0)])
-    starts = np.flatnonzero(gaps[order:] == gaps[: len(gaps) - order]) if len(codes) >= order else np.empty(0, np.int64)
+    starts = starts[gaps[order:] == gaps[: len(gaps) - order]]
+    if may is not None and len(starts):
+        starts = starts[may(starts, order - 1)]
+        starts = starts[may(starts + 1, order - 1)]
     if not len(starts):
         return np.empty((0, order), np.int64), np.empty(0, np.int64)
-    key = codes[starts]
-    if order == 4:  # pairs of pairs, so that a key fits 63 bits
-        pairs = np.concatenate([key * n_words + codes[starts + 1], codes[starts + 2] * n_words + codes[starts + 3]])
-        kinds, pairs = np.unique(pairs, return_inverse=True)
-        key = pairs[: len(starts)] * len(kinds) + pairs[len(starts) :]
+    runs = [codes[starts + j] for j in range(order)]
+    names = None
+    if order * (n_words + 1).bit_length() > 63:  # number the pairs, so that a key fits
+        pairs = runs[0] * n_words + runs[1]
+        names, first = np.unique(pairs, return_inverse=True)
+        rest = np.unique(runs[2] * n_words + runs[3], return_inverse=True) if order == 4 else (np.arange(n_words), runs[2])
+        key = first * len(rest[0]) + rest[1]
     else:
-        for j in range(1, order):
-            key = key * n_words + codes[starts + j]
-    _, first, counts = np.unique(key, return_index=True, return_counts=True)
-    return codes[starts[first][:, None] + np.arange(order)], counts
+        key = runs[0]
+        for r in runs[1:]:
+            key = key * n_words + r
+    key = np.sort(key)
+    edges = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
+    key, counts = key[edges[:-1]], np.diff(edges)
+    if names is not None:
+        first, last = names[key // len(rest[0])], rest[0][key % len(rest[0])]
+        tail = [last // n_words, last % n_words] if order == 4 else [last]
+        return np.stack([first // n_words, first % n_words, *tail], axis=1), counts
+    found = []
+    for _ in range(order):
+        found.append(key % n_words)
+        key = key // n_words
+    return np.stack(found[::-1], axis=1), counts
 
 
 def _count_words(shard_words: int):
@@ -311,14 +336,14 @@ def _write_filters(order: int, width: int, seed: int, segment_bits: int, slot_bi
         known, parts = frequent.value, shorter.value if shorter else None
         shards = _Shards(order, lambda language: _Words(language, seed, width, known), shard_words)
         for language, words, codes in _language_rows(batches, shards):
-            rows, counts = count_grams(codes, order, len(words.ids))
-            grams = np.array(words.ids, _U)[rows] if len(rows) else np.empty((0, order), _U)
+            ids, may = np.array(words.ids, _U), None
             if parts is not None:
-                may = parts.holds(gram_hash(grams[:, 1:], words.seed)) & parts.holds(gram_hash(grams[:, :-1], words.seed))
-                grams, counts = grams[may], counts[may]
-            if not len(grams):
+                def may(starts, n):
+                    return parts.holds(gram_hash(ids[codes[starts[:, None] + np.arange(n)]], words.seed))  # noqa: B023
+            rows, counts = count_grams(codes, order, len(ids), may)
+            if not len(rows):
                 continue
-            spread, counts = _sorted(permute(grams, width), counts)
+            spread, counts = _sorted(permute(ids[rows], width), counts)
             segment = (spread[:, 0] >> _U(width - segment_bits)).astype(np.int64) if segment_bits else np.zeros(len(spread), np.int64)
             edges = np.append(np.flatnonzero(np.diff(segment, prepend=-1)), len(segment))
             blobs = [pack_filter(spread[a:b], counts[a:b], width, segment_bits, slot_bits) for a, b in zip(edges[:-1], edges[1:])]

@@ -91,6 +91,22 @@ def test_filters_lose_nothing(order, width):
     assert abs(np.bincount(segment, minlength=8) - len(grams) / 8).max() < 60  # evenly dealt
 
 
+@pytest.mark.parametrize("order,n_words", [(2, 30), (3, 30), (4, 30), (3, 1 << 21), (4, 1 << 20), (2, 1)])
+def test_grams_equal_a_counter(order, n_words):
+    rng = np.random.default_rng(order)
+    codes = rng.choice([-1, 0, n_words - 1, n_words // 2, n_words // 3], 5000)
+    want = Counter(tuple(codes[i : i + order].tolist()) for i in range(len(codes) - order + 1))
+    rows, counts = col.count_grams(codes, order, n_words)
+    assert dict(zip(map(tuple, rows.tolist()), counts.tolist())) == {g: n for g, n in want.items() if min(g) >= 0}
+    assert len(col.count_grams(codes[: order - 1], order, n_words)[0]) == 0
+
+
+def test_ties_of_the_first_word_are_told_apart():
+    spread = np.array([[5, 2], [5, 1], [5, 2], [4, 9]], np.uint64)
+    rows, counts = col._sorted(spread, np.array([1, 2, 3, 4]))
+    assert rows.tolist() == [[4, 9], [5, 1], [5, 2]] and counts.tolist() == [4, 2, 4]
+
+
 def test_runs_of_one_first_word_are_dealt_evenly():
     grams = np.stack([np.full(4000, 77, np.uint64), np.arange(4000, dtype=np.uint64)], axis=1)
     top = (col.permute(grams, 40)[:, 0] >> np.uint64(37)).astype(int)
