@@ -285,8 +285,9 @@ def sliding(
     names = list(exprs)
     local = local.select("*", *[e.alias(n) for n, e in exprs.items()])
     # heads / tails of every bucket: a head row's look-back rows are earlier
-    # heads of its own bucket or tails of earlier buckets (and vice versa)
-    k = max(back, ahead)
+    # heads of its own bucket or tails of earlier buckets (and vice versa); where
+    # a window looks both ways, a head row's look-ahead rows have to be there too
+    k = back + ahead
     edge = (F.col(POS) <= F.lit(k)) | (F.col(CNT) - F.col(POS) < F.lit(k))
     small = local.where(edge).drop(*names)
     ws = Window.partitionBy(*group_by).orderBy(BUCKET, POS)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.asof import asof_join
+from ..operators.hotwindow import Fn, hot_keys, window
+from ..operators.prefix import DEFAULT_ROWS_PER_BUCKET
 from ..operators.topk import top_k_per_group
 from ..plans.sqlapi import run_select
 from . import register, table, views
@@ -192,7 +194,7 @@ FROM customer GROUP BY GROUPING SETS ((c_mktsegment), (c_nationkey), ())
 """,
     "customer",
 )
-_same(
+@register(
     "sql_window_ranking",
     """
 SELECT o_orderkey, o_custkey,
@@ -205,9 +207,21 @@ SELECT o_orderkey, o_custkey,
        first_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS first_order
 FROM orders
 """,
-    "orders",
 )
-_same(
+def sql_window_ranking(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    key = ["o_custkey"]
+    hot = hot_keys(o, key, DEFAULT_ROWS_PER_BUCKET).collect()
+    o = window(o, key, [("o_totalprice", "desc"), "o_orderkey"], {"rn": Fn("row_number")}, hot=hot)
+    o = window(o, key, ["o_orderstatus"], {"rk": Fn("rank"), "drk": Fn("dense_rank")}, hot=hot)
+    last = {
+        "quartile": Fn("ntile", n=4), "prev_order": Fn("lag", "o_orderkey"), "next_order": Fn("lead", "o_orderkey"),
+        "first_order": Fn("first", "o_orderkey"),
+    }
+    return window(o, key, ["o_orderkey"], last, hot=hot).drop("o_totalprice", "o_orderstatus")
+
+
+@register(
     "sql_window_frame",
     """
 SELECT o_orderkey, o_custkey,
@@ -216,8 +230,49 @@ SELECT o_orderkey, o_custkey,
        max(o_totalprice) OVER (PARTITION BY o_custkey) AS cust_max
 FROM orders
 """,
-    "orders",
 )
+def sql_window_frame(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    found = window(o, ["o_custkey"], ["o_orderkey"], {
+        "running": Fn("sum", "o_totalprice", frame="rows"), "moving3": Fn("avg", "o_totalprice", frame=(2, 0)),
+        "cust_max": Fn("max", "o_totalprice", frame="partition"),
+    })
+    return found.select("o_orderkey", "o_custkey", F.round("running", 4).alias("running"), F.round("moving3", 4).alias("moving3"), "cust_max")
+
+
+# half of the rows share one status: its partition is cut into buckets of 1,000 rows
+@register(
+    "sql_window_hot_key",
+    """
+SELECT o_orderkey, o_orderstatus,
+       rank() OVER p AS price_rank, ntile(10) OVER p AS decile, round(sum(o_totalprice) OVER (p ROWS UNBOUNDED PRECEDING), 2) AS running,
+       round(avg(o_totalprice) OVER (p ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 4) AS around,
+       lag(o_orderkey, 2) OVER p AS two_before, last_value(o_orderkey) OVER (p ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS cheapest,
+       rank() OVER t AS priority_rank, dense_rank() OVER t AS priority_dense, round(percent_rank() OVER t, 9) AS priority_share,
+       round(cume_dist() OVER t, 9) AS priority_upto, count(*) OVER t AS n_upto, min(o_totalprice) OVER t AS lowest_upto
+FROM orders
+WINDOW p AS (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey),
+       t AS (PARTITION BY o_orderstatus ORDER BY o_orderpriority)
+""",
+)
+def sql_window_hot_key(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    key, per = ["o_orderstatus"], 1000
+    hot = hot_keys(o, key, per).collect()
+    by_price = {
+        "price_rank": Fn("rank"), "decile": Fn("ntile", n=10), "running": Fn("sum", "o_totalprice", frame="rows"),
+        "around": Fn("avg", "o_totalprice", frame=(3, 3)), "two_before": Fn("lag", "o_orderkey", n=2), "cheapest": Fn("last", "o_orderkey"),
+    }
+    by_priority = {
+        "priority_rank": Fn("rank"), "priority_dense": Fn("dense_rank"), "priority_share": Fn("percent_rank"),
+        "priority_upto": Fn("cume_dist"), "n_upto": Fn("count", "o_orderkey"), "lowest_upto": Fn("min", "o_totalprice"),
+    }
+    o = window(o, key, [("o_totalprice", "desc"), "o_orderkey"], by_price, per, hot)
+    o = window(o, key, ["o_orderpriority"], by_priority, per, hot)
+    digits = {"running": 2, "around": 4, "priority_share": 9, "priority_upto": 9}
+    return o.select(*[F.round(c, digits[c]).alias(c) if c in digits else c for c in o.columns if c not in ("o_totalprice", "o_orderpriority")])
+
+
 _same(
     "sql_topk",
     """
