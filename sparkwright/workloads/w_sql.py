@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators.asof import asof_join
 from ..operators.hotwindow import Fn, hot_keys, window
+from ..operators.intervaljoin import interval_join
 from ..operators.prefix import DEFAULT_ROWS_PER_BUCKET
 from ..operators.topk import top_k_per_group
 from ..plans.sqlapi import run_select
@@ -137,6 +138,31 @@ GROUP BY bands.band
 )
 
 
+# orders are open for some hours, every 500th for two years; events last some minutes
+@register(
+    "sql_join_interval",
+    """
+WITH o AS (SELECT o_orderkey, o_orderdate AS opened,
+                  o_orderdate + to_hours(CASE WHEN o_orderkey % 500 = 0 THEN 17520 ELSE o_orderkey % 48 END) AS done FROM orders),
+e AS (SELECT event_id, ts - INTERVAL 25 YEAR AS began, ts - INTERVAL 25 YEAR + to_seconds(CAST(floor(value * 60) AS BIGINT)) AS ended FROM events)
+SELECT o_orderkey, count(*) AS n_events, min(event_id) AS first_event, max(event_id) AS last_event
+FROM o JOIN e ON opened <= ended AND began <= done AND opened <= done AND began <= ended
+GROUP BY o_orderkey
+""",
+)
+def sql_join_interval(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey", "o_orderdate AS opened",
+        "timestampadd(HOUR, CASE WHEN o_orderkey % 500 = 0 THEN 17520 ELSE o_orderkey % 48 END, o_orderdate) AS done",
+    )
+    e = table(spark, sf_dir, "events").selectExpr("event_id", "timestampadd(YEAR, -25, ts) AS began", "cast(floor(value * 60) AS bigint) AS s")
+    e = e.selectExpr("event_id", "began", "timestampadd(SECOND, s, began) AS ended")
+    found = interval_join(o, e, ("opened", "done"), ("began", "ended"), rows_per_bin=5000)
+    return found.groupBy("o_orderkey").agg(
+        F.count(F.lit(1)).alias("n_events"), F.min("event_id").alias("first_event"), F.max("event_id").alias("last_event")
+    )
+
+
 @register(
     "sql_join_asof",
     """
