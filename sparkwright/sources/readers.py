@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import csv
 import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .splitscan import Elements, Lines, split_records
+
 # Fixed values from the reference: extension -> format. Excel is recognised but
 # has no Spark source here (see README, "Not built"); PDFs go to the document path.
 EXTENSIONS = {
@@ -30,12 +33,50 @@ def detect_file_type(path: str) -> str:
 CSV_QUOTING = {"quote": '"', "escape": '"'}
 
 
-def read_csv(spark: SparkSession, path: str, schema=None, multi_line: bool = False, **options) -> DataFrame:
+#: Options under which the split scans would cut records elsewhere than Spark.
+_OWN_CUT = {"quote", "escape", "lineSep", "encoding", "charset", "comment", "mode", "header", "multiLine"}
+
+
+def _parse(reader, method: str, records: DataFrame) -> DataFrame:
+    """Spark's own parser over a column of records (``text``)."""
+    spark = records.sparkSession
+    strings = getattr(records.select("text")._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    return DataFrame(getattr(reader._jreader, method)(strings), spark)
+
+
+def _header_names(record: str) -> list[str]:
+    """Column names of a header record, as Spark makes them: empty ones by
+    position, repeated ones with their position."""
+    names = next(csv.reader([record], strict=True), [])
+    low = [n.lower() for n in names]
+    return [f"_c{i}" if not n else f"{n}{i}" if low.count(n.lower()) > 1 else n for i, n in enumerate(names)]
+
+
+def _read_csv_split(spark: SparkSession, path, schema, options) -> DataFrame:
+    records = split_records(spark, path, Lines)
+    r = spark.read.option("header", False).option("mode", "FAILFAST").option("multiLine", True).options(**CSV_QUOTING, **options)
+    body = records.where(~F.col("first"))
+    if schema is not None:
+        return _parse(r.schema(schema), "csv", body)
+    head = records.where("first").orderBy("file").limit(1).collect()
+    if not head:
+        raise ValueError(f"{path}: no header row")
+    return _parse(r.option("inferSchema", True), "csv", body).toDF(*_header_names(head[0]["text"].lstrip("\ufeff")))
+
+
+def read_csv(
+    spark: SparkSession, path: str, schema=None, multi_line: bool = False, split: bool = True, **options
+) -> DataFrame:
     """Header row; types inferred over the data unless ``schema`` is given
     (give one at scale: inference is an extra pass); empty field = null. Quotes
-    are doubled inside quotes; ``multi_line`` for fields with line breaks (such a
-    file is not split between tasks). A row that does not parse raises."""
+    are doubled inside quotes; ``multi_line`` for fields with line breaks. Such a
+    file is cut into ranges by quote parity (:mod:`splitscan`) and read by many
+    tasks, unless ``split`` is off or options change quoting, comments, lines or
+    encoding; a bare quote in an unquoted field is not allowed there, and lines
+    end in ``\\n`` or ``\\r\\n``. A row that does not parse raises."""
     options.pop("sheet_name", None)
+    if multi_line and split and not _OWN_CUT & options.keys():
+        return _read_csv_split(spark, path, schema, options)
     r = spark.read.option("header", True).option("mode", "FAILFAST").option("multiLine", multi_line).options(**CSV_QUOTING)
     r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
     return r.options(**options).csv(path)
@@ -45,19 +86,28 @@ def read_csv(spark: SparkSession, path: str, schema=None, multi_line: bool = Fal
 JSON_TS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
-def read_json(spark: SparkSession, path: str, schema=None, multi_line: bool | None = None, **options) -> DataFrame:
+def read_json(
+    spark: SparkSession, path: str, schema=None, multi_line: bool | None = None, split: bool = True, **options
+) -> DataFrame:
     """JSON records, one per line, or an array of records (on any number of
-    lines). Which one is told by the first line that is not blank, unless
-    ``multi_line`` says so; an array file is read by one task. A record that does
-    not parse raises."""
-    if multi_line is None:
-        first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
-        head = first[0][0].strip() if first else ""
-        multi_line = head.startswith("[") or head == "{"
-    r = spark.read.option("multiLine", multi_line).option("mode", "FAILFAST").options(**JSON_TS)
+    lines). Which one is told by how the first file begins, unless ``multi_line``
+    says so. An array file is cut between its elements (:mod:`splitscan`) and read
+    by many tasks, on one line or many, unless ``split`` is off or options change
+    lines, comments or encoding. A record that does not parse raises."""
+    array = False
+    if multi_line is not False:
+        first = spark.read.option("lineSep", "}").text(path).limit(1).collect()  # up to the first brace
+        lines = first[0][0].lstrip("\ufeff \t\r\n").splitlines() if first else []
+        array = bool(lines) and lines[0].startswith("[")
+        if multi_line is None:
+            multi_line = array or bool(lines) and lines[0].strip() == "{"
+    r = spark.read.option("mode", "FAILFAST").options(**JSON_TS)
     if schema is not None:
         r = r.schema(schema)
-    return r.options(**options).json(path)
+    own = {"allowComments", "allowSingleQuotes", "allowBackslashEscapingAnyCharacter"} | _OWN_CUT
+    if array and split and not own & options.keys():
+        return _parse(r.options(**options), "json", split_records(spark, path, Elements))
+    return r.option("multiLine", bool(multi_line)).options(**options).json(path)
 
 
 def read_parquet(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -129,6 +179,25 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).options(**JSON_TS).json(path)
 
 
+def write_json_array(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """JSON arrays of records, one array file per partition (nothing is
+    brought together), an element a line."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        lead = "["
+        for b in batches:
+            records = b.column(0).to_pylist()
+            if records:
+                yield pa.RecordBatch.from_arrays([pa.array([lead + records[0], *("," + r for r in records[1:])])], names=["value"])
+                lead = ","
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if lead == "[" else "]"])], names=["value"])
+
+    record = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), JSON_TS)
+    df.select(record.alias("value")).mapInArrow(run, "value string").write.mode(mode).text(path)
+
+
 #: Files up to this size are hashed as one value, larger ones in chunks.
 WHOLE_FILE_BYTES = 64 << 20
 

@@ -43,15 +43,10 @@ def src_csv_quoting(spark, sf_dir):
 
 @register("src_json_array", "SELECT doc_id, text, lang FROM documents")
 def src_json_array(spark, sf_dir):
-    """A file that holds one array of records, as other tools export it."""
+    """Files that each hold one array of records, cut between elements."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    record = F.to_json(F.struct(*d.columns))
-    low = d.agg(F.min("doc_id").alias("low"))
-    rows = d.crossJoin(F.broadcast(low)).select((F.col("doc_id") == F.col("low")).alias("first"), record.alias("value"))
-    line = lambda text: spark.range(1).select(F.lit(text).alias("value"))
-    parts = [line("["), rows.where("first").select("value"), rows.where("not first").select(F.concat(F.lit(","), "value").alias("value")), line("]")]
     path = _scratch(spark, "array") + "/documents.json"
-    parts[0].union(parts[1]).union(parts[2]).union(parts[3]).coalesce(1).write.text(path)
+    R.write_json_array(d, path)
     return R.read_any(spark, path).select(*d.columns)
 
 
