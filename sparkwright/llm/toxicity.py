@@ -124,7 +124,8 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", features: int = FEATURES, sample: int = SAMPLE) -> OrdinalModel:
     """The model of the labelled rows of ``docs``. What reaches the driver is
-    bounded by ``features`` buckets and 4 * ``sample`` rows of their counts. The
+    bounded by ``features`` buckets and 2 * ``sample`` rows of their counts: of the
+    texts of one id, one is learned from, the first by a hash of the text. The
     sides are sampled apart, so each sampled row is weighted by labels / sampled
     labels of its side: the ratio of the sides is that of all labels.
     Labels that are null, and of ids that are null or absent, teach nothing; of
@@ -139,7 +140,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     there, taken = ({r["toxic"]: r["count"] for r in t.groupBy(side).count().collect()} for t in (marks, sampled))
     stands = np.array([there[k] / taken[k] if taken.get(k) else 1.0 for k in (False, True)])
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    chosen = texts.join(picked, "id").select("grade", "text")
+    first = F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text").alias("t"))).alias("own")
+    chosen = texts.join(picked, "id").groupBy("id").agg(first, F.max("grade").alias("grade"))
+    chosen = cut(chosen.select("grade", F.xxhash64("id").alias("key"), F.col("own.t").alias("text")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, known = np.zeros((2, BUCKETS + 1), np.int64), {}
@@ -180,11 +183,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for b in batches:
             found = [counts_of(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column("grade"), pa.array([list(c) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))],
-                names=["grade", "cols", "counts"],
+                [
+                    b.column("grade"), b.column("key"), pa.array([list(c) for c in found], pa.list_(pa.int32())),
+                    pa.array([list(c.values()) for c in found], pa.list_(pa.int32())),
+                ],
+                names=["grade", "key", "cols", "counts"],
             )
 
-    got = python_tasks(chosen, featurise, "grade int, cols array<int>, counts array<int>").limit(4 * sample).collect()
+    got = python_tasks(chosen, featurise, "grade int, key long, cols array<int>, counts array<int>").collect()
+    got.sort(key=lambda r: (r["key"], r["grade"], r["cols"], r["counts"]))  # the same sums however rows were dealt
     grades = np.maximum([r["grade"] for r in got], 0)
     rows = np.repeat(np.arange(len(got)), [len(r["cols"]) for r in got])
     cols = np.array([c for r in got for c in r["cols"]], np.int64)

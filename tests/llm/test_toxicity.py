@@ -93,3 +93,57 @@ def test_small_sample_rejects_like_all_labels(spark):
         severities.append(severity)
     assert abs(shares[1] - shares[0]) < 0.02
     assert abs(severities[1] - severities[0]) < 0.05
+
+
+def repeated_ids(spark):
+    """200 labels with 50 texts each, of which some hold the telling word."""
+    rows = [(i % 200, f"plain {chr(97 + i % 26)} words {chr(97 + i // 26 % 26)}" + " harsh" * (i % 200 < 60 and i // 200 % 3 > 0)) for i in range(10_000)]
+    marks = [(i, int(i < 60)) for i in range(200)]
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+
+
+def test_model_does_not_depend_on_partitions(spark):
+    docs, labels = repeated_ids(spark)
+    a, b, c = (toxicity.train(docs.repartition(n), labels.repartition(m), sample=20) for n, m in ((3, 2), (8, 5), (1, 1)))
+    for other in (b, c):
+        assert a.features.index == other.features.index and (a.cuts == other.cuts).all() and (a.weights == other.weights).all()
+
+
+def test_one_text_of_an_id_teaches(spark):
+    docs, labels = repeated_ids(spark)
+    first = docs.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    a, b = toxicity.train(docs, labels), toxicity.train(first, labels)
+    assert (a.cuts == b.cuts).all() and (a.weights == b.weights).all()
+
+
+def test_severity_at_the_limit_is_rejected(spark):
+    model = toxicity.OrdinalModel([], np.zeros(0), np.array([np.log(1 / toxicity.REJECT - 1)]))
+    docs = spark.createDataFrame([(i, "words") for i in range(9)], "doc_id long, text string")
+    tied = float(model.probabilities("words").sum())
+    got = toxicity.score(docs, model, reject=tied).collect()
+    assert all(r["rejected"] and r["severity"] == tied for r in got)
+    assert not any(r["rejected"] for r in toxicity.score(docs, model, reject=np.nextafter(tied, 1)).collect())
+
+
+def test_fit_equals_a_plain_refit():
+    """The same penalised likelihood, descended plainly by numeric gradients."""
+    rng = np.random.default_rng(4)
+    n, width = 90, 3
+    x = rng.poisson(1.0, (n, width))
+    grades = np.digitize(x @ [1.5, -1.0, 0.2] + rng.logistic(size=n), [0.5, 2.5])
+    rows, cols = np.nonzero(x)
+    weights, cuts = toxicity.fit_ordinal(rows, cols, x[rows, cols].astype(float), grades, width, steps=3000)
+
+    def loss(p):
+        c = np.array([p[width], p[width] + np.logaddexp(0, p[width + 1])])
+        above = np.column_stack([np.ones(n), 1 / (1 + np.exp(c - (x @ p[:width])[:, None])), np.zeros(n)])
+        return -np.log((above[:, :-1] - above[:, 1:])[np.arange(n), grades]).sum() + 0.25 * (p[:width] ** 2).sum()
+
+    p, rate = np.zeros(width + 2), 0.1
+    for _ in range(3000):
+        g = np.array([(loss(p + h) - loss(p - h)) / 2e-5 for h in 1e-5 * np.eye(width + 2)])
+        while loss(p - rate * g) > loss(p):
+            rate /= 2
+        p = p - rate * g
+    assert np.allclose(weights, p[:width], atol=0.02)
+    assert np.allclose(cuts, [p[width], p[width] + np.logaddexp(0, p[width + 1])], atol=0.02)
