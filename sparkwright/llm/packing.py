@@ -142,16 +142,20 @@ class Packer:
         return number, self.capacity - gap
 
 
+def keyed_pieces(docs: DataFrame, path: str, id_col: str, text_col: str, capacity: int, with_ids: bool = False) -> DataFrame:
+    """:func:`pieces` with a row key, written once: a recomputed task deals every
+    row as before."""
+    return cut(pieces(docs, path, id_col, text_col, capacity, with_ids=with_ids).withColumn("key", F.monotonically_increasing_id()))
+
+
 def pack(made: DataFrame, capacity: int = CAPACITY, packer_pieces: int = PACKER_PIECES) -> DataFrame:
-    """Adds sequence_id and offset to the rows of :func:`pieces`: pieces of a
-    sequence stand one after the other from offset 0, ``capacity`` at most.
-    The number of packers follows a count of the pieces."""
+    """Adds sequence_id and offset to the rows of :func:`keyed_pieces`: pieces of
+    a sequence stand one after the other from offset 0, ``capacity`` at most.
+    The number of packers follows a count of the pieces; they are dealt by the
+    row key, so equal rows spread too."""
     packers = max(1, -(-made.count() // packer_pieces))
-    if packers == 1:
-        dealt = made.repartition(1)
-    else:
-        dealt = made.repartition(packers, F.xxhash64("id", "piece", "crc"))
-    ordered = dealt.sortWithinPartitions(F.desc("length"), "id", "piece", "crc")
+    dealt = made.repartition(packers, "key")
+    ordered = dealt.sortWithinPartitions(F.desc("length"), "id", "piece", "crc", "key").drop("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 40
@@ -162,7 +166,7 @@ def pack(made: DataFrame, capacity: int = CAPACITY, packer_pieces: int = PACKER_
                 [*b.columns, pa.array(placed[:, 0] + base), pa.array(placed[:, 1])], names=[*b.schema.names, "sequence_id", "offset"]
             )
 
-    kind = StructType([*made.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    kind = StructType([*ordered.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
     return python_tasks(ordered, run, kind)
 
 
@@ -172,7 +176,7 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     id), null and empty texts too; null and repeated ids are documents of
     their own; equal lengths are placed in order of id and piece. Other
     columns are ignored, whatever their names. Empty: empty."""
-    made = cut(pieces(docs, path, id_col, text_col, capacity))
+    made = keyed_pieces(docs, path, id_col, text_col, capacity)
     return pack(made, capacity, packer_pieces).select(
         F.col("id").alias(id_col), "piece", "start", F.col("length").cast("long").alias("length"),
         F.col("crc").alias("ids_crc32"), "sequence_id", "offset",
@@ -182,7 +186,7 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 def sequences(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, packer_pieces: int = PACKER_PIECES) -> DataFrame:
     """The packed token sequences: (sequence_id, ids array<int>, lengths
     array<int> of its pieces in order), ``capacity`` ids at most."""
-    made = cut(pieces(docs, path, id_col, text_col, capacity, with_ids=True))
+    made = keyed_pieces(docs, path, id_col, text_col, capacity, with_ids=True)
     whole = pack(made, capacity, packer_pieces).groupBy("sequence_id").agg(
         F.sort_array(F.collect_list(F.struct("offset", "length", "ids"))).alias("parts")
     )

@@ -60,6 +60,16 @@ def test_edge_rows_and_many_packers(spark):
     assert packing.pack_documents(docs_frame(spark, []), PATH).collect() == []
 
 
+def test_equal_rows_are_spread_over_packers(spark):
+    rows = [(None, "the same words")] * 3000
+    got = packing.pack_documents(docs_frame(spark, rows), PATH, capacity=128, packer_pieces=500).collect()
+    check(got, rows, 128)
+    per_packer = {}
+    for r in got:
+        per_packer[r["sequence_id"] >> 40] = per_packer.get(r["sequence_id"] >> 40, 0) + 1
+    assert len(per_packer) >= 5 and max(per_packer.values()) < 700
+
+
 def test_sequences_hold_all_ids(spark):
     rows = [(i, "some words here " * (i % 40)) for i in range(200)]
     got = packing.sequences(docs_frame(spark, rows), PATH, capacity=64).collect()
