@@ -155,7 +155,9 @@ def _settle(b: pa.RecordBatch, h: np.ndarray, c: np.ndarray, doc: np.ndarray, pl
 
 
 def _meet(rows: DataFrame, name: str) -> DataFrame:
-    """Runs (a << 32 | b) per document of the values found at two coordinates."""
+    """Distinct runs (a << 32 | b) per document of the values found at two
+    coordinates; copies that share (i, x) share them, so their number does not
+    lengthen the list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # of the value that a batch ends with, only its weight and the one row
@@ -186,7 +188,7 @@ def _meet(rows: DataFrame, name: str) -> DataFrame:
                 waiting = rows_.slice(int(own[0]), 1).combine_chunks().to_batches()[0]
 
     met = python_tasks(rows.repartition("h", "c").sortWithinPartitions("h", "c"), run, "i long, x int, run long")
-    return met.groupBy("i", "x").agg(F.collect_list("run").alias(name))
+    return met.groupBy("i", "x").agg(F.collect_set("run").alias(name))
 
 
 def _mask(words: Words, b: pa.RecordBatch, name: str, reach: int = 1) -> np.ndarray:

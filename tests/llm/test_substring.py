@@ -92,3 +92,13 @@ def test_minimizers_are_the_leftmost_smallest():
     for i, p in enumerate(got):
         own = grams[i : i + 5].tolist()
         assert p == i + own.index(min(own))
+
+
+def test_copies_without_ids_share_their_runs(spark):
+    """50,000 equal rows: the runs of a document do not grow with its copies."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = spark.range(50_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    other = docs_frame(spark, [(1, text + " and one more"), (2, "left alone")])
+    got = substring.dedup(rows.unionByName(other).repartition(8)).groupBy("doc.doc_id", "n_removed", "text").count().collect()
+    assert sorted((r["doc_id"] or 0, r["n_removed"], r["text"], r["count"]) for r in got) == [
+        (0, 60, "", 50_000), (1, 60, "and one more", 1), (2, 0, "left alone", 1)]
