@@ -10,7 +10,16 @@ is larger. The score then minimises the non-negative risk (Kiryo et al., 2017)
 
 with the logistic loss, so that it is a probability of the positive class.
 The model is additive over bins of text statistics; one pass over the texts
-computes these, and everything after works on that small table."""
+computes these, and everything after works on that small table.
+
+Only the trusted positives are a bounded sample. Bin edges, class prior and the
+unlabelled risk are of all teaching rows: edges from counts per narrow range of
+values, the risk by Newton steps whose loss, gradient and curvature are sums over
+the binned rows (the risk is convex in the weights). The sums are of integers, so
+the model does not depend on how rows are dealt. Weights are held by a penalty of
+their steps between neighbouring bins. Where the risk of negatives ends below
+zero, which is overfitting, they are held tighter, as little as will do, until it
+does not."""
 
 from __future__ import annotations
 
@@ -25,8 +34,18 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from .common import bounded_sample, cut, python_tasks, utf8
 
-#: Trusted positives, and unlabelled rows, that the model is fitted on.
+#: Trusted positives that the model is fitted on.
 SAMPLE = 20_000
+#: Newton steps at most, and the largest change of a weight in one of them.
+STEPS, REACH = 30, 3.0
+#: How often the range of the penalty is halved, on a logarithmic scale.
+HALVINGS = 4
+#: Binned rows up to which the sums are taken without a Spark job each.
+LOCAL_ROWS = 100_000
+#: Penalty of a weight itself, beside that of its step from the next bin's.
+RIDGE = 0.02
+#: Sums are of integer multiples of these.
+UNIT, LOSS_UNIT = 1 << 24, 1 << 20
 FOLDS = 5
 BINS = 12
 THRESHOLD = 0.3
@@ -95,80 +114,287 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def _edges(x: np.ndarray, bins: int = BINS) -> list[np.ndarray]:
-    """Inner edges per statistic: quantiles of the sample, and of its outer
-    tenths again, where the unusual texts are."""
-    q = np.concatenate([np.linspace(0, 0.1, bins // 3 + 1), np.linspace(0.1, 0.9, bins // 3 + 1), np.linspace(0.9, 1, bins // 3 + 1)])
-    return [np.unique(np.quantile(x[:, j], np.unique(q)[1:-1])) for j in range(x.shape[1])]
+def _ranges(x: np.ndarray) -> np.ndarray:
+    """Number of the narrow range of each value (relative width 1/256); rises
+    with the value. Statistics are not negative."""
+    return np.maximum(x, 0.0).view(np.int64) >> 44
 
 
-def _descend(weights: np.ndarray, gradient, steps: int, rate: float = 0.05) -> np.ndarray:
-    m, v = np.zeros_like(weights), np.zeros_like(weights)
-    for step in range(1, steps + 1):
-        g = gradient(weights)
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        weights = weights - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
-    return weights
+def _edges(ranges: np.ndarray, counts: np.ndarray, bins: int = BINS) -> np.ndarray:
+    """Inner edges of a statistic: quantiles of its values, and of their outer
+    tenths again, where the unusual texts are; lower ends of the ranges."""
+    q = np.concatenate([np.linspace(0, 0.1, bins // 3 + 1), np.linspace(0.1, 0.9, bins // 3 + 1), np.linspace(0.9, 1, bins // 3 + 1)])
+    upto = np.cumsum(counts)
+    at = np.searchsorted(upto, np.unique(q)[1:-1] * upto[-1], side="left")
+    return np.unique((ranges[np.minimum(at, len(ranges) - 1)] << 44).view(np.float64))
 
 
 def _pull(cells: np.ndarray, by: np.ndarray, width: int) -> np.ndarray:
     return np.bincount(cells.ravel(), np.repeat(by, cells.shape[1]), minlength=width)
 
 
-def estimate_prior(score_p: np.ndarray, score_u: np.ndarray, delta: float = 0.1) -> float:
+def _curve(cells: np.ndarray, by: np.ndarray, width: int) -> np.ndarray:
+    """Sum of ``by`` over rows for each pair of cells of a row."""
+    out = np.zeros((width, width))
+    for j in range(cells.shape[1]):
+        for k in range(cells.shape[1]):
+            out += np.bincount(cells[:, j] * width + cells[:, k], by, minlength=width * width).reshape(width, width)
+    return out
+
+
+def _sums(cells: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the rows taken as negatives: (rows and loss), gradient and curvature
+    of the loss, in whole units."""
+    z = np.clip(weights[cells].sum(axis=1), -100, 100)
+    p = _sigmoid(z)
+    g, h = np.rint(p * UNIT), np.rint(p * (1 - p) * UNIT)
+    width = len(weights)
+    curve = np.zeros((width, width), np.int64)
+    for j in range(cells.shape[1]):
+        for k in range(j, cells.shape[1]):
+            own = np.bincount(cells[:, j] * width + cells[:, k], h, minlength=width * width)
+            curve += np.rint(own).astype(np.int64).reshape(width, width)
+    loss = np.array([len(z), np.rint(np.logaddexp(0, z) * LOSS_UNIT).sum()]).astype(np.int64)
+    return loss, np.rint(_pull(cells, g, width)).astype(np.int64), curve
+
+
+class LocalRows:
+    """Unlabelled rows held as an array of cells; ``half`` 0, 1 or None (all).
+    ``halves`` tells the half of each row (else they alternate)."""
+
+    def __init__(self, cells: np.ndarray, halves: np.ndarray | None = None):
+        self.cells, self.halves = cells, np.arange(len(cells)) % 2 if halves is None else halves
+
+    def _half(self, half):
+        return self.cells if half is None else self.cells[self.halves == half]
+
+    def sums(self, weights: np.ndarray, half: int | None = None):
+        return _sums(self._half(half), weights)
+
+    def above(self, weights: np.ndarray, thresholds: np.ndarray, half: int) -> np.ndarray:
+        """Rows whose sum of weights is above each of the rising thresholds."""
+        z = np.sort(weights[self._half(half)].sum(axis=1))
+        return len(z) - np.searchsorted(z, thresholds, side="right")
+
+
+def _cells_of(b: pa.RecordBatch, half: int | None, starts: np.ndarray) -> np.ndarray:
+    """Cells of the rows of a half (None: all), the constant last."""
+    column = b.column("cells")
+    if half is not None:
+        column = column.filter(pa.array(b.column("half").to_numpy() == half))
+    bins = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), len(starts) - 1)
+    return np.column_stack([bins + starts[:-1], np.full(len(bins), starts[-1])])
+
+
+class SparkRows:
+    """The same over a DataFrame (half int, cells binary of bin numbers)."""
+
+    def __init__(self, rows: DataFrame, starts: np.ndarray):
+        self.rows, self.starts = rows, starts
+
+    def _gather(self, fn) -> dict[int, int]:
+        starts = self.starts
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for b in batches:
+                for at in range(0, b.num_rows, 4096):
+                    own = fn(lambda half, part=b.slice(at, 4096): _cells_of(part, half, starts))
+                    total = own if total is None else total + own
+            if total is not None:
+                k = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], names=["k", "v"])
+
+        found = python_tasks(self.rows, run, "k long, v long").groupBy("k").agg(F.sum("v").alias("v"))
+        return {r["k"]: r["v"] for r in found.collect()}
+
+    def sums(self, weights: np.ndarray, half: int | None = None):
+        width = len(weights)
+
+        def own(cells):
+            loss, gradient, curve = _sums(cells(half), weights)
+            return np.concatenate([loss, gradient, curve.ravel()])
+
+        flat = np.zeros(2 + width + width * width, np.int64)
+        for k, v in self._gather(own).items():
+            flat[k] = v
+        return flat[:2], flat[2 : 2 + width], flat[2 + width :].reshape(width, width)
+
+    def above(self, weights: np.ndarray, thresholds: np.ndarray, half: int) -> np.ndarray:
+        def own(cells):
+            at = np.searchsorted(thresholds, weights[cells(half)].sum(axis=1), side="left")  # thresholds below
+            return np.bincount(at, minlength=len(thresholds) + 1)
+
+        flat = np.zeros(len(thresholds) + 1, np.int64)
+        for k, v in self._gather(own).items():
+            flat[k] = v
+        return flat[::-1].cumsum()[::-1][1:]
+
+
+def _roughness(edges: list[np.ndarray]) -> np.ndarray:
+    """Penalty of weights: squared steps between neighbouring bins of a statistic,
+    and a little of the weights themselves; the constant is free."""
+    width = sum(len(e) + 1 for e in edges) + 1
+    out, first = np.zeros((width, width)), 0
+    for e in edges:
+        steps = np.diff(np.eye(len(e) + 1), axis=0)
+        own = slice(first, first + len(e) + 1)
+        out[own, own] = steps.T @ steps + RIDGE * np.eye(len(e) + 1)
+        first += len(e) + 1
+    return out
+
+
+def _descend(rows, start: np.ndarray, half: int | None, positive, held: np.ndarray, steps: int) -> tuple[np.ndarray, float]:
+    """Newton steps from ``start`` on mean unlabelled loss + ``positive`` + w held
+    w / 2; a step is halved while the objective rises. ``positive(w)`` gives value,
+    gradient, curvature and the part of the unlabelled loss that is due to
+    positives. Also the risk of negatives."""
+    def look(w):
+        loss, gradient, curve = rows.sums(w, half)
+        n = max(int(loss[0]), 1)
+        value, g, h, taken = positive(w)
+        u = loss[1] / n / LOSS_UNIT
+        full = curve + np.triu(curve, 1).T
+        return u + value + w @ held @ w / 2, gradient / n / UNIT + g + held @ w, full / n / UNIT + h + held, u - taken
+
+    w, now = start, look(start)
+    for _ in range(steps):
+        value, gradient, curve, _ = now
+        step = -np.linalg.solve(curve + 1e-7 * np.eye(len(w)), gradient)
+        step *= min(1.0, REACH / max(np.abs(step).max(), 1e-12))
+        for _ in range(6):
+            new = look(w + step)
+            if new[0] < value:
+                break
+            step = step / 2
+        else:
+            break
+        w, now = w + step, new
+        if value - new[0] < 1e-6:
+            break
+    return w, now[3]
+
+
+def estimate_prior(score_p: np.ndarray, above_u, n_u: int, delta: float = 0.1) -> float:
     """Share of positives among the unlabelled: the least ratio of the shares
-    above a threshold, with the confidence term of both samples."""
-    if not len(score_p) or not len(score_u):
+    above a threshold, with the confidence term of both samples. ``above_u``
+    counts the unlabelled above each of the rising thresholds."""
+    if not len(score_p) or not n_u:
         return 0.5
-    p, u = np.sort(score_p), np.sort(score_u)
+    p = np.sort(score_p)
     at = np.unique(p)
     q_p = 1 - np.searchsorted(p, at) / len(p)
-    q_u = 1 - np.searchsorted(u, at) / len(u)
-    slack = np.sqrt(np.log(4 / delta) / 2) * (1 / np.sqrt(len(p)) + 1 / np.sqrt(len(u)))
+    q_u = above_u(np.nextafter(at, -np.inf)) / n_u
+    slack = np.sqrt(np.log(4 / delta) / 2) * (1 / np.sqrt(len(p)) + 1 / np.sqrt(n_u))
     best = np.argmin((q_u + slack) / q_p)
     return float(np.clip(q_u[best] / q_p[best], 0.01, 0.99))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, l2: float = 1e-4, steps: int = 800) -> PuModel:
-    """The model of two samples of statistics. ``prior`` None: estimated on
-    the halves of the samples that its classifier has not seen."""
-    model = PuModel(_edges(np.concatenate([positive, unlabelled])), np.zeros(1), 0.5)
-    width = sum(len(e) + 1 for e in model.edges) + 1
-    cp, cu = model.cells(positive), model.cells(unlabelled)
+def fit_rows(edges: list[np.ndarray], positive: np.ndarray, rows, prior: float | None = None, l2: float = 1e-4, steps: int = STEPS) -> PuModel:
+    """The model of positives (statistics) and unlabelled ``rows`` (binned by the
+    same edges). ``prior`` None: estimated on the halves of both that its
+    classifier has not seen."""
+    model = PuModel(edges, np.zeros(1), 0.5)
+    width = sum(len(e) + 1 for e in edges) + 1
+    cp, rough = model.cells(positive), _roughness(edges)
 
     if prior is None:
-        half_p, half_u = cp[::2], cu[::2]
+        half = cp[::2]
 
         def against(w):
-            a, b = _sigmoid(w[half_p].sum(axis=1)) - 1, _sigmoid(w[half_u].sum(axis=1))
-            return _pull(half_p, a / len(half_p), width) + _pull(half_u, b / len(half_u), width) + l2 * w
-
-        w = _descend(np.zeros(width), against, steps // 2)
-        prior = estimate_prior(w[cp[1::2]].sum(axis=1), w[cu[1::2]].sum(axis=1))
+            z = w[half].sum(axis=1)
+            p = _sigmoid(z)
+            curve = _curve(half, p * (1 - p) / len(half), width)
+            return np.logaddexp(0, -z).mean(), _pull(half, (p - 1) / len(half), width), curve, 0.0
+
+        w, _ = _descend(rows, np.zeros(width), 0, against, l2 * rough, steps)
+        n_u = int(rows.sums(np.zeros(width), 1)[0][0])
+        prior = estimate_prior(w[cp[1::2]].sum(axis=1), lambda t: rows.above(w, t, 1), n_u)
     model.prior = prior
+    pulled = _pull(cp, np.full(len(cp), 1 / len(cp)), width)
 
     def risk(w):
-        zp, zu = w[cp].sum(axis=1), w[cu].sum(axis=1)
-        minus = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        plus = _pull(cp, prior * (_sigmoid(zp) - 1) / len(cp), width)
-        negative = _pull(cu, _sigmoid(zu) / len(cu), width) - _pull(cp, prior * _sigmoid(zp) / len(cp), width)
-        if minus >= 0:
-            return plus + negative + l2 * w
-        return l2 * w - negative  # the risk of negatives went below zero: step back
-
-    model.weights = _descend(np.zeros(width), risk, steps)
+        # loss(+) - loss(-) of a positive is -z: straight in the weights
+        z = w[cp].sum(axis=1)
+        return -prior * z.mean(), -prior * pulled, 0.0, prior * np.logaddexp(0, z).mean()
+
+    weights, negatives = _descend(rows, np.zeros(width), None, risk, l2 * rough, steps)
+    loose = l2
+    while negatives < 0 and l2 < 1e3:
+        loose, l2 = l2, max(10 * l2, 1e-4)
+        weights, negatives = _descend(rows, weights, None, risk, l2 * rough, steps)
+    for _ in range(HALVINGS if l2 > loose > 0 else 0):  # the loosest hold that will do
+        mid = np.sqrt(loose * l2)
+        other, negatives = _descend(rows, weights, None, risk, mid * rough, steps)
+        if negatives < 0:
+            loose = mid
+        else:
+            l2, weights = mid, other
+    model.weights = weights
     return model
 
 
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, l2: float = 1e-4, steps: int = STEPS) -> PuModel:
+    """:func:`fit_rows` of two arrays of statistics."""
+    shift = min(unlabelled.min(), positive.min(), 0.0)
+    edges = []
+    for column in (unlabelled - shift).T:
+        ranges, counts = np.unique(_ranges(np.ascontiguousarray(column)), return_counts=True)
+        edges.append(_edges(ranges, counts) + shift)
+    return fit_rows(edges, positive, LocalRows(PuModel(edges, np.zeros(1), 0.5).cells(unlabelled)), prior, l2, steps)
+
+
+def all_edges(teach: DataFrame) -> list[np.ndarray]:
+    """Bin edges of all teaching rows, from counts per statistic and range."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column("x").flatten().to_numpy().reshape(b.num_rows, len(NAMES))
+            for j in range(len(NAMES)):
+                r, n = np.unique(_ranges(np.ascontiguousarray(x[:, j])), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), j, np.int32)), pa.array(r), pa.array(n)], names=["j", "r", "n"])
+
+    counted = python_tasks(teach.select("x"), count, "j int, r long, n long").groupBy("j", "r").agg(F.sum("n").alias("n")).toPandas()
+    out = []
+    for j in range(len(NAMES)):
+        own = counted[counted["j"] == j].sort_values("r")
+        out.append(_edges(own["r"].to_numpy(), own["n"].to_numpy()))
+    return out
+
+
+def binned(teach: DataFrame, edges: list[np.ndarray]) -> SparkRows | LocalRows:
+    """All teaching rows as bin numbers, one byte a statistic, written once. Up to
+    ``LOCAL_ROWS`` of them (some MB) are summed on the driver, with equal sums."""
+    starts = np.cumsum([0, *(len(e) + 1 for e in edges)])
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column("x").flatten().to_numpy().reshape(b.num_rows, len(NAMES))
+            bins = np.column_stack([np.searchsorted(e, x[:, j], side="right") for j, e in enumerate(edges)]).astype(np.uint8)
+            raw = bins.tobytes()
+            size = len(NAMES)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("half"), pa.array([raw[i : i + size] for i in range(0, len(raw), size)], pa.binary())], names=["half", "cells"]
+            )
+
+    half = F.pmod(F.xxhash64("id", "x"), F.lit(2)).cast("int").alias("half")
+    rows = cut(python_tasks(teach.select("x", half), cells, "half int, cells binary"))
+    if rows.count() > LOCAL_ROWS:
+        return SparkRows(rows, starts)
+    few = pa.table(rows.toArrow()).combine_chunks().to_batches()
+    cells_ = [_cells_of(b, None, starts) for b in few] or [np.zeros((0, len(starts)), np.int64)]
+    return LocalRows(np.concatenate(cells_), np.concatenate([b.column("half").to_numpy() for b in few] or [np.zeros(0)]))
+
+
 def classify(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE
 ) -> DataFrame:
     """(``id_col``, held_out, score, predicted) of every row.
 
     Only rows whose crc32(id as text) mod ``FOLDS`` is not 0 teach; the others
-    are held out. Up to ``sample`` positives (label 1) and ``sample`` unlabelled
-    rows, the first by a hash of the id, are fitted on; that bounds what reaches
-    the driver. Null ids: not held out, they teach nothing. Repeated ids and
+    are held out. Up to ``sample`` positives (label 1), the first by a hash of the
+    id, are fitted on, and all teaching rows as unlabelled ones; what reaches the
+    driver are these positives and sums per bin. Null ids: not held out, they teach nothing. Repeated ids and
     rows are scored each; null and empty texts have all statistics zero and the
     score of that bin. Without positives every score is 0.5. Other columns are
     ignored, whatever their names. Empty: empty."""
@@ -188,8 +414,10 @@ def classify(
     )
     teach = rows.where("id is not null and not held_out")
     positive = bounded_sample(teach.join(trusted, "id", "left_semi"), ["id", "x"], sample).select("x").toPandas()["x"]
-    unlabelled = bounded_sample(teach, ["id", "x"], sample).select("x").toPandas()["x"]
-    model = fit(np.stack(positive), np.stack(unlabelled)) if len(positive) and len(unlabelled) else None
+    model = None
+    if len(positive):
+        edges = all_edges(teach)
+        model = fit_rows(edges, np.stack(positive), binned(teach, edges))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

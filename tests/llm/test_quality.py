@@ -75,3 +75,91 @@ def test_edge_rows(spark):
         assert sorted(r["doc_id"] or 0 for r in got) == sorted(i or 0 for i, _ in rows)
         assert all(r["held_out"] is not None and 0 <= r["score"] <= 1 for r in got)
         assert quality.classify(docs.limit(0), labels).collect() == []
+
+
+def pu_rows(n=900, seed=3):
+    rng = np.random.default_rng(seed)
+    x = np.abs(rng.standard_normal((n, len(quality.NAMES))))
+    x[: n // 3] += 2.0 * (np.arange(len(quality.NAMES)) < 2)
+    return x
+
+
+def teaching(spark, x, parts):
+    return spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, x array<double>").repartition(parts)
+
+
+def test_sums_over_spark_equal_local_ones_however_dealt(spark, monkeypatch):
+    monkeypatch.setattr(quality, "LOCAL_ROWS", 0)
+    x = pu_rows()
+    edges = [quality.all_edges(teaching(spark, x, n)) for n in (1, 7)]
+    assert all((a == b).all() for a, b in zip(*edges))
+    cells = quality.PuModel(edges[0], np.zeros(1), 0.5).cells(x)
+    w = np.random.default_rng(1).standard_normal(sum(len(e) + 1 for e in edges[0]) + 1)
+    local = quality.LocalRows(cells)
+    for n in (1, 7):
+        rows = quality.binned(teaching(spark, x, n), edges[0])
+        for a, b in zip(rows.sums(w), local.sums(w)):
+            assert (a == b).all()
+        halves = [rows.sums(w, h) for h in (0, 1)]
+        assert all((a + b == c).all() for a, b, c in zip(*halves, local.sums(w)))
+        at = np.array([-2.0, 0.0, 1.5])
+        both = rows.above(w, at, 0) + rows.above(w, at, 1)
+        assert both.tolist() == [(w[cells].sum(1) > t).sum() for t in at]
+
+
+def test_scores_do_not_depend_on_partitions_and_use_all_rows(spark, monkeypatch):
+    sf = SF.replace("0.1", "0.001")
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    a = sorted(map(tuple, quality.classify(docs.repartition(3), labels.repartition(2)).collect()))
+    with monkeypatch.context() as m:
+        m.setattr(quality, "LOCAL_ROWS", 0)  # every sum a Spark job
+        assert a == sorted(map(tuple, quality.classify(docs.repartition(8), labels.repartition(5)).collect()))
+    less = sorted(map(tuple, quality.classify(docs.where("crc32(cast(doc_id as string)) % 7 > 0 or crc32(cast(doc_id as string)) % 5 = 0"), labels).collect()))
+    assert {r[0]: r[2] for r in a} != {r[0]: r[2] for r in less}
+
+
+def test_fit_equals_a_plain_refit():
+    """The penalised risk written out per row, descended by its own gradient."""
+    x = pu_rows(400)
+    positive, prior, l2 = x[250:], 0.7, 0.5
+    model = quality.fit(positive, x, prior=prior, l2=l2)
+    cu, cp = model.cells(x), model.cells(positive)
+    width = len(model.weights)
+    held = np.zeros((width, width))
+    first = 0
+    for e in model.edges:
+        for b in range(first, first + len(e) + 1):
+            held[b, b] += quality.RIDGE
+            if b > first:
+                held[b, b] += 1
+                held[b - 1, b - 1] += 1
+                held[b, b - 1] -= 1
+                held[b - 1, b] -= 1
+        first += len(e) + 1
+
+    def onehot(cells):
+        return np.stack([np.bincount(r, minlength=width) for r in cells]).astype(float)
+
+    u, p = onehot(cu), onehot(cp)
+    risk = lambda w: np.logaddexp(0, u @ w).mean() - prior * (p @ w).mean() + l2 * w @ held @ w / 2
+    w = np.zeros(width)
+    for _ in range(20_000):
+        w -= 0.1 * (u.T @ (1 / (1 + np.exp(-u @ w))) / len(u) - prior * p.mean(0) + l2 * held @ w)
+    negatives = np.logaddexp(0, u @ w).mean() - prior * np.logaddexp(0, p @ w).mean()
+    assert negatives > 0  # so the clipped risk is this one
+    assert risk(model.weights) == pytest.approx(risk(w), abs=2e-5)
+    assert np.abs(model.score(x) - 1 / (1 + np.exp(-u @ w))).max() < 0.02
+
+
+def test_risk_of_negatives_ends_at_zero_or_above():
+    x = pu_rows(600, 8)
+    model = quality.fit(x[450:], x, prior=0.95, l2=1e-4)
+    zu, zp = (model.weights[model.cells(v)].sum(1) for v in (x, x[450:]))
+    assert np.logaddexp(0, zu).mean() - 0.95 * np.logaddexp(0, zp).mean() >= -1e-6
+
+
+def test_score_at_the_threshold_is_predicted(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "some words"), (2, "some words")], "doc_id long, text string")
+    labels = spark.createDataFrame([(77, 1)], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "THRESHOLD", 0.5)  # without positives every score is 0.5
+    assert [(r["score"], r["predicted"]) for r in quality.classify(docs, labels).collect()] == [(0.5, 1)] * 2
