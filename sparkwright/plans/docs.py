@@ -2,16 +2,17 @@
 (document, page); PDF decoding and OCR are outside the engine.
 
 Every operator works per page or per (document, page) row, so the work
-spreads over pages. A document's full text is never concatenated into one
-cell: it is the page table ordered by page (see :func:`document_summary`).
+spreads over pages. A document's full text is never one cell: it comes in chunks
+of bounded length (:func:`full_text`).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_unicode as strip_ws
+from ..operators import prefix
 
 # Fixed values from the reference: the heading rule (matched at the start of a
 # stripped line shorter than 120 characters) and the financial-figure pattern
@@ -84,18 +85,21 @@ def page_lines(pages: DataFrame) -> DataFrame:
 def sections(pages: DataFrame) -> DataFrame:
     """(document, page, section_no, heading, text). A heading line opens a
     section; lines before the first heading form one with heading ''; a section
-    is emitted only when content lines follow its heading. The window is per
-    page, so it scales with the number of pages."""
-    lines = page_lines(pages)
-    w = Window.partitionBy("document", "page").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("section_no", F.sum(F.col("is_heading").cast("int")).over(w))
-    agg = lines.groupBy("document", "page", "section_no").agg(
-        F.max(F.when(F.col("is_heading"), F.col("line"))).alias("heading"),
-        F.sort_array(F.collect_list(F.when(~F.col("is_heading"), F.struct("pos", "line")))).alias("body"),
-    )
-    return agg.where(F.size("body") > 0).select(
-        "document", "page", "section_no", F.coalesce("heading", F.lit("")).alias("heading"),
-        F.array_join(F.transform("body", lambda s: s["line"]), "\n").alias("text"),
+    is emitted only when content lines follow its heading. Everything happens
+    within the row of a page: its lines are an array that is cut at its headings,
+    so no line moves."""
+    lines = F.filter(F.transform(F.split("text", "\n"), strip_ws), lambda x: x != "")
+    rows = spread(pages).select("document", "page", lines.alias("l")).where(F.size("l") > 0)
+    is_head = lambda x: x.rlike(UNICODE + HEADING_PATTERN) & (F.length(x) < HEADING_MAX_LEN)
+    numbered = F.transform("l", lambda x, i: F.when(is_head(x), i + 1))
+    rows = rows.withColumn("at", F.concat(F.array(F.lit(0)), F.filter(numbered, lambda i: i.isNotNull())))
+    ends = F.concat(F.slice("at", 2, F.size("at")), F.array(F.size("l") + 1))
+    rows = rows.select("document", "page", "l", F.posexplode(F.arrays_zip(F.col("at"), ends.alias("end"))).alias("section_no", "s"))
+    first, size = F.col("s.at") + 1, F.col("s.end") - F.col("s.at") - 1
+    return rows.where(size > 0).select(
+        "document", "page", F.col("section_no").cast("long").alias("section_no"),
+        F.when(F.col("section_no") == 0, "").otherwise(F.get("l", F.col("s.at") - 1)).alias("heading"),
+        F.array_join(F.slice("l", first, size), "\n").alias("text"),
     )
 
 
@@ -153,6 +157,37 @@ def document_summary(pages: DataFrame, secs: DataFrame | None = None, figs: Data
     )
 
 
+#: Characters of a chunk of full text.
+CHUNK_CHARS = 1 << 20
+
+
+def full_text(pages: DataFrame, chunk_chars: int = CHUNK_CHARS, **kw) -> DataFrame:
+    """The full text of each document, its pages in order joined by a blank
+    line, as (document, chunk, start, text): chunks of ``chunk_chars`` characters
+    (the last one shorter) that concatenate to it. Page offsets are a running sum
+    in range buckets, so a document may have any number of pages; a long page is
+    cut over chunks. Null texts are empty; a document whose text is empty has one
+    empty chunk."""
+    rows = pages.select("document", "page", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("len", F.length("text").cast("long")).withColumn("one", F.lit(1))
+    placed = prefix.running(
+        rows, {"upto": ("sum", "len"), "nth": ("count", "one")}, ["page", "text"], group_by=["document"], keep_null_rows=False, **kw
+    )
+    before = F.when(F.col("nth") > 1, F.lit("\n\n")).otherwise("")
+    at = F.col("upto") - F.col("len") + 2 * F.greatest(F.col("nth") - 2, F.lit(0))
+    own = placed.select("document", at.alias("at"), F.concat(before, "text").alias("own"))
+    last = F.floor((F.col("at") + F.greatest(F.length("own"), F.lit(1)) - 1) / chunk_chars)
+    cut = own.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("at") / chunk_chars), last)))
+    low = F.greatest(F.col("chunk") * chunk_chars, F.col("at"))
+    size = F.least((F.col("chunk") + 1) * chunk_chars, F.col("at") + F.length("own")) - low
+    part = F.substring("own", (low - F.col("at") + 1).cast("int"), size.cast("int"))
+    parts = cut.groupBy("document", "chunk").agg(F.sort_array(F.collect_list(F.struct(low.alias("at"), part.alias("part")))).alias("p"))
+    text = F.array_join(F.transform("p", lambda x: x["part"]), "")
+    return parts.select("document", "chunk", (F.col("chunk") * chunk_chars).alias("start"), text.alias("text")).where(
+        (F.col("text") != "") | (F.col("chunk") == 0)
+    )
+
+
 def ingest_documents(catalog, pages: DataFrame, name: str) -> DataFrame:
     """Store ``<name>_text``, ``_sections``, ``_figures``, ``_document`` and
     ``_metadata`` through the catalog (stage tables in the shared folder) and

@@ -240,6 +240,26 @@ def chart_box_stats(spark, sf_dir):
     return _r6(K.box_stats(orders_skewed(spark, sf_dir), ["x", "z"]), _BOX_OUT)
 
 
+@register(
+    "chart_violin_density",
+    """
+WITH s AS (SELECT o_orderstatus, count(*) AS n, min(o_totalprice) AS mn, max(o_totalprice) AS mx,
+                  greatest(1.06 * stddev_samp(o_totalprice) * pow(count(*), -0.2), greatest(abs(min(o_totalprice)), abs(max(o_totalprice))) / 1000, 1e-9) AS h
+           FROM orders GROUP BY o_orderstatus),
+g AS (SELECT o_orderstatus, n, h, mn - 3 * h AS lo, (mx - mn + 6 * h) / 100 AS step FROM s),
+v AS (SELECT o.o_orderstatus, (o_totalprice - lo) / step AS spot, least(floor((o_totalprice - lo) / step), 99) AS low FROM orders o JOIN g USING (o_orderstatus)),
+b AS (SELECT o_orderstatus, i, sum(w) AS w FROM (
+        SELECT o_orderstatus, low AS i, 1 - (spot - low) AS w FROM v UNION ALL SELECT o_orderstatus, low + 1, spot - low FROM v) u GROUP BY o_orderstatus, i)
+SELECT g.o_orderstatus, CAST(p AS INTEGER) AS point, round(lo + p * step, 4) AS x,
+       round(1e6 * sum(w * exp(-0.5 * pow((p - i) * step / h, 2))) / (n * h * sqrt(2 * pi())), 6) AS density_e6
+FROM g JOIN b USING (o_orderstatus), range(101) AS r(p) GROUP BY g.o_orderstatus, n, h, lo, step, p
+""",
+)
+def chart_violin_density(spark, sf_dir):
+    d = K.violin_density(table(spark, sf_dir, "orders").select("o_orderstatus", "o_totalprice"), "o_totalprice", "o_orderstatus")
+    return d.select("o_orderstatus", "point", F.round("x", 4).alias("x"), F.round(F.col("density") * 1e6, 6).alias("density_e6"))
+
+
 _VIOLIN_SQL = "SELECT o_orderstatus, exp(6 * o_totalprice / (SELECT max(o_totalprice) FROM orders)) AS x, o_totalprice FROM orders"
 
 

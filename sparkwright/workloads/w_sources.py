@@ -12,6 +12,7 @@ from ..operators.upsert import delete_by_key, get_by_key, list_recent, upsert_by
 from ..session import stage_path
 from ..sources import readers as R
 from ..sources.catalog import Catalog, ingest_metadata
+from ..sources.keyedstore import KeyedStore
 from . import register, table
 
 
@@ -250,3 +251,30 @@ def table_delete_by_key(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
     gone = table(spark, sf_dir, "orders").where(F.col("o_orderpriority") == "1-URGENT").select(F.col("o_custkey").alias("id"))
     return delete_by_key(c, gone, "id")
+
+
+@register(
+    "table_store_versions",
+    """
+WITH first AS (SELECT row_number() OVER (ORDER BY c_name) AS id, c_name AS name, c_acctbal AS payload FROM customer),
+m AS (SELECT max(id) AS m FROM first),
+added AS (SELECT (SELECT m FROM m) + row_number() OVER (ORDER BY s_name) AS id, s_name AS name, s_acctbal AS payload FROM supplier)
+SELECT id, name, CASE WHEN id % 3 = 0 THEN payload + 1 ELSE payload END AS payload,
+       TIMESTAMP '2024-06-01 12:00:00' AS created_at,
+       CASE WHEN id % 3 = 0 THEN TIMESTAMP '2024-06-02 12:00:00' ELSE TIMESTAMP '2024-06-01 12:00:00' END AS updated_at
+FROM first WHERE id % 7 <> 0
+UNION ALL SELECT id, name, payload, TIMESTAMP '2024-06-02 12:00:00', TIMESTAMP '2024-06-02 12:00:00' FROM added WHERE id % 7 <> 0
+""",
+)
+def table_store_versions(spark, sf_dir):
+    """Save, save again, delete: each a committed version; the last one as read
+    by another handle."""
+    path = _scratch(spark, "store")
+    store = KeyedStore(spark, path, "payload double")
+    customers = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.col("c_acctbal").alias("payload"))
+    store.save(customers, now=dt.datetime(2024, 6, 1, 12))
+    third = store.read().where("id % 3 = 0").select("name", (F.col("payload") + 1).alias("payload"))
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.col("s_acctbal").alias("payload"))
+    store.save(third.unionByName(suppliers), now=dt.datetime(2024, 6, 2, 12))
+    store.delete(store.read().where("id % 7 = 0").select("id"))
+    return KeyedStore(spark, path, "payload double").list_all()

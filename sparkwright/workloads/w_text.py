@@ -142,6 +142,21 @@ def doc_summary(spark, sf_dir):
     return DOC.document_summary(_pages(spark, sf_dir))
 
 
+@register(
+    "doc_full_text",
+    f"""
+WITH p AS ({PAGES_SQL}),
+whole AS (SELECT document, string_agg(text, chr(10) || chr(10) ORDER BY page) AS t FROM p GROUP BY document),
+c AS (SELECT document, t, unnest(range((length(t) + 9999) // 10000)) AS chunk FROM whole)
+SELECT document, chunk, chunk * 10000 AS start, length(substr(t, chunk * 10000 + 1, 10000)) AS chars,
+       md5(substr(t, chunk * 10000 + 1, 10000)) AS text_md5 FROM c
+""",
+)
+def doc_full_text(spark, sf_dir):
+    c = DOC.full_text(_pages(spark, sf_dir), chunk_chars=10_000)
+    return c.select("document", "chunk", "start", F.length("text").alias("chars"), F.md5("text").alias("text_md5"))
+
+
 # ------------------------------------------------------------------ chat text
 
 _QUESTIONS = [
