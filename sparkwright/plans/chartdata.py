@@ -191,12 +191,23 @@ def _zone(v: Column, top: float = 100.0) -> Column:
     return F.when(v < top * 0.3, "low").when(v < top * 0.7, "mid").otherwise("high")
 
 
+def _row_hash(df: DataFrame) -> list[Column]:
+    """128 bits per row in place of the row itself: two hashes of its values and
+    of which of them are null (a hash skips nulls)."""
+    nulls = [
+        sum((F.col(f"`{c}`").isNull().cast("long") * (1 << i) for i, c in enumerate(df.columns[at : at + 60])), F.lit(0).cast("long"))
+        for at in range(0, len(df.columns), 60)
+    ]
+    values = [F.col(f"`{c}`") for c in df.columns]
+    return [F.xxhash64(*nulls, *values).alias("a"), F.xxhash64(F.lit(7), *reversed(values), *nulls).alias("b")]
+
+
 def quality_gauges(df: DataFrame) -> DataFrame:
     """Completeness % and uniqueness % (1 decimal) with gauge zone."""
     ncols = len(df.columns)
     miss = missing_by_column(df).agg(F.coalesce(F.sum("missing_count"), F.lit(0)).alias("m"))
     n = df.select(F.count(F.lit(1)).alias("n"))
-    d = df.dropDuplicates().select(F.count(F.lit(1)).alias("d"))
+    d = df.select(*_row_hash(df)).distinct().select(F.count(F.lit(1)).alias("d"))
     s = n.crossJoin(d).crossJoin(miss)
     cells = F.col("n") * F.lit(ncols)
     comp = F.when(cells > 0, F.round((cells - F.col("m")) / cells * 100, 1)).otherwise(0.0)

@@ -45,6 +45,10 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return parts[0]
 
 
+#: Grouped rows up to which they are one partition.
+ONE_PARTITION_ROWS = 200_000
+
+
 class OnePass:
     """One ``GROUPING SETS`` aggregate serving many charts: each named set of
     key columns becomes one grouping; every group carries row count and sum /
@@ -75,6 +79,7 @@ class OnePass:
         grouped = base.groupingSets(list(unique.values()), *[q(k) for k in self.keys]).agg(F.grouping_id().alias("__gid"), *aggs)
         ensure_checkpoint_dir(df.sparkSession)
         self.grouped = grouped.checkpoint(eager=True)
+        self.count_groups()
 
     def membership(self, name: str) -> Column:
         """Rows of the grouped table that belong to grouping ``name`` (keys non-null)."""
@@ -97,11 +102,18 @@ class OnePass:
     def count(self, m: str) -> Column:
         return F.col(f"__c{self.idx[m]}")
 
-    def sizes(self) -> dict[str, int]:
-        """Groups of every grouping, from the small grouped table."""
+    def count_groups(self) -> None:
+        """Groups of every grouping; a grouped table of few rows becomes one
+        partition, so that its many charts are one task each without shuffles."""
         names = list(self.sets)
-        row = self.grouped.select(*[F.count(F.when(self.membership(n), 1)).alias(f"k{i}") for i, n in enumerate(names)]).first()
-        return {n: row[f"k{i}"] for i, n in enumerate(names)}
+        counts = [F.count(F.when(self.membership(n), 1)).alias(f"k{i}") for i, n in enumerate(names)]
+        row = self.grouped.select(F.count(F.lit(1)).alias("all"), *counts).first()
+        self._sizes = {n: row[f"k{i}"] for i, n in enumerate(names)}
+        if row["all"] <= ONE_PARTITION_ROWS:
+            self.grouped = self.grouped.coalesce(1)
+
+    def sizes(self) -> dict[str, int]:
+        return dict(self._sizes)
 
     def histogram(self, c: str) -> DataFrame:
         return self.part(f"b:{c}").select(F.col(self.bin_col[c]).alias("bin"), F.col("__n").alias("count"))
