@@ -25,7 +25,7 @@ from .common import cut
 UNIT = 1024
 SYMBOLS = "#*$%&|<>"
 #: Share of a group's rows that the estimate rests on.
-SHARE = 0.75
+SHARE = 0.5
 STEPS = 5
 #: Squared distance beyond which a row is rejected: about the 0.99999 quantile
 #: of chi-square with five degrees of freedom.

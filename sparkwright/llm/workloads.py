@@ -98,9 +98,9 @@ RULES_COLUMNS = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words
 
 def _rules_sql() -> str:
     """The counts, then the determinant estimate step by step: medians and least
-    deviations first, five times the closest 75 % of each (lang, source)."""
+    deviations first, five times the closest half of each (lang, source)."""
     names, floors = ["len", "sym", "dup", "rep", "size"], [0.15, 0.35, 1.0, 1.0, 1.5]
-    factor = 1.4120710601890483  # share over chi-square mass: 0.75 / F7(F5^-1(0.75))
+    factor = 1.9122080585129484  # share over chi-square mass: 0.5 / F7(F5^-1(0.5))
     p = range(5)
     group = "lang IS NOT DISTINCT FROM e_lang AND source IS NOT DISTINCT FROM e_source"
     y = [" + ".join(f"w_{i}{j} * (x_{names[j]} - m_{j})" for j in range(i + 1)) for i in p]
@@ -112,7 +112,7 @@ def _rules_sql() -> str:
   SELECT f.*, floor(16 * log2(1 + {far})) AS bin FROM fit f JOIN e{k} ON {group}
 ), sub{k} AS (
   SELECT * FROM near{k} QUALIFY count(*) OVER (PARTITION BY lang, source ORDER BY bin RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
-    - count(*) OVER (PARTITION BY lang, source, bin) < ceil(0.75 * count(*) OVER (PARTITION BY lang, source))
+    - count(*) OVER (PARTITION BY lang, source, bin) < ceil(0.5 * count(*) OVER (PARTITION BY lang, source))
 ), sum{k} AS (
   SELECT lang AS e_lang, source AS e_source, count(*) AS n, {sums} FROM sub{k} GROUP BY lang, source
 )""")

@@ -46,10 +46,10 @@ def brute(rows):
         for _ in range(5):
             d = np.einsum("ij,jk,ik->i", x - mean, inverse, x - mean)
             bins = np.floor(16 * np.log2(1 + d))
-            edge = np.sort(bins)[math.ceil(0.75 * len(x)) - 1]
+            edge = np.sort(bins)[math.ceil(0.5 * len(x)) - 1]
             sub = x[bins <= edge]
             mean = sub.mean(axis=0)
-            cov = (sub - mean).T @ (sub - mean) / len(sub) * rules._consistency(0.75)
+            cov = (sub - mean).T @ (sub - mean) / len(sub) * 1.9122080585129484  # 0.5 / F7(F5^-1(0.5))
             inverse = np.linalg.inv(cov + np.diag(floors**2))
         for i, v in zip(at, np.einsum("ij,jk,ik->i", x - mean, inverse, x - mean)):
             far[i] = v
@@ -112,3 +112,17 @@ def test_labelled_quality(spark):
     r = got.groupBy("quality").agg(F.avg(F.col("kept").cast("int"))).collect()
     share = dict((q, v) for q, v in r)
     assert share[1] > 0.95 and share[0] < 0.15
+
+
+def test_forty_percent_of_a_group_can_be_outliers(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(1000):
+        w = [f"w{k}" for k in rng.integers(0, 5000, int(rng.lognormal(5, 0.5)) + 12)]
+        if i % 5 < 2:  # junk: symbols in every third word
+            w = [x + "#$%" if k % 3 == 0 else x for k, x in enumerate(w)]
+        rows.append((i, " ".join(w), "en", "hot"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r["kept"] for r in rules.quality_rules(df).select("doc_id", "kept").collect()}
+    assert not any(got[i] for i in range(1000) if i % 5 < 2)
+    assert np.mean([got[i] for i in range(1000) if i % 5 >= 2]) > 0.93
