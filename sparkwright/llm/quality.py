@@ -42,6 +42,8 @@ STEPS, REACH = 30, 3.0
 HALVINGS = 4
 #: Binned rows up to which the sums are taken without a Spark job each.
 LOCAL_ROWS = 100_000
+#: Binned rows of a task, where that makes more tasks than there are cores.
+TASK_ROWS = 500_000
 #: Penalty of a weight itself, beside that of its step from the next bin's.
 RIDGE = 0.02
 #: Sums are of integer multiples of these.
@@ -142,34 +144,60 @@ def _curve(cells: np.ndarray, by: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def _sums(cells: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _starts(edges: list[np.ndarray]) -> np.ndarray:
+    """First cell of each statistic, and the constant's cell last."""
+    return np.cumsum([0, *(len(e) + 1 for e in edges)])
+
+
+def _pairs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Pairs of statistics (and the constant), and the most bins of one."""
+    first, second = np.triu_indices(len(starts))
+    return first, second, int(np.diff(starts).max(initial=1))
+
+
+def _sums(cells: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the rows taken as negatives: (rows and loss), gradient and curvature
-    of the loss, in whole units."""
-    z = np.clip(weights[cells].sum(axis=1), -100, 100)
-    p = _sigmoid(z)
-    g, h = np.rint(p * UNIT), np.rint(p * (1 - p) * UNIT)
-    width = len(weights)
-    curve = np.zeros((width, width), np.int64)
-    for j in range(cells.shape[1]):
-        for k in range(j, cells.shape[1]):
-            own = np.bincount(cells[:, j] * width + cells[:, k], h, minlength=width * width)
-            curve += np.rint(own).astype(np.int64).reshape(width, width)
-    loss = np.array([len(z), np.rint(np.logaddexp(0, z) * LOSS_UNIT).sum()]).astype(np.int64)
-    return loss, np.rint(_pull(cells, g, width)).astype(np.int64), curve
+    of the loss (by pair of statistics and bins of both), in whole units."""
+    first, second, most = _pairs(starts)
+    loss, gradient = np.zeros(2, np.int64), np.zeros(len(weights), np.int64)
+    curve = np.zeros(len(first) * most * most)
+    for at in range(0, len(cells), 4096):
+        own = cells[at : at + 4096]
+        z = np.clip(weights[own].sum(axis=1), -100, 100)
+        p = _sigmoid(z)
+        bins = own - starts
+        spot = (np.arange(len(first)) * most + bins[:, first]) * most + bins[:, second]
+        curve += np.bincount(spot.ravel(), np.repeat(np.rint(p * (1 - p) * UNIT), len(first)), minlength=len(curve))
+        gradient += np.rint(_pull(own, np.rint(p * UNIT), len(weights))).astype(np.int64)
+        loss += np.array([len(z), np.rint(np.logaddexp(0, z) * LOSS_UNIT).sum()]).astype(np.int64)
+    return loss, gradient, np.rint(curve).astype(np.int64)
+
+
+def _matrix(curve: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The curvature as a symmetric matrix over cells."""
+    first, second, most = _pairs(starts)
+    ends = [*starts[1:], starts[-1] + 1]
+    out = np.zeros((ends[-1], ends[-1]))
+    for own, j, k in zip(curve.reshape(len(first), most, most), first, second):
+        block = own[: ends[j] - starts[j], : ends[k] - starts[k]]
+        out[starts[j] : ends[j], starts[k] : ends[k]] = block
+        out[starts[k] : ends[k], starts[j] : ends[j]] = block.T
+    return out
 
 
 class LocalRows:
     """Unlabelled rows held as an array of cells; ``half`` 0, 1 or None (all).
     ``halves`` tells the half of each row (else they alternate)."""
 
-    def __init__(self, cells: np.ndarray, halves: np.ndarray | None = None):
-        self.cells, self.halves = cells, np.arange(len(cells)) % 2 if halves is None else halves
+    def __init__(self, cells: np.ndarray, starts: np.ndarray, halves: np.ndarray | None = None):
+        self.cells, self.starts = cells, starts
+        self.halves = np.arange(len(cells)) % 2 if halves is None else halves
 
     def _half(self, half):
         return self.cells if half is None else self.cells[self.halves == half]
 
     def sums(self, weights: np.ndarray, half: int | None = None):
-        return _sums(self._half(half), weights)
+        return _sums(self._half(half), weights, self.starts)
 
     def above(self, weights: np.ndarray, thresholds: np.ndarray, half: int) -> np.ndarray:
         """Rows whose sum of weights is above each of the rising thresholds."""
@@ -192,43 +220,38 @@ class SparkRows:
     def __init__(self, rows: DataFrame, starts: np.ndarray):
         self.rows, self.starts = rows, starts
 
-    def _gather(self, fn) -> dict[int, int]:
+    def _gather(self, fn, size: int) -> np.ndarray:
+        """Sum of the arrays that ``fn`` makes of a function from half to cells."""
         starts = self.starts
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = None
+            total = np.zeros(size, np.int64)
             for b in batches:
-                for at in range(0, b.num_rows, 4096):
-                    own = fn(lambda half, part=b.slice(at, 4096): _cells_of(part, half, starts))
-                    total = own if total is None else total + own
-            if total is not None:
-                k = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], names=["k", "v"])
+                total += fn(lambda half: _cells_of(b, half, starts))  # noqa: B023
+            k = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], names=["k", "v"])
 
-        found = python_tasks(self.rows, run, "k long, v long").groupBy("k").agg(F.sum("v").alias("v"))
-        return {r["k"]: r["v"] for r in found.collect()}
+        found = python_tasks(self.rows, run, "k long, v long").groupBy("k").agg(F.sum("v").alias("v")).toArrow()
+        out = np.zeros(size, np.int64)
+        out[found.column("k").to_numpy()] = found.column("v").to_numpy()
+        return out
 
     def sums(self, weights: np.ndarray, half: int | None = None):
-        width = len(weights)
+        width, starts = len(weights), self.starts
+        first, _, most = _pairs(starts)
 
         def own(cells):
-            loss, gradient, curve = _sums(cells(half), weights)
-            return np.concatenate([loss, gradient, curve.ravel()])
+            return np.concatenate(_sums(cells(half), weights, starts))
 
-        flat = np.zeros(2 + width + width * width, np.int64)
-        for k, v in self._gather(own).items():
-            flat[k] = v
-        return flat[:2], flat[2 : 2 + width], flat[2 + width :].reshape(width, width)
+        flat = self._gather(own, 2 + width + len(first) * most * most)
+        return flat[:2], flat[2 : 2 + width], flat[2 + width :]
 
     def above(self, weights: np.ndarray, thresholds: np.ndarray, half: int) -> np.ndarray:
         def own(cells):
             at = np.searchsorted(thresholds, weights[cells(half)].sum(axis=1), side="left")  # thresholds below
             return np.bincount(at, minlength=len(thresholds) + 1)
 
-        flat = np.zeros(len(thresholds) + 1, np.int64)
-        for k, v in self._gather(own).items():
-            flat[k] = v
-        return flat[::-1].cumsum()[::-1][1:]
+        return self._gather(own, len(thresholds) + 1)[::-1].cumsum()[::-1][1:]
 
 
 def _roughness(edges: list[np.ndarray]) -> np.ndarray:
@@ -254,7 +277,7 @@ def _descend(rows, start: np.ndarray, half: int | None, positive, held: np.ndarr
         n = max(int(loss[0]), 1)
         value, g, h, taken = positive(w)
         u = loss[1] / n / LOSS_UNIT
-        full = curve + np.triu(curve, 1).T
+        full = _matrix(curve, rows.starts)
         return u + value + w @ held @ w / 2, gradient / n / UNIT + g + held @ w, full / n / UNIT + h + held, u - taken
 
     w, now = start, look(start)
@@ -341,7 +364,8 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None
     for column in (unlabelled - shift).T:
         ranges, counts = np.unique(_ranges(np.ascontiguousarray(column)), return_counts=True)
         edges.append(_edges(ranges, counts) + shift)
-    return fit_rows(edges, positive, LocalRows(PuModel(edges, np.zeros(1), 0.5).cells(unlabelled)), prior, l2, steps)
+    cells = PuModel(edges, np.zeros(1), 0.5).cells(unlabelled)
+    return fit_rows(edges, positive, LocalRows(cells, _starts(edges)), prior, l2, steps)
 
 
 def all_edges(teach: DataFrame) -> list[np.ndarray]:
@@ -365,7 +389,7 @@ def all_edges(teach: DataFrame) -> list[np.ndarray]:
 def binned(teach: DataFrame, edges: list[np.ndarray]) -> SparkRows | LocalRows:
     """All teaching rows as bin numbers, one byte a statistic, written once. Up to
     ``LOCAL_ROWS`` of them (some MB) are summed on the driver, with equal sums."""
-    starts = np.cumsum([0, *(len(e) + 1 for e in edges)])
+    starts = _starts(edges)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -379,11 +403,12 @@ def binned(teach: DataFrame, edges: list[np.ndarray]) -> SparkRows | LocalRows:
 
     half = F.pmod(F.xxhash64("id", "x"), F.lit(2)).cast("int").alias("half")
     rows = cut(python_tasks(teach.select("x", half), cells, "half int, cells binary"))
-    if rows.count() > LOCAL_ROWS:
-        return SparkRows(rows, starts)
+    n = rows.count()
+    if n > LOCAL_ROWS:  # many passes over few bytes: no more tasks than are of use
+        return SparkRows(rows.coalesce(max(teach.sparkSession.sparkContext.defaultParallelism, n // TASK_ROWS)), starts)
     few = pa.table(rows.toArrow()).combine_chunks().to_batches()
     cells_ = [_cells_of(b, None, starts) for b in few] or [np.zeros((0, len(starts)), np.int64)]
-    return LocalRows(np.concatenate(cells_), np.concatenate([b.column("half").to_numpy() for b in few] or [np.zeros(0)]))
+    return LocalRows(np.concatenate(cells_), starts, np.concatenate([b.column("half").to_numpy() for b in few] or [np.zeros(0)]))
 
 
 def classify(

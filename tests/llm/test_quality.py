@@ -95,7 +95,7 @@ def test_sums_over_spark_equal_local_ones_however_dealt(spark, monkeypatch):
     assert all((a == b).all() for a, b in zip(*edges))
     cells = quality.PuModel(edges[0], np.zeros(1), 0.5).cells(x)
     w = np.random.default_rng(1).standard_normal(sum(len(e) + 1 for e in edges[0]) + 1)
-    local = quality.LocalRows(cells)
+    local = quality.LocalRows(cells, quality._starts(edges[0]))
     for n in (1, 7):
         rows = quality.binned(teaching(spark, x, n), edges[0])
         for a, b in zip(rows.sums(w), local.sums(w)):
