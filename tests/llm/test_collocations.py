@@ -26,10 +26,13 @@ def brute(rows, longest=4, min_count=30, covered=80, top=2000):
     out = []
     for lang, f in counts.items():
         often = {p: a for p, a in f.items() if len(p) > 1 and a >= min_count}
-        found = []
+        found, longest_held = [], {}
+        for q, b in often.items():
+            for size in range(2, len(q)):
+                for i in range(len(q) - size + 1):
+                    longest_held[q[i : i + size]] = max(b, longest_held.get(q[i : i + size], 0))
         for p, a in often.items():
-            around = max((b for q, b in often.items() if len(q) > len(p)
-                          and any(q[i : i + len(p)] == p for i in range(len(q)))), default=0)
+            around = longest_held.get(p, 0)
             if around and 100 * around >= covered * a:
                 continue
             score, _, l, r = min((2000000 * a // (f[p[:k]] + f[p[k:]]), k, f[p[:k]], f[p[k:]]) for k in range(1, len(p)))
