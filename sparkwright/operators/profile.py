@@ -126,20 +126,18 @@ def correlation_long(df: DataFrame, method: str = "pearson", columns: list[str]
     vals = {}
     if method == "spearman":
         base = df.select(*[value_or_null(df, c).alias(c) for c in cols])
-        apart = _pairs_with_own_ranks(base, cols, pairs)
-        vals = _pairwise_spearman(base, apart, **kw) if apart else {}
-        pairs = [p for p in pairs if p not in vals]
-        ranked = [c for c in cols if any(c in p for p in pairs)]
-        if ranked:
-            base = average_ranks(base.select(*map(q, ranked)), ranked, ascending=True, names={c: "__r_" + c for c in ranked}, **kw)
-            base = base.select(*[F.col(f"`__r_{c}`").alias(c) for c in ranked])
+        shared = _pairs_by_rows(base, cols, pairs)
+        if len(shared) <= WIDE_ROW_SETS:
+            for own in shared:
+                vals.update(_wide_spearman(base.where(q(own[0][0]).isNotNull() & q(own[0][1]).isNotNull()), own, **kw))
+        else:
+            apart = _pairs_with_own_ranks(base, cols, pairs)
+            vals = _pairwise_spearman(base, apart, **kw)
+            vals.update(_wide_spearman(base, [p for p in pairs if p not in vals], **kw))
+        pairs = []
     elif method != "pearson":
         raise ValueError("method must be pearson, spearman or kendall")
-    for start in range(0, len(pairs), AGG_CHUNK):
-        chunk = pairs[start : start + AGG_CHUNK]
-        row = base.select(*[_corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(chunk)]).first()
-        for i, p in enumerate(chunk):
-            vals[p] = row[f"c{i}"]
+    vals.update(_corr_of(base, pairs))
     rows = []
     for a in cols:
         for b in cols:
@@ -150,6 +148,46 @@ def correlation_long(df: DataFrame, method: str = "pearson", columns: list[str]
     return spark.createDataFrame(rows, schema)
 
 
+def _corr_of(base: DataFrame, pairs: list[tuple[str, str]]) -> dict[tuple[str, str], float | None]:
+    vals = {}
+    for start in range(0, len(pairs), AGG_CHUNK):
+        chunk = pairs[start : start + AGG_CHUNK]
+        row = base.select(*[_corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(chunk)]).first()
+        vals.update((p, row[f"c{i}"]) for i, p in enumerate(chunk))
+    return vals
+
+
+#: Sets of rows that pairs share, up to which each set is ranked by column.
+WIDE_ROW_SETS = 3
+#: Patterns of missing values up to which pairs are told apart by their rows.
+NULL_PATTERNS = 10_000
+
+
+def _pairs_by_rows(df: DataFrame, cols: list[str], pairs: list[tuple[str, str]]) -> list[list[tuple[str, str]]]:
+    """Pairs grouped by the rows that have both values, from the patterns of
+    missing values; each pair by itself where there are too many patterns."""
+    if len(cols) > 60:
+        return [[p] for p in pairs]
+    mask = sum((q(c).isNotNull().cast("long") * (1 << i) for i, c in enumerate(cols)), F.lit(0).cast("long"))
+    seen = [r[0] for r in df.select(mask.alias("m")).distinct().limit(NULL_PATTERNS + 1).collect()]
+    if len(seen) > NULL_PATTERNS:
+        return [[p] for p in pairs]
+    at = {c: 1 << i for i, c in enumerate(cols)}
+    groups: dict[frozenset, list] = {}
+    for a, b in pairs:
+        groups.setdefault(frozenset(m for m in seen if m & at[a] and m & at[b]), []).append((a, b))
+    return list(groups.values())
+
+
+def _wide_spearman(rows: DataFrame, pairs: list[tuple[str, str]], **kw) -> dict[tuple[str, str], float | None]:
+    """Pairs for which the ranks of each column over ``rows`` serve."""
+    own = list(dict.fromkeys(c for p in pairs for c in p))
+    if not own:
+        return {}
+    ranked = average_ranks(rows.select(*map(q, own)), own, ascending=True, names={c: "__r_" + c for c in own}, **kw)
+    return _corr_of(ranked.select(*[F.col(f"`__r_{c}`").alias(c) for c in own]), pairs)
+
+
 def _pairs_with_own_ranks(df: DataFrame, cols: list[str], pairs: list[tuple[str, str]]) -> list[tuple[str, str]]:
     """Pairs for which one column has values on rows that lack the other."""
     counts = {}

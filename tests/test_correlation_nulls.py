@@ -26,7 +26,9 @@ def nullable(n=400, seed=3):
 
 
 @pytest.mark.parametrize("kw", [{}, {"rows_per_bucket": 7}])
-def test_equals_pandas_on_nullable_columns(spark, kw):
+@pytest.mark.parametrize("sets", [0, 99])
+def test_equals_pandas_on_nullable_columns(spark, monkeypatch, kw, sets):
+    monkeypatch.setattr(P, "WIDE_ROW_SETS", sets)
     frame = nullable()
     got, want = corr(spark.createDataFrame(frame), **kw), frame.corr(method="spearman")
     for (x, y), v in got.items():
@@ -34,6 +36,13 @@ def test_equals_pandas_on_nullable_columns(spark, kw):
     assert len(got) == 16
 
 
+def test_pairs_are_grouped_by_their_rows(spark):
+    rows = [(1, 2, 3, None), (1, 2, None, None), (4, 5, 6, 7)]
+    df = spark.createDataFrame(rows, "a int, b int, c int, d int")
+    pairs = [(x, y) for i, x in enumerate("abcd") for y in "abcd"[i + 1 :]]
+    assert P._pairs_by_rows(df, list("abcd"), pairs) == [[("a", "b")], [("a", "c"), ("b", "c")], [("a", "d"), ("b", "d"), ("c", "d")]]
+
+
 def test_only_pairs_that_miss_rows_are_ranked_anew(spark):
     frame = nullable()
     frame["twin"] = frame["a"] ** 3  # missing on the same rows as a
