@@ -45,12 +45,11 @@ def create_pct_change(df: DataFrame, column: str, periods: int = 1, order_by=Non
     groups = _groups(group_by)
     name = f"{column}_pct_change_{periods}"
     ff = "__ff_" + column
-    if "n" not in kw:  # one row count serves both ordered passes
-        kw = dict(kw, n=df.count())
-    filled = prefix.running(df, {ff: ("last", column)}, order_by, groups, **kw)
-    shifted = prefix.lag(filled, ff, periods, order_by, groups, name="__prev", **kw)
+    cut, buckets = prefix._bucketize(df, order_by, group_by=groups, **kw)  # serve both ordered passes
+    filled = prefix.running(cut, {ff: ("last", column)}, order_by, groups, cut=buckets)
+    shifted = prefix.lag(filled, ff, periods, order_by, groups, name="__prev", cut=buckets)
     pct = (F.try_divide(F.col(ff), F.nullif(F.col("__prev"), F.lit(0.0))) - 1) * 100
-    return shifted.withColumn(name, pct).drop(ff, "__prev")
+    return shifted.withColumn(name, pct).drop(ff, "__prev", prefix.BUCKET)
 
 
 def create_rolling_avg(df: DataFrame, column: str, window: int = 3, order_by=None, group_by=None, **kw) -> DataFrame:
@@ -94,21 +93,20 @@ def generate_features(
     if nums:
         if order_by is None:
             raise ValueError("numeric features need order_by")
-        if "n" not in kw:  # one row count serves both ordered passes
-            kw = dict(kw, n=df.count())
+        df, buckets = prefix._bucketize(df, order_by, **kw)  # serve both ordered passes
         specs = {}
         for c in nums:
             specs[f"{c}_cumsum"] = ("sum", c)
             specs[f"{c}_cummax"] = ("max", c)
             specs[f"{c}_cummin"] = ("min", c)
-        df = prefix.running(df, specs, order_by, **kw)
+        df = prefix.running(df, specs, order_by, cut=buckets)
 
         def build(w):
             fr = w.rowsBetween(-2, 0)
             x = {c: value_or_null(df, c) for c in nums}
             return {f"{c}_rolling_avg_3": F.when(F.count(x[c]).over(fr) >= 3, F.avg(x[c]).over(fr)) for c in nums}
 
-        df = prefix.sliding(df, build, order_by, back=2, **kw)
+        df = prefix.sliding(df, build, order_by, back=2, cut=buckets).drop(prefix.BUCKET)
         for c in nums:
             new.extend([f"{c}_cumsum", f"{c}_cummax", f"{c}_cummin", f"{c}_rolling_avg_3"])
         order = list(df.columns)

@@ -8,8 +8,8 @@ and completed by what earlier buckets carry: their row counts for positions and
 ranks, their distinct order values for dense ranks, their sums, extremes and
 first values for running frames. Rows that agree in the order share a bucket, so
 a peer group is never cut. Frames over a few rows and lag / lead are patched at
-the bucket edges. Nothing but bucket bounds and the list of hot keys reaches the
-driver; both are bounded by rows / rows_per_bucket.
+the bucket edges. All functions of a call share the buckets. Nothing but the list
+of hot keys reaches the driver; it is bounded by rows / rows_per_bucket.
 
 Nulls order as in Spark (first when rising, last when falling) and are a
 partition of their own as keys."""
@@ -89,16 +89,9 @@ def _sorting(order: list[tuple[str, bool]]) -> list[Column]:
     return [F.col(f"`{c}`").desc() if falling else F.col(f"`{c}`").asc() for c, falling in order]
 
 
-def _keyed(df: DataFrame, partition_by: list[str], order: list[tuple[str, bool]]) -> tuple[DataFrame, list[str]]:
-    """``df`` with numeric columns that rise as the wanted order does."""
-    names = []
-    for k, (column, falling) in enumerate(order):
-        parts, _, _ = prefix._parts(df, [column])
-        for j, p in enumerate(parts):
-            name = f"__o{k}_{j}"
-            df = df.withColumn(name, -p if falling else p)
-            names.append(name)
-    return df, names
+def _keyed(df: DataFrame, partition_by: list[str], order: list[tuple[str, bool]]) -> tuple[DataFrame, list[Column]]:
+    """``df`` and the order that keeps each key together."""
+    return df, [*[F.col(f"`{g}`") for g in partition_by], *_sorting(order)]
 
 
 def hot_keys(df: DataFrame, partition_by: list[str], bound: int) -> DataFrame:
@@ -145,23 +138,24 @@ def window(
     same = prefix._same_group(partition_by)
     cold = df.join(keys, same, "left_anti")
     mine = df.join(keys, same).drop(*["__g_" + g for g in partition_by])
-    return plain(cold).unionByName(_hot(mine, df.columns, partition_by, order, functions, rows_per_bucket))
+    n = sum(r["__total"] for r in hot)
+    return plain(cold).unionByName(_hot(mine, df.columns, partition_by, order, functions, rows_per_bucket, n))
 
 
-def _hot(rows: DataFrame, columns: list[str], partition_by: list[str], order, functions: dict[str, Fn], per: int) -> DataFrame:
-    rows, parts = _keyed(rows, partition_by, order)
+def _hot(rows: DataFrame, columns: list[str], partition_by: list[str], order, functions: dict[str, Fn], per: int, n: int) -> DataFrame:
+    rows, along = _keyed(rows, partition_by, order)
+    peer = [f"`{c}`" for c in [*partition_by, *[c for c, _ in order]]]
+    buckets, nb = prefix._bucketize(rows, along, rows_per_bucket=per, n=n, peers=peer)
     moving = {n: f for n, f in functions.items() if f.moving}
     if moving:
         back = max(f.reach()[0] for f in moving.values())
         ahead = max(f.reach()[1] for f in moving.values())
-        rows = prefix.sliding(
-            rows, lambda w: {n: f.over(w, None) for n, f in moving.items()}, [*parts, *_sorting(order)], partition_by,
-            back=back, ahead=ahead, rows_per_bucket=per,
+        buckets = prefix.sliding(
+            buckets, lambda w: {n: f.over(w, None) for n, f in moving.items()}, _sorting(order), partition_by, back=back, ahead=ahead, cut=nb
         )
     rest = {n: f for n, f in functions.items() if not f.moving}
     if not rest:
-        return rows.select(*[F.col(f"`{c}`") for c in columns], *functions)
-    buckets, _ = prefix._bucketize(rows, parts, rows_per_bucket=per)
+        return buckets.select(*[F.col(f"`{c}`") for c in columns], *functions)
     spec = Window.partitionBy(*[F.col(f"`{g}`") for g in partition_by], BUCKET).orderBy(*_sorting(order))
     peers = Window.partitionBy(*[F.col(f"`{g}`") for g in partition_by], BUCKET, *[F.col(f"`{c}`") for c, _ in order])
     to_row = spec.rowsBetween(Window.unboundedPreceding, Window.currentRow)

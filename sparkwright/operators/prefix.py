@@ -2,24 +2,26 @@
 without pulling a whole table -- or a whole hot group -- into one task.
 
 ``Window.orderBy(k)`` without a partition key sends every row to one task.
-Instead rows are cut into *range buckets* along the whole order tuple:
-
-* an over-full bucket is split at quantiles of its next order part; a value
-  that is a bound gets a bucket of its own, and if that one is still over-full
-  (a hot date, say) it is split on the next order column. Nulls sort first and
-  form the first bucket. Text is split by its bytes, six at a time;
-* the bounds are fetched once and are literals from then on, so a bucket is a
-  deterministic function of the row and a recomputed task gives the same
-  answer. They are bounded by the number of buckets, ``rows / rows_per_bucket``;
+Instead rows are cut into *range buckets* along the groups and the whole order:
+
+* one range shuffle sorts the rows, Spark's own comparison of the order columns
+  deciding, so text, nulls, times and falling columns need no numeric form. A
+  row's number in its sorted task gives its bucket of ``rows_per_bucket`` rows,
+  and the numbered rows are checkpointed, so every later pass sees the same
+  buckets. The number of passes does not depend on the number of buckets, and
+  nothing but a row count reaches the driver;
+* rows that agree in all their order columns share a bucket, also where the cut
+  by numbers would part them;
 * windows run partitioned by ``(group..., bucket)``; only rows that agree in
   all their order columns can keep a bucket over-full;
-* running aggregates add a *carry*: the aggregate of all earlier buckets of the
-  same group, computed from a per-bucket ``groupBy`` and a tiny window over
-  bucket rows;
+* a group lies in neighbouring buckets, most groups in one. Only the parts of a
+  group beyond its first bucket get a *carry*: the aggregate of its earlier
+  buckets, from a per-bucket ``groupBy`` and a window over bucket rows. There
+  are fewer of those than buckets;
 * look-back / look-ahead windows (lag, lead, rolling) are right inside a bucket
   except for its first / last ``k`` rows; those heads and tails (at most
-  ``2k`` per bucket) are re-evaluated in one small window ordered by
-  ``(bucket, position)`` and patched back with a join.
+  ``2k`` per bucket) of the groups in several buckets are re-evaluated in one
+  small window ordered by ``(bucket, position)`` and patched back with a join.
 
 A null group is a group like others, and NaN is missing, at every size.
 """
@@ -30,19 +32,22 @@ from typing import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..columns import value_or_null
+from ..session import ensure_checkpoint_dir
 
 BUCKET = "__bkt"
 POS = "__pos"
 CNT = "__cnt"
 
 DEFAULT_ROWS_PER_BUCKET = 2_000_000
-#: Parts that an over-full bucket is cut into at once.
-FAN = 64
-#: Groups of six bytes by which text is split.
-TEXT_PARTS = 10
+#: Rows of a task of the sorting shuffle.
+ROWS_PER_TASK = 250_000
+#: Rows up to which the tables of carries and bucket edges are broadcast.
+BROADCAST_ROWS = 300_000
+ROW = "__row"
+#: Bits of a row number that count within its task (monotonically_increasing_id).
+TASK_BITS = 33
 
 
 def _names(order_by) -> list:
@@ -53,109 +58,52 @@ def _order_cols(order_by) -> list[Column]:
     return [F.col(o) if isinstance(o, str) else o for o in _names(order_by)]
 
 
-def _parts(df: DataFrame, order_by) -> tuple[list[Column], list[int], list[Column]]:
-    """Numeric parts of the order tuple, most significant first: each is exact
-    or the last of its column. Also the column number of each part, and a hash
-    of each column that tells whether a bucket is constant in it."""
-    first = _names(order_by)[0]
-    if not isinstance(first, str):
-        raise TypeError("the first order_by entry must be a column name (ascending)")
-    parts, of, hashes = [], [], []
-    low, high = F.lit(-float("inf")), F.lit(float("inf"))
-    for k, name in enumerate(_names(order_by)):
-        if not isinstance(name, str):
-            break
-        dt, c = df.schema[name].dataType, F.col(name)
-        if isinstance(dt, T.StringType):
-            raw = c.cast("binary")
-            own = [
-                F.conv(F.rpad(F.hex(F.substring(raw, 6 * i + 1, 6)), 12, "0"), 16, 10).cast("double") for i in range(TEXT_PARTS)
-            ]
-        elif isinstance(dt, (T.TimestampType, T.LongType)):
-            whole = F.unix_micros(c) if isinstance(dt, T.TimestampType) else c
-            own = [F.shiftright(whole, 32).cast("double"), whole.bitwiseAND(F.lit(0xFFFFFFFF)).cast("double")]
-        elif isinstance(dt, T.TimestampNTZType):  # no zone: by day, then by time of day
-            seconds = F.hour(c) * 3600 + F.minute(c) * 60 + F.extract(F.lit("SECOND"), c).cast("double")
-            own = [F.unix_date(c.cast("date")).cast("double"), seconds]
-        elif isinstance(dt, T.DateType):
-            own = [F.unix_date(c).cast("double")]
-        elif isinstance(dt, (T.NumericType, T.BooleanType)):
-            own = [c.cast("double")]
-        else:
-            break  # no numeric form: rows beyond this column share a bucket
-        parts += [F.when(c.isNull(), low).when(F.isnan(p), high).otherwise(p) for p in own]
-        of += [k] * len(own)
-        hashes.append(F.xxhash64(c))
-    if not parts:
-        raise TypeError(f"cannot order by {first} of type {df.schema[first].dataType.simpleString()}")
-    return parts, of, hashes
-
-
 def add_buckets(df: DataFrame, order_by, **kw) -> DataFrame:
-    """Append ``__bkt``: the range bucket of the order tuple (an array that
+    """Append ``__bkt``: the range bucket of the order tuple (a number that
     sorts as the rows do)."""
     return _bucketize(df, order_by, **kw)[0]
 
 
-def _bucketize(df: DataFrame, order_by, rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET, n: int | None = None) -> tuple[DataFrame, int]:
-    """Append ``__bkt``; also whether there is more than one bucket (as their
-    number, 1 or 2). One count unless ``n`` is known; then per level of over-full
-    buckets one job for the bounds and one for the counts."""
+def _bucketize(
+    df: DataFrame,
+    order_by,
+    rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
+    n: int | None = None,
+    group_by: list[str] | None = None,
+    peers: list[str] | None = None,
+) -> tuple[DataFrame, int]:
+    """Append ``__bkt``, rising along (``group_by``, ``order_by``); also a bound
+    of the number of buckets, 1 where the rows fit one. Rows that agree in
+    ``peers`` (by default the groups and the order, if named) share a bucket.
+    One count unless ``n`` is known, one range shuffle."""
     if n is None:
         n = df.select(F.count(F.lit(1)).alias("n")).first()["n"]
-    out = df.withColumn(BUCKET, F.array().cast("array<int>"))
-    if n <= max(1, rows_per_bucket):
-        return out, 1
+    per = max(1, int(rows_per_bucket))
+    if n <= per:
+        return df.withColumn(BUCKET, F.lit(0).cast("long")), 1
     spark = df.sparkSession
-    parts, of, hashes = _parts(df, order_by)
-    probs = [i / FAN for i in range(1, FAN)]
-    opened = {(): (0, n)}  # over-full bucket -> (part, rows)
-    while opened:
-        todo = spark.createDataFrame([(list(p), k) for p, (k, _) in opened.items()], f"{BUCKET} array<int>, __part int")
-        here = out.join(F.broadcast(todo), BUCKET)  # at most one row per bucket
-        value = F.element_at(F.array(*parts), F.col("__part") + 1)
-        same = F.element_at(F.array(*hashes), F.element_at(F.array(*[F.lit(k) for k in of]), F.col("__part") + 1) + 1)
-        found = (
-            here.groupBy(BUCKET)
-            .agg(
-                F.percentile_approx(value, probs, 10_000).alias("q"), F.min(value).alias("mn"), F.max(value).alias("mx"),
-                F.min(same).alias("h1"), F.max(same).alias("h2"),
-            )
-            .collect()
-        )
-        bounds, later = [], {}
-        for r in found:
-            path = tuple(r[BUCKET])
-            part, rows = opened[path]
-            if r["mn"] == r["mx"]:  # constant here: on to the next part, or column
-                after = part + 1
-                if r["h1"] == r["h2"]:
-                    after = next((i for i in range(part, len(of)) if of[i] > of[part]), len(of))
-                elif after < len(of) and of[after] != of[part]:
-                    continue  # the column differs beyond its parts
-                if after < len(of):
-                    later[path] = (after, rows)
-                continue
-            k = min(FAN, -(-rows // rows_per_bucket) + 1)
-            cuts = sorted({r["q"][len(r["q"]) * i // k] for i in range(1, k)})
-            bounds.append((list(path), part, cuts))
-        if bounds:
-            table = spark.createDataFrame(bounds, f"{BUCKET} array<int>, __part int, __cuts array<double>")
-            joined = out.join(F.broadcast(table), BUCKET, "left")
-            v = F.element_at(F.array(*parts), F.col("__part") + 1)
-            below = F.size(F.filter("__cuts", lambda x: x < v))
-            step = 2 * below + F.array_contains("__cuts", v).cast("int")
-            out = joined.withColumn(
-                BUCKET, F.when(F.col("__cuts").isNotNull(), F.concat(F.col(BUCKET), F.array(step))).otherwise(F.col(BUCKET))
-            ).drop("__part", "__cuts")
-            depth = {tuple(p): part for p, part, _ in bounds}
-            full = out.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1.5 * rows_per_bucket).collect()
-            for r in full:
-                path = tuple(r[BUCKET])
-                if path[:-1] in depth:
-                    later[path] = (depth[path[:-1]], r["n"])
-        opened = later
-    return out, 2
+    ensure_checkpoint_dir(spark)
+    groups, names = list(group_by or []), _names(order_by)
+    if peers is None and all(isinstance(o, str) for o in names):
+        peers = [*groups, *names]
+    order = [*[F.col(g) for g in groups], *_order_cols(order_by)]
+    tasks = max(min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // per)), -(-n // ROWS_PER_TASK))
+    rows = df.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    rows = rows.withColumn(ROW, F.monotonically_increasing_id()).checkpoint(eager=True)
+    at = F.col(ROW).bitwiseAND(F.lit((1 << TASK_BITS) - 1)) % per
+    out = rows.withColumn(BUCKET, F.col(ROW) - at)
+    if peers:
+        # equal rows lie in one task; those that go on beyond a bucket are its last row
+        edges = out.where((at == 0) | (at == per - 1))
+        twins = [F.col(c).alias(f"__p{i}") for i, c in enumerate(peers)]
+        spread = edges.groupBy(*twins).agg(F.min(BUCKET).alias("__to"), F.max(BUCKET).alias("__end"))
+        spread = spread.where("__to < __end").drop("__end").checkpoint(eager=True)
+        if not spread.isEmpty():
+            same = F.lit(True)
+            for i, c in enumerate(peers):
+                same = same & F.col(c).eqNullSafe(F.col(f"__p{i}"))
+            out = out.join(F.broadcast(spread), same, "left").withColumn(BUCKET, F.coalesce("__to", BUCKET))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], BUCKET), n // per + 2 * tasks
 
 
 def _spec(group_by: list[str], order_by) -> Window:
@@ -170,22 +118,30 @@ def _same_group(group_by: list[str]) -> Column:
     return same
 
 
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """A table of at most ``rows`` rows, for a join with the row table."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def running(
     df: DataFrame,
     specs: dict[str, tuple[str, str]],
     order_by,
     group_by: list[str] | None = None,
     keep_null_rows: bool = True,
+    cut: int | None = None,
     **bucket_kw,
 ) -> DataFrame:
     """Running ``sum`` / ``max`` / ``min`` / ``count`` / ``last`` (last non-null).
 
     ``specs``: ``{out_name: (func, column)}``. With ``keep_null_rows`` the output
     is null where the input is null (pandas ``cumsum`` semantics) while the
-    running value continues past it; ``last`` is a forward fill.
+    running value continues past it; ``last`` is a forward fill. ``cut``: ``df``
+    has the buckets of these groups and this order already (their bound, see
+    :func:`_bucketize`) and keeps them.
     """
     group_by = list(group_by or [])
-    b, nb = _bucketize(df, order_by, **bucket_kw)
+    b, nb = (df, cut) if cut else _bucketize(df, order_by, group_by=group_by, **bucket_kw)
     single = nb == 1
     w = _spec(group_by, order_by).rowsBetween(Window.unboundedPreceding, 0)
     order_struct = F.struct(*_order_cols(order_by))
@@ -221,7 +177,8 @@ def running(
         return b.select(*[F.col(c) for c in df.columns if c not in specs], *final)
 
     per_bucket = b.groupBy(*group_by, BUCKET).agg(*carry_aggs)
-    wc = Window.partitionBy(*group_by).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    along = Window.partitionBy(*group_by).orderBy(BUCKET)
+    wc = along.rowsBetween(Window.unboundedPreceding, -1)
     carry_cols = []
     for name, (fn, _) in specs.items():
         src = F.col(name)
@@ -234,7 +191,10 @@ def running(
         else:
             e = F.last(src, ignorenulls=True).over(wc)
         carry_cols.append(e.alias("__c_" + name))
-    carry = per_bucket.select(*[F.col(g).alias("__g_" + g) for g in group_by], F.col(BUCKET).alias("__cb"), *carry_cols)
+    carry = per_bucket.select(
+        *[F.col(g).alias("__g_" + g) for g in group_by], F.col(BUCKET).alias("__cb"), *carry_cols, F.row_number().over(along).alias("__k")
+    )
+    carry = _small(carry.where("__k > 1").drop("__k"), nb)  # the first part of a group has none
 
     out = b.select("*", *[v.alias("__l_" + k) for k, v in local.items()])
     out = out.join(carry, _same_group(group_by) & (F.col(BUCKET) == F.col("__cb")), "left")
@@ -264,16 +224,18 @@ def sliding(
     group_by: list[str] | None = None,
     back: int = 0,
     ahead: int = 0,
+    cut: int | None = None,
     **bucket_kw,
 ) -> DataFrame:
     """Window expressions that look at most ``back`` rows behind / ``ahead`` rows ahead.
 
     ``builder(w)`` returns ``{name: expression over w}`` where ``w`` is a
     partitioned, ordered window (add frames with ``w.rowsBetween``). It is
-    evaluated once per bucket and once over the heads / tails table.
+    evaluated once per bucket and once over the heads / tails table. ``cut``: as
+    for :func:`running`.
     """
     group_by = list(group_by or [])
-    b, nb = _bucketize(df, order_by, **bucket_kw)
+    b, nb = (df, cut) if cut else _bucketize(df, order_by, group_by=group_by, **bucket_kw)
     w = _spec(group_by, order_by)
     if nb == 1:  # no bucket edges to patch
         exprs = builder(w)
@@ -290,20 +252,18 @@ def sliding(
     k = back + ahead
     edge = (F.col(POS) <= F.lit(k)) | (F.col(CNT) - F.col(POS) < F.lit(k))
     small = local.where(edge).drop(*names)
+    if group_by:  # a group in one bucket has no edge to patch
+        spread = b.groupBy(*[F.col(g).alias("__g_" + g) for g in group_by]).agg(F.min(BUCKET).alias("__from"), F.max(BUCKET).alias("__to"))
+        small = small.join(_small(spread.where("__from < __to"), nb), _same_group(group_by), "left_semi")
     ws = Window.partitionBy(*group_by).orderBy(BUCKET, POS)
     fix = small.select(
         *[F.col(g).alias("__g_" + g) for g in group_by], F.col(BUCKET).alias("__cb"), F.col(POS).alias("__cp"),
         *[e.alias("__f_" + n) for n, e in builder(ws).items()],
     )
     here = (F.col(BUCKET) == F.col("__cb")) & (F.col(POS) == F.col("__cp"))
-    out = local.join(fix, _same_group(group_by) & here, "left")
-    patched = [
-        F.when(F.col(POS) <= F.lit(back), F.col("__f_" + n))
-        .when(F.col(CNT) - F.col(POS) < F.lit(ahead), F.col("__f_" + n))
-        .otherwise(F.col(n))
-        .alias(n)
-        for n in names
-    ]
+    out = local.join(_small(fix, 2 * k * nb), _same_group(group_by) & here, "left")
+    at_edge = (F.col(POS) <= F.lit(back)) | (F.col(CNT) - F.col(POS) < F.lit(ahead))
+    patched = [F.when(F.col("__cb").isNotNull() & at_edge, F.col("__f_" + n)).otherwise(F.col(n)).alias(n) for n in names]
     keep = [c for c in df.columns if c not in names]
     return out.select(*keep, *patched)
 

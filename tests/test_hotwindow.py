@@ -83,3 +83,12 @@ def test_empty_and_wrong_arguments(spark, data):
         H.window(data, ["g"], ["o"], {"v": Fn("rank")})
     with pytest.raises(ValueError):
         H.window(data, ["g"], [], {"r": Fn("rank")})
+
+
+def test_text_keys_are_ordered_by_spark_and_bucketed_once(spark, monkeypatch):
+    df = spark.range(3000).selectExpr("CAST(id % 2 AS INT) AS g", "concat('a common start of many bytes ', id * 7919 % 3001) AS o", "id AS v")
+    calls, own = [], H.prefix._bucketize
+    monkeypatch.setattr(H.prefix, "_bucketize", lambda *a, **k: calls.append(1) or own(*a, **k))
+    fns = {"rk": Fn("rank"), "s": Fn("sum", "v", frame="rows"), "two": Fn("lag", "v", n=2)}
+    got = H.window(df, ["g"], [("o", "desc")], fns, 100)
+    assert rows(got) == rows(plain(df, ["g"], [F.col("o").desc()], fns)) and len(calls) == 1

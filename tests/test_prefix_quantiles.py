@@ -177,3 +177,31 @@ def test_quantiles_with_infinities_do_not_depend_on_limits(spark):
         got = quantiles.grouped_quantiles(d, ["x"], probs, ["g"], buckets=4, collect_limit=limit)
         assert {r["g"]: r["q"] for r in got.collect()} == whole
     assert whole[0][-1] == inf and whole[1][0] == -inf and set(whole) == {None, 0, 1, 2}
+
+
+def test_a_group_lies_in_neighbouring_buckets(spark):
+    """Small groups are not parted by buckets that run across all of them."""
+    d = spark.range(4000).selectExpr("id % 400 AS g", "id * 7919 % 4001 AS o", "id")
+    b, bound = prefix._bucketize(d, ["o"], rows_per_bucket=100, group_by=["g"])
+    parts, buckets = b.select("g", prefix.BUCKET).distinct().count(), b.select(prefix.BUCKET).distinct().count()
+    assert 40 <= buckets <= bound and parts <= 400 + buckets
+
+
+def test_equal_rows_share_a_bucket_beyond_its_size(spark):
+    d = spark.range(1000).selectExpr("CASE WHEN id < 600 THEN 1 WHEN id < 610 THEN NULL ELSE id END AS o", "id")
+    b = prefix.add_buckets(d, ["o"], rows_per_bucket=50)
+    assert b.groupBy("o").agg(F.countDistinct(prefix.BUCKET).alias("n")).where("n > 1").count() == 0
+    assert b.count() == 1000 and b.select(prefix.BUCKET).distinct().count() >= 8
+
+
+def test_pct_change_buckets_its_rows_once(orders, monkeypatch):
+    from sparkwright.operators import features
+
+    calls, own = [], prefix._bucketize
+    monkeypatch.setattr(prefix, "_bucketize", lambda *a, **k: calls.append(1) or own(*a, **k))
+    got = features.create_pct_change(orders, "v", 1, ["o_orderkey"], "o_custkey", rows_per_bucket=300)
+    want = features.create_pct_change(orders, "v", 1, ["o_orderkey"], "o_custkey")
+    name = "v_pct_change_1"
+    both = got.join(want.select("o_orderkey", F.col(name).alias("w")), "o_orderkey")
+    assert both.count() == orders.count() and both.where(~F.col(name).eqNullSafe(F.col("w"))).count() == 0
+    assert len(calls) == 2 and got.columns == [*orders.columns, name]
