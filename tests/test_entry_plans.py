@@ -56,3 +56,11 @@ def test_every_query_runs_on_smallest_scale(spark):
         except Exception as e:  # noqa: BLE001
             bad.append((key, str(e)[:200]))
     assert not bad, bad
+
+
+def test_approximate_count_has_no_sketch_per_value(spark):
+    import re
+
+    plan = E.queries()["sql_approx_count_distinct"](spark, SF0001)._jdf.queryExecution().executedPlan().toString()
+    assert "approx_count_distinct" in plan
+    assert not re.search(r"keys=\[l_returnflag#\d+, l_partkey#\d+L?\], functions=\[[^\]]*approx_count_distinct", plan)
