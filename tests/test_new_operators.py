@@ -141,3 +141,15 @@ def test_strip_is_python_strip_and_linear(spark):
     long = spark.createDataFrame([("a" + " " * 400_000 + "b ",)], "t string").select(F.length(strip_unicode("t")).alias("n"))
     t0 = time.time()
     assert long.first().n == 400_002 and time.time() - t0 < 10
+
+
+def test_reachable_makes_its_edges_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(i):
+        made.add(1)
+        return i
+
+    df = spark.range(12).select(F.udf(seen, "long")("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = recursion.reachable(df, spark.createDataFrame([(0,)], "s long"), "a", "b", "s")
+    assert got.count() == 13 and made.value <= 3 * 12  # 12 rounds
