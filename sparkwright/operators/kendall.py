@@ -65,12 +65,10 @@ def dominance_count(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> int:
         vals, ws = vals[perm], ws[perm]
         s *= 2
     # pairs tied in a were counted when their b differs: remove them
-    df = pd.DataFrame({"a": a, "b": rb, "w": w})
-    g = df.groupby("a")["w"].sum()
-    gb = df.groupby(["a", "b"])["w"].sum()
-    sq_b = (gb.astype(object) ** 2).groupby(level=0).sum()
-    tied = sum((int(g[x]) ** 2 - int(sq_b[x])) // 2 for x in g.index)
-    return total - tied
+    new_a = np.concatenate([[True], a[1:] != a[:-1]])
+    new_ab = new_a | np.concatenate([[True], rb[1:] != rb[:-1]])
+    of_a, of_ab = np.add.reduceat(w, np.flatnonzero(new_a)), np.add.reduceat(w, np.flatnonzero(new_ab))
+    return total - (int(np.sum(of_a * of_a)) - int(np.sum(of_ab * of_ab))) // 2
 
 
 def _pair_points(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -209,7 +207,7 @@ def kendall_long(df: DataFrame, columns: list[str], points_per_task: int = 500_0
                 vals[(a, b)] = None
                 continue
             if k not in nc:
-                nc[k] = _blocked_concordant(pts.where(F.col("k") == k).drop("k"), r.m, points_per_task)
+                nc[k] = _blocked_concordant(_pair_points(df, a, b), r.m, points_per_task)
             n0 = r.n * (r.n - 1) // 2
             n1, n2, n3 = int(r.n1), int(r.n2), int(r.n3)
             s_ = 2 * nc[k] - (n0 - n1 - n2 + n3)
