@@ -14,7 +14,7 @@ from .cleaning import q
 from .quality import missing_by_column
 from .quantiles import column_quantiles
 from .topk import top_k_per_group
-from .transform import average_ranks
+from .transform import RANK_BROADCAST_ROWS, _rank_type, average_ranks
 
 PROFILE_PERCENTILES = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
 PCT_NAMES = ["p1", "p5", "p25", "p50", "p75", "p95", "p99"]
@@ -108,9 +108,9 @@ def correlation_long(df: DataFrame, method: str = "pearson", columns: list[str]
 
     Pearson: one aggregate of ``corr`` over all pairs (pairwise complete).
     Spearman: Pearson over average ranks among the rows that have both values.
-    Where the rows of a pair are all rows of either column, the ranks of the
-    columns serve (distributed ranks, see T10); the other pairs are ranked anew,
-    all at once (:func:`_pairwise_spearman`).
+    Pairs that share their rows share the ranks of their columns; all such sets of
+    rows are ranked in one pass (:func:`_shared_spearman`). Beyond SHARED_RANKS
+    the pairs are ranked anew in long form (:func:`_pairwise_spearman`).
     Kendall: exact tau-b per pair (see :mod:`kendall`)."""
     cols = columns or numeric_columns(df)
     spark = df.sparkSession
@@ -127,9 +127,8 @@ def correlation_long(df: DataFrame, method: str = "pearson", columns: list[str]
     if method == "spearman":
         base = df.select(*[value_or_null(df, c).alias(c) for c in cols])
         shared = _pairs_by_rows(base, cols, pairs)
-        if len(shared) <= WIDE_ROW_SETS:
-            for own in shared:
-                vals.update(_wide_spearman(base.where(q(own[0][0]).isNotNull() & q(own[0][1]).isNotNull()), own, **kw))
+        if len(shared) <= WIDE_ROW_SETS and sum(len({c for p in own for c in p}) for own in shared) <= SHARED_RANKS:
+            vals = _shared_spearman(base, shared, **kw)
         else:
             apart = _pairs_with_own_ranks(base, cols, pairs)
             vals = _pairwise_spearman(base, apart, **kw)
@@ -157,8 +156,10 @@ def _corr_of(base: DataFrame, pairs: list[tuple[str, str]]) -> dict[tuple[str, s
     return vals
 
 
-#: Sets of rows that pairs share, up to which each set is ranked by column.
-WIDE_ROW_SETS = 3
+#: Sets of rows that pairs share, and ranks that a row then has, up to which the
+#: columns are ranked over all sets at once.
+WIDE_ROW_SETS = 60
+SHARED_RANKS = 150
 #: Patterns of missing values up to which pairs are told apart by their rows.
 NULL_PATTERNS = 10_000
 
@@ -179,6 +180,45 @@ def _pairs_by_rows(df: DataFrame, cols: list[str], pairs: list[tuple[str, str]])
     return list(groups.values())
 
 
+def _shared_spearman(base: DataFrame, sets: list[list[tuple[str, str]]], **kw) -> dict[tuple[str, str], float | None]:
+    """Pairs by the sets of rows that they share (see :func:`_pairs_by_rows`).
+
+    Each value of a column is counted once with its rows in every set; one running
+    count along the values gives its average rank in each. The ranks go back to
+    the rows by one join per column, however many pairs use it; tables of few
+    values are broadcast."""
+    ensure_checkpoint_dir(base.sparkSession)
+    uses: dict[str, list[int]] = {}
+    for i, own in enumerate(sets):
+        for c in dict.fromkeys(c for p in own for c in p):
+            uses.setdefault(c, []).append(i)
+    kinds: dict[str, list[str]] = {}
+    for c in uses:
+        kinds.setdefault(_rank_type(base.schema[c].dataType), []).append(c)
+    at = {c: j for j, c in enumerate(uses)}
+    tables = []
+    for kind, cols in kinds.items():
+        mine = sorted({i for c in cols for i in uses[c]})
+        within = [(q(sets[i][0][0]).isNotNull() & q(sets[i][0][1]).isNotNull()).cast("long").alias(f"__n{i}") for i in mine]
+        value = F.explode(F.array(*[F.struct(F.lit(at[c]).alias("c"), q(c).cast(kind).alias("v")) for c in cols])).alias("__p")
+        long = base.select(value, *within).where(F.col("__p.v").isNotNull())
+        counts = long.groupBy(F.col("__p.c").alias("__c"), F.col("__p.v").alias("__v")).agg(*[F.sum(f"__n{i}").alias(f"__n{i}") for i in mine])
+        counts = counts.checkpoint(eager=True)
+        size = {r["__c"]: r["count"] for r in counts.groupBy("__c").count().collect()}
+        upto = {f"__u{i}": ("sum", f"__n{i}") for i in mine}
+        ranks = prefix.running(counts, upto, ["__v"], ["__c"], n=sum(size.values()), **kw)
+        for c in cols:
+            own = [(F.col(f"__u{i}") - (F.col(f"__n{i}") - 1) / 2.0).alias(f"__r{at[c]}_{i}") for i in uses[c]]
+            tables.append((size.get(at[c], 0), c, kind, ranks.where(F.col("__c") == at[c]).select(F.col("__v").alias("__k"), *own)))
+    out = base
+    for size, c, kind, r in sorted(tables, key=lambda t: -t[0]):  # joins that shuffle come first, on narrow rows
+        r = F.broadcast(r) if size <= RANK_BROADCAST_ROWS else r
+        out = out.join(r, q(c).cast(kind) == F.col("__k"), "left").drop("__k", c)
+    wanted = {(a, b): (f"__r{at[a]}_{i}", f"__r{at[b]}_{i}") for i, own in enumerate(sets) for a, b in own}
+    found = _corr_of(out, list(wanted.values()))
+    return {p: found[w] for p, w in wanted.items()}
+
+
 def _wide_spearman(rows: DataFrame, pairs: list[tuple[str, str]], **kw) -> dict[tuple[str, str], float | None]:
     """Pairs for which the ranks of each column over ``rows`` serve."""
     own = list(dict.fromkeys(c for p in pairs for c in p))

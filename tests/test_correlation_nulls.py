@@ -76,3 +76,16 @@ def test_constant_and_disjoint_pairs(spark):
 def test_empty_and_all_null(spark):
     df = spark.createDataFrame([(None, None)], "a double, b int")
     assert corr(df)["a", "b"] is None and corr(df.limit(0))["a", "b"] is None
+
+
+def test_many_sets_of_rows_are_ranked_in_one_pass(spark, monkeypatch):
+    """Six pairs over six sets of rows: no long form of all pairs, one running count."""
+    monkeypatch.setattr(P, "_pairwise_spearman", None)
+    calls, own = [], P.prefix.running
+    monkeypatch.setattr(P.prefix, "running", lambda *a, **k: calls.append(1) or own(*a, **k))
+    frame = nullable()
+    frame["whole"] = np.where(np.arange(len(frame)) % 7 == 0, np.nan, frame["whole"])
+    got, want = corr(spark.createDataFrame(frame), rows_per_bucket=25), frame.corr(method="spearman")
+    assert len(calls) == 1
+    for (x, y), v in got.items():
+        assert v == pytest.approx(want.loc[x, y], abs=1e-12), (x, y)
