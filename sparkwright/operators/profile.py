@@ -33,35 +33,23 @@ def _quantile_stats(mom: dict[str, dict], cols: list[str]) -> dict[tuple, tuple]
 
 
 def _moments(df: DataFrame, cols: list[str]) -> dict[str, dict]:
-    """count / mean / std / min / max / skew / kurtosis / nulls of every column,
-    chunked into aggregates of at most AGG_CHUNK columns."""
+    """count / mean / std / min / max / skew / kurtosis / nulls of every column.
+
+    Long form (column, value), at most AGG_CHUNK columns at once: one aggregate of
+    seven expressions, however many columns, stays within compiled code."""
     out = {}
     for start in range(0, len(cols), AGG_CHUNK):
         chunk = cols[start : start + AGG_CHUNK]
-        exprs = [F.count(F.lit(1)).alias("__n")]
-        for i, c in enumerate(chunk):
-            x = value_or_null(df, c).cast("double")
-            exprs += [
-                F.count(x).alias(f"n{i}"),
-                F.avg(x).alias(f"m{i}"),
-                F.stddev_samp(x).alias(f"s{i}"),
-                F.min(x).alias(f"lo{i}"),
-                F.max(x).alias(f"hi{i}"),
-                sample_skewness(x).alias(f"k3{i}"),
-                sample_kurtosis(x).alias(f"k4{i}"),
-            ]
-        row = df.select(*exprs).first()
-        for i, c in enumerate(chunk):
-            out[c] = {
-                "rows": row["__n"],
-                "count": row[f"n{i}"],
-                "mean": row[f"m{i}"],
-                "std": row[f"s{i}"],
-                "min": row[f"lo{i}"],
-                "max": row[f"hi{i}"],
-                "skewness": row[f"k3{i}"],
-                "kurtosis": row[f"k4{i}"],
-            }
+        each = F.array(*[F.struct(F.lit(i).alias("i"), value_or_null(df, c).cast("double").alias("x")) for i, c in enumerate(chunk)])
+        long, x = df.select(F.explode(each).alias("p")).select("p.i", "p.x"), F.col("x")
+        found = long.groupBy("i").agg(
+            F.count(F.lit(1)).alias("rows"), F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+            F.min(x).alias("min"), F.max(x).alias("max"), sample_skewness(x).alias("skewness"), sample_kurtosis(x).alias("kurtosis"),
+        )
+        empty = dict(rows=0, count=0, mean=None, std=None, min=None, max=None, skewness=None, kurtosis=None)
+        out.update({c: dict(empty) for c in chunk})
+        for r in found.collect():
+            out[chunk[r["i"]]] = {k: r[k] for k in empty}
     return out
 
 
@@ -96,17 +84,10 @@ def descriptive_stats(df: DataFrame, columns: list[str] | None = None) -> DataFr
     return spark.createDataFrame(rows, DESC_SCHEMA)
 
 
-def _corr(a: str, b: str):
-    """Pearson correlation of the rows that have both values; null where one of
-    them does not vary (``corr`` itself raises there under ANSI)."""
-    x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-
-
 def correlation_long(df: DataFrame, method: str = "pearson", columns: list[str] | None = None, **kw) -> DataFrame:
     """P02 as long form (col1, col2, corr), full matrix including the diagonal.
 
-    Pearson: one aggregate of ``corr`` over all pairs (pairwise complete).
+    Pearson: pairwise complete, one aggregate in long form (:func:`_corr_of`).
     Spearman: Pearson over average ranks among the rows that have both values.
     Pairs that share their rows share the ranks of their columns; all such sets of
     rows are ranked in one pass (:func:`_shared_spearman`). Beyond SHARED_RANKS
@@ -148,11 +129,18 @@ def correlation_long(df: DataFrame, method: str = "pearson", columns: list[str]
 
 
 def _corr_of(base: DataFrame, pairs: list[tuple[str, str]]) -> dict[tuple[str, str], float | None]:
-    vals = {}
+    """Pearson correlation of each pair, over the rows that have both values; null
+    where one of them does not vary (``corr`` itself raises there under ANSI).
+
+    Long form (pair, x, y): three aggregates whatever the number of pairs, in place
+    of three for each, which no longer compile."""
+    vals = {p: None for p in pairs}
     for start in range(0, len(pairs), AGG_CHUNK):
         chunk = pairs[start : start + AGG_CHUNK]
-        row = base.select(*[_corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(chunk)]).first()
-        vals.update((p, row[f"c{i}"]) for i, p in enumerate(chunk))
+        each = [F.struct(F.lit(i).alias("i"), q(a).alias("x"), q(b).alias("y")) for i, (a, b) in enumerate(chunk)]
+        long = base.select(F.explode(F.array(*each)).alias("p")).select("p.i", "p.x", "p.y").where("x is not null and y is not null")
+        corr = F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))
+        vals.update((chunk[r["i"]], r["corr"]) for r in long.groupBy("i").agg(corr.alias("corr")).collect())
     return vals
 
 

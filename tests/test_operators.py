@@ -348,3 +348,28 @@ def test_dominance_count_of_many_distinct_values():
     assert dominance_count(a, a, w) == m * (m - 1) // 2 and dominance_count(a, -a, w) == 0
     assert dominance_count(a // 2, a, w) == m * (m - 1) // 2 - m // 2
     assert time.process_time() - t0 < 12
+
+
+def test_profile_of_many_columns_is_in_long_form(spark, monkeypatch):
+    """Moments and correlations of 14 columns equal pandas; no aggregate has an
+    expression for every column or pair."""
+    rng = np.random.default_rng(5)
+    frame = pd.DataFrame({f"c{i}": np.where(rng.random(200) < 0.03 * i, np.nan, rng.normal(size=200) * i + 1) for i in range(1, 14)})
+    frame["flat"], widths = 3.0, []
+    from pyspark.sql import GroupedData
+
+    own = GroupedData.agg
+    monkeypatch.setattr(GroupedData, "agg", lambda g, *e: widths.append(len(e)) or own(g, *e))
+    df = spark.createDataFrame(frame)
+    got = {(r.col1, r.col2): r.corr for r in P.correlation_long(df).collect()}
+    want = frame.corr()
+    for (a, b), v in got.items():
+        assert a == b or v is None or v == pytest.approx(want.loc[a, b], abs=1e-12), (a, b)
+    assert sum(v is None for v in got.values()) == 26 and len(got) == 196
+    mom = P._moments(df, list(frame))
+    assert widths and max(widths) <= 8
+    for c in frame:
+        assert mom[c]["count"] == frame[c].count() and mom[c]["rows"] == 200 and mom[c]["mean"] == pytest.approx(frame[c].mean())
+        assert mom[c]["std"] == pytest.approx(frame[c].std())
+    none = P._moments(df.limit(0), ["c1"])["c1"]
+    assert none["rows"] == none["count"] == 0 and none["mean"] is None
