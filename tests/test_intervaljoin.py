@@ -99,3 +99,40 @@ def test_empty_sides_and_errors(spark):
     text = spark.createDataFrame([(1, "x", "y")], "j int, c string, d string")
     with pytest.raises(TypeError):
         interval_join(a, text, ("a", "b"), ("c", "d"))
+
+
+def test_hot_node_is_spread_by_its_pairs(spark, monkeypatch):
+    """A few rows in one node hold all pairs: no task lists more than its share."""
+    monkeypatch.setattr(J, "PAIRS_PER_TASK", 2000, raising=False)
+    left = spark.range(300).coalesce(1).selectExpr("id AS i", "id AS a", "id + 1 AS b")
+    wide = spark.range(200).coalesce(1).selectExpr("id AS j", "-id AS c", "id + 1000 AS d")
+    got = interval_join(left, wide, ("a", "b"), ("c", "d"))
+    parts = [r["count"] for r in got.groupBy(J.F.spark_partition_id()).count().collect()]
+    assert sum(parts) == 300 * 200 and max(parts) <= 20_000
+    assert pairs(got) == [(i, j) for i in range(300) for j in range(200)]
+
+
+@pytest.mark.parametrize("closed", [True, False])
+@pytest.mark.parametrize("pairs_per_task", [1, 300])
+def test_grid_equals_all_pairs(spark, monkeypatch, closed, pairs_per_task):
+    monkeypatch.setattr(J, "PAIRS_PER_TASK", pairs_per_task, raising=False)
+    monkeypatch.setattr(J, "MAX_TASKS", 8, raising=False)
+    rng = random.Random(pairs_per_task)
+    left, right = rows(rng, 120, 0.3), rows(rng, 90, 0.4)
+    left, right = left + left[:20], right + right[:20]  # repeated rows each match
+    a = spark.createDataFrame(left, "i int, k int, a int, b int").repartition(3)
+    b = spark.createDataFrame(right, "j int, m int, c int, d int")
+    for on in ([], [("k", "m")]):
+        got = interval_join(a, b, ("a", "b"), ("c", "d"), on, closed, 20)
+        assert got.columns == ["i", "k", "a", "b", "j", "m", "c", "d"]
+        assert pairs(got) == brute(left, right, closed, bool(on))
+
+
+def test_grid_with_keys_of_two_types(spark, monkeypatch):
+    """'1' and '01' both equal 1: a split node repeats no pair."""
+    monkeypatch.setattr(J, "PAIRS_PER_TASK", 20, raising=False)
+    monkeypatch.setattr(J, "MAX_TASKS", 4, raising=False)
+    a = spark.range(12).selectExpr("id AS i", "id % 2 AS k", "id AS a", "id + 2 AS b")
+    b = spark.range(20).selectExpr("id AS j", "elt(1 + id % 4, '1', '01', '0', NULL) AS m", "-id AS c", "id + 20 AS d")
+    want = [(i, j) for i in range(12) for j in range(20) if {0: 1, 1: 1, 2: 0}.get(j % 4) == i % 2]
+    assert pairs(interval_join(a, b, ("a", "b"), ("c", "d"), [("k", "m")])) == want
