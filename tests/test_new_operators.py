@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkwright.functions.text import UNICODE_SPACE, strip_unicode
-from sparkwright.operators import recursion
+from sparkwright.operators import intervaljoin, recursion
 from sparkwright.operators.sketches import merge_sketches, quantile_sketch, sketch_quantiles
 from sparkwright.plans import chartdata as K
 from sparkwright.plans import docs as D
@@ -153,3 +153,52 @@ def test_reachable_makes_its_edges_once(spark):
     df = spark.range(12).select(F.udf(seen, "long")("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = recursion.reachable(df, spark.createDataFrame([(0,)], "s long"), "a", "b", "s")
     assert got.count() == 13 and made.value <= 3 * 12  # 12 rounds
+
+
+def closure(edges, starts):
+    want = set()
+    for s in starts:
+        todo = [s]
+        while todo:
+            n = todo.pop()
+            if n is not None and (s, n) not in want:
+                want.add((s, n))
+                todo += [b for a, b in edges if a == n]
+    return want
+
+
+@pytest.mark.parametrize("per_task", [3, 10**6])
+def test_reachable_with_many_components(spark, monkeypatch, per_task):
+    """Cycles in a row, in each other and apart, chains between them, links of one node to itself."""
+    monkeypatch.setattr(intervaljoin, "PAIRS_PER_TASK", per_task)
+    monkeypatch.setattr(intervaljoin, "MAX_TASKS", 8)
+    rng = random.Random(per_task)
+    edges = [(i, i + 1) for i in range(0, 9)] + [(4, 2), (9, 8), (3, 3), (20, 21), (21, 20), (21, 5), (30, 31), (31, 32), (32, 30), (32, 33)]
+    edges += [(rng.randrange(40, 70), rng.randrange(40, 70)) for _ in range(36)] + [(None, 1), (2, None)]
+    starts = [*range(0, 75, 2), 1, 1, None]
+    df = spark.createDataFrame([(f"{a}" if a is not None else None, f"{b}" if b is not None else None) for a, b in edges + edges[:5]], "a string, b string")
+    got = recursion.reachable(df, spark.createDataFrame([(f"{s}" if s is not None else None,) for s in starts], "s string"), "a", "b", "s")
+    rows = [(int(r.start), int(r.node)) for r in got.collect()]
+    assert set(rows) == closure(edges, starts) and len(rows) == len(set(rows))
+
+
+def test_reachable_lists_a_large_component_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(intervaljoin, "PAIRS_PER_TASK", 500)
+    df = spark.range(100).selectExpr("id AS a", "(id + 1) % 100 AS b").unionAll(spark.range(100).selectExpr("id", "(id * 7 + 3) % 100"))
+    got = recursion.reachable(df, spark.range(100).toDF("s"), "a", "b", "s")
+    parts = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(parts) == 100 * 100 and max(parts) <= 5000
+
+
+def test_recursive_query_follows_all_lines_from_all_parts(spark, tmpdir_path):
+    """Also lines of small quantity and parts of any number."""
+    from __spark_entry__ import queries
+
+    lines = [(1, 1, 41, 1.0), (1, 2, 42, 2.0), (1, 3, 43, 50.0), (2, 1, 43, 3.0), (2, 2, 41, None), (3, 1, 40, 49.0), (3, 2, 7, 48.0), (3, 4, 9, 50.0), (3, 2, 8, 1.0)]
+    schema = "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_quantity double"
+    spark.createDataFrame(lines, schema).write.parquet(f"{tmpdir_path}/lineitem.parquet")
+    parts = [7, 9, 40, 41, 42, 43, 43, 80, None]
+    spark.createDataFrame([(p,) for p in parts], "p_partkey bigint").write.parquet(f"{tmpdir_path}/part.parquet")
+    rows = [tuple(r) for r in queries()["sql_recursive_reachable"](spark, tmpdir_path).collect()]
+    want = closure([(a[2], b[2]) for a in lines for b in lines if a[0] == b[0] and b[1] == a[1] + 1], parts)
+    assert set(rows) == want and len(rows) == len(want) and (42, 41) in want and (40, 8) in want
