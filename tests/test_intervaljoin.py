@@ -136,3 +136,34 @@ def test_grid_with_keys_of_two_types(spark, monkeypatch):
     b = spark.range(20).selectExpr("id AS j", "elt(1 + id % 4, '1', '01', '0', NULL) AS m", "-id AS c", "id + 20 AS d")
     want = [(i, j) for i in range(12) for j in range(20) if {0: 1, 1: 1, 2: 0}.get(j % 4) == i % 2]
     assert pairs(interval_join(a, b, ("a", "b"), ("c", "d"), [("k", "m")])) == want
+
+
+def test_bins_of_many_bounds(spark):
+    """Looked up in two steps, at, between and past the bounds, empty bins at the end included."""
+    for n, size in ((127, 128), (128, 256), (300, 512), (1023, 1024)):
+        bounds = [float(x) for x in range(0, 2 * n, 2)] + [float("inf")] * (size - 1 - n)
+        df = spark.range(-3, 2 * n + 5).selectExpr("id / 2 * 2 AS x", "id AS other")
+        got = J._binned(df, "x", bounds, "b")
+        assert got.columns == ["x", "other", "b"] and got.schema["b"].dataType.simpleString() == "int"
+        assert all(r.b == sum(c < r.x for c in bounds) for r in got.collect())
+
+
+@pytest.mark.parametrize("closed", [True, False])
+def test_many_bounds_equal_all_pairs(spark, monkeypatch, closed):
+    monkeypatch.setattr(J, "CELL", 4)
+    rng = random.Random(11)
+    left, right = rows(rng, 200, 0.3), rows(rng, 150, 0.2)
+    a = spark.createDataFrame(left + left[:20], "i int, k int, a int, b int").repartition(3)
+    b = spark.createDataFrame(right + right[:20], "j int, m int, c int, d int")
+    for on in ([], [("k", "m")]):
+        got = interval_join(a, b, ("a", "b"), ("c", "d"), on, closed, 5)
+        assert pairs(got) == brute(left + left[:20], right + right[:20], closed, bool(on))
+
+
+def test_plan_text_does_not_hold_the_bounds(spark):
+    """The driver keeps the texts of all plans; thousands of bounds may not stand in them."""
+    left = spark.range(12_000).selectExpr("id AS i", "id * 3 AS a", "id * 3 + 1 AS b")
+    right = spark.range(8_000).selectExpr("id AS j", "id * 3 + 1 AS c", "id * 3 + 2 AS d")
+    got = interval_join(left, right, ("a", "b"), ("c", "d"), rows_per_bin=1)
+    assert got.where("i = j").count() == got.count() == 8_000
+    assert len(got._jdf.queryExecution().toString()) < 1_000_000
